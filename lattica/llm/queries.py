@@ -7,13 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import fold, table, text_or_empty
+from .langid import fit_languages, identify
+from .quality import fit_quality, quality_score
 from .sharding import feistel_shards
 from .topk import exact_topk, scaled
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (fold("doc_id", 5) == 0).alias("held_out"))
+    model = fit_languages(docs.where("not held_out"))
+    return identify(docs, model, ["doc_id", "held_out"])
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1))
+    scored = docs.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), quality_score("text", model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id",
@@ -48,6 +63,8 @@ select query_id, rank, vec_id, score from r where rank <= 20
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_language_id": op1_language_id,
+        "op10_quality_classifier": op10_quality_classifier,
         "op7_sharding": op7_sharding,
         "op9_exact_topk": op9_exact_topk,
     }
