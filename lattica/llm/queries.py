@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import format_conversations, read_turns, unescape
 from .common import fold, table, text_or_empty
 from .langid import fit_languages, identify
 from .quality import fit_quality, quality_score
 from .sharding import feistel_shards
+from .simhash import near_duplicates
 from .topk import exact_topk, scaled
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +26,31 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model, ["doc_id", "held_out"])
 
 
+def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sha = lambda parts: hashlib.sha256("".join(parts).encode("utf-8", "surrogatepass")).hexdigest()
+    for batch in batches:
+        out: dict[str, list] = {k: [] for k in ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")}
+        for conv, text, spans in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_spans")), strict=True):
+            turns, loss = read_turns(text), [unescape(text[s["start"] : s["end"]]) for s in spans]
+            values = conv, len(turns), sha(f"{r}\n{t}\n" for r, t in turns), sum(map(len, loss)), sha(loss), len(text)
+            for k, v in zip(out, values, strict=True):
+                out[k].append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.string() if "sha" in k else pa.int64()) for k, v in out.items()], [*out])
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    says = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], turns.schema)
+    formatted = format_conversations(turns.unionByName(extra))
+    return formatted.mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"), size=3, distance=2)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_quality(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1))
@@ -64,8 +93,10 @@ select query_id, rank, vec_id, score from r where rank <= 20
 def queries() -> dict[str, Query]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_chat_formatting": op2_chat_formatting,
         "op10_quality_classifier": op10_quality_classifier,
         "op7_sharding": op7_sharding,
+        "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_exact_topk": op9_exact_topk,
     }
 
