@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .chat import format_conversations, read_turns, unescape
 from .common import fold, table, text_or_empty
 from .langid import fit_languages, identify
+from .minhash import edited_fingerprints
 from .quality import fit_quality, quality_score
 from .sharding import feistel_shards
 from .simhash import near_duplicates
@@ -46,6 +47,10 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatted.mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), size=3, distance=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -95,6 +100,7 @@ def queries() -> dict[str, Query]:
         "op1_language_id": op1_language_id,
         "op2_chat_formatting": op2_chat_formatting,
         "op10_quality_classifier": op10_quality_classifier,
+        "op6_document_fingerprints": op6_document_fingerprints,
         "op7_sharding": op7_sharding,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_exact_topk": op9_exact_topk,
