@@ -114,6 +114,19 @@ def phrase_counts(texts: list[str], model: LanguageModel) -> tuple[np.ndarray, n
     return counts, np.bincount(text_of[s != 0], minlength=len(texts))
 
 
+def in_parts(texts: list[str], chars: int = 2_000_000) -> Iterator[list[str]]:
+    """Consecutive texts of about ``chars`` characters together, to bound the arrays of a step."""
+    part, held = [], 0
+    for t in texts:
+        if part and held + len(t) > chars:
+            yield part
+            part, held = [], 0
+        part.append(t)
+        held += len(t)
+    if part:
+        yield part
+
+
 def fit_languages(docs: DataFrame, chars: int = 40_000) -> LanguageModel | None:
     """Fit on ``docs`` (doc_id, text, lang); rows with a null text or lang take no part; None without any."""
     docs = docs.where("text is not null and lang is not null and doc_id is not null")
@@ -151,7 +164,8 @@ def identify(docs: DataFrame, model: LanguageModel | None, keep: list[str]) -> D
             texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
             pred, score = np.full(len(texts), "und", object), np.zeros(len(texts))
             if model and texts:
-                counts, letters = phrase_counts(texts, model)
+                parts = [phrase_counts(part, model) for part in in_parts(texts)]
+                counts, letters = (np.concatenate(x) for x in zip(*parts, strict=True))
                 ranked = np.sort(counts, axis=1)
                 best, second = ranked[:, 0], ranked[:, min(1, ranked.shape[1] - 1)]
                 some = letters > 0
