@@ -14,10 +14,15 @@ from .common import fold, table, text_or_empty
 from .langid import fit_languages, identify
 from .minhash import edited_fingerprints
 from .quality import fit_quality, quality_score
+from .sentencepiece_scan import decoded, encode
 from .sharding import feistel_shards
 from .simhash import near_duplicates
+from .suffix_dedup import digest_rows, repeated_spans
 from .topk import exact_topk, scaled
 
+#: The public SentencePiece model that op4 and the pipeline encode with; a parameter of both.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -47,6 +52,23 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatted.mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = PIECE_MODEL) -> DataFrame:
+    with open(model_path, "rb") as f:
+        model = f.read()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.length(text_or_empty("text")).cast("long").alias("n_chars"), F.sha2(text_or_empty("text"), 256).alias("text_sha256"))
+    found = encode(docs, model, ["doc_id", "n_chars", "text_sha256"])
+    return found.select(
+        "doc_id", "n_chars", F.col("chunks").alias("n_chunks"), F.size("ids").cast("long").alias("n_tokens"),
+        (F.sha2(decoded("ids", model), 256) == F.col("text_sha256")).alias("round_trip"), "ids",
+    )
+
+
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, covers = repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    joined = docs.join(covers, ["th", "tn"], "left").select("doc_id", "text", "covers")
+    return joined.mapInArrow(digest_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -100,6 +122,8 @@ def queries() -> dict[str, Query]:
         "op1_language_id": op1_language_id,
         "op2_chat_formatting": op2_chat_formatting,
         "op10_quality_classifier": op10_quality_classifier,
+        "op4_sentencepiece": op4_sentencepiece,
+        "op5_suffix_array_dedup": op5_suffix_array_dedup,
         "op6_document_fingerprints": op6_document_fingerprints,
         "op7_sharding": op7_sharding,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
