@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import format_conversations, read_turns, unescape
-from .common import fold, table, text_or_empty
+from .common import fold, materialise, table, text_or_empty
 from .langid import fit_languages, identify
 from .minhash import edited_fingerprints
+from .mixing import fit_domains, membership, mixed
 from .quality import fit_quality, quality_score
 from .sentencepiece_scan import decoded, encode
 from .sharding import feistel_shards
@@ -23,6 +24,9 @@ from .topk import exact_topk, scaled
 #: The public SentencePiece model that op4 and the pipeline encode with; a parameter of both.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
+#: Target shares of the domains' tokens in op3.
+MIX_WEIGHTS = {"clean": 0.90, "poor": 0.05, "toxic": 0.05}
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -52,6 +56,23 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatted.mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
+def label_domains(labels: DataFrame) -> DataFrame:
+    """The labelled table's domains: ``toxic``, else ``poor`` or ``clean`` by quality."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").when(F.col("quality") == 1, "clean")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_domains(docs, label_domains(table(spark, sf_dir, "labels")))
+    if model is None:
+        return docs.select("doc_id", F.lit(None).cast("long").alias("tokens"), *[F.lit(0.0).alias(f"p_{d}") for d in MIX_WEIGHTS], F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
+    members = materialise(docs.select("doc_id", membership("text", model).alias("m")).select("doc_id", "m.tokens", "m.p"))
+    found = mixed(members, model, MIX_WEIGHTS)
+    names = {d: F.round(F.col("p")[k], 9).alias(f"p_{d}") for k, d in enumerate(model.domains)}
+    return found.select("doc_id", "tokens", *[names.get(d, F.lit(0.0).alias(f"p_{d}")) for d in MIX_WEIGHTS], F.round("rate", 9).alias("rate"), "copies")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = PIECE_MODEL) -> DataFrame:
     with open(model_path, "rb") as f:
         model = f.read()
@@ -122,6 +143,7 @@ def queries() -> dict[str, Query]:
         "op1_language_id": op1_language_id,
         "op2_chat_formatting": op2_chat_formatting,
         "op10_quality_classifier": op10_quality_classifier,
+        "op3_mixing": op3_mixing,
         "op4_sentencepiece": op4_sentencepiece,
         "op5_suffix_array_dedup": op5_suffix_array_dedup,
         "op6_document_fingerprints": op6_document_fingerprints,
