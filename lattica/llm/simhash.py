@@ -20,8 +20,9 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import materialise, text_or_empty
 
 FANOUT, QUERIES = 8, 20_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -110,7 +111,13 @@ def joined(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return label
 
 
-def _search_keys(distance: int):
+def _search_keys(distance: int, more: tuple[str, ...] = (), total: int = 0):
+    """Kernel over rows sorted by (kind, key): links that join what is at most ``distance`` bits apart in ``fp``.
+
+    With ``more`` columns, pairs must also be at most ``total`` bits apart in all columns together,
+    and links name the column ``node`` instead of ``fp``.
+    """
+
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = pd.DataFrame()
 
@@ -122,11 +129,16 @@ def _search_keys(distance: int):
             codes, group = codes[several], group[several]
             order = np.lexsort((gray_rank(codes), group))
             codes, group = codes[order], group[order]
+            names = rows["node" if more else "fp"].to_numpy()[several][order]
+            rest = [rows[c].to_numpy().view(np.uint64)[several][order] for c in more]
             if not len(codes):
                 return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-            label = joined(len(codes), linked_pairs(codes, group, distance))
+            pairs = linked_pairs(codes, group, distance)
+            if more:
+                pairs = ((a[ok], b[ok]) for a, b in pairs for ok in [sum(np.bitwise_count(w[a] ^ w[b]).astype(int) for w in (codes, *rest)) <= total])
+            label = joined(len(codes), pairs)
             far = label != np.arange(len(codes))
-            return pd.DataFrame({"a": codes[far].view(np.int64), "b": codes[label[far]].view(np.int64)})
+            return pd.DataFrame({"a": names[far], "b": names[label[far]]})
 
         for pdf in batches:
             held = pd.concat([held, pdf], ignore_index=True) if len(held) else pdf
@@ -203,3 +215,88 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = materialise(distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return own.join(named.join(least, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+
+
+# ------------------------------------------- near copies by shingle similarity
+
+WIDE, SIMILAR_BITS, FIRST_BITS, KEY_WORDS = ("w0", "w1", "w2", "w3"), 50, 20, 3
+_KEYS = tuple(f"k{i}" for i in range(KEY_WORDS))
+_AGREE, _MISSED = 0.92, 0.03
+
+
+def _mixed(h: np.ndarray, turn: int) -> np.ndarray:
+    h = h + np.uint64(0x9E3779B97F4A7C15 * (turn + 1) % 2**64)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _votes(joined: bytes, starts: np.ndarray, ends: np.ndarray, size: int, words: int) -> list[int]:
+    n, digest = len(starts), xxhash.xxh64_intdigest
+    a, b = starts[: max(1, n - size + 1)].tolist(), ends[min(size, n) - 1 :].tolist()
+    h = np.fromiter((digest(joined[i:j], 42) for i, j in zip(a, b, strict=True)), np.uint64, len(a))
+    out = []
+    for turn in range(words):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(h), 65_536):
+            ones += np.unpackbits(_mixed(h[at : at + 65_536], turn).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(h)).view(np.int64)[0]))
+    return out
+
+
+def wide_simhash(text: str | None, size: int = 5) -> list[int]:
+    """256 SimHash bits of the ``size``-word shingles, then 192 of the two-word ones; zeros without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    if not words:
+        return [0] * (len(WIDE) + KEY_WORDS)
+    lens = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lens + 1) - 1
+    joined_words = b" ".join(words)
+    return _votes(joined_words, ends - lens, ends, size, len(WIDE)) + _votes(joined_words, ends - lens, ends, 2, KEY_WORDS)
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
+    """``id_col, th, node, root`` of every row: texts of one ``root`` are near copies of each other.
+
+    Two texts are near copies when their 256-bit SimHash of ``size``-word shingles differs in at most
+    ``SIMILAR_BITS`` bits; at a Jaccard similarity of 0.8, 39 bits are expected to differ with a
+    deviation of 6, at 0.5 it is 68.  Candidates agree in a key cut from a second SimHash of two-word
+    shingles, of which a bit agrees with probability ``_AGREE`` or more at that similarity; key width
+    grows with the number of texts and the number of keys follows from it, so that a pair is missed
+    with probability ``_MISSED``.  Null texts are empty; ``th`` is the text's hash.
+    """
+
+    @F.pandas_udf("array<long>")
+    def wide(texts: pd.Series) -> pd.Series:
+        return pd.Series([wide_simhash(t, size) for t in texts], dtype=object)
+
+    columns = [*WIDE, *_KEYS]
+    own = docs.select(id_col, F.xxhash64(text_or_empty(text_col)).alias("th"), wide(text_col).alias("v"))
+    own = own.select(id_col, "th", *[F.col("v")[i].alias(c) for i, c in enumerate(columns)])
+    own = materialise(own.withColumn("node", F.xxhash64(*columns)))
+    distinct = own.groupBy("node").agg(*[F.min(c).alias(c) for c in columns])
+    distinct = materialise(distinct)
+    bits = max(16, min(48, max(distinct.count(), 1).bit_length() - 2))
+    tables = int(np.ceil(np.log(_MISSED) / np.log(1 - _AGREE**bits)))
+    keys = []
+    for t in range(tables):
+        word, turn = F.col(_KEYS[t % KEY_WORDS]), t // KEY_WORDS * bits % 64
+        turned = F.shiftrightunsigned(word, turn).bitwiseOR(F.shiftleft(word, 64 - turn)) if turn else word
+        keys.append(F.struct(F.lit(t).alias("kind"), turned.bitwiseAND(F.lit((1 << bits) - 1)).alias("key")))
+    dealt = distinct.select("node", *WIDE, F.explode(F.array(*keys)).alias("k")).select("k.kind", "k.key", "node", F.col("w0").alias("fp"), *WIDE[1:])
+    dealt = dealt.repartition("kind", "key").sortWithinPartitions("kind", "key")
+    links = dealt.mapInPandas(_search_keys(FIRST_BITS, WIDE[1:], SIMILAR_BITS), "a long, b long").distinct()
+    roots = components(links)
+    return own.select(id_col, "th", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row of ``docs`` with the smallest (id, text hash) of every group; of repeated rows one.
+
+    ``groups`` is a result of :func:`near_copies` for ``docs``; rows with a null id count as smallest.
+    """
+    name = lambda c: F.coalesce(c.cast("string"), F.lit("~"))
+    kept = groups.groupBy("root").agg(F.min(F.struct(id_col, "th")).alias("one")).select(name(F.col(f"one.{id_col}")).alias("_id"), F.col("one.th").alias("_th"))
+    rows = docs.withColumn("_id", name(F.col(id_col))).withColumn("_th", F.xxhash64(text_or_empty(text_col))).join(kept, ["_id", "_th"])
+    first = F.row_number().over(Window.partitionBy("_id", "_th").orderBy(F.lit(0)))
+    return rows.withColumn("_n", first).where("_n = 1").select(*docs.columns)

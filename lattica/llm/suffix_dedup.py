@@ -332,7 +332,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
 def without_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
     """``docs`` with ``text`` less its repeated strings, and ``spans`` (array of [a, b) of removed bytes).
 
-    Null texts become empty.  A character whose bytes are removed in part becomes U+FFFD.  Repeated
+    Null texts become empty.  A character stays where only some of its bytes repeat.  Repeated
     rows are copies of each other, so long ones lose their whole text.
     """
     keyed_docs, covers = repeated_spans(docs, length, crowd)
@@ -342,8 +342,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -
     def cut(text: str, found: list | None):
         if not found:
             return text, []
-        spans, raw = merged_spans([{"a": c["a"], "b": c["b"]} for c in found]), text.encode("utf-8", "surrogatepass")
-        return kept_bytes(raw, spans).decode("utf-8", "replace"), spans
+        raw = text.encode("utf-8", "surrogatepass")
+        spans = whole_characters(raw, merged_spans([{"a": c["a"], "b": c["b"]} for c in found]))
+        return kept_bytes(raw, spans).decode("utf-8", "surrogatepass"), spans
 
     return joined.withColumn("_cut", F.when(F.col("covers").isNotNull(), cut("text", "covers"))).select(
         *[F.coalesce(F.col("_cut.text"), F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns],
@@ -351,6 +352,19 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -
     )
 
 
+def whole_characters(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans drawn in to the characters that lie in them whole."""
+    inside = lambda i: i < len(raw) and raw[i] & 0xC0 == 0x80
+    out = []
+    for a, b in spans:
+        while inside(a):
+            a += 1
+        while inside(b):
+            b -= 1
+        out += [(a, b)] if a < b else []
+    return out
+
+
 def kept_bytes(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     edges = [0, *[x for s in spans for x in s], len(raw)]
     return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
