@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +28,7 @@ from sentencepiece import sentencepiece_model_pb2 as proto
 
 from .common import materialise
 
-CHUNK, REMEMBERED = 32_768, 300_000
+CHUNK, REMEMBERED = 32_768, 700_000
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -155,8 +156,37 @@ def _best_end(best: list[dict[int, tuple[float, int, int]]], end: int) -> int:
     return max(best[end].items(), key=lambda x: (x[1][0], -x[1][1]))[0]
 
 
+def _merging_path(model: PieceModel, word: str) -> list[int]:
+    """The lattice of a BPE word has one path of weight 0 to each position, so a piece a position is enough."""
+    get, stay, known, longest = model.ids.get, model.stay, len(model.pieces), model.longest
+    last = [0] * (len(word) + 1)
+    for end in range(1, len(word) + 1):
+        for start in range(end - longest if end > longest else 0, end):
+            piece = get(word[start:end])
+            if piece is None:
+                if end - start > 1:
+                    continue
+                piece = known + ord(word[start])
+            if start and piece < known and (before := last[start]) < known:
+                fits = stay.get((before, piece))
+                if not (model.fits(before, piece) if fits is None else fits):
+                    continue
+            last[end] = piece
+            break
+    found, end = [], len(word)
+    while end:
+        found.append(last[end])
+        end -= len(model.chars(last[end]))
+    return found[::-1]
+
+
 def word_ids(model: PieceModel, word: str) -> bytes:
     """Ids (int32) of a stretch that nothing lies across."""
+    if model.kind == BPE:
+        found = _merging_path(model, word)
+        if max(found) >= len(model.pieces):
+            found = [i for p in found for i in model.out(p)]
+        return array("i", found).tobytes()
     best = paths(model, word, 0, -1, len(word))
     return np.array([i for p in _trace(best, len(word), _best_end(best, len(word)), 0) for i in model.out(p)], np.int32).tobytes()
 
@@ -173,8 +203,9 @@ def _words(model: PieceModel, text: str) -> bytes:
     words, known = _WORD.findall(text), model.words
     if len(known) > REMEMBERED:
         known.clear()
-    for w in {*words} - known.keys():
-        known[w] = word_ids(model, w)
+    for w in words:
+        if w not in known:
+            known[w] = word_ids(model, w)
     return b"".join([known[w] for w in words])
 
 
