@@ -28,9 +28,10 @@ from sentencepiece import sentencepiece_model_pb2 as proto
 
 from .common import materialise
 
-CHUNK, REMEMBERED = 32_768, 700_000
+CHUNK, REMEMBERED = 32_768, 300_000
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
+_RUN = re.compile(r"[^\W\d_]+|[\W\d_]")
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 State = tuple[int, int]  # a piece, and how many of its characters lie beyond the boundary
@@ -52,9 +53,14 @@ class PieceModel:
         self.longest = max(map(len, self.ids), default=1)
         self.cuttable = not any(p[i] == SPACE != p[i - 1] for p in self.ids for i in range(1, len(p)))
         self.unknown = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10
-        self.stay: dict[tuple[int, int], bool] = {}
+        self.stay: dict[int, bool] = {}  # by a * 2^21 + b
         self.words: dict[str, bytes] = {}
-        self.unknowns: dict[str, int] = {}
+        self.spaced: dict[str, bytes] = {}  # the same, by the word after its space
+        self.inside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        self.sizes = [len(p) for p in self.pieces]
+        self.rank = [-x for x in self.scores]
+        self.split: dict[int, tuple[int, int] | None] = {}
+        self.prefixes: dict[str, int] = {p[:k]: -1 for p in self.ids for k in range(1, len(p))} | self.ids
         self.raw = [p.replace(SPACE, " ").encode() for p in self.pieces]
         for value, i in enumerate(self.byte_ids):
             self.raw[i] = bytes([value])
@@ -77,7 +83,7 @@ class PieceModel:
         """Id of a piece; for a character that is none, a number past the pieces that stands for its bytes."""
         found = self.ids.get(text)
         if found is None and len(text) == 1:
-            found = self.unknowns.setdefault(text, len(self.pieces) + ord(text))
+            found = len(self.pieces) + ord(text)
         return found
 
     def out(self, piece: int) -> list[int]:
@@ -89,26 +95,55 @@ class PieceModel:
     def weight(self, piece: int) -> float:
         return 0.0 if self.kind == BPE else self.scores[piece] if piece < len(self.pieces) else self.unknown
 
-    def merged(self, text: str) -> list[str]:
-        """Merging by best score, leftmost first; only ever asked for two pieces' characters."""
-        parts = list(text)
-        while len(parts) > 1:
-            found = [(self.scores[i], -k) for k in range(len(parts) - 1) if (i := self.ids.get(parts[k] + parts[k + 1])) is not None]
-            if not found:
-                break
-            k = -max(found)[1]
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return parts
+    def halves(self, piece: int) -> tuple[int, int] | None:
+        """The two pieces whose merge makes a piece out of its characters; None for one that merging never makes."""
+        if piece not in self.split:
+            parts, last = [self.ids.get(c, -1) for c in self.pieces[piece]], None
+            text = [*self.pieces[piece]]
+            while len(text) > 1:
+                ways = [(self.rank[i], k, i) for k in range(len(text) - 1) if (i := self.ids.get(text[k] + text[k + 1])) is not None]
+                if not ways:
+                    break
+                _, k, i = min(ways)
+                last = parts[k], parts[k + 1]
+                text[k : k + 2], parts[k : k + 2] = [text[k] + text[k + 1]], [i]
+            self.split[piece] = last if len(text) == 1 else None
+        return self.split[piece]
 
     def fits(self, a: int, b: int) -> bool:
-        if self.kind != BPE or a < 0:
+        """Would merging leave pieces a and b alone, side by side?
+
+        Merges are undone from the last: while either piece is taken apart next to the border, a piece
+        across the border must not have been due before the merge that is undone.
+        """
+        known = len(self.pieces)
+        if self.kind != BPE or a < 0 or a >= known or b >= known:
             return True
-        found = self.stay.get((a, b))
+        found = self.stay.get(a << 21 | b)
         if found is None:
-            x, y = self.chars(a), self.chars(b)
-            found = self.stay[a, b] = self.merged(x + y) == [x, y]
+            if len(self.stay) > REMEMBERED:
+                self.stay.clear()
+            found = self.stay[a << 21 | b] = self._apart(a, b)
         return found
 
+    def _apart(self, a: int, b: int) -> bool:
+        rank, single = self.rank, self.sizes
+        if (single[a] > 1 and self.halves(a) is None) or (single[b] > 1 and self.halves(b) is None):
+            return False
+        # what would be merged across the border is due before ``due``; ties go to the left
+        due: tuple[float, int] = (float("inf"), 0)
+        while True:
+            across = self.ids.get(self.pieces[a] + self.pieces[b])
+            if across is not None and (rank[across], 1) < due:
+                return False
+            ra, rb = (rank[a] if single[a] > 1 else -1.0), (rank[b] if single[b] > 1 else -1.0)
+            if ra < 0 and rb < 0:
+                return True
+            if ra > rb:
+                due, a = (ra, 1), self.halves(a)[1]
+            else:
+                due, b = (rb, 2), self.halves(b)[0]
+
 
 @functools.lru_cache(maxsize=2)
 def _model(content: bytes) -> PieceModel:
@@ -156,32 +191,75 @@ def _best_end(best: list[dict[int, tuple[float, int, int]]], end: int) -> int:
     return max(best[end].items(), key=lambda x: (x[1][0], -x[1][1]))[0]
 
 
-def _merging_path(model: PieceModel, word: str) -> list[int]:
-    """The lattice of a BPE word has one path of weight 0 to each position, so a piece a position is enough."""
-    get, stay, known, longest = model.ids.get, model.stay, len(model.pieces), model.longest
-    last = [0] * (len(word) + 1)
-    for end in range(1, len(word) + 1):
-        for start in range(end - longest if end > longest else 0, end):
-            piece = get(word[start:end])
-            if piece is None:
-                if end - start > 1:
-                    continue
-                piece = known + ord(word[start])
-            if start and piece < known and (before := last[start]) < known:
-                fits = stay.get((before, piece))
-                if not (model.fits(before, piece) if fits is None else fits):
-                    continue
-            last[end] = piece
+def _pieces_at(model: PieceModel, word: str, at: int) -> list[int]:
+    """Pieces that begin at a place of the word, the longest last."""
+    get, end, n, found = model.prefixes.get, at + 1, len(word), []
+    piece = get(word[at:end], -1)
+    if piece < 0:
+        found.append(len(model.pieces) + ord(word[at]))
+    while piece is not None:
+        if piece >= 0:
+            found.append(piece)
+        end += 1
+        if end > n:
             break
-    found, end = [], len(word)
-    while end:
-        found.append(last[end])
-        end -= len(model.chars(last[end]))
-    return found[::-1]
+        piece = get(word[at:end])
+    return found
+
+
+def _merging_path(model: PieceModel, word: str) -> list[int]:
+    """The one path of weight 0 through a BPE word's lattice, depth first with the longest piece first.
+
+    Merging is unique for every beginning of a word, so a place is reached by one path at most and
+    the search expands each place once.
+    """
+    known, stay, size, n = len(model.pieces), model.stay, model.sizes, len(word)
+    found: list[int] = []
+    waiting, at, before = [_pieces_at(model, word, 0)], 0, -1
+    while True:
+        open_ = waiting[-1]
+        if not open_:
+            if not found:
+                raise ValueError("no path through the lattice")
+            waiting.pop()
+            piece = found.pop()
+            at -= size[piece] if piece < known else 1
+            before = found[-1] if found else -1
+            continue
+        piece = open_.pop()
+        if before >= 0 and piece < known and before < known:
+            fits = stay.get(before << 21 | piece)
+            if not (model.fits(before, piece) if fits is None else fits):
+                continue
+        found.append(piece)
+        before = piece
+        at += size[piece] if piece < known else 1
+        if at == n:
+            return found
+        waiting.append(_pieces_at(model, word, at))
+
+
+def _known_ids(model: PieceModel, word: str) -> bytes:
+    found = model.words.get(word)
+    if found is None:
+        if len(model.words) > REMEMBERED:
+            model.words.clear()
+        found = model.words[word] = word_ids(model, word)
+    return found
 
 
 def word_ids(model: PieceModel, word: str) -> bytes:
-    """Ids (int32) of a stretch that nothing lies across."""
+    """Ids (int32) of a stretch that nothing lies across; runs of letters are cut off where no piece has the two characters side by side."""
+    runs = _RUN.findall(word)
+    if len(runs) > 1:
+        parts, inside = runs[:1], model.inside
+        for r in runs[1:]:
+            if parts[-1][-1] + r[0] in inside:
+                parts[-1] += r
+            else:
+                parts.append(r)
+        if len(parts) > 1:
+            return b"".join([_known_ids(model, x) for x in parts])
     if model.kind == BPE:
         found = _merging_path(model, word)
         if max(found) >= len(model.pieces):
@@ -193,10 +271,20 @@ def word_ids(model: PieceModel, word: str) -> bytes:
 
 def encode_whole(model: PieceModel, text: str) -> bytes:
     """Ids (int32) of a whole text of moderate length."""
-    text = model.normal(text)
     if not model.cuttable:
-        return word_ids(model, text)
-    return _words(model, text)
+        return word_ids(model, model.normal(text))
+    if model.prefix and text and "  " not in text and SPACE not in text and text[0] != " " != text[-1]:
+        words, known = text.split(" "), model.spaced
+        if len(known) > REMEMBERED:
+            known.clear()
+        try:
+            return b"".join([known[w] for w in words])
+        except KeyError:
+            for w in words:
+                if w not in known:
+                    known[w] = word_ids(model, SPACE + w)
+            return b"".join([known[w] for w in words])
+    return _words(model, model.normal(text))
 
 
 def _words(model: PieceModel, text: str) -> bytes:
