@@ -144,7 +144,7 @@ def fit_rates(members: DataFrame, targets: np.ndarray, iterations: int = 60, tol
     for _ in range(iterations):
         gap = now - targets
         loss = float((gap**2 / mass).sum())
-        if np.abs(gap).sum() <= tolerance * max(targets.sum(), 1.0) or (last is not None and last - loss < 1e-9 * max(last, 1e-9)):
+        if np.abs(gap).sum() <= tolerance * max(targets.sum(), 1.0) or (last is not None and last - loss < 1e-3 * max(last, 1e-9)):
             break
         last = loss
         steps.append([float(x) for x in -length * gap / mass])

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, text_or_empty
 
-LENGTH, GRAM, PART, CROWD = 200, 96, 2_000_000, 2_000
+LENGTH, GRAM, PART, CROWD = 200, 96, 1_000_000, 2_000
 _BASE = 0x9E3779B97F4A7C15
 _POS = 24  # bits of a position in the ordering value; the rest is the gram's hash
 
@@ -138,7 +138,7 @@ def _occurrences(length: int):
     schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in _OCCURRENCE.split(", ")])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, 1000) for b in batches for k in range(0, len(b), 1000)):
             copies: dict[tuple[int, int], list] = {}
             for th, tn, text in zip(*(batch.column(c).to_pylist() for c in ("th", "tn", "text")), strict=True):
                 copies.setdefault((th, tn), [text, 0])[1] += 1
