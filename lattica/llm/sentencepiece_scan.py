@@ -242,9 +242,10 @@ def _merging_path(model: PieceModel, word: str) -> list[int]:
 def _known_ids(model: PieceModel, word: str) -> bytes:
     found = model.words.get(word)
     if found is None:
+        found = word_ids(model, word)
         if len(model.words) > REMEMBERED:
             model.words.clear()
-        found = model.words[word] = word_ids(model, word)
+        model.words[word] = found
     return found
 
 
@@ -288,13 +289,7 @@ def encode_whole(model: PieceModel, text: str) -> bytes:
 
 
 def _words(model: PieceModel, text: str) -> bytes:
-    words, known = _WORD.findall(text), model.words
-    if len(known) > REMEMBERED:
-        known.clear()
-    for w in words:
-        if w not in known:
-            known[w] = word_ids(model, w)
-    return b"".join([known[w] for w in words])
+    return b"".join([_known_ids(model, w) for w in _WORD.findall(text)])
 
 
 def decode(model: PieceModel, ids: np.ndarray) -> str:
