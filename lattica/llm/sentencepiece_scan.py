@@ -28,7 +28,7 @@ from sentencepiece import sentencepiece_model_pb2 as proto
 
 from .common import materialise
 
-CHUNK, REMEMBERED = 32_768, 300_000
+CHUNK, REMEMBERED = 32_768, 500_000
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 _RUN = re.compile(r"[^\W\d_]+|[\W\d_]")
@@ -55,8 +55,11 @@ class PieceModel:
         self.unknown = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10
         self.stay: dict[int, bool] = {}  # by a * 2^21 + b
         self.words: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}  # the same, by the word after its space
-        self.inside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        self.crossing: dict[str, list[tuple[str, int]]] = {}  # pieces with two characters side by side where a run of letters ends
+        for p in self.ids:
+            for k in range(len(p) - 1):
+                if not (p[k].isalpha() and p[k + 1].isalpha()):
+                    self.crossing.setdefault(p[k : k + 2], []).append((p, k))
         self.sizes = [len(p) for p in self.pieces]
         self.rank = [-x for x in self.scores]
         self.split: dict[int, tuple[int, int] | None] = {}
@@ -240,8 +243,18 @@ def _merging_path(model: PieceModel, word: str) -> list[int]:
 
 
 def _known_ids(model: PieceModel, word: str) -> bytes:
+    """Ids of a word; single runs of letters are remembered, what is made of several is put together from them."""
     found = model.words.get(word)
     if found is None:
+        cuts, crossing = [0], model.crossing
+        if len(word) > 1 and not word[-1].isalpha() and word[-2:] not in crossing:
+            return _known_ids(model, word[:-1]) + _known_ids(model, word[-1])
+        for m in _RUN.finditer(word):
+            i = m.end()
+            if i < len(word) and not any(i > k and word.startswith(p, i - 1 - k) for p, k in crossing.get(word[i - 1 : i + 1], ())):
+                cuts.append(i)
+        if len(cuts) > 1:
+            return b"".join([_known_ids(model, word[a:b]) for a, b in zip(cuts, [*cuts[1:], len(word)], strict=True)])
         found = word_ids(model, word)
         if len(model.words) > REMEMBERED:
             model.words.clear()
@@ -250,17 +263,7 @@ def _known_ids(model: PieceModel, word: str) -> bytes:
 
 
 def word_ids(model: PieceModel, word: str) -> bytes:
-    """Ids (int32) of a stretch that nothing lies across; runs of letters are cut off where no piece has the two characters side by side."""
-    runs = _RUN.findall(word)
-    if len(runs) > 1:
-        parts, inside = runs[:1], model.inside
-        for r in runs[1:]:
-            if parts[-1][-1] + r[0] in inside:
-                parts[-1] += r
-            else:
-                parts.append(r)
-        if len(parts) > 1:
-            return b"".join([_known_ids(model, x) for x in parts])
+    """Ids (int32) of a stretch that nothing lies across."""
     if model.kind == BPE:
         found = _merging_path(model, word)
         if max(found) >= len(model.pieces):
@@ -274,18 +277,13 @@ def encode_whole(model: PieceModel, text: str) -> bytes:
     """Ids (int32) of a whole text of moderate length."""
     if not model.cuttable:
         return word_ids(model, model.normal(text))
-    if model.prefix and text and "  " not in text and SPACE not in text and text[0] != " " != text[-1]:
-        words, known = text.split(" "), model.spaced
-        if len(known) > REMEMBERED:
-            known.clear()
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = word_ids(model, SPACE + w)
-            return b"".join([known[w] for w in words])
-    return _words(model, model.normal(text))
+    if not model.prefix or "  " in text or SPACE in text or not text.strip(" ") or text[0] == " " or text[-1] == " ":
+        return _words(model, model.normal(text))
+    found, known = [], model.words
+    for w in (SPACE + text.replace(" ", " " + SPACE)).split(" "):
+        ids = known.get(w)
+        found.append(_known_ids(model, w) if ids is None else ids)
+    return b"".join(found)
 
 
 def _words(model: PieceModel, text: str) -> bytes:
