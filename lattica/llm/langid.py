@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hand_back
+
 RUN, BUCKETS, ALPHABET, PIECE = 512, 128, 48, 600
 
 
@@ -172,6 +174,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, keep: list[str]) -> D
                 pred[some] = np.array(model.languages, object)[counts.argmin(axis=1)[some]]
                 score[some] = 1.0 if len(model.languages) == 1 else (second / np.maximum(best + second, 1))[some]
             yield pdf[keep].assign(lang_pred=pred, score=score)
+        hand_back()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(predict, f"{schema}, lang_pred string, score double")

@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as proto
 
-from .common import materialise
+from .common import hand_back, materialise
 
-CHUNK, REMEMBERED = 32_768, 500_000
+CHUNK, REMEMBERED = 32_768, 200_000
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 _RUN = re.compile(r"[^\W\d_]+|[\W\d_]")
@@ -449,6 +449,7 @@ def encode(docs: DataFrame, model_file: bytes, keep: list[str], text_col: str =
                 ids = _id_lists([encode_whole(model, t) for t in texts.slice(at, 500).to_pylist()])
                 part = batch.slice(at, 500)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array([1] * len(ids), pa.int32()), ids], [*keep, "chunks", "ids"])
+        hand_back()
 
     short = docs.where(F.length("_text") < chunk).mapInArrow(whole, f"{schema}, chunks int, ids array<int>")
 

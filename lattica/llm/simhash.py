@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, text_or_empty
+from .common import hand_back, materialise, text_or_empty
 
 FANOUT, QUERIES = 8, 20_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -151,6 +151,7 @@ def _search_keys(distance: int, more: tuple[str, ...] = (), total: int = 0):
                 yield links(closed.reset_index(drop=True))
         if len(held):
             yield links(held)
+        hand_back()
 
     return search
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_or_empty
+from .common import hand_back, materialise, text_or_empty
 
 LENGTH, GRAM, PART, CROWD = 200, 96, 1_000_000, 2_000
 _BASE = 0x9E3779B97F4A7C15
@@ -150,6 +150,7 @@ def _occurrences(length: int):
                 i, o = text_no[at], shift[at]
                 values = th[i], tn[i], h1, h2, at - o, at - begin, at - end, count[i]
                 yield pa.RecordBatch.from_arrays([pa.array(v).cast(t) for v, t in zip(values, schema.types, strict=True)], names)
+        hand_back()
 
     return find
 
@@ -232,6 +233,7 @@ def _group_kernel(length: int):
                     held = held.slice(cut)
         if held is not None and len(held):
             yield solve(held.combine_chunks())
+        hand_back()
 
     return run
 
