@@ -14,7 +14,7 @@ from lattica.llm.common import fold, materialise, table
 from lattica.llm.mixing import fit_domains, membership, mixed
 from lattica.llm.quality import fit_quality, quality_score
 from lattica.llm.queries import PIECE_MODEL
-from lattica.llm.sentencepiece_scan import decoded, encode
+from lattica.llm.sentencepiece_scan import encode
 from lattica.llm.simhash import near_copies, one_of_each
 from lattica.llm.suffix_dedup import without_repeats
 
@@ -60,7 +60,7 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     with open(PIECE_MODEL, "rb") as f:
         model = f.read()
     found = encode(docs, model, [c for c in docs.columns if c != "text"])
-    return found.withColumn("text", decoded("ids", model)).withColumn("n_tokens", F.size("ids").cast("long"))
+    return found.withColumnRenamed("decoded", "text").withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [

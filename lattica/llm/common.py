@@ -21,6 +21,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def long_texts(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Let Arrow batches to Python hold ``most`` bytes at most: 10,000 texts may be any size."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not str(now).isdigit() or int(now) > most:
+        spark.conf.set(key, str(most))
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: the lineage is cut and survives lost executors."""
     spark = df.sparkSession
@@ -44,6 +52,7 @@ def row_key(*cols: str) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    long_texts(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -15,7 +15,7 @@ from .langid import fit_languages, identify
 from .minhash import edited_fingerprints
 from .mixing import fit_domains, membership, mixed
 from .quality import fit_quality, quality_score
-from .sentencepiece_scan import decoded, encode
+from .sentencepiece_scan import encode
 from .sharding import feistel_shards
 from .simhash import near_duplicates
 from .suffix_dedup import digest_rows, repeated_spans
@@ -80,7 +80,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = PIECE_
     found = encode(docs, model, ["doc_id", "n_chars", "text_sha256"])
     return found.select(
         "doc_id", "n_chars", F.col("chunks").alias("n_chunks"), F.size("ids").cast("long").alias("n_tokens"),
-        (F.sha2(decoded("ids", model), 256) == F.col("text_sha256")).alias("round_trip"), "ids",
+        (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"), "ids",
     )
 
 

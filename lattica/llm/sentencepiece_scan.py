@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as proto
 
-from .common import hand_back, materialise
+from .common import hand_back, long_texts, materialise
 
 CHUNK, REMEMBERED = 32_768, 200_000
 SPACE = "▁"
@@ -431,11 +431,14 @@ def _id_lists(found: list[bytes]) -> pa.ListArray:
 
 
 def encode(docs: DataFrame, model_file: bytes, keep: list[str], text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """``keep`` columns, ``chunks`` (how many the text was cut into) and ``ids`` of every whole text.
+    """``keep`` columns, ``chunks`` (how many the text was cut into), ``ids`` and ``decoded`` of every whole text.
+
+    ``decoded`` is the text that the ids give back.
 
     Null texts are empty and get an empty list.  Texts longer than ``chunk`` characters take the
     chunked path; both paths give the same ids.  Repeated rows stay; extra columns are ignored.
     """
+    long_texts(docs.sparkSession)
     longest = _model(model_file).longest
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = docs.select(*keep, text.alias("_text"))
@@ -446,12 +449,13 @@ def encode(docs: DataFrame, model_file: bytes, keep: list[str], text_col: str =
         for batch in batches:
             texts = batch.column("_text")
             for at in range(0, len(texts), 500):
-                ids = _id_lists([encode_whole(model, t) for t in texts.slice(at, 500).to_pylist()])
+                found = [encode_whole(model, t) for t in texts.slice(at, 500).to_pylist()]
+                back = pa.array([decode(model, np.frombuffer(x, np.int32)) for x in found], pa.string())
                 part = batch.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array([1] * len(ids), pa.int32()), ids], [*keep, "chunks", "ids"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array([1] * len(found), pa.int32()), _id_lists(found), back], [*keep, "chunks", "ids", "decoded"])
         hand_back()
 
-    short = docs.where(F.length("_text") < chunk).mapInArrow(whole, f"{schema}, chunks int, ids array<int>")
+    short = docs.where(F.length("_text") < chunk).mapInArrow(whole, f"{schema}, chunks int, ids array<int>, decoded string")
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = _model(model_file)
@@ -493,7 +497,8 @@ def encode(docs: DataFrame, model_file: bytes, keep: list[str], text_col: str =
 
     parts = cut.join(states, ["uid", "chunk"]).mapInPandas(traced, "uid long, chunk int, ids array<int>")
     lists = parts.groupBy("uid").agg(F.count(F.lit(1)).cast("int").alias("chunks"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return short.unionByName(long.select("uid", *keep).join(lists, "uid").select(*keep, "chunks", "ids"))
+    lists = lists.withColumn("decoded", decoded("ids", model_file))
+    return short.unionByName(long.select("uid", *keep).join(lists, "uid").select(*keep, "chunks", "ids", "decoded"))
 
 
 def decoded(ids_col: str, model_file: bytes):

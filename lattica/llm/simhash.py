@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import hand_back, materialise, text_or_empty
+from .common import hand_back, long_texts, materialise, text_or_empty
 
 FANOUT, QUERIES = 8, 20_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -267,6 +267,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with probability ``_MISSED``.  Null texts are empty; ``th`` is the text's hash.
     """
 
+    long_texts(docs.sparkSession)
+
     @F.pandas_udf("array<long>")
     def wide(texts: pd.Series) -> pd.Series:
         return pd.Series([wide_simhash(t, size) for t in texts], dtype=object)

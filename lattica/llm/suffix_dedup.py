@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hand_back, materialise, text_or_empty
+from .common import hand_back, long_texts, materialise, text_or_empty
 
 LENGTH, GRAM, PART, CROWD = 200, 96, 1_000_000, 2_000
 _BASE = 0x9E3779B97F4A7C15
@@ -303,6 +303,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
     Covered are all bytes of ``length``-byte strings that start elsewhere too, in the same text or
     another, judged on the input; matches never cross texts.
     """
+    long_texts(docs.sparkSession)
     docs = keyed(docs)
     long = docs.where(F.col("tn") >= length).select("th", "tn", "text")
     seen = long.mapInArrow(_occurrences(length), _OCCURRENCE)
