@@ -21,11 +21,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def long_texts(spark: SparkSession, most: int = 8 << 20) -> None:
-    """Let Arrow batches to Python hold ``most`` bytes at most: 10,000 texts may be any size."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key, None)
-    if now is None or not str(now).isdigit() or int(now) > most:
+def long_texts(spark: SparkSession, most: int = 1000) -> None:
+    """Let Arrow batches to Python hold ``most`` rows at most: 10,000 long texts and their arrays are too much for a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > most or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(most))
 
 
