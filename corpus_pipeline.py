@@ -27,7 +27,7 @@ SETTLED = 0.5
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a quality score of 0.5 or more; learns from the labels of two of three id folds."""
     model = fit_quality(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1))
-    return docs.withColumn("_score", quality_score("text", model)).where("_score >= 0.5").select(*docs.columns)
+    return docs.where(quality_score("text", model) >= 0.5)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +39,9 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Removes strings of 200 bytes or more that start twice; documents with nothing left go."""
     cut = without_repeats(docs)
     left = cut.where((F.size("spans") == 0) | (F.trim("text") != ""))
-    changed = F.size("spans") > 0
-    return left.select(*[F.when(changed, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    size = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
+    fresh = {"text": F.col("text"), "n_chars": size}
+    return left.select(*[(fresh[c] if c in fresh else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,17 +50,17 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit_domains(docs, table(spark, sf_dir, "labels").select("doc_id", domain.alias("domain")))
     if model is None:
         return docs
-    members = materialise(docs.withColumn("_m", membership("text", model)).select(*docs.columns, "_m.tokens", "_m.p"))
-    rated = mixed(members, model, WEIGHTS, keep="clean")
+    members = docs.select(F.struct(*docs.columns).alias("row"), membership("text", model).alias("m"))
+    rated = mixed(materialise(members.select("row", "m.tokens", "m.p")), model, WEIGHTS, keep="clean", id_col="row.doc_id")
     times = F.when(F.abs(F.col("rate") - 1) < SETTLED, F.lit(1)).otherwise(F.col("copies"))
-    return rated.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
+    return rated.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and its text as decoded from them."""
     with open(PIECE_MODEL, "rb") as f:
         model = f.read()
-    found = encode(docs, model, [c for c in docs.columns if c != "text"])
+    found = encode(docs, model, [c for c in docs.columns if c not in ("text", "n_tokens")])
     return found.withColumnRenamed("decoded", "text").withColumn("n_tokens", F.size("ids").cast("long"))
 
 

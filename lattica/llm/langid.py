@@ -154,13 +154,15 @@ def fit_languages(docs: DataFrame, chars: int = 40_000) -> LanguageModel | None:
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs`` plus ``lang_pred`` and ``score`` (0 to 1) from its ``text``.
+    """``keep`` columns of ``docs`` plus ``lang_pred`` and ``score`` (0 to 1) from its ``text``; these replace columns of the same name.
 
     ``und`` with score 0 for a text that is null or has no letter (or without a model).  The score
     is ``second / (best + second)`` of the phrase counts, 0.5 on a tie, which goes to the
     alphabetically first language; with one language it is 1.
     """
 
+    keep = [c for c in keep if c not in ("lang_pred", "score")]
+
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = [t if isinstance(t, str) else "" for t in pdf["text"]]

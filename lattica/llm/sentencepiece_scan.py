@@ -435,13 +435,14 @@ def encode(docs: DataFrame, model_file: bytes, keep: list[str], text_col: str =
 
     ``decoded`` is the text that the ids give back.
 
-    Null texts are empty and get an empty list.  Texts longer than ``chunk`` characters take the
+    These replace columns of ``keep`` of the same name.  Null texts are empty and get an empty list.  Texts longer than ``chunk`` characters take the
     chunked path; both paths give the same ids.  Repeated rows stay; extra columns are ignored.
     """
     long_texts(docs.sparkSession)
     longest = _model(model_file).longest
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = docs.select(*keep, text.alias("_text"))
+    names = [c for c in keep if c not in ("chunks", "ids", "decoded")]
+    keep = [f"_{i}" for i in range(len(names))]  # apart from the names used below
+    docs = docs.select(*[F.col(c).alias(k) for c, k in zip(names, keep, strict=True)], F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -498,7 +499,8 @@ def encode(docs: DataFrame, model_file: bytes, keep: list[str], text_col: str =
     parts = cut.join(states, ["uid", "chunk"]).mapInPandas(traced, "uid long, chunk int, ids array<int>")
     lists = parts.groupBy("uid").agg(F.count(F.lit(1)).cast("int").alias("chunks"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("ids"))
     lists = lists.withColumn("decoded", decoded("ids", model_file))
-    return short.unionByName(long.select("uid", *keep).join(lists, "uid").select(*keep, "chunks", "ids", "decoded"))
+    found = short.unionByName(long.select("uid", *keep).join(lists, "uid").select(*keep, "chunks", "ids", "decoded"))
+    return found.select(*[F.col(k).alias(c) for c, k in zip(names, keep, strict=True)], "chunks", "ids", "decoded")
 
 
 def decoded(ids_col: str, model_file: bytes):

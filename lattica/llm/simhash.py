@@ -300,6 +300,6 @@ def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text
     """
     name = lambda c: F.coalesce(c.cast("string"), F.lit("~"))
     kept = groups.groupBy("root").agg(F.min(F.struct(id_col, "th")).alias("one")).select(name(F.col(f"one.{id_col}")).alias("_id"), F.col("one.th").alias("_th"))
-    rows = docs.withColumn("_id", name(F.col(id_col))).withColumn("_th", F.xxhash64(text_or_empty(text_col))).join(kept, ["_id", "_th"])
+    rows = docs.select(F.struct(*docs.columns).alias("row"), name(F.col(id_col)).alias("_id"), F.xxhash64(text_or_empty(text_col)).alias("_th")).join(kept, ["_id", "_th"])
     first = F.row_number().over(Window.partitionBy("_id", "_th").orderBy(F.lit(0)))
-    return rows.withColumn("_n", first).where("_n = 1").select(*docs.columns)
+    return rows.withColumn("_n", first).where("_n = 1").select("row.*")

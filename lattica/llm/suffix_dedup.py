@@ -333,12 +333,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
-    """``docs`` with ``text`` less its repeated strings, and ``spans`` (array of [a, b) of removed bytes).
+    """``row`` (struct of the other columns of ``docs``), ``text`` less its repeated strings, and ``spans`` (removed bytes, [a, b)).
 
     Null texts become empty.  A character stays where only some of its bytes repeat.  Repeated
     rows are copies of each other, so long ones lose their whole text.
     """
-    keyed_docs, covers = repeated_spans(docs, length, crowd)
+    others = [F.col(c) for c in docs.columns if c != "text"] or [F.lit(0).alias("none")]
+    keyed_docs, covers = repeated_spans(docs.select(F.struct(*others).alias("row"), "text"), length, crowd)
     joined = keyed_docs.join(covers, ["th", "tn"], "left")
 
     @F.udf("text string, spans array<struct<a: int, b: int>>", useArrow=True)
@@ -350,8 +351,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -
         return kept_bytes(raw, spans).decode("utf-8", "surrogatepass"), spans
 
     return joined.withColumn("_cut", F.when(F.col("covers").isNotNull(), cut("text", "covers"))).select(
-        *[F.coalesce(F.col("_cut.text"), F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        F.coalesce(F.col("_cut.spans"), F.array()).alias("spans"),
+        "row", F.coalesce(F.col("_cut.text"), F.col("text")).alias("text"), F.coalesce(F.col("_cut.spans"), F.array()).alias("spans")
     )
 
 
