@@ -28,7 +28,7 @@ from sentencepiece import sentencepiece_model_pb2 as proto
 
 from .common import hand_back, long_texts, materialise
 
-CHUNK, REMEMBERED = 32_768, 200_000
+CHUNK, REMEMBERED = 32_768, 150_000
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 _RUN = re.compile(r"[^\W\d_]+|[\W\d_]")
@@ -55,6 +55,7 @@ class PieceModel:
         self.unknown = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10
         self.stay: dict[int, bool] = {}  # by a * 2^21 + b
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.crossing: dict[str, list[tuple[str, int]]] = {}  # pieces with two characters side by side where a run of letters ends
         for p in self.ids:
             for k in range(len(p) - 1):
@@ -124,7 +125,7 @@ class PieceModel:
             return True
         found = self.stay.get(a << 21 | b)
         if found is None:
-            if len(self.stay) > REMEMBERED:
+            if len(self.stay) > 2 * REMEMBERED:
                 self.stay.clear()
             found = self.stay[a << 21 | b] = self._apart(a, b)
         return found
@@ -255,9 +256,11 @@ def _known_ids(model: PieceModel, word: str) -> bytes:
                 cuts.append(i)
         if len(cuts) > 1:
             return b"".join([_known_ids(model, word[a:b]) for a, b in zip(cuts, [*cuts[1:], len(word)], strict=True)])
-        found = word_ids(model, word)
-        if len(model.words) > REMEMBERED:
-            model.words.clear()
+        found = model.older.get(word)
+        if found is None:
+            found = word_ids(model, word)
+        if len(model.words) > REMEMBERED:  # words met again move on to the new generation
+            model.older, model.words = model.words, {}
         model.words[word] = found
     return found
 
@@ -279,11 +282,8 @@ def encode_whole(model: PieceModel, text: str) -> bytes:
         return word_ids(model, model.normal(text))
     if not model.prefix or "  " in text or SPACE in text or not text.strip(" ") or text[0] == " " or text[-1] == " ":
         return _words(model, model.normal(text))
-    found, known = [], model.words
-    for w in (SPACE + text.replace(" ", " " + SPACE)).split(" "):
-        ids = known.get(w)
-        found.append(_known_ids(model, w) if ids is None else ids)
-    return b"".join(found)
+    known = model.words
+    return b"".join([known.get(w) or _known_ids(model, w) for w in (SPACE + text.replace(" ", " " + SPACE)).split(" ")])
 
 
 def _words(model: PieceModel, text: str) -> bytes:
