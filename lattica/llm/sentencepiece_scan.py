@@ -28,7 +28,7 @@ from sentencepiece import sentencepiece_model_pb2 as proto
 
 from .common import hand_back, long_texts, materialise
 
-CHUNK, REMEMBERED = 32_768, 150_000
+CHUNK, REMEMBERED = 32_768, 250_000
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 _RUN = re.compile(r"[^\W\d_]+|[\W\d_]")
@@ -125,7 +125,7 @@ class PieceModel:
             return True
         found = self.stay.get(a << 21 | b)
         if found is None:
-            if len(self.stay) > 2 * REMEMBERED:
+            if len(self.stay) > REMEMBERED:
                 self.stay.clear()
             found = self.stay[a << 21 | b] = self._apart(a, b)
         return found
