@@ -6,13 +6,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.count_models import mixed_model, nb_glm
 from ..functions.special import f_p_value, normal_p_value, t_p_value
 from ..functions.stats import adjusted, average_rank, welch
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_p_value(a, b) if np.isfinite(a) and np.isfinite(b) else None for a, b in zip(t, df, strict=True)], dtype="float64")
 
