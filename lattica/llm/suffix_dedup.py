@@ -281,14 +281,23 @@ def _windows_kernel(length: int):
     return run, "h1 long, d int, wh long, th long, tn int, at int, n long"
 
 
-def merged_spans(covers: list[dict]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted((c["a"], c["b"]) for c in covers):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+def merged_spans(covers: np.ndarray) -> list[tuple[int, int]]:
+    """Disjoint spans, in order, of the byte ranges in the rows of ``covers``; ranges that touch become one."""
+    if not len(covers):
+        return []
+    covers = covers[np.argsort(covers[:, 0], kind="stable")]
+    reach = np.maximum.accumulate(covers[:, 1])
+    first = np.flatnonzero(np.append(True, covers[1:, 0] > reach[:-1]))
+    return [*zip(covers[first, 0].tolist(), reach[np.append(first[1:], len(covers)) - 1].tolist(), strict=True)]
+
+
+def span_lists(covers: pa.ListArray) -> Iterator[list[tuple[int, int]]]:
+    """Merged spans of each row of a column of covers; none for null."""
+    ranges = covers.flatten()
+    flat = np.column_stack([np.asarray(ranges.field("a"), np.int64), np.asarray(ranges.field("b"), np.int64)])
+    ends = np.cumsum([n or 0 for n in covers.value_lengths().to_pylist()])
+    for a, b in zip(np.append(0, ends[:-1]), ends, strict=True):
+        yield merged_spans(flat[a:b])
 
 
 def keyed(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -342,17 +351,21 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -
     keyed_docs, covers = repeated_spans(docs.select(F.struct(*others).alias("row"), "text"), length, crowd)
     joined = keyed_docs.join(covers, ["th", "tn"], "left")
 
-    @F.udf("text string, spans array<struct<a: int, b: int>>", useArrow=True)
-    def cut(text: str, found: list | None):
-        if not found:
-            return text, []
-        raw = text.encode("utf-8", "surrogatepass")
-        spans = whole_characters(raw, merged_spans([{"a": c["a"], "b": c["b"]} for c in found]))
-        return kept_bytes(raw, spans).decode("utf-8", "surrogatepass"), spans
+    kind = joined.schema["row"].dataType.simpleString()
+    return joined.select("row", "text", "covers").mapInArrow(_cut_rows, f"row {kind}, text string, spans array<struct<a: int, b: int>>")
+
 
-    return joined.withColumn("_cut", F.when(F.col("covers").isNotNull(), cut("text", "covers"))).select(
-        "row", F.coalesce(F.col("_cut.text"), F.col("text")).alias("text"), F.coalesce(F.col("_cut.spans"), F.array()).alias("spans")
-    )
+def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+    for batch in (b.slice(k, 200) for b in batches for k in range(0, len(b), 200)):
+        texts, spans = [], []
+        for text, found in zip(batch.column("text").to_pylist(), span_lists(batch.column("covers")), strict=True):
+            raw = text.encode("utf-8", "surrogatepass") if found else b""
+            own = whole_characters(raw, found)
+            texts.append(kept_bytes(raw, own).decode("utf-8", "surrogatepass") if own else text)
+            spans.append([{"a": a, "b": b} for a, b in own])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(spans, kind)], ["row", "text", "spans"])
+    hand_back()
 
 
 def whole_characters(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -375,11 +388,10 @@ def kept_bytes(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of rows with doc_id, text and covers."""
-    for batch in batches:
+    for batch in (b.slice(k, 200) for b in batches for k in range(0, len(b), 200)):
         out: list[tuple] = []
-        for text, found in zip(batch.column("text").to_pylist(), batch.column("covers").to_pylist(), strict=True):
+        for text, spans in zip(batch.column("text").to_pylist(), span_lists(batch.column("covers")), strict=True):
             raw = text.encode("utf-8", "surrogatepass")
-            spans = merged_spans(found or [])
             out.append((len(raw), sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept_bytes(raw, spans)).hexdigest()))
         columns = [*zip(*out, strict=True)] or [[]] * 4
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])

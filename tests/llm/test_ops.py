@@ -203,7 +203,7 @@ def test_repeats(docs, rows, nothing, crowd):
     expected = dict(enumerate(brute_spans(texts, 200)))
     keyed, covers = suffix_dedup.repeated_spans(docs, crowd=crowd)
     got = keyed.join(covers, ["th", "tn"], "left").select("n_chars", "covers").collect()
-    assert {r["n_chars"]: suffix_dedup.merged_spans([c.asDict() for c in r["covers"] or []]) for r in got} == expected
+    assert {r["n_chars"]: suffix_dedup.merged_spans(np.array([[c["a"], c["b"]] for c in r["covers"] or []])) for r in got} == expected
     if crowd > 1:
         cut = suffix_dedup.without_repeats(docs).select("row.n_chars", "text").collect()
         assert len(cut) == len(rows) and all(len((r["text"] or "").encode()) >= len(texts[r["n_chars"]]) - sum(b - a for a, b in expected[r["n_chars"]]) for r in cut)
