@@ -77,7 +77,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = PIECE_
     with open(model_path, "rb") as f:
         model = f.read()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.length(text_or_empty("text")).cast("long").alias("n_chars"), F.sha2(text_or_empty("text"), 256).alias("text_sha256"))
-    found = encode(docs, model, ["doc_id", "n_chars", "text_sha256"])
+    found = encode(docs, model, ["doc_id", "n_chars", "text_sha256"], remember=500_000)
     return found.select(
         "doc_id", "n_chars", F.col("chunks").alias("n_chunks"), F.size("ids").cast("long").alias("n_tokens"),
         (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"), "ids",

@@ -31,6 +31,7 @@ from .common import hand_back, long_texts, materialise
 CHUNK, REMEMBERED = 32_768, 250_000
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
+_CUT = re.compile(f"[^{SPACE}]{SPACE}")
 _RUN = re.compile(r"[^\W\d_]+|[\W\d_]")
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -56,6 +57,7 @@ class PieceModel:
         self.stay: dict[int, bool] = {}  # by a * 2^21 + b
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.remember = REMEMBERED
         self.crossing: dict[str, list[tuple[str, int]]] = {}  # pieces with two characters side by side where a run of letters ends
         for p in self.ids:
             for k in range(len(p) - 1):
@@ -259,7 +261,7 @@ def _known_ids(model: PieceModel, word: str) -> bytes:
         found = model.older.get(word)
         if found is None:
             found = word_ids(model, word)
-        if len(model.words) > REMEMBERED:  # words met again move on to the new generation
+        if len(model.words) > model.remember:  # words met again move on to the new generation
             model.older, model.words = model.words, {}
         model.words[word] = found
     return found
@@ -280,14 +282,15 @@ def encode_whole(model: PieceModel, text: str) -> bytes:
     """Ids (int32) of a whole text of moderate length."""
     if not model.cuttable:
         return word_ids(model, model.normal(text))
-    if not model.prefix or "  " in text or SPACE in text or not text.strip(" ") or text[0] == " " or text[-1] == " ":
-        return _words(model, model.normal(text))
-    known = model.words
-    return b"".join([known.get(w) or _known_ids(model, w) for w in (SPACE + text.replace(" ", " " + SPACE)).split(" ")])
+    return _words(model, model.normal(text))
 
 
 def _words(model: PieceModel, text: str) -> bytes:
-    return b"".join([_known_ids(model, w) for w in _WORD.findall(text)])
+    """Ids of a text whose spaces are marks already."""
+    if SPACE + SPACE in text:
+        return b"".join([_known_ids(model, w) for w in _WORD.findall(text)])
+    known = model.words
+    return b"".join([known.get(w) or _known_ids(model, w) for w in text.replace(SPACE, " " + SPACE).split(" ") if w])
 
 
 def decode(model: PieceModel, ids: np.ndarray) -> str:
@@ -317,9 +320,13 @@ class _Cut:
         if self.begin == 0:
             first = last = 0
         if model.cuttable:
-            found = [m.start() + 1 for m in re.finditer(f"[^{SPACE}]{SPACE}", self.text) if self.begin <= m.start() + 1 <= self.end]
+            found = _CUT.search(self.text, max(self.begin - 1, 0), self.end + 1)
             if found:
-                first, last = first if first >= 0 else found[0], found[-1]
+                last = self.text.rfind(SPACE, self.begin, self.end + 1)
+                while last > 0 and self.text[last - 1] == SPACE:
+                    last -= 1
+                first = first if first >= 0 else found.start() + 1
+                last = max(last, first)
         if self.final:
             first, last = first if first >= 0 else self.end, self.end
         return first, last
@@ -430,13 +437,13 @@ def _id_lists(found: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
 
 
-def encode(docs: DataFrame, model_file: bytes, keep: list[str], text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, model_file: bytes, keep: list[str], text_col: str = "text", chunk: int = CHUNK, remember: int = REMEMBERED) -> DataFrame:
     """``keep`` columns, ``chunks`` (how many the text was cut into), ``ids`` and ``decoded`` of every whole text.
 
     ``decoded`` is the text that the ids give back.
 
     These replace columns of ``keep`` of the same name.  Null texts are empty and get an empty list.  Texts longer than ``chunk`` characters take the
-    chunked path; both paths give the same ids.  Repeated rows stay; extra columns are ignored.
+    chunked path; both paths give the same ids.  A worker remembers up to twice ``remember`` words (about 150 bytes each).  Repeated rows stay; extra columns are ignored.
     """
     long_texts(docs.sparkSession)
     longest = _model(model_file).longest
@@ -447,6 +454,7 @@ def encode(docs: DataFrame, model_file: bytes, keep: list[str], text_col: str =
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(model_file)
+        model.remember = remember
         for batch in batches:
             texts = batch.column("_text")
             for at in range(0, len(texts), 500):
