@@ -220,9 +220,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # ------------------------------------------- near copies by shingle similarity
 
-WIDE, SIMILAR_BITS, FIRST_BITS, KEY_WORDS = ("w0", "w1", "w2", "w3"), 50, 20, 3
-_KEYS = tuple(f"k{i}" for i in range(KEY_WORDS))
-_AGREE, _MISSED = 0.92, 0.03
+WIDE, SIMILAR_BITS, FIRST_BITS = ("w0", "w1", "w2", "w3"), 50, 20
+BANDS, ROWS = 16, 6
+_KEYS = tuple(f"k{i}" for i in range(BANDS))
+_TURNS = np.random.default_rng(5).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mixed(h: np.ndarray, turn: int) -> np.ndarray:
@@ -232,39 +233,51 @@ def _mixed(h: np.ndarray, turn: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _votes(joined: bytes, starts: np.ndarray, ends: np.ndarray, size: int, words: int) -> list[int]:
-    n, digest = len(starts), xxhash.xxh64_intdigest
-    a, b = starts[: max(1, n - size + 1)].tolist(), ends[min(size, n) - 1 :].tolist()
-    h = np.fromiter((digest(joined[i:j], 42) for i, j in zip(a, b, strict=True)), np.uint64, len(a))
+def shingles(text: str | None, size: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of the ``size``-word shingles; a shorter text is one shingle, one without words has none."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    if not words:
+        return np.empty(0, np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    lens = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lens + 1) - 1
+    starts, ends = (ends - lens)[: max(1, len(words) - size + 1)].tolist(), ends[min(size, len(words)) - 1 :].tolist()
+    return np.unique(np.fromiter((digest(joined[i:j], 42) for i, j in zip(starts, ends, strict=True)), np.uint64, len(starts)))
+
+
+def _bands(h: np.ndarray) -> np.ndarray:
+    """``BANDS`` keys of ``ROWS`` MinHash values each: two sets share a value with a probability of their Jaccard similarity."""
+    low = np.full(len(_TURNS), 2**64 - 1, np.uint64)
+    for at in range(0, len(h), 2048):
+        low = np.minimum(low, np.multiply.outer(h[at : at + 2048], _TURNS).min(axis=0))
+    return (_mixed(low, 0).reshape(BANDS, ROWS) * _TURNS[:ROWS]).sum(axis=1, dtype=np.uint64)
+
+
+def wide_simhash(text: str | None, size: int = 5) -> list[int]:
+    """Hash of the set of ``size``-word shingles, its 256 SimHash bits and its ``BANDS`` MinHash keys; zeros without words."""
+    h = shingles(text, size)
+    if not len(h):
+        return [0] * (1 + len(WIDE) + BANDS)
     out = []
-    for turn in range(words):
+    for turn in range(len(WIDE)):
         ones = np.zeros(64, np.int64)
         for at in range(0, len(h), 65_536):
             ones += np.unpackbits(_mixed(h[at : at + 65_536], turn).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
         out.append(int(np.packbits(2 * ones > len(h)).view(np.int64)[0]))
-    return out
-
-
-def wide_simhash(text: str | None, size: int = 5) -> list[int]:
-    """256 SimHash bits of the ``size``-word shingles, then 192 of the two-word ones; zeros without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
-        return [0] * (len(WIDE) + KEY_WORDS)
-    lens = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lens + 1) - 1
-    joined_words = b" ".join(words)
-    return _votes(joined_words, ends - lens, ends, size, len(WIDE)) + _votes(joined_words, ends - lens, ends, 2, KEY_WORDS)
+    node = np.uint64(xxhash.xxh64_intdigest(h.tobytes(), 42))
+    return [int(node.view(np.int64)), *out, *_bands(h).view(np.int64).tolist()]
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
     """``id_col, th, node, root`` of every row: texts of one ``root`` are near copies of each other.
 
-    Two texts are near copies when their 256-bit SimHash of ``size``-word shingles differs in at most
-    ``SIMILAR_BITS`` bits; at a Jaccard similarity of 0.8, 39 bits are expected to differ with a
-    deviation of 6, at 0.5 it is 68.  Candidates agree in a key cut from a second SimHash of two-word
-    shingles, of which a bit agrees with probability ``_AGREE`` or more at that similarity; key width
-    grows with the number of texts and the number of keys follows from it, so that a pair is missed
-    with probability ``_MISSED``.  Null texts are empty; ``th`` is the text's hash.
+    Two texts are near copies when the 256-bit SimHash of their distinct ``size``-word shingles differs in
+    at most ``SIMILAR_BITS`` bits; at a Jaccard similarity of 0.8, 39 bits are expected to differ with a
+    deviation of 6, at 0.5 it is 68.  Candidates share one of ``BANDS`` keys of ``ROWS`` MinHash values of
+    the same shingles.  A value is shared with a probability of the similarity, whatever was edited and
+    however many texts there are, so at 0.8 a pair has no common key with probability
+    (1 - 0.8 ** ROWS) ** BANDS, less than 0.01.  Null texts are empty; ``th`` is the text's hash and
+    ``node`` that of its shingles.
     """
 
     long_texts(docs.sparkSession)
@@ -273,19 +286,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def wide(texts: pd.Series) -> pd.Series:
         return pd.Series([wide_simhash(t, size) for t in texts], dtype=object)
 
-    columns = [*WIDE, *_KEYS]
+    columns = ["node", *WIDE, *_KEYS]
     own = docs.select(id_col, F.xxhash64(text_or_empty(text_col)).alias("th"), wide(text_col).alias("v"))
-    own = own.select(id_col, "th", *[F.col("v")[i].alias(c) for i, c in enumerate(columns)])
-    own = materialise(own.withColumn("node", F.xxhash64(*columns)))
-    distinct = own.groupBy("node").agg(*[F.min(c).alias(c) for c in columns])
-    distinct = materialise(distinct)
-    bits = max(16, min(48, max(distinct.count(), 1).bit_length() - 2))
-    tables = int(np.ceil(np.log(_MISSED) / np.log(1 - _AGREE**bits)))
-    keys = []
-    for t in range(tables):
-        word, turn = F.col(_KEYS[t % KEY_WORDS]), t // KEY_WORDS * bits % 64
-        turned = F.shiftrightunsigned(word, turn).bitwiseOR(F.shiftleft(word, 64 - turn)) if turn else word
-        keys.append(F.struct(F.lit(t).alias("kind"), turned.bitwiseAND(F.lit((1 << bits) - 1)).alias("key")))
+    own = materialise(own.select(id_col, "th", *[F.col("v")[i].alias(c) for i, c in enumerate(columns)]))
+    distinct = materialise(own.groupBy("node").agg(*[F.min(c).alias(c) for c in columns[1:]]))
+    keys = [F.struct(F.lit(t).alias("kind"), F.col(c).alias("key")) for t, c in enumerate(_KEYS)]
     dealt = distinct.select("node", *WIDE, F.explode(F.array(*keys)).alias("k")).select("k.kind", "k.key", "node", F.col("w0").alias("fp"), *WIDE[1:])
     dealt = dealt.repartition("kind", "key").sortWithinPartitions("kind", "key")
     links = dealt.mapInPandas(_search_keys(FIRST_BITS, WIDE[1:], SIMILAR_BITS), "a long, b long").distinct()

@@ -343,6 +343,41 @@ def test_near_copies(spark):
     assert len([i for i in ids if i >= 500]) == 1
 
 
+def edited(kind, rng, words, vocab):
+    """A copy at a five-word Jaccard similarity just above 0.8, and that similarity."""
+    n = len(words)
+    sets = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    own, best = sets(words), None
+    order = rng.sample(range(n), n)
+    for k in range(1, n):
+        if kind == "appended":
+            copy = words + [f"new{i}" for i in range(k)]
+        elif kind == "replaced":
+            copy = words[: n // 3] + [f"new{i}" for i in range(k)] + words[n // 3 + k :]
+        else:
+            copy = [("new" if i in order[:k] else w) for i, w in enumerate(words)]
+        s = len(own & sets(copy)) / len(own | sets(copy))
+        if s < 0.8:
+            return best
+        best = " ".join(copy), s
+    return best
+
+
+@pytest.mark.parametrize("kind", ["appended", "replaced", "scattered"])
+def test_near_copies_at_the_limit(spark, kind):
+    rng = random.Random(3)
+    vocab = [f"w{k}" for k in range(400)]
+    data = []
+    for k in range(150):
+        words = [rng.choice(vocab) for _ in range(300)]
+        copy, s = edited(kind, rng, words, vocab)
+        assert 0.8 <= s < 0.83
+        data += [(2 * k, " ".join(words)), (2 * k + 1, copy)]
+    groups = {r["doc_id"]: r["root"] for r in simhash.near_copies(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    found = sum(groups[2 * k] == groups[2 * k + 1] for k in range(150))
+    assert found >= 0.93 * 150, found
+
+
 def test_topk(spark):
     rng = np.random.default_rng(4)
     vecs = [(i, [float(x) for x in rng.normal(0, 1, 16)]) for i in range(300)]
