@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -114,8 +115,8 @@ def joined(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
 def _search_keys(distance: int, more: tuple[str, ...] = (), total: int = 0):
     """Kernel over rows sorted by (kind, key): links that join what is at most ``distance`` bits apart in ``fp``.
 
-    With ``more`` columns, pairs must also be at most ``total`` bits apart in all columns together,
-    and links name the column ``node`` instead of ``fp``.
+    With ``more`` columns, all pairs are given, named by the column ``node``, that are also at most
+    ``total`` bits apart in all columns together.
     """
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -135,7 +136,9 @@ def _search_keys(distance: int, more: tuple[str, ...] = (), total: int = 0):
                 return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
             pairs = linked_pairs(codes, group, distance)
             if more:
-                pairs = ((a[ok], b[ok]) for a, b in pairs for ok in [sum(np.bitwise_count(w[a] ^ w[b]).astype(int) for w in (codes, *rest)) <= total])
+                near = [(a[ok], b[ok]) for a, b in pairs for ok in [sum(np.bitwise_count(w[a] ^ w[b]).astype(int) for w in (codes, *rest)) <= total]]
+                a, b = (names[np.concatenate(x)] for x in zip(*near, strict=True))
+                return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
             label = joined(len(codes), pairs)
             far = label != np.arange(len(codes))
             return pd.DataFrame({"a": names[far], "b": names[label[far]]})
@@ -220,7 +223,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # ------------------------------------------- near copies by shingle similarity
 
-WIDE, SIMILAR_BITS, FIRST_BITS = ("w0", "w1", "w2", "w3"), 50, 20
+WIDE, SIMILAR_BITS, FIRST_BITS = ("w0", "w1", "w2", "w3"), 72, 26
+SIMILAR = 4, 5  # a Jaccard similarity of 4/5
 BANDS, ROWS = 16, 6
 _KEYS = tuple(f"k{i}" for i in range(BANDS))
 _TURNS = np.random.default_rng(5).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -268,16 +272,50 @@ def wide_simhash(text: str | None, size: int = 5) -> list[int]:
     return [int(node.view(np.int64)), *out, *_bands(h).view(np.int64).tolist()]
 
 
+def shingle_sets(docs: DataFrame, nodes: DataFrame, text_col: str, size: int) -> DataFrame:
+    """``node, set`` (bytes of sorted hashes) of ``nodes`` (``node, th``), each from one text of the hash ``th``."""
+
+    @F.pandas_udf("binary")
+    def packed(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t, size).tobytes() for t in texts], dtype=object)
+
+    texts = docs.select(F.xxhash64(text_or_empty(text_col)).alias("th"), F.col(text_col).alias("text")).join(nodes, "th")
+    return materialise(texts.groupBy("node").agg(F.first("text").alias("text")).select("node", packed("text").alias("set")))
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part, whole = SIMILAR
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(whole * common >= part * (len(x) + len(y) - common))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    hand_back()
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``pairs`` ``a, b`` whose shingle ``sets`` have a Jaccard similarity of ``SIMILAR`` or more, exactly."""
+    for side in ("a", "b"):
+        parts = pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / 1000).cast("int").alias("parts"))  # a node of very many pairs goes to several tasks
+        own = parts.join(sets.select(F.col("node").alias(side), F.col("set").alias(f"set_{side}")), side)
+        own = own.select(side, f"set_{side}", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+        other = F.col("b" if side == "a" else "a")
+        pairs = pairs.join(parts, side).withColumn("salt", F.pmod(F.hash(other), "parts")).drop("parts").join(own, [side, "salt"]).drop("salt")
+    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(_similar, "a long, b long")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
     """``id_col, th, node, root`` of every row: texts of one ``root`` are near copies of each other.
 
-    Two texts are near copies when the 256-bit SimHash of their distinct ``size``-word shingles differs in
-    at most ``SIMILAR_BITS`` bits; at a Jaccard similarity of 0.8, 39 bits are expected to differ with a
-    deviation of 6, at 0.5 it is 68.  Candidates share one of ``BANDS`` keys of ``ROWS`` MinHash values of
-    the same shingles.  A value is shared with a probability of the similarity, whatever was edited and
-    however many texts there are, so at 0.8 a pair has no common key with probability
-    (1 - 0.8 ** ROWS) ** BANDS, less than 0.01.  Null texts are empty; ``th`` is the text's hash and
-    ``node`` that of its shingles.
+    Two texts are near copies when their sets of ``size``-word shingles have a Jaccard similarity of
+    ``SIMILAR`` or more, which is decided by the sets.  Candidates share one of ``BANDS`` keys of ``ROWS``
+    MinHash values of the shingles.  A value is shared with a probability of the similarity, whatever was
+    edited and however many texts there are, so at 0.8 a pair has no common key with probability
+    (1 - 0.8 ** ROWS) ** BANDS, less than 0.01.  Of them the 256-bit SimHash must differ in at most
+    ``SIMILAR_BITS`` bits: at 0.8, 39 bits are expected to differ with a deviation of 6.  Null texts are
+    empty; ``th`` is the text's hash and ``node`` that of its shingles.
     """
 
     long_texts(docs.sparkSession)
@@ -289,12 +327,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns = ["node", *WIDE, *_KEYS]
     own = docs.select(id_col, F.xxhash64(text_or_empty(text_col)).alias("th"), wide(text_col).alias("v"))
     own = materialise(own.select(id_col, "th", *[F.col("v")[i].alias(c) for i, c in enumerate(columns)]))
-    distinct = materialise(own.groupBy("node").agg(*[F.min(c).alias(c) for c in columns[1:]]))
+    distinct = materialise(own.groupBy("node").agg(*[F.min(c).alias(c) for c in ("th", *columns[1:])]))
     keys = [F.struct(F.lit(t).alias("kind"), F.col(c).alias("key")) for t, c in enumerate(_KEYS)]
     dealt = distinct.select("node", *WIDE, F.explode(F.array(*keys)).alias("k")).select("k.kind", "k.key", "node", F.col("w0").alias("fp"), *WIDE[1:])
     dealt = dealt.repartition("kind", "key").sortWithinPartitions("kind", "key")
-    links = dealt.mapInPandas(_search_keys(FIRST_BITS, WIDE[1:], SIMILAR_BITS), "a long, b long").distinct()
-    roots = components(links)
+    pairs = materialise(dealt.mapInPandas(_search_keys(FIRST_BITS, WIDE[1:], SIMILAR_BITS), "a long, b long").distinct())
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(distinct.select("node", "th"), "node")
+    roots = components(similar(pairs, shingle_sets(docs, asked, text_col, size)))
     return own.select(id_col, "th", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 

@@ -378,6 +378,20 @@ def test_near_copies_at_the_limit(spark, kind):
     assert found >= 0.93 * 150, found
 
 
+def test_less_similar_texts_stay(spark):
+    rng = random.Random(4)
+    sets = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    data, template = [], [f"t{k}" for k in range(260)]
+    for k in range(60):  # one template with an own end each: 256 of 308 shingles shared, a similarity of 0.71
+        data.append(template + [f"d{k}x{i}" for i in range(52)])
+    assert 0.7 < len(sets(data[0]) & sets(data[1])) / len(sets(data[0]) | sets(data[1])) < 0.72
+    for k in range(60):
+        words = [f"p{k}x{rng.randrange(500)}" for _ in range(300)]
+        data += [words, words[:246] + [f"q{k}x{i}" for i in range(54)]]  # 0.69
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(data)], "doc_id long, text string")
+    assert simhash.near_copies(docs).select("root").distinct().count() == len(data)
+
+
 def test_topk(spark):
     rng = np.random.default_rng(4)
     vecs = [(i, [float(x) for x in rng.normal(0, 1, 16)]) for i in range(300)]
