@@ -13,6 +13,7 @@ pairs; components are then found over distinct fingerprints only.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql.window import Window
 
 from .common import hand_back, long_texts, materialise, text_or_empty
 
-FANOUT, QUERIES = 8, 20_000
+FANOUT, QUERIES, PAIRS = 8, 20_000, 1_000_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -62,8 +63,11 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def linked_pairs(codes: np.ndarray, group: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs i < j of positions of one group at most ``distance`` bits apart; rows are in (group, Gray rank) order."""
+def linked_pairs(codes: np.ndarray, group: np.ndarray, distance: int, most: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs i < j of positions of one group at most ``distance`` bits apart; rows are in (group, Gray rank) order.
+
+    With ``most``, a block looks at that many pairs at most, or at those of one position.
+    """
     levels = [{"mask": np.full(len(codes), np.uint64(2**64 - 1)), "pattern": codes, "group": group, "last": np.arange(len(codes))}]
     while True:
         low = levels[-1]
@@ -80,8 +84,15 @@ def linked_pairs(codes: np.ndarray, group: np.ndarray, distance: int) -> Iterato
         levels.append({"mask": mask, "pattern": both & mask, "group": low["group"][starts], "last": low["last"][stops - 1], "starts": starts, "stops": stops})
     top = levels[-1]
     top["own"] = top["mask"]
-    for at in range(0, len(codes), QUERIES):
-        q = np.arange(at, min(at + QUERIES, len(codes)))
+    cuts = [*range(0, len(codes), QUERIES), len(codes)]
+    if most:
+        seen = np.cumsum(np.searchsorted(group, group, "right") - np.arange(len(codes)) - 1)
+        cuts = [0]
+        while cuts[-1] < len(codes):
+            before = seen[cuts[-1] - 1] if cuts[-1] else 0
+            cuts.append(min(max(int(np.searchsorted(seen, before + most, "right")), cuts[-1] + 1), cuts[-1] + QUERIES))
+    for at, end in zip(cuts[:-1], cuts[1:], strict=True):
+        q = np.arange(at, end)
         node = np.searchsorted(top["group"], group[q])
         done = np.zeros(len(q), np.int64)
         for k in range(len(levels) - 1, -1, -1):
@@ -116,7 +127,7 @@ def _search_keys(distance: int, more: tuple[str, ...] = (), total: int = 0):
     """Kernel over rows sorted by (kind, key): links that join what is at most ``distance`` bits apart in ``fp``.
 
     With ``more`` columns, all pairs are given, named by the column ``node``, that are also at most
-    ``total`` bits apart in all columns together.
+    ``total`` bits apart in all columns together, differ in ``root``, and differ in ``side`` unless it is -1.
     """
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,9 +145,11 @@ def _search_keys(distance: int, more: tuple[str, ...] = (), total: int = 0):
             rest = [rows[c].to_numpy().view(np.uint64)[several][order] for c in more]
             if not len(codes):
                 return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-            pairs = linked_pairs(codes, group, distance)
+            pairs = linked_pairs(codes, group, distance, PAIRS if more else 0)
             if more:
-                near = [(a[ok], b[ok]) for a, b in pairs for ok in [sum(np.bitwise_count(w[a] ^ w[b]).astype(int) for w in (codes, *rest)) <= total]]
+                root, side = (rows[c].to_numpy()[several][order] for c in ("root", "side"))
+                apart = lambda a, b: (root[a] != root[b]) & ((side[a] != side[b]) | (side[a] < 0))
+                near = [(a[ok], b[ok]) for a, b in pairs for ok in [apart(a, b) & (sum(np.bitwise_count(w[a] ^ w[b]).astype(int) for w in (codes, *rest)) <= total)]]
                 a, b = (names[np.concatenate(x)] for x in zip(*near, strict=True))
                 return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
             label = joined(len(codes), pairs)
@@ -226,6 +239,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 WIDE, SIMILAR_BITS, FIRST_BITS = ("w0", "w1", "w2", "w3"), 72, 26
 SIMILAR = 4, 5  # a Jaccard similarity of 4/5
 BANDS, ROWS = 16, 6
+CROWD, CELL, STARS = 200, 1_000, 2
 _KEYS = tuple(f"k{i}" for i in range(BANDS))
 _TURNS = np.random.default_rng(5).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -306,7 +320,35 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "set_a", "set_b").mapInArrow(_similar, "a long, b long")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
+def rooted(dealt: DataFrame, roots: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``dealt`` with their ``root``, ``kind, key, n`` of the keys whose rows are not yet all of one root)."""
+    dealt = dealt.withColumn("root", F.col("node")) if roots is None else dealt.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = dealt.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("x"), F.max("root").alias("y"))
+    return dealt, materialise(sizes.where("x <> y").select("kind", "key", "n"))
+
+
+def stars(dealt: DataFrame, open_keys: DataFrame, turn: int, crowd: int) -> DataFrame:
+    """Pairs ``a, b`` of one row of every key of more than ``crowd`` rows with the key's other rows."""
+    rows = dealt.join(open_keys.where(F.col("n") > crowd).select("kind", "key"), ["kind", "key"])
+    middle = rows.groupBy("kind", "key").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("m"))
+    found = rows.join(middle, ["kind", "key"]).where("root <> m.root").select(F.col("m.node").alias("a"), F.col("node").alias("b"))
+    return materialise(found.distinct())
+
+
+def celled(dealt: DataFrame, open_keys: DataFrame, cell: int) -> DataFrame:
+    """Rows of ``open_keys``, a key of more than ``cell`` rows dealt as pairs of parts of about that size.
+
+    ``side`` tells the parts of a pair apart and is -1 where both are the same part.
+    """
+    rows = dealt.join(open_keys, ["kind", "key"]).withColumn("parts", F.ceil(F.col("n") / cell).cast("int"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    low, high = F.least("part", "other"), F.greatest("part", "other")
+    key = F.when(F.col("parts") > 1, F.xxhash64("key", low, high)).otherwise(F.col("key"))
+    side = F.when(low == high, -1).when(F.col("part") == low, 0).otherwise(1)
+    return rows.withColumn("key", key).withColumn("side", side).drop("n", "parts", "part", "other")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, crowd: int = CROWD, cell: int = CELL) -> DataFrame:
     """``id_col, th, node, root`` of every row: texts of one ``root`` are near copies of each other.
 
     Two texts are near copies when their sets of ``size``-word shingles have a Jaccard similarity of
@@ -314,8 +356,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     MinHash values of the shingles.  A value is shared with a probability of the similarity, whatever was
     edited and however many texts there are, so at 0.8 a pair has no common key with probability
     (1 - 0.8 ** ROWS) ** BANDS, less than 0.01.  Of them the 256-bit SimHash must differ in at most
-    ``SIMILAR_BITS`` bits: at 0.8, 39 bits are expected to differ with a deviation of 6.  Null texts are
-    empty; ``th`` is the text's hash and ``node`` that of its shingles.
+    ``SIMILAR_BITS`` bits: at 0.8, 39 bits are expected to differ with a deviation of 6.
+
+    A key of more than ``crowd`` texts first meets one of them, in ``STARS`` rounds, and what is alike
+    gets one root; then pairs of different roots only are searched, in parts of about ``cell`` texts.
+    Null texts are empty; ``th`` is the text's hash and ``node`` that of its shingles.
     """
 
     long_texts(docs.sparkSession)
@@ -330,10 +375,20 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     distinct = materialise(own.groupBy("node").agg(*[F.min(c).alias(c) for c in ("th", *columns[1:])]))
     keys = [F.struct(F.lit(t).alias("kind"), F.col(c).alias("key")) for t, c in enumerate(_KEYS)]
     dealt = distinct.select("node", *WIDE, F.explode(F.array(*keys)).alias("k")).select("k.kind", "k.key", "node", F.col("w0").alias("fp"), *WIDE[1:])
-    dealt = dealt.repartition("kind", "key").sortWithinPartitions("kind", "key")
-    pairs = materialise(dealt.mapInPandas(_search_keys(FIRST_BITS, WIDE[1:], SIMILAR_BITS), "a long, b long").distinct())
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(distinct.select("node", "th"), "node")
-    roots = components(similar(pairs, shingle_sets(docs, asked, text_col, size)))
+    several = dealt.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("kind", "key")
+    dealt = materialise(dealt.join(several, ["kind", "key"]))
+    sets = shingle_sets(docs, dealt.select("node").distinct().join(distinct.select("node", "th"), "node"), text_col, size)
+    links, roots = [], None
+    rows, left = rooted(dealt, None)
+    for turn in range(STARS):
+        if left.where(F.col("n") > crowd).isEmpty():
+            break
+        links.append(materialise(similar(stars(rows, left, turn, crowd), sets)))
+        roots = components(functools.reduce(DataFrame.unionByName, links))
+        rows, left = rooted(dealt, roots)
+    cells = celled(rows, left, cell).repartition("kind", "key").sortWithinPartitions("kind", "key")
+    pairs = materialise(cells.mapInPandas(_search_keys(FIRST_BITS, WIDE[1:], SIMILAR_BITS), "a long, b long").distinct())
+    roots = components(functools.reduce(DataFrame.unionByName, links + [similar(pairs, sets)]))
     return own.select(id_col, "th", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 

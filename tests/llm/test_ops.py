@@ -392,6 +392,27 @@ def test_less_similar_texts_stay(spark):
     assert simhash.near_copies(docs).select("root").distinct().count() == len(data)
 
 
+def test_hot_groups_are_bounded():
+    codes = np.sort(np.random.default_rng(1).integers(0, 2**10, 3000).astype(np.uint64))
+    codes = codes[np.argsort(simhash.gray_rank(codes), kind="stable")]
+    blocks = [len(a) for a, _ in simhash.linked_pairs(codes, np.zeros(3000, np.int64), 64, most=100_000)]
+    assert max(blocks) <= 100_000 and sum(blocks) == 3000 * 2999 // 2
+
+
+def test_hot_groups_keep_all_links(spark):
+    """A chain of windows over one long text: neighbours are similar, the ends are not, and keys are crowded."""
+    rng = random.Random(8)
+    words = [f"c{rng.randrange(5000)}" for _ in range(900)]
+    data = [" ".join(words[at : at + 300]) for at in range(0, 600, 4)]
+    data += [" ".join(words[:300] + [f"v{k}"]) for k in range(60)]
+    data += [" ".join(words[:170] + [f"u{k}x{i}" for i in range(130)]) for k in range(5)]
+    docs = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")
+    got = {r["doc_id"]: r["root"] for r in simhash.near_copies(docs, crowd=8, cell=7).collect()}
+    whole = {r["doc_id"]: r["root"] for r in simhash.near_copies(docs).collect()}
+    groups = lambda g: {frozenset(i for i in g if g[i] == r) for r in g.values()}
+    assert groups(got) == groups(whole) and len(groups(got)) == 6
+
+
 def test_topk(spark):
     rng = np.random.default_rng(4)
     vecs = [(i, [float(x) for x in rng.normal(0, 1, 16)]) for i in range(300)]
