@@ -2,7 +2,7 @@
 
 Rows are numbered 0..n-1 without a global sort: distinct key tuples fall into hash buckets,
 a bucket's rows are numbered in key order, and a bucket's offset is the sum of the buckets
-before it (one small aggregate).  The permutation then maps a row number to its place in the
+before it (one small aggregate).  How many buckets there are follows from n.  The permutation then maps a row number to its place in the
 shuffled order; ``place mod shards`` is the shard and ``place div shards`` the slot, so both are
 computable from the number alone and shard counts differ by one at most.
 
@@ -46,45 +46,61 @@ def feistel(x: Column, a: int, b: int, seed: int) -> Column:
 def permuted(x: Column, n: int, seed: int) -> Column:
     """Place of row ``x`` among ``n``: the permutation is applied until the value is below ``n``.
 
-    At most a*b - n + 1 passes are ever needed (that many values lie outside); for large n the
-    chance of more than 64 passes is below n**-32, so 64 is the longer bound's stand-in there.
+    At most a*b - n + 1 passes are ever needed (that many values lie outside).  Passes go in two lengths, the
+    second is reached with a probability below n**-32; a value still outside after it ends the job with an error.
     """
     a, b = domain(n)
-    walks = min(a * b - n, 64)
     once = feistel(x, a, b, seed)
-    if not walks:
+    inside = lambda y: F.when(y < n, y)
+    walk = lambda y, passes: F.aggregate(F.sequence(F.lit(1), F.lit(passes)), y, lambda z, _: inside(z).otherwise(feistel(z, a, b, seed)))
+    outside = a * b - n
+    if not outside:
         return once
-    return F.aggregate(F.sequence(F.lit(1), F.lit(walks)), once, lambda y, _: F.when(y < n, y).otherwise(feistel(y, a, b, seed)))
+    near = walk(once, min(outside, 64))
+    if outside <= 64:
+        return near
+    # one more element binds the first walk's end, so that it is computed once
+    far = lambda y: inside(y).otherwise(walk(y, min(outside, 100_000)))
+    checked = lambda y: inside(y).otherwise(F.raise_error(F.lit("a value did not walk into the range")).cast("long"))
+    return F.element_at(F.transform(F.transform(F.array(near), far), checked), 1)
+
+
+def bucket_count(n: int) -> int:
+    """Buckets of about 50,000 rows, from the number of rows alone: 64 at least and 2**20 at most."""
+    return min(max(64, 1 << max(n // 50_000, 1).bit_length()), 1 << 20)
 
 
 def numbered(df: DataFrame, keys: list[str], buckets: int | None = None) -> tuple[DataFrame, int]:
-    """(``keys`` of every row plus ``row_no``, number of rows).
+    """(``key``, a struct of the ``keys``, of every row plus ``row_no``, number of rows).
 
     Repeated key tuples are counted before the shuffle and expanded after it, so a tuple that
     holds a third of all rows costs one row in its bucket.  Null keys are values like others.
+    Numbers depend on the rows and ``buckets`` only, never on the session or the partitioning.
     """
-    spark = df.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    counted = materialise(counted.withColumn("_b", F.pmod(F.xxhash64(row_key(*keys)), F.lit(buckets))))
-    totals = {r["_b"]: r["t"] for r in counted.groupBy("_b").agg(F.sum("_n").alias("t")).collect()}  # one row a bucket
-    offsets, total = [], 0
-    for i in range(buckets):
-        offsets.append(total)
-        total += totals.get(i, 0)
-    by_key = Window.partitionBy("_b").orderBy(*[F.col(k).asc_nulls_first() for k in keys])
-    first = F.sum("_n").over(by_key.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n") + F.element_at(F.array(*[F.lit(int(o)).cast("long") for o in offsets]), (F.col("_b") + 1).cast("int"))
-    rows = counted.withColumn("_first", first).select(*keys, F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_n") - 1)).alias("row_no"))
-    return rows, total
+    names = [f"k{i}" for i in range(len(keys))]
+    counted = df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names, strict=True)]).groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    counted = materialise(counted.withColumn("hash", F.xxhash64(row_key(*names))))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    buckets = buckets or bucket_count(total)
+    counted = counted.withColumn("b", F.pmod("hash", F.lit(buckets)))
+    sizes = counted.groupBy("b").agg(F.sum("n").alias("t"))  # one row a bucket, 2**20 at most: small enough for one window and a broadcast
+    offsets = sizes.select("b", (F.sum("t").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("t")).alias("before"))
+    by_key = Window.partitionBy("b").orderBy(*[F.col(k).asc_nulls_first() for k in names])
+    within = F.sum("n").over(by_key.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    rows = counted.withColumn("within", within).join(F.broadcast(offsets), "b").withColumn("first", F.col("before") + F.col("within"))
+    key = F.struct(*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)])
+    return rows.select(key.alias("key"), F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("row_no")), total
 
 
 def feistel_shards(df: DataFrame, keys: list[str], shards: int, seed: int = 20240607, buckets: int | None = None) -> DataFrame:
     """``keys``, ``row_no``, ``shard`` and ``slot`` of every row of ``df``.
 
     Law ``rows``: shard counts differ by one at most and a shard's slots are 0, 1, 2, ...
-    The same rows give the same result whatever their order or partitioning.  Repeated rows each
-    get a place; nulls are ordinary keys; an empty table gives an empty result.
+    The same rows give the same result whatever their order, their partitioning or the session's settings.
+    Repeated rows each get a place; nulls are ordinary keys; an empty table gives an empty result.  Other
+    columns are ignored; a key named like a column of the result counts but is not returned.
     """
     rows, n = numbered(df, keys, buckets)
-    place = permuted(F.col("row_no"), max(n, 1), seed)
-    return rows.withColumn("_p", place).select(*keys, "row_no", (F.col("_p") % shards).cast("int").alias("shard"), F.floor(F.col("_p") / shards).cast("long").alias("slot"))
+    kept = [F.col("key").getField(k).alias(k) for k in keys if k not in ("row_no", "shard", "slot")]
+    placed = rows.withColumn("place", permuted(F.col("row_no"), max(n, 1), seed))
+    return placed.select(*kept, "row_no", (F.col("place") % shards).cast("int").alias("shard"), F.floor(F.col("place") / shards).cast("long").alias("slot"))
