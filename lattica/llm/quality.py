@@ -7,8 +7,10 @@ dictionary and not the text's own repetition explains it.  The feature is
 labels' mean as if ``PRIOR`` bytes more had been seen, since a few words say little; a logistic
 curve fitted on other labelled rows, weighted back to the labels' own shares, turns it into a score.
 
-Only the fit looks at a sample: at most ``per_class`` labelled rows a class (default 1,000), those
-with the smallest hash of their id; every text is scored whole.
+Only the fit looks at a sample, bounded by parameters of :func:`fit_quality`: at most ``per_class`` labelled
+rows a class (default 1,000), those with the smallest hash of their id, and of each of them a ``piece`` of 600
+characters for the dictionaries, which hold ``dictionary`` bytes (default 512 KiB) at most; with more, every
+text gives an equal share.  The curve is fitted on whole texts and every text is scored whole.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK, LEVEL, PIECE, DICTIONARY, PRIOR = 512, 9, 600, 256 * 1024, 100
+BLOCK, LEVEL, PIECE, DICTIONARY, PRIOR = 512, 9, 600, 512 * 1024, 100
 
 
 @dataclass(frozen=True)
@@ -91,33 +93,46 @@ def without_shared_lines(pieces: dict[int, tuple[bool, str]]) -> dict[int, str]:
     return {i: "\n".join(x for x in own if not begins(x)) for i, own in lines.items()}
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1000) -> QualityModel | None:
+def dictionary_of(pieces: list[bytes], most: int) -> bytes:
+    """The pieces joined by line ends; beyond ``most`` bytes all are cut to an equal share, so that none is left out."""
+    joined = b"\n".join(pieces)
+    if len(joined) <= most:
+        return joined
+    low, high = 0, max(map(len, pieces))
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if sum(min(len(p), mid) + 1 for p in pieces) <= most else (low, mid - 1)
+    return b"\n".join(p[:low] for p in pieces)
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1000, piece: int = PIECE, dictionary: int = DICTIONARY) -> QualityModel | None:
     """Fit on ``labels`` (doc_id, quality 0/1) of ``docs`` (doc_id, text); None if a class has no text.
 
-    Rows with a null id, label or text take no part.  Half of a class's sample fills its
-    dictionary, the other half fits the curve.
+    Rows with a null id, label or text take no part; of several labels of a document the smaller counts, of
+    several texts of an id the first in order.  Half of a class's sample fills its dictionary, the other half
+    fits the curve.
     """
-    labels = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", "quality").distinct()
+    labels = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     share = {r["quality"]: r["n"] for r in labels.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     picked = {q: [r["doc_id"] for r in labels.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()] for q in (0, 1)}
     if not all(picked.values()):
         return None
     ids = sorted({*picked[0], *picked[1]})
-    rows = docs.where(F.col("doc_id").isin(ids) & F.col("text").isNotNull()).select("doc_id", "text")
-    start = (F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - PIECE, F.lit(0)) + 1) + 1).cast("int")
-    found = rows.select("doc_id", (start > 1).alias("inside"), F.substring("text", start, F.lit(PIECE)).alias("p")).collect()
+    rows = docs.where(F.col("doc_id").isin(ids) & F.col("text").isNotNull()).groupBy("doc_id").agg(F.min("text").alias("text"))  # one row an id
+    start = (F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - piece, F.lit(0)) + 1) + 1).cast("int")
+    found = rows.select("doc_id", (start > 1).alias("inside"), F.substring("text", start, F.lit(piece)).alias("p")).collect()
     pieces = {i: p.encode() for i, p in without_shared_lines({r["doc_id"]: (r["inside"], r["p"]) for r in found}).items()}
     halves = {q: [i for i in picked[q] if i in pieces] for q in (0, 1)}
     if not all(halves.values()):
         return None
     cut = {q: (len(v) + 1) // 2 for q, v in halves.items()}
-    filled = {q: b"\n".join(pieces[i] for i in halves[q][: cut[q]])[:DICTIONARY] for q in (0, 1)}
-    size = min(len(filled[0]), len(filled[1]))
+    own = {q: [pieces[i] for i in halves[q][: cut[q]]] for q in (0, 1)}
+    size = min(dictionary, *(len(dictionary_of(own[q], dictionary)) for q in (0, 1)))
     if size < 8:
         return None
-    good, bad = filled[1][:size], filled[0][:size]
+    good, bad = (dictionary_of(own[q], size) for q in (1, 0))
     held = {i: q for q in (0, 1) for i in (halves[q][cut[q] :] or halves[q])}
-    seen = rows.where(F.col("doc_id").isin(sorted(held))).select("doc_id", _difference_column("text", good, bad).alias("x"), _bytes("text").alias("n")).collect()
+    seen = rows.where(F.col("doc_id").isin(sorted(held))).select("doc_id", _difference_column("text", good, bad).alias("x"), _bytes("text").alias("n")).orderBy("doc_id").collect()
     x, size_of, y = (np.array(v, dtype=float) for v in zip(*[(r["x"], r["n"], held[r["doc_id"]]) for r in seen], strict=True))
     n = {q: max((y == q).sum(), 1) for q in (0, 1)}
     w = np.where(y == 1, share[1] / n[1], share[0] / n[0])
@@ -129,7 +144,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1000) -> Qu
 def quality_score(text: str | Column, model: QualityModel | None) -> Column:
     """Score 0 to 1 of each whole text, higher for label 1; without a model 0.5.
 
-    A null text scores as an empty one: both have the labels' mean difference.
+    A null text scores as an empty one: both have the labels' mean difference.  Equal texts have equal scores; very
+    long ones are compressed block by block; an empty table gives no rows.
     """
     if model is None:
         return F.lit(0.5)
