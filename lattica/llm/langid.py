@@ -9,8 +9,12 @@ The automata become dense tables whose missing transitions restart at the root a
 mark, so a batch of texts is parsed in step, one table lookup a symbol and language.  Long texts
 are parsed in runs of ``RUN`` symbols (a phrase ends at a run's end, in every language alike).
 
-Only the automata look at a sample: at most ``chars`` symbols a language (default 40,000, less when
-there are more than ten languages) from at most ``BUCKETS`` documents a language.
+Every letter counts: the commonest letters of the training text have symbols of their own, every other letter
+has one of ``BLOCKS`` symbols by its block of 256 code points, so that scripts stay apart.
+
+Only the automata look at a sample, bounded by parameters of :func:`fit_languages`: ``chars`` symbols a language
+(default 40,000) and ``total`` symbols of all languages (default 400,000, which is what the tables' memory grows
+with), from at most ``BUCKETS`` documents a language.
 """
 
 from __future__ import annotations
@@ -26,13 +30,13 @@ from pyspark.sql import functions as F
 
 from .common import hand_back
 
-RUN, BUCKETS, ALPHABET, PIECE = 512, 128, 48, 600
+RUN, BUCKETS, ALPHABET, BLOCKS, PIECE = 512, 128, 64, 14, 600
 
 
 @dataclass(frozen=True)
 class LanguageModel:
     languages: list[str]
-    symbols: np.ndarray  # code point below 65536 -> symbol; 0 separator, 1 other letter
+    symbols: np.ndarray  # code point below 65536 -> symbol; 0 separator, 1 to BLOCKS other letters by block
     tables: list[np.ndarray]  # (state * alphabet + symbol) -> 2 * next state + phrase mark
 
 
@@ -129,23 +133,34 @@ def in_parts(texts: list[str], chars: int = 2_000_000) -> Iterator[list[str]]:
         yield part
 
 
-def fit_languages(docs: DataFrame, chars: int = 40_000) -> LanguageModel | None:
-    """Fit on ``docs`` (doc_id, text, lang); rows with a null text or lang take no part; None without any."""
+def letter_symbols(letters: Counter) -> np.ndarray:
+    """Symbol of every code point below 65536; the last one stands for the planes above."""
+    code = np.arange(65_536)
+    block = 1 + ((code >> 8) * 11) % BLOCKS
+    symbols = np.where([chr(c).isalpha() for c in code], block, 0).astype(np.uint8)
+    symbols[65_535] = BLOCKS
+    for k, (c, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0]))[: ALPHABET - BLOCKS - 2]):
+        symbols[ord(c)] = BLOCKS + 1 + k
+    return symbols
+
+
+def fit_languages(docs: DataFrame, chars: int = 40_000, total: int = 400_000) -> LanguageModel | None:
+    """Fit on ``docs`` (doc_id, text, lang); rows with a null id, text or lang take no part; None without any.
+
+    Of several texts of an id and language the first in order counts.
+    """
     docs = docs.where("text is not null and lang is not null and doc_id is not null")
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))
-    picked = docs.groupBy("lang", bucket.alias("b")).agg(F.min_by("doc_id", F.xxhash64("doc_id", F.lit(1))).alias("doc_id")).select("doc_id").collect()
+    picked = docs.groupBy("lang", bucket.alias("b")).agg(F.min_by("doc_id", F.struct(F.xxhash64("doc_id", F.lit(1)), "doc_id")).alias("doc_id")).select("doc_id").collect()
     if not picked:
         return None
     ids = sorted({r["doc_id"] for r in picked})
     start = (F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - PIECE, F.lit(0)) + 1) + 1).cast("int")
-    rows = docs.where(F.col("doc_id").isin(ids)).select("doc_id", "lang", F.substring("text", start, F.lit(PIECE)).alias("p")).orderBy("lang", F.xxhash64("doc_id"), "p").collect()
+    pieces = docs.where(F.col("doc_id").isin(ids)).select("doc_id", "lang", F.substring("text", start, F.lit(PIECE)).alias("p"))
+    rows = pieces.groupBy("doc_id", "lang").agg(F.min("p").alias("p")).orderBy("lang", F.xxhash64("doc_id"), "doc_id").collect()  # one piece an id and language
     languages = sorted({r["lang"] for r in rows})
-    chars = min(chars, 400_000 // len(languages))
-    letters = Counter(c for r in rows for c in r["p"].lower() if c.isalpha() and ord(c) < 65_535)
-    symbols = np.array([1 if chr(c).isalpha() else 0 for c in range(65_536)], np.uint8)
-    symbols[65_535] = 1  # stands for the planes above
-    for k, (c, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0]))[: ALPHABET - 3]):
-        symbols[ord(c)] = k + 2
+    chars = max(min(chars, total // len(languages)), 1)
+    symbols = letter_symbols(Counter(c for r in rows for c in r["p"].lower() if c.isalpha() and ord(c) < 65_535))
     tables = []
     for lang in languages:
         s, _ = to_symbols([" " + " ".join(r["p"] for r in rows if r["lang"] == lang) + " "], symbols)
@@ -158,7 +173,8 @@ def identify(docs: DataFrame, model: LanguageModel | None, keep: list[str]) -> D
 
     ``und`` with score 0 for a text that is null or has no letter (or without a model).  The score
     is ``second / (best + second)`` of the phrase counts, 0.5 on a tie, which goes to the
-    alphabetically first language; with one language it is 1.
+    alphabetically first language; with one language it is 1.  Texts of any length are parsed whole, repeated
+    rows stay, and an empty table gives no rows.
     """
 
     keep = [c for c in keep if c not in ("lang_pred", "score")]
