@@ -3,8 +3,9 @@
 A classifier fitted on a labelled table gives every document posteriors over domains; a document
 then adds its tokens to all domains in these shares.  Nonnegative rates (how often a document is
 read) are fitted by projected-gradient least squares so that the domains' expected token totals
-meet the targets.  An iteration is one small aggregate over (tokens, posteriors): the rates
-are never stored, they follow from the list of steps taken so far.
+meet the targets.  An iteration is one small aggregate over (tokens, posteriors): the gap's gradient is
+scaled by the curvature of the rates that can move, the step is added and rates go back into their
+bounds.  The rates are never stored, they follow from the list of steps taken so far.
 
 Only the classifier looks at a sample: at most ``per_domain`` labelled rows a domain (default
 2,000), those with the smallest hash of their id.  Posteriors, totals and rates cover every row.
@@ -12,6 +13,7 @@ Only the classifier looks at a sample: at most ``per_domain`` labelled rows a do
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -68,7 +70,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, per_domain: int = 2000, fe
     """Fit on ``labelled`` (doc_id, domain) and the texts of ``docs``; None without a labelled text.
 
     Rows with a null id, domain or text take no part; of a document with several labels the
-    alphabetically first counts.
+    alphabetically first counts, of an id with several texts the first in order.
     """
     labelled = labelled.where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
     share = {r["domain"]: r["n"] for r in labelled.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -80,7 +82,8 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, per_domain: int = 2000, fe
     def words(texts: pd.Series) -> pd.Series:
         return pd.Series([sorted(features_of(t)[0]) for t in texts], dtype=object)
 
-    sample = docs.where(F.col("doc_id").isin(sorted(domain_of)) & F.col("text").isNotNull()).dropDuplicates(["doc_id"]).select("doc_id", words("text").alias("w"))
+    texts = docs.where(F.col("doc_id").isin(sorted(domain_of)) & F.col("text").isNotNull()).groupBy("doc_id").agg(F.min("text").alias("text"))
+    sample = texts.select("doc_id", words("text").alias("w"))
     sample = sample.join(F.broadcast(sample.sparkSession.createDataFrame([*domain_of.items()], "doc_id long, domain string")), "doc_id").persist()
     domains = sorted({r["domain"] for r in sample.select("domain").distinct().collect()})
     if not domains:
@@ -104,7 +107,10 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, per_domain: int = 2000, fe
 
 
 def membership(text: str | Column, model: DomainModel) -> Column:
-    """``tokens`` (words) and ``p`` (posterior of each domain) of each whole text; null texts are empty."""
+    """``tokens`` (words) and ``p`` (posterior of each domain) of each whole text; null texts are empty.
+
+    An empty text has no tokens and the posteriors of no word at all; an empty table gives no rows.
+    """
     known = model.features.keys()
 
     @F.pandas_udf("tokens long, p array<double>")
@@ -119,38 +125,59 @@ def membership(text: str | Column, model: DomainModel) -> Column:
     return member(text)
 
 
-def rate_after(steps: list[list[float]], p: str) -> Column:
-    """A document's rate after ``steps``: from 1, each adds its product with the posteriors, never below 0."""
+def rate_after(steps: list[list[float]], p: str, low: str | Column = "", high: str | Column = "") -> Column:
+    """A document's rate after ``steps``: from 1, each adds its product with the posteriors, never below ``low`` (default 0) or above ``high``."""
+    at = lambda c, other: other if isinstance(c, str) and not c else F.col(c) if isinstance(c, str) else c
+    low, high = at(low, F.lit(0.0)), at(high, F.lit(float("inf")))
     if not steps:
         return F.lit(1.0)
     dot = lambda s: F.aggregate(F.zip_with(F.col(p), s, lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
-    return F.aggregate(F.from_json(F.lit(str(steps)), "array<array<double>>"), F.lit(1.0), lambda r, s: F.greatest(r + dot(s), F.lit(0.0)))
-
-
-def fit_rates(members: DataFrame, targets: np.ndarray, iterations: int = 60, tolerance: float = 1e-4) -> list[list[float]]:
-    """Steps of projected gradient descent on ``sum_d ((total_d - target_d)^2 / mass_d)``.
-
-    ``members`` has ``tokens`` and ``p``; distances between rates weigh a document by its tokens, so
-    a step is the same product of posteriors for short and long ones.  The step length is the
-    inverse of the largest curvature, from the domains' second moments.
+    return F.aggregate(F.from_json(F.lit(str(steps)), "array<array<double>>"), F.lit(1.0), lambda r, s: F.least(F.greatest(r + dot(s), low), high))
+
+
+def _totals(members: DataFrame, steps: list[list[float]], d: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(expected token totals of the domains, second moments of the rates above their lower bound and of all that can move): one aggregate."""
+    r = rate_after(steps, "p", "low", "high")
+    moves = F.when(F.col("low") < F.col("high"), F.col("tokens")).otherwise(0)
+    weights = {"f": F.when(F.col("r") > F.col("low"), moves).otherwise(0), "a": moves}
+    both = [(i, j) for i in range(d) for j in range(i, d)]
+    sums = [F.sum(F.col("tokens") * F.col("p")[i] * F.col("r")).alias(f"m{i}") for i in range(d)] + [F.sum(w * F.col("p")[i] * F.col("p")[j]).alias(f"{n}{i}_{j}") for n, w in weights.items() for i, j in both]
+    got = members.select("tokens", "p", "low", "high", r.alias("r")).agg(*sums).first()
+    grams = []
+    for n in weights:
+        gram = np.zeros((d, d))
+        for i, j in both:
+            gram[i, j] = gram[j, i] = got[f"{n}{i}_{j}"] or 0.0
+        grams.append(gram + np.eye(d) * max(np.trace(gram), 1.0) * 1e-9)
+    return np.array([got[f"m{i}"] or 0.0 for i in range(d)]), grams
+
+
+def fit_rates(members: DataFrame, targets: np.ndarray, iterations: int = 60, tolerance: float = 0.01) -> tuple[list[list[float]], np.ndarray]:
+    """(steps, expected totals) of projected gradient descent on ``sum_d ((total_d - target_d)^2 / scale_d)``.
+
+    ``members`` has ``tokens``, ``p`` and the bounds ``low`` and ``high`` of a rate.  A step that does not lessen the loss is tried again with
+    the curvature of all rates that can move, then shorter.  It ends when every total is within
+    ``tolerance`` of its target, or when no step lessens the loss any more, which is warned of with the totals.
     """
-    d = len(targets)
-    second = members.agg(*[F.sum(F.col("tokens") * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i in range(d) for j in range(d)], *[F.sum(F.col("tokens") * F.col("p")[i]).alias(f"m{i}") for i in range(d)]).first()
-    mass = np.array([max(second[f"m{i}"] or 0.0, 1e-9) for i in range(d)])
-    gram = np.array([[second[f"g{i}_{j}"] or 0.0 for j in range(d)] for i in range(d)]) / np.sqrt(np.outer(mass, mass))
-    length = 1 / max(np.linalg.eigvalsh(gram).max(), 1e-9)
-    steps: list[list[float]] = []
-    now, last = mass, None
+    d, steps = len(targets), []
+    now, grams = _totals(members, steps, d)
+    scale = np.maximum(targets, max(targets.sum(), 1.0) * 1e-6)
+    loss = lambda totals: float((((totals - targets) / scale) ** 2).sum())
+    met, tries, k = lambda totals: bool((np.abs(totals - targets) <= tolerance * scale).all()), [(0, 1.0), (1, 1.0), (1, 0.25), (1, 0.05)], 0
     for _ in range(iterations):
-        gap = now - targets
-        loss = float((gap**2 / mass).sum())
-        if np.abs(gap).sum() <= tolerance * max(targets.sum(), 1.0) or (last is not None and last - loss < 1e-3 * max(last, 1e-9)):
+        if met(now) or k == len(tries):
             break
-        last = loss
-        steps.append([float(x) for x in -length * gap / mass])
-        got = members.select("tokens", "p", rate_after(steps, "p").alias("r")).agg(*[F.sum(F.col("tokens") * F.col("p")[i] * F.col("r")).alias(f"m{i}") for i in range(d)]).first()
-        now = np.array([got[f"m{i}"] or 0.0 for i in range(d)])
-    return steps
+        which, stride = tries[k]
+        step = np.linalg.lstsq(grams[which] / scale[:, None], (targets - now) / scale, rcond=1e-3)[0]  # domains that the movable rates cannot tell apart share a step
+        tried = [*steps, [float(x) for x in stride * step]]
+        after, after_grams = _totals(members, tried, d)
+        if loss(after) < loss(now) * (1 - 1e-6):
+            steps, now, grams, k = tried, after, after_grams, 0
+        else:
+            k += 1
+    if not met(now):
+        warnings.warn(f"totals {now.round(1).tolist()} miss their targets {targets.round(1).tolist()}: no step of the rates within their bounds comes nearer", stacklevel=2)
+    return steps, now
 
 
 def domain_masses(members: DataFrame, d: int) -> np.ndarray:
@@ -172,14 +199,22 @@ def copies(rate: Column, *keys: str) -> Column:
     return F.floor(rate + unit).cast("int")
 
 
-def mixed(docs: DataFrame, model: DomainModel | None, weights: dict[str, float], keep: str | None = None, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` (a written table with ``tokens`` and ``p``) plus ``rate`` and ``copies``.
+def mixed(docs: DataFrame, model: DomainModel | None, weights: dict[str, float], keep: str | None = None, id_col: str = "doc_id", thin: bool = False) -> DataFrame:
+    """``docs`` (a written table with ``tokens`` and ``p``) plus ``rate`` and ``copies``, which replace columns of these names.
 
-    Without a model every rate is 1.  Ties do not matter: equal rows get equal rates and copies.
+    With ``thin`` no rate exceeds 1, and documents whose largest posterior is that of ``keep`` have a rate of 1.
+    Without a model every rate is 1.  Ties do not matter: equal rows get equal rates and copies.  An empty
+    table gives no rows; documents without tokens have rates too, which no total depends on.
     """
+    docs = docs.drop("rate", "copies")
     if model is None:
         return docs.withColumn("rate", F.lit(1.0)).withColumn("copies", F.lit(1))
-    members = docs.select("tokens", "p")
-    steps = fit_rates(members, targets_of(model, domain_masses(members, len(model.domains)), weights, keep))
-    docs = docs.withColumn("rate", rate_after(steps, "p"))
+    low, high = F.lit(0.0), F.lit(float("inf"))
+    if thin:
+        high = F.lit(1.0)
+        if keep in model.domains:
+            low = F.when(F.col("p")[model.domains.index(keep)] >= F.array_max("p"), 1.0).otherwise(0.0)
+    members = docs.select("tokens", "p", low.alias("low"), high.alias("high"))
+    steps, _ = fit_rates(members, targets_of(model, domain_masses(members, len(model.domains)), weights, keep))
+    docs = docs.withColumn("rate", rate_after(steps, "p", low, high))
     return docs.withColumn("copies", copies(F.col("rate"), id_col))
