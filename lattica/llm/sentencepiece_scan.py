@@ -6,9 +6,10 @@ leaves alone, and minus infinity otherwise; the one path of weight 0 is what mer
 
 No piece of a cuttable model goes on after white space has begun, so words are parsed alone and
 remembered.  Documents longer than ``CHUNK`` characters are cut anywhere: a chunk yields its transfer matrix,
-from the pieces that may lie across its start to those that may lie across its end; the matrices of
-a document are combined by max-plus products, which fixes the state at every boundary; then each
-chunk is traced back on its own.
+from the pieces that may lie across its start to those that may lie across its end.  A parallel scan combines
+the matrices by max-plus products: ``FAN`` neighbours become one matrix, these again, in as many rounds as the
+logarithm of the longest document's chunks; then the states at the outer boundaries go down the same rounds and
+fix those within.  Last, each chunk is traced back on its own.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from sentencepiece import sentencepiece_model_pb2 as proto
 
 from .common import hand_back, long_texts, materialise
 
-CHUNK, REMEMBERED = 32_768, 250_000
+CHUNK, REMEMBERED, FAN = 32_768, 250_000, 16
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 _CUT = re.compile(f"[^{SPACE}]{SPACE}")
@@ -391,18 +392,66 @@ def product(a: dict[State, dict[State, float]], b: dict[State, dict[State, float
     return out
 
 
-def boundary_states(matrices: list[dict[State, dict[State, float]]]) -> list[State]:
-    """States at the n + 1 boundaries of n chunks on the best path: prefix products, then back from the end."""
-    prefix = [{START: {START: 0.0}}]
+def boundary_states(matrices: list[dict[State, dict[State, float]]], start: State = START, end: State | None = None) -> list[State]:
+    """States at the n + 1 boundaries of n chunks on the best path from ``start`` to ``end`` (default: the best end)."""
+    prefix = [{start: {start: 0.0}}]
     for m in matrices:
         prefix.append(product(prefix[-1], m))
-    states = [max(prefix[-1][START].items(), key=lambda x: x[1])[0]]
+    states = [max(prefix[-1][start].items(), key=lambda x: (x[1], x[0]))[0] if end is None else end]
     for before, m in zip(prefix[-2::-1], matrices[::-1], strict=True):
-        end = states[-1]
-        states.append(max((w + m[s][end], s) for s, w in before[START].items() if end in m.get(s, {}))[1])
+        after = states[-1]
+        states.append(max((w + m[s][after], s) for s, w in before[start].items() if after in m.get(s, {}))[1])
     return states[::-1]
 
 
+def _matrices_of(rows: pd.DataFrame) -> dict[int, dict[State, dict[State, float]]]:
+    """Matrix of each chunk from its entries ``chunk, a, ax, b, bx, w``, by ascending chunk."""
+    found: dict[int, dict[State, dict[State, float]]] = {}
+    for r in rows.itertuples(index=False):
+        found.setdefault(r.chunk, {}).setdefault((r.a, r.ax), {})[r.b, r.bx] = r.w
+    return dict(sorted(found.items()))
+
+
+_ENTRY = "uid long, chunk int, a int, ax int, b int, bx int, w double"
+_STATES = "uid long, chunk int, a int, ax int, b int, bx int"
+
+
+def _entries(uid: int, chunk: int, matrix: dict[State, dict[State, float]]) -> list[tuple]:
+    return [(uid, chunk, *s, *e, w) for s, line in matrix.items() for e, w in line.items()]
+
+
+def _combined(rows: pd.DataFrame) -> pd.DataFrame:
+    """Entries of the product of up to ``FAN`` neighbouring matrices of one document."""
+    found = _matrices_of(rows)
+    return pd.DataFrame(_entries(rows["uid"].iat[0], rows["chunk"].iat[0] // FAN, functools.reduce(product, found.values())), columns=["uid", "chunk", "a", "ax", "b", "bx", "w"])
+
+
+def _fixed(outer: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    """States before and after each of up to ``FAN`` neighbouring chunks, from those around them all."""
+    found, o = _matrices_of(rows), next(outer.itertuples(index=False))
+    states = boundary_states([*found.values()], (o.a, o.ax), (o.b, o.bx))
+    return pd.DataFrame([(o.uid, c, *states[k], *states[k + 1]) for k, c in enumerate(found)], columns=["uid", "chunk", "a", "ax", "b", "bx"])
+
+
+def scanned(entries: DataFrame) -> DataFrame:
+    """``uid, chunk`` and the states before (``a, ax``) and after (``b, bx``) each chunk on its document's best path."""
+    last = entries.agg(F.max("chunk")).first()[0]
+    levels, n = [entries], 1 + (last or 0)
+    block = F.expr(f"chunk div {FAN}").cast("int")
+    while n > 1:
+        levels.append(levels[-1].withColumn("block", block).groupBy("uid", "block").applyInPandas(_combined, _ENTRY))
+        n = -(-n // FAN)
+        if n > 1:
+            levels[-1] = materialise(levels[-1])
+    whole = levels[-1].where((F.col("a") == START[0]) & (F.col("ax") == START[1]))  # a document's matrix, from its begin
+    best = F.max_by(F.struct("b", "bx"), F.struct("w", "b", "bx"))
+    states = whole.groupBy("uid", "chunk").agg(best.alias("e")).select("uid", "chunk", F.lit(START[0]).alias("a"), F.lit(START[1]).alias("ax"), "e.b", "e.bx")
+    for level in levels[-2::-1]:
+        outer = states.withColumnRenamed("chunk", "block")
+        states = outer.groupBy("uid", "block").cogroup(level.withColumn("block", block).groupBy("uid", "block")).applyInPandas(_fixed, _STATES)
+    return states
+
+
 def chunk_ids(model: PieceModel, cut: _Cut, before: State, after: State) -> bytes:
     """Ids of the pieces that begin in the chunk, given the states at both boundaries."""
     first, last = cut.cuts(model)
@@ -443,7 +492,8 @@ def encode(docs: DataFrame, model_file: bytes, keep: list[str], text_col: str =
     ``decoded`` is the text that the ids give back.
 
     These replace columns of ``keep`` of the same name.  Null texts are empty and get an empty list.  Texts longer than ``chunk`` characters take the
-    chunked path; both paths give the same ids.  A worker remembers up to twice ``remember`` words (about 150 bytes each).  Repeated rows stay; extra columns are ignored.
+    chunked path; both paths give the same ids.  A worker remembers up to twice ``remember`` words (about 150 bytes each).  Repeated rows stay;
+    extra columns are ignored; an empty table gives no rows.
     """
     long_texts(docs.sparkSession)
     longest = _model(model_file).longest
@@ -485,18 +535,11 @@ def encode(docs: DataFrame, model_file: bytes, keep: list[str], text_col: str =
         for pdf in batches:
             out: list[tuple] = []
             for row in pdf.to_dict("records"):
-                out += [(row["uid"], row["chunk"], *s, *e, w) for s, line in transfer(model, _cut_of(row, longest)).items() for e, w in line.items()]
+                out += _entries(row["uid"], row["chunk"], transfer(model, _cut_of(row, longest)))
             yield pd.DataFrame(out, columns=["uid", "chunk", "a", "ax", "b", "bx", "w"])
 
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        per_chunk: dict[int, dict[State, dict[State, float]]] = {}
-        for r in pdf.itertuples(index=False):
-            per_chunk.setdefault(r.chunk, {}).setdefault((r.a, r.ax), {})[r.b, r.bx] = r.w
-        found = boundary_states([per_chunk[c] for c in sorted(per_chunk)])
-        return pd.DataFrame([(pdf["uid"].iat[0], c, *found[c], *found[c + 1]) for c in range(len(per_chunk))], columns=["uid", "chunk", "a", "ax", "b", "bx"])
-
-    entries = cut.mapInPandas(matrices, "uid long, chunk int, a int, ax int, b int, bx int, w double")
-    states = entries.groupBy("uid").applyInPandas(scan, "uid long, chunk int, a int, ax int, b int, bx int")
+    entries = materialise(cut.mapInPandas(matrices, _ENTRY))
+    states = scanned(entries)
 
     def traced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = _model(model_file)
