@@ -1,9 +1,10 @@
 """Document fingerprints by one-permutation MinHash, in built-in Spark functions only.
 
 Every five-word shingle is hashed once; the top bits of the hash choose a bin and the bin keeps
-its smallest hash.  Empty bins copy a filled one, found by walking the bins from a start and with
-an odd step that both depend on the bin alone (densification as in Shrivastava 2017, on a
-walk that meets every bin).  The fingerprint stores the low bits of each bin; likeness is the share of
+its smallest hash.  Empty bins copy a filled one (optimal densification, Shrivastava 2017): a bin draws bins by
+independent hashes of (bin, attempt) until one is filled.  After ``ATTEMPTS`` draws the filled bin with the least
+hash of (bin, filled bin) is taken, which is as uniform and as independent of the other bins, and always ends.
+The fingerprint stores the low bits of each bin; likeness is the share of
 equal bins, freed of the chance agreement of so few bits (Li and Koenig 2010).
 """
 
@@ -17,7 +18,7 @@ from pyspark.sql.window import Window
 
 from .common import text_or_empty
 
-BIN_BITS, LOW_BITS, WORDS, FIRST_STEPS = 8, 8, 5, 16
+BIN_BITS, LOW_BITS, WORDS, ATTEMPTS = 8, 8, 5, 16
 BINS = 1 << BIN_BITS
 _EMPTY = (1 << (64 - BIN_BITS)) - 1
 
@@ -26,8 +27,9 @@ def _ints(values: list[int], kind: str) -> Column:
     return F.from_json(F.lit(str(values)), f"array<{kind}>")
 
 
-def _noise(name: str, b: int) -> int:
-    return int.from_bytes(hashlib.sha256(f"{name}:{b}".encode()).digest()[:4], "big")
+def drawn(b: int, attempt: int) -> int:
+    """The bin that bin ``b`` draws in an attempt."""
+    return int.from_bytes(hashlib.sha256(f"{b}:{attempt}".encode()).digest()[:4], "big") % BINS
 
 
 def shingle_hashes(text: Column, words: int = WORDS) -> Column:
@@ -44,20 +46,20 @@ def with_fingerprint(df: DataFrame, text_col: str, out: str) -> DataFrame:
     filled = lambda x: x.bitwiseAND(F.lit(_EMPTY)) != F.lit(_EMPTY)
     # the largest value of every bin joins the hashes: after sorting, each bin is there and shows if it was empty
     ends = [((b - BINS // 2) << (64 - BIN_BITS)) | _EMPTY for b in range(BINS)]
-    start, step = _ints([_noise("start", b) % BINS for b in range(BINS)], "int"), _ints([_noise("step", b) % BINS | 1 for b in range(BINS)], "int")
     df = df.withColumn("_h", shingle_hashes(F.col(text_col)))
     df = df.withColumn("_n", F.size("_h")).withColumn("_s", F.sort_array(F.concat("_h", _ints(ends, "bigint")))).drop("_h")
     df = df.withColumn("_m", F.filter("_s", lambda x, i: (i == 0) | (top(x) != top(F.get(F.col("_s"), i - 1))))).drop("_s")
-    df = df.withColumn("_start", start).withColumn("_step", step)
+    df = df.withColumn("_draw", _ints([drawn(b, t) for b in range(BINS) for t in range(ATTEMPTS)], "int"))
+    df = df.withColumn("_held", F.filter("_m", filled))
 
-    def donor(b: Column, first: int, last: int) -> Column:
-        at = lambda j: (F.get(F.col("_start"), b) + j * F.get(F.col("_step"), b)).bitwiseAND(F.lit(BINS - 1))
-        ways = F.filter(F.sequence(F.lit(first), F.lit(last)), lambda j: filled(F.get(F.col("_m"), at(j))))
-        return F.get(F.col("_m"), at(F.get(ways, F.lit(0))))
+    def donor(b: Column) -> Column:
+        at = lambda t: F.get(F.col("_m"), F.get(F.col("_draw"), b * ATTEMPTS + t))
+        hit = F.get(F.filter(F.transform(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1)), at), filled), F.lit(0))
+        least = F.array_min(F.transform("_held", lambda x: F.struct(F.xxhash64(b, top(x)).alias("h"), x.alias("x"))))
+        return F.coalesce(hit, least["x"])
 
-    value = lambda x, b: F.when(filled(x), x).otherwise(F.coalesce(donor(b, 0, FIRST_STEPS - 1), donor(b, FIRST_STEPS, BINS - 1)))
-    low = F.transform("_m", lambda x, b: value(x, b).bitwiseAND(F.lit((1 << LOW_BITS) - 1)).cast("int"))
-    return df.withColumn(out, F.when(F.col("_n") > 0, low).otherwise(F.array().cast("array<int>"))).drop("_n", "_m", "_start", "_step")
+    low = F.transform("_m", lambda x, b: F.when(filled(x), x).otherwise(donor(b)).bitwiseAND(F.lit((1 << LOW_BITS) - 1)).cast("int"))
+    return df.withColumn(out, F.when(F.col("_n") > 0, low).otherwise(F.array().cast("array<int>"))).drop("_n", "_m", "_draw", "_held")
 
 
 def packed(fingerprint: Column) -> Column:
@@ -99,7 +101,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Fingerprints of every whole text, of the text edited with its successor's beginning, and likenesses.
 
     Null texts are empty.  The successor goes by id, then text; the last row's is the first.
-    Repeated ids and rows stay rows of their own; an empty table gives an empty result.
+    Repeated ids and rows stay rows of their own; texts of any length are taken whole; other columns are
+    ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
