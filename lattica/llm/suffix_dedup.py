@@ -1,21 +1,25 @@
 """Exact removal of byte strings of ``length`` bytes that also start anywhere else in the corpus.
 
+A string is a repeat if the longest-previous-factor array of the corpus has ``length`` or more at its start: an
+earlier position begins with the same bytes.  With the longest next factor, all copies are found; without it, the
+first copy stays and later ones go.
+
 One suffix array of a large corpus fits no task, so suffixes are dealt by content first.  In every
 window of ``length`` bytes the smallest hash of its ``GRAM``-byte grams is an anchor (winnowing,
 Schleimer et al. 2003): equal windows choose the same anchor at the same place, so whatever repeats
 meets under its anchor's hash, and every window belongs to one anchor.
 
 * Anchors that occur once are dropped (a count with a map-side combine).
-* An anchor's surroundings, all windows that chose it, are hashed too; where the whole surroundings
-  occur twice, all their windows repeat.
-* What is left are the ends of repeats.  Per anchor the surroundings are put in suffix order to the
-  right of the anchor and in prefix order to its left; the longest common prefixes of neighbours
-  split either order into classes, and a window repeats if another row shares both its classes: the
-  previous or next position in suffix order then has a common prefix of ``length`` or more.
-* Anchors with very many different surroundings are not gathered: their windows are counted by
-  hash instead, which gives the same answer without a group.
-
-Texts are known by a 64-bit hash and their size, so copies are treated as one and no row needs an id.
+* An anchor's surroundings, all windows that chose it, are hashed too: equal surroundings of one anchor become
+  one row with its first position before anything is gathered, so a passage of a third of all texts is one row.
+  All windows of its later occurrences have an earlier copy; this is decided by the two 64-bit hashes alone.
+* Surroundings that differ under one anchor come together in a task.  Their windows are put in suffix
+  order, previous and next smaller positions in that order give the longest previous factors (Crochemore and Ilie
+  2008), and these decide.
+* Under an anchor with very many different surroundings the windows are dealt on by their own hash, where
+  only equal ones meet: the first position is an aggregate and nothing is gathered.
+
+Texts are known by a 64-bit hash and their size; positions go by ``doc``, then text, then place.
 """
 
 from __future__ import annotations
@@ -25,12 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import hand_back, long_texts, materialise, text_or_empty
 
-LENGTH, GRAM, PART, CROWD = 200, 96, 1_000_000, 2_000
+LENGTH, GRAM, PART, CROWD, HOT = 200, 96, 1_000_000, 2_000, 1_000
 _BASE = 0x9E3779B97F4A7C15
 _POS = 24  # bits of a position in the ordering value; the rest is the gram's hash
 
@@ -129,7 +133,7 @@ def _parts(texts: list[bytes], length: int, size: int = PART) -> Iterator[tuple[
         yield pack(held)
 
 
-_OCCURRENCE = "th long, tn int, h1 long, h2 long, at int, lo int, hi int, copies long"
+_OCCURRENCE = "doc long, th long, tn int, h1 long, h2 long, at int, lo int, hi int, copies long"
 
 
 def _occurrences(length: int):
@@ -139,96 +143,114 @@ def _occurrences(length: int):
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(k, 1000) for b in batches for k in range(0, len(b), 1000)):
-            copies: dict[tuple[int, int], list] = {}
-            for th, tn, text in zip(*(batch.column(c).to_pylist() for c in ("th", "tn", "text")), strict=True):
-                copies.setdefault((th, tn), [text, 0])[1] += 1
+            copies: dict[tuple[int, int, int], list] = {}
+            for doc, th, tn, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "th", "tn", "text")), strict=True):
+                copies.setdefault((doc, th, tn), [text, 0])[1] += 1
             keys, texts = [*copies], [v[0].encode("utf-8", "surrogatepass") for v in copies.values()]
-            th, tn = (np.array(x, np.int64) for x in zip(*keys, strict=True)) if keys else (np.empty(0, np.int64),) * 2
+            doc, th, tn = (np.array(x, np.int64) for x in zip(*keys, strict=True)) if keys else (np.empty(0, np.int64),) * 3
             count = np.array([v[1] for v in copies.values()], np.int64)
             for data, last_start, text_no, shift in _parts(texts, length):
                 at, begin, end, h1, h2 = anchors(data, last_start, length)
                 i, o = text_no[at], shift[at]
-                values = th[i], tn[i], h1, h2, at - o, at - begin, at - end, count[i]
+                values = doc[i], th[i], tn[i], h1, h2, at - o, at - begin, at - end, count[i]
                 yield pa.RecordBatch.from_arrays([pa.array(v).cast(t) for v, t in zip(values, schema.types, strict=True)], names)
         hand_back()
 
     return find
 
 
-def _equal_run(rows: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """Common leading bytes of each row and the row before it; 0 for the first."""
-    out = np.zeros(len(rows), np.int64)
-    if len(rows) > 1:
-        differ = rows[1:] != rows[:-1]
-        run = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
-        out[1:] = np.minimum(run, np.minimum(lens[1:], lens[:-1]))
-    return out
-
-
-def _matrix(texts: list[bytes], width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(t.ljust(width, b"\0") for t in texts), np.uint8).reshape(-1, width)
-
+def previous_factors(place: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Longest previous factor of each suffix, the suffixes given in suffix order.
 
-def repeated_windows(group: np.ndarray, around: list[bytes], lo: np.ndarray, hi: np.ndarray, twice: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    ``place`` is a suffix's position, every one different; ``common[i]`` is the length of its common prefix with the suffix before it
+    (0 for the first).  The previous and next smaller positions in suffix order have the longest common prefixes
+    of all smaller ones: a stack of growing positions meets both, with the least common prefix on the way.
+    """
+    n = len(place)
+    found, at, shared = [0] * n, place.tolist(), common.tolist()
+    stack: list[tuple[int, int]] = []  # (suffix, common prefix with its previous smaller position)
+    for i in range(n):
+        least = shared[i]
+        while stack and at[stack[-1][0]] > at[i]:  # i is the next smaller position of what is taken off
+            k, before = stack.pop()
+            found[k] = max(before, least)
+            least = min(least, before)
+        stack.append((i, least if stack else 0))
+    for k, before in stack:
+        found[k] = before
+    return np.array(found, np.int64)
+
+
+def _suffix_order(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common prefix of each with the one before it) of equally long strings, the rows of a byte matrix."""
+    order = np.argsort(np.ascontiguousarray(windows).view(f"V{windows.shape[1]}").ravel(), kind="stable")
+    ranked, common = windows[order], np.zeros(len(order), np.int64)
+    if len(order) > 1:
+        differ = ranked[1:] != ranked[:-1]
+        common[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), windows.shape[1])
+    return order, common
+
+
+def repeated_windows(around: list[bytes], lo: np.ndarray, hi: np.ndarray, twice: np.ndarray, length: int, later_only: bool) -> tuple[np.ndarray, np.ndarray]:
     """Per row the largest and smallest distance from window start to anchor among its repeated windows; -1, -1 if none.
 
-    ``around`` holds the bytes of all windows, the anchor ``lo`` bytes in; ``hi`` is the distance of
-    the last window; rows marked ``twice`` stand for surroundings that occur more than once.
+    ``around`` holds the bytes of all windows of a row, the anchor ``lo`` bytes in; ``hi`` is the distance of the last window.
+    Rows ascend by position, and those marked ``twice`` stand for surroundings that occur again later.
+    Windows of one anchor overlap, so what lies between the two distances is covered too.
     """
-    n = len(around)
-    right = [b[k:] for b, k in zip(around, lo.tolist(), strict=True)]
-    left = [b[:k][::-1] for b, k in zip(around, lo.tolist(), strict=True)]
-    classes = []
-    for texts, width in ((right, length), (left, length - GRAM)):
-        order = np.array(sorted(range(n), key=lambda i: (group[i], texts[i])))
-        common = _equal_run(_matrix([texts[i] for i in order], max(width, 1)), np.array([len(texts[i]) for i in order]))
-        common[np.append(True, group[order][1:] != group[order][:-1])] = -1
-        place = np.empty(n, np.int64)
-        place[order] = np.arange(n)
-        classes.append((common, place))
-    (right_common, right_place), (left_common, left_place) = classes
-    most, least = np.full(n, -1), np.full(n, -1)
-    for d in range(length - GRAM + 1):
-        own = np.flatnonzero((hi <= d) & (d <= lo))
-        if not len(own):
-            continue
-        r = np.cumsum(right_common < length - d)[right_place[own]]
-        key = r * (n + 1) + np.cumsum(left_common < d)[left_place[own]]
-        _, inverse = np.unique(key, return_inverse=True)
-        hits = own[np.bincount(inverse, weights=1 + twice[own])[inverse] > 1]
-        most[hits] = d
-        least[hits] = np.where(least[hits] < 0, d, least[hits])
-    return most, least
-
-
-_ROWS = 20_000
-_COVER = pa.schema([("th", pa.int64()), ("tn", pa.int32()), ("a", pa.int32()), ("b", pa.int32())])
-
-
-def _cover(th, tn, at, most, least, length: int) -> pa.RecordBatch:
-    hit = most >= 0
-    values = th[hit], tn[hit], at[hit] - most[hit], at[hit] - least[hit] + length
-    return pa.RecordBatch.from_arrays([pa.array(v).cast(t) for v, t in zip(values, _COVER.types, strict=True)], schema=_COVER)
-
-
-def _group_kernel(length: int):
+    windows = lo - hi + 1
+    row = np.repeat(np.arange(len(lo)), windows)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+    lens = np.array([len(b) for b in around])
+    data = np.frombuffer(b"".join(around), np.uint8)
+    start = (np.cumsum(lens) - lens)[row] + step
+    order, common = _suffix_order(np.lib.stride_tricks.sliding_window_view(data, length)[start])
+    near = common >= length  # a factor can reach the length only where a neighbour does
+    keep = np.flatnonzero(near | np.append(near[1:], False))
+    repeated = np.zeros(len(order), bool)
+    if len(keep):
+        between = np.minimum.reduceat(common[: keep[-1] + 1], np.append(0, keep[:-1] + 1))  # over what is left out in front of each
+        own = order[keep]
+        repeated[own] = previous_factors(own, between) >= length
+        if not later_only:
+            repeated[own] |= previous_factors(-own, between) >= length
+    if not later_only:
+        repeated |= twice[row]
+    distance = lo[row] - step
+    most, least = np.full(len(lo), -1), np.full(len(lo), np.iinfo(np.int64).max)
+    np.maximum.at(most, row[repeated], distance[repeated])
+    np.minimum.at(least, row[repeated], distance[repeated])
+    return most, np.where(most < 0, -1, least)
+
+
+_WINDOWS = 50_000
+_COVER = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("tn", pa.int32()), ("a", pa.int32()), ("b", pa.int32())])
+_COVERS = "doc long, th long, tn int, a int, b int"
+
+
+def _group_kernel(length: int, later_only: bool):
+    """Covers of the first occurrences of surroundings, from rows that come sorted by anchor, then position."""
+
     def solve(rows: pa.Table) -> pa.RecordBatch:
-        h1, th, tn, at, lo, hi = (rows[c].to_numpy().astype(np.int64) for c in ("h1", "th", "tn", "at", "lo", "hi"))
-        group = np.cumsum(np.append(True, h1[1:] != h1[:-1]))
+        places = [rows[c].to_numpy() for c in ("h1", "doc", "th", "tn", "at")]
+        new = np.logical_or.reduce([p[1:] != p[:-1] for p in places])  # rows of one document and text come as often as the document
+        rows = rows.filter(pa.array(np.append(True, new)))
+        doc, th, tn, at, lo, hi = (rows[c].to_numpy().astype(np.int64) for c in ("doc", "th", "tn", "at", "lo", "hi"))
         twice = rows["twice"].to_numpy(zero_copy_only=False).astype(bool)
-        most, least = repeated_windows(group, rows["around"].to_pylist(), lo, hi, twice, length)
-        most[twice] = -1  # those are covered already
-        return _cover(th, tn, at, most, least, length)
+        most, least = repeated_windows(rows["around"].to_pylist(), lo, hi, twice, length, later_only)
+        hit = most >= 0
+        values = doc[hit], th[hit], tn[hit], at[hit] - most[hit], at[hit] - least[hit] + length
+        return pa.RecordBatch.from_arrays([pa.array(v).cast(t) for v, t in zip(values, _COVER.types, strict=True)], schema=_COVER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for batch in batches:
-            for k in range(0, len(batch), _ROWS):
-                part = pa.Table.from_batches([batch.slice(k, _ROWS)])
+            for k in range(0, len(batch), 500):
+                part = pa.Table.from_batches([batch.slice(k, 500)])
                 held = part if held is None else pa.concat_tables([held, part])
                 h1 = held["h1"].to_numpy()
-                cut = int(np.searchsorted(h1, h1[-1])) if len(h1) else 0
-                if cut:
+                cut = int(np.flatnonzero(h1 != h1[-1])[-1]) + 1 if len(h1) and h1[0] != h1[-1] else 0
+                if cut and int((held["lo"].to_numpy() - held["hi"].to_numpy() + 1)[:cut].sum()) >= _WINDOWS:
                     yield solve(held.slice(0, cut).combine_chunks())
                     held = held.slice(cut)
         if held is not None and len(held):
@@ -239,27 +261,24 @@ def _group_kernel(length: int):
 
 
 def _around_kernel(length: int):
-    """Bytes of the surroundings asked for, from texts that come sorted by hash; a copy of a text adds nothing."""
-    schema = pa.schema([("h1", pa.int64()), ("th", pa.int64()), ("tn", pa.int32()), ("at", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("twice", pa.bool_()), ("crowded", pa.bool_()), ("around", pa.binary())])
+    """Bytes of the surroundings asked for."""
+    schema = pa.schema([("h1", pa.int64()), ("doc", pa.int64()), ("th", pa.int64()), ("tn", pa.int32()), ("at", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("twice", pa.bool_()), ("crowded", pa.bool_()), ("around", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None
         for batch in batches:
             out: list[tuple] = []
-            for th, tn, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("th", "tn", "text", "wanted")), strict=True):
-                if (th, tn) == before:
-                    continue
-                before, data = (th, tn), text.encode("utf-8", "surrogatepass")
-                out += [(w["h1"], th, tn, w["at"], w["lo"], w["hi"], w["twice"], w["crowded"], data[w["at"] - w["lo"] : w["at"] - w["hi"] + length]) for w in wanted]
+            for doc, th, tn, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc", "th", "tn", "text", "wanted")), strict=True):
+                data = text.encode("utf-8", "surrogatepass")
+                out += [(w["h1"], doc, th, tn, w["at"], w["lo"], w["hi"], w["twice"], w["crowded"], data[w["at"] - w["lo"] : w["at"] - w["hi"] + length]) for w in wanted]
             columns = [*zip(*out, strict=True)] or [[] for _ in schema]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
-    return run, "h1 long, th long, tn int, at int, lo int, hi int, twice boolean, crowded boolean, around binary"
+    return run, "h1 long, doc long, th long, tn int, at int, lo int, hi int, twice boolean, crowded boolean, around binary"
 
 
 def _windows_kernel(length: int):
     """One row a window: its anchor's hash, its distance to the anchor and its own hash."""
-    schema = pa.schema([("h1", pa.int64()), ("d", pa.int32()), ("wh", pa.int64()), ("th", pa.int64()), ("tn", pa.int32()), ("at", pa.int32()), ("n", pa.int64())])
+    schema = pa.schema([("h1", pa.int64()), ("d", pa.int32()), ("wh", pa.int64()), ("doc", pa.int64()), ("th", pa.int64()), ("tn", pa.int32()), ("at", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,11 +293,11 @@ def _windows_kernel(length: int):
                 row = np.repeat(np.arange(len(lens)), windows)
                 j = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
                 start = np.repeat(np.cumsum(lens) - lens, windows) + j
-                col = {c: rows.column(c).to_numpy(zero_copy_only=False)[row] for c in ("h1", "th", "tn", "at", "lo", "twice")}
-                values = col["h1"], col["lo"] - j, hashes.of(start, start + length).view(np.int64), col["th"], col["tn"], col["at"], 1 + col["twice"].astype(np.int64)
+                col = {c: rows.column(c).to_numpy(zero_copy_only=False)[row] for c in ("h1", "doc", "th", "tn", "at", "lo", "twice")}
+                values = col["h1"], col["lo"] - j, hashes.of(start, start + length).view(np.int64), col["doc"], col["th"], col["tn"], col["at"], 1 + col["twice"].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(v).cast(t) for v, t in zip(values, schema.types, strict=True)], schema=schema)
 
-    return run, "h1 long, d int, wh long, th long, tn int, at int, n long"
+    return run, "h1 long, d int, wh long, doc long, th long, tn int, at int, n long"
 
 
 def merged_spans(covers: np.ndarray) -> list[tuple[int, int]]:
@@ -300,56 +319,78 @@ def span_lists(covers: pa.ListArray) -> Iterator[list[tuple[int, int]]]:
         yield merged_spans(flat[a:b])
 
 
-def keyed(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with its text as ``text`` (null: empty), its hash ``th`` and its bytes ``tn``."""
+def keyed(docs: DataFrame, text_col: str = "text", doc: Column | None = None) -> DataFrame:
+    """``docs`` with its text as ``text`` (null: empty), its hash ``th``, its bytes ``tn`` and its place ``doc`` in the corpus."""
     docs = docs.withColumn("text", text_or_empty(text_col))
-    return docs.withColumn("th", F.xxhash64("text")).withColumn("tn", F.octet_length("text"))
+    place = F.lit(0).cast("long") if doc is None else F.coalesce(doc.cast("long"), F.lit(-(2**63)))
+    return docs.withColumns({"th": F.xxhash64("text"), "tn": F.octet_length("text"), "doc": place})
+
+
+def beside(rows: DataFrame, sizes: DataFrame, keys: list[str], extra: list[str]) -> DataFrame:
+    """``rows`` with the columns ``extra`` of ``sizes`` (``keys``, ``n`` rows each) by an inner join, spread if a key is hot.
+
+    Keys with more than one of ``HOT`` parts of all rows are ``HOT`` at most, so they are broadcast; others are shuffled.
+    """
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(sizes.where(F.col("n") > total / HOT).select(*keys, *extra))
+    cool = sizes.where(F.col("n") <= total / HOT).select(*keys, *extra)
+    few = rows.join(F.broadcast(sizes.where(F.col("n") > total / HOT).select(*keys)), keys, "left_anti").join(cool, keys)
+    return rows.join(hot, keys).unionByName(few)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
-    """(keyed ``docs``, ``th, tn, covers``): covers are byte ranges [a, b) that may overlap.
+def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, doc: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(keyed ``docs``, ``doc, th, tn, covers``): covers are byte ranges [a, b) that may overlap.
 
     Covered are all bytes of ``length``-byte strings that start elsewhere too, in the same text or
-    another, judged on the input; matches never cross texts.
+    another, judged on the input; matches never cross texts.  With ``doc``, an id that orders the corpus (null:
+    first; then text, then place), only strings that start at an earlier place too are covered, so that the first copy
+    stays; rows of one id and text are one document.  Null texts are empty; an empty table gives no covers.
     """
     long_texts(docs.sparkSession)
-    docs = keyed(docs)
-    long = docs.where(F.col("tn") >= length).select("th", "tn", "text")
+    later_only = doc is not None
+    docs = keyed(docs, doc=doc)
+    long = docs.where(F.col("tn") >= length).select("doc", "th", "tn", "text")
     seen = long.mapInArrow(_occurrences(length), _OCCURRENCE)
     counts = seen.groupBy("h1").agg(F.sum("copies").alias("n"), F.min("h2").alias("x"), F.max("h2").alias("y"))
     counts = materialise(counts.where("n > 1").select("h1", (F.col("x") == F.col("y")).alias("alike")))
     several = materialise(seen.join(counts, "h1"))
-    kinds = several.where("not alike").groupBy("h1", "h2").agg(F.sum("copies").alias("n"), F.min(F.struct("th", "tn", "at", "lo", "hi")).alias("one"))
-    kinds = materialise(kinds.select("h1", "h2", (F.col("n") > 1).alias("twice"), "one"))
-    crowds = kinds.groupBy("h1").agg((F.count(F.lit(1)) > crowd).alias("crowded"))
-    span = lambda df: df.select("th", "tn", (F.col("at") - F.col("lo")).alias("a"), (F.col("at") - F.col("hi") + length).alias("b"))
-    whole = span(several.where("alike")).unionByName(span(several.where("not alike").join(kinds.where("twice").select("h1", "h2"), ["h1", "h2"])))
-
-    asked = kinds.join(crowds, "h1").select("one.th", "one.tn", F.struct("h1", "one.at", "one.lo", "one.hi", "twice", "crowded").alias("w"))
-    asked = asked.groupBy("th", "tn").agg(F.collect_list("w").alias("wanted"))  # as many as one text has anchors
+    place = F.struct("doc", "th", "tn", "at", "lo", "hi")
+    asks = several if later_only else several.where("not alike")  # all copies of the only surroundings go anyway
+    kinds = asks.groupBy("h1", "h2").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n"), F.min(place).alias("one"), F.first("alike").alias("alike"))
+    kinds = materialise(kinds.select("h1", "h2", "n", "alike", (F.col("copies") > 1).alias("twice"), "one"))
+    span = lambda df: df.select("doc", "th", "tn", (F.col("at") - F.col("lo")).alias("a"), (F.col("at") - F.col("hi") + length).alias("b"))
+    again = beside(asks, kinds.where("twice"), ["h1", "h2"], ["one"])
+    covers = span(again.where(place != F.col("one"))) if later_only else span(several.where("alike")).unionByName(span(again))
+
+    differing = kinds.where("not alike")
+    crowds = differing.groupBy("h1").agg((F.count(F.lit(1)) > crowd).alias("crowded"))
+    asked = differing.join(crowds, "h1").select("one.doc", "one.th", "one.tn", F.struct("h1", "one.at", "one.lo", "one.hi", "twice", "crowded").alias("w"))
+    asked = asked.groupBy("doc", "th", "tn").agg(F.collect_list("w").alias("wanted"))  # as many as one text has anchors
     around, schema = _around_kernel(length)
-    around = materialise(docs.select("th", "tn", "text").join(asked, ["th", "tn"]).mapInArrow(around, schema))
-    few = around.where("not crowded").drop("crowded").repartition("h1").sortWithinPartitions("h1")
-    ends = few.mapInArrow(_group_kernel(length), "th long, tn int, a int, b int")
-    covers = whole.unionByName(ends)
+    around = materialise(docs.select("doc", "th", "tn", "text").join(asked, ["doc", "th", "tn"]).mapInArrow(around, schema))
+    few = around.where("not crowded").drop("crowded").repartition("h1").sortWithinPartitions("h1", "doc", "th", "tn", "at")
+    covers = covers.unionByName(few.mapInArrow(_group_kernel(length, later_only), _COVERS))
     if not around.where("crowded").isEmpty():
         windows, schema = _windows_kernel(length)
         windows = around.where("crowded").mapInArrow(windows, schema)
-        again = windows.groupBy("h1", "d", "wh").agg(F.sum("n").alias("n")).where("n > 1").select("h1", "d", "wh")
-        hits = windows.where("n = 1").join(materialise(again), ["h1", "d", "wh"])
-        covers = covers.unionByName(hits.groupBy("th", "tn", "at").agg(F.max("d").alias("lo"), F.min("d").alias("hi")).transform(span))
-    return docs, covers.distinct().groupBy("th", "tn").agg(F.collect_list(F.struct("a", "b")).alias("covers"))
+        start = F.struct("doc", "th", "tn", "at")
+        met = materialise(windows.groupBy("h1", "d", "wh").agg(F.sum("n").alias("copies"), F.count(F.lit(1)).alias("n"), F.min(start).alias("one")).where("copies > 1").select("h1", "d", "wh", "n", "one"))
+        hits = beside(windows, met, ["h1", "d", "wh"], ["one"])
+        hits = hits.where(start != F.col("one")) if later_only else hits
+        covers = covers.unionByName(hits.groupBy("doc", "th", "tn", "at").agg(F.max("d").alias("lo"), F.min("d").alias("hi")).transform(span))
+    return docs, covers.distinct().groupBy("doc", "th", "tn").agg(F.collect_list(F.struct("a", "b")).alias("covers"))
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, id_col: str = "doc_id") -> DataFrame:
     """``row`` (struct of the other columns of ``docs``), ``text`` less its repeated strings, and ``spans`` (removed bytes, [a, b)).
 
-    Null texts become empty.  A character stays where only some of its bytes repeat.  Repeated
-    rows are copies of each other, so long ones lose their whole text.
+    Later copies go and the first one stays, by ``id_col`` (null ids first), then text, then place.
+    Null texts become empty.  A character stays where only some of its bytes repeat.  Rows of one id and text
+    are one document and stay alike; other copies of a long text lose it whole.
     """
     others = [F.col(c) for c in docs.columns if c != "text"] or [F.lit(0).alias("none")]
-    keyed_docs, covers = repeated_spans(docs.select(F.struct(*others).alias("row"), "text"), length, crowd)
-    joined = keyed_docs.join(covers, ["th", "tn"], "left")
+    keyed_docs, covers = repeated_spans(docs.select(F.struct(*others).alias("row"), "text"), length, crowd, F.col(f"row.`{id_col}`"))
+    joined = keyed_docs.join(covers, ["doc", "th", "tn"], "left")
 
     kind = joined.schema["row"].dataType.simpleString()
     return joined.select("row", "text", "covers").mapInArrow(_cut_rows, f"row {kind}, text string, spans array<struct<a: int, b: int>>")
