@@ -127,7 +127,7 @@ def _search_keys(distance: int, more: tuple[str, ...] = (), total: int = 0):
     """Kernel over rows sorted by (kind, key): links that join what is at most ``distance`` bits apart in ``fp``.
 
     With ``more`` columns, all pairs are given, named by the column ``node``, that are also at most
-    ``total`` bits apart in all columns together, differ in ``root``, and differ in ``side`` unless it is -1.
+    ``total`` bits apart in all columns together, differ in ``root`` and in ``home``, and differ in ``side`` unless it is -1.
     """
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,8 +147,8 @@ def _search_keys(distance: int, more: tuple[str, ...] = (), total: int = 0):
                 return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
             pairs = linked_pairs(codes, group, distance, PAIRS if more else 0)
             if more:
-                root, side = (rows[c].to_numpy()[several][order] for c in ("root", "side"))
-                apart = lambda a, b: (root[a] != root[b]) & ((side[a] != side[b]) | (side[a] < 0))
+                root, home, side = (rows[c].to_numpy()[several][order] for c in ("root", "home", "side"))
+                apart = lambda a, b: (root[a] != root[b]) & (home[a] != home[b]) & ((side[a] != side[b]) | (side[a] < 0))
                 near = [(a[ok], b[ok]) for a, b in pairs for ok in [apart(a, b) & (sum(np.bitwise_count(w[a] ^ w[b]).astype(int) for w in (codes, *rest)) <= total)]]
                 a, b = (names[np.concatenate(x)] for x in zip(*near, strict=True))
                 return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
@@ -224,7 +224,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``id_col, fp, component_id`` of every row: links join fingerprints at most ``distance`` bits apart.
 
     ``component_id`` is the smallest non-null id reachable, the row's own included.  Null texts
-    count as empty; repeated rows and equal texts share a fingerprint and so a component.
+    count as empty; repeated rows and equal texts share a fingerprint and so a component.  Texts of any
+    length are taken whole; an empty table gives no rows.
     """
     own = materialise(fingerprints(docs, id_col, text_col, size))
     distinct = materialise(own.groupBy("fp").agg(F.min(id_col).alias("first")))
@@ -297,6 +298,17 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, text_col: str, size: int) ->
     return materialise(texts.groupBy("node").agg(F.first("text").alias("text")).select("node", packed("text").alias("set")))
 
 
+def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` ``a, b`` with their shingle sets ``set_a, set_b``; a node of very many pairs goes to several tasks."""
+    for side in ("a", "b"):
+        parts = pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / 1000).cast("int").alias("parts"))
+        own = parts.join(sets.select(F.col("node").alias(side), F.col("set").alias(f"set_{side}")), side)
+        own = own.select(side, f"set_{side}", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+        other = F.col("b" if side == "a" else "a")
+        pairs = pairs.join(parts, side).withColumn("salt", F.pmod(F.hash(other), "parts")).drop("parts").join(own, [side, "salt"]).drop("salt")
+    return pairs.select("a", "b", "set_a", "set_b")
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, whole = SIMILAR
     for batch in batches:
@@ -311,13 +323,27 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The ``pairs`` ``a, b`` whose shingle ``sets`` have a Jaccard similarity of ``SIMILAR`` or more, exactly."""
-    for side in ("a", "b"):
-        parts = pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / 1000).cast("int").alias("parts"))  # a node of very many pairs goes to several tasks
-        own = parts.join(sets.select(F.col("node").alias(side), F.col("set").alias(f"set_{side}")), side)
-        own = own.select(side, f"set_{side}", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
-        other = F.col("b" if side == "a" else "a")
-        pairs = pairs.join(parts, side).withColumn("salt", F.pmod(F.hash(other), "parts")).drop("parts").join(own, [side, "salt"]).drop("salt")
-    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(_similar, "a long, b long")
+    return with_sets(pairs, sets).mapInArrow(_similar, "a long, b long")
+
+
+def _against_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes: list[tuple[int, int, int]] = []
+        novel: list[np.ndarray] = []
+        for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            new = np.setdiff1d(y, x, assume_unique=True)
+            sizes.append((len(x), len(y), len(y) - len(new)))
+            novel.append(new.view(np.int64))
+        columns = [pa.array(c, pa.int32()) for c in zip(*sizes, strict=True)] or [pa.array([], pa.int32())] * 3
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *columns, pa.array(novel, pa.list_(pa.int64()))], ["pivot", "node", "size", "n", "o", "novel"])
+    hand_back()
+
+
+def against_pivots(attached: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pivot, node, size, n, o, novel`` of ``attached`` (``pivot, node``): sizes of both sets, how much they share, and what only the node has."""
+    pairs = attached.select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    return with_sets(pairs, sets).mapInArrow(_against_pivot, "pivot long, node long, size int, n int, o int, novel array<long>")
 
 
 def rooted(dealt: DataFrame, roots: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -327,12 +353,39 @@ def rooted(dealt: DataFrame, roots: DataFrame | None) -> tuple[DataFrame, DataFr
     return dealt, materialise(sizes.where("x <> y").select("kind", "key", "n"))
 
 
-def stars(dealt: DataFrame, open_keys: DataFrame, turn: int, crowd: int) -> DataFrame:
-    """Pairs ``a, b`` of one row of every key of more than ``crowd`` rows with the key's other rows."""
-    rows = dealt.join(open_keys.where(F.col("n") > crowd).select("kind", "key"), ["kind", "key"])
-    middle = rows.groupBy("kind", "key").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("m"))
-    found = rows.join(middle, ["kind", "key"]).where("root <> m.root").select(F.col("m.node").alias("a"), F.col("node").alias("b"))
-    return materialise(found.distinct())
+def pivots(rows: DataFrame, crowded: DataFrame) -> DataFrame:
+    """``pivot, node, fame``: every row of the ``crowded`` keys (``kind, key, n``) with the pivot of each of its keys.
+
+    A node's fame is the number of rows that share its keys; the most famous one is the pivot of a key.  In a group of copies
+    that is the text they were made from, if it is there, since it has the commonest keys.
+    """
+    rows = rows.join(crowded, ["kind", "key"])
+    fame = rows.groupBy("node").agg(F.sum("n").alias("fame"))
+    middle = rows.join(fame, "node").groupBy("kind", "key").agg(F.max(F.struct("fame", F.xxhash64("node").alias("h"), "node")).alias("m"))
+    return rows.join(middle, ["kind", "key"]).select(F.col("m.node").alias("pivot"), "node", F.col("m.fame").alias("fame")).where("pivot <> node").distinct()
+
+
+def around_pivots(facts: DataFrame, roots: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs ``a, b`` around one pivot that can still be similar, ``kind, key, node`` of what is too common to pair).
+
+    Two nodes share at most the lesser of their overlaps with the pivot and what both have beyond it.  So pairs of different roots are similar only
+    if their sizes and overlaps alone allow it, or if they share something that the pivot has not.
+    """
+    part, whole = SIMILAR
+    named = facts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    tokens = named.select("pivot", "node", "root", F.explode("novel").alias("t"))
+    met = tokens.groupBy("pivot", "t").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("x"), F.max("root").alias("y")).where("c > 1 and x <> y")
+    met = materialise(met.select("pivot", "t", "c"))
+    few = tokens.join(met.where(F.col("c") <= crowd), ["pivot", "t"])
+    side = lambda n: few.select("pivot", "t", F.col("node").alias(n), F.col("root").alias(f"r{n}"))
+    sharing = side("a").join(side("b"), ["pivot", "t"]).where("a < b and ra <> rb").select("a", "b")
+    common = tokens.join(met.where(F.col("c") > crowd), ["pivot", "t"]).select(F.lit(-1).alias("kind"), F.xxhash64("pivot", "t").alias("key"), "node").distinct()
+    most = F.floor(((whole + part) * F.col("o") - part * F.col("n")) / part).cast("int")  # the largest size that overlap allows
+    small = named.where((whole * F.col("o") < part * (F.col("size") + F.col("n") - F.col("o"))) | (F.col("n") < F.col("size")))
+    small = small.where(most >= F.col("o")).select("pivot", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("o").alias("oa"), F.explode(F.sequence("o", most)).alias("n"))
+    large = named.select("pivot", "n", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("o").alias("ob"))
+    sized = small.join(large, ["pivot", "n"]).where("ob >= oa and ra <> rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return sharing.unionByName(sized).distinct(), common
 
 
 def celled(dealt: DataFrame, open_keys: DataFrame, cell: int) -> DataFrame:
@@ -358,9 +411,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (1 - 0.8 ** ROWS) ** BANDS, less than 0.01.  Of them the 256-bit SimHash must differ in at most
     ``SIMILAR_BITS`` bits: at 0.8, 39 bits are expected to differ with a deviation of 6.
 
-    A key of more than ``crowd`` texts first meets one of them, in ``STARS`` rounds, and what is alike
-    gets one root; then pairs of different roots only are searched, in parts of about ``cell`` texts.
-    Null texts are empty; ``th`` is the text's hash and ``node`` that of its shingles.
+    A key of more than ``crowd`` texts is not paired: its texts meet one of them, the pivot, and what is similar to it
+    gets one root; the rest is found through what texts have beyond the pivot (:func:`around_pivots`), where what is too common makes the next
+    round's keys.  After ``STARS`` rounds, and in all other keys, pairs of different roots are searched, in parts of about ``cell`` texts.
+    Null texts are empty, and texts without words are near copies of each other; ``th`` is the text's hash and
+    ``node`` that of its shingles.  Repeated rows stay; an empty table gives no rows.
     """
 
     long_texts(docs.sparkSession)
@@ -378,27 +433,45 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     several = dealt.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("kind", "key")
     dealt = materialise(dealt.join(several, ["kind", "key"]))
     sets = shingle_sets(docs, dealt.select("node").distinct().join(distinct.select("node", "th"), "node"), text_col, size)
-    links, roots = [], None
-    rows, left = rooted(dealt, None)
+    links, roots, homes, keys = [], None, None, dealt
     for turn in range(STARS):
-        if left.where(F.col("n") > crowd).isEmpty():
+        rows, left = rooted(keys, roots)
+        crowded = left.where(F.col("n") > crowd)
+        if crowded.isEmpty():
+            keys = keys.where("false")
             break
-        links.append(materialise(similar(stars(rows, left, turn, crowd), sets)))
+        attached = materialise(pivots(rows, crowded))
+        if not turn:
+            homes = attached.groupBy("node").agg(F.max(F.struct("fame", "pivot")).alias("h")).select("node", F.col("h.pivot").alias("home"))
+        facts = materialise(against_pivots(attached.select("pivot", "node"), sets))
+        part, whole = SIMILAR
+        links.append(facts.where(whole * F.col("o") >= part * (F.col("size") + F.col("n") - F.col("o"))).select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+        roots = components(functools.reduce(DataFrame.unionByName, links))
+        near, common = around_pivots(facts, roots, crowd)
+        links.append(materialise(similar(materialise(near), sets)))
         roots = components(functools.reduce(DataFrame.unionByName, links))
-        rows, left = rooted(dealt, roots)
-    cells = celled(rows, left, cell).repartition("kind", "key").sortWithinPartitions("kind", "key")
+        keys = materialise(common.join(distinct.select("node", F.col("w0").alias("fp"), *WIDE[1:]), "node"))
+    # keys that were never crowded, and what is left of those that still are
+    rows, left = rooted(dealt, roots)
+    cells = celled(rows, left.where(F.col("n") <= crowd), cell)
+    home = F.col("node").alias("home")
+    if homes is not None:
+        rows, left = rooted(keys, roots)
+        cells, home = cells.unionByName(celled(rows, left, cell)).join(homes, "node", "left"), F.when(F.col("kind") >= 0, F.coalesce("home", "node")).otherwise(F.col("node")).alias("home")
+    cells = cells.select("kind", "key", "node", "fp", *WIDE[1:], "root", "side", home).repartition("kind", "key").sortWithinPartitions("kind", "key")
     pairs = materialise(cells.mapInPandas(_search_keys(FIRST_BITS, WIDE[1:], SIMILAR_BITS), "a long, b long").distinct())
     roots = components(functools.reduce(DataFrame.unionByName, links + [similar(pairs, sets)]))
     return own.select(id_col, "th", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row of ``docs`` with the smallest (id, text hash) of every group; of repeated rows one.
+    """The row of ``docs`` with the smallest (id, text hash) of every group; of repeated rows the first by a hash of the row.
 
-    ``groups`` is a result of :func:`near_copies` for ``docs``; rows with a null id count as smallest.
+    ``groups`` is a result of :func:`near_copies` for ``docs``; rows with a null id count as smallest.  An empty
+    table gives no rows.
     """
     name = lambda c: F.coalesce(c.cast("string"), F.lit("~"))
     kept = groups.groupBy("root").agg(F.min(F.struct(id_col, "th")).alias("one")).select(name(F.col(f"one.{id_col}")).alias("_id"), F.col("one.th").alias("_th"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), name(F.col(id_col)).alias("_id"), F.xxhash64(text_or_empty(text_col)).alias("_th")).join(kept, ["_id", "_th"])
-    first = F.row_number().over(Window.partitionBy("_id", "_th").orderBy(F.lit(0)))
+    first = F.row_number().over(Window.partitionBy("_id", "_th").orderBy(F.xxhash64(F.to_json("row")), F.to_json("row")))
     return rows.withColumn("_n", first).where("_n = 1").select("row.*")
