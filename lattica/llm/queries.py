@@ -31,6 +31,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learnt from the texts and labels of four of five id folds.
+
+    ``score`` compares the two best languages (see :func:`identify`); ``und`` and 0 for null texts and texts without letters.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (fold("doc_id", 5) == 0).alias("held_out"))
     model = fit_languages(docs.where("not held_out"))
     return identify(docs, model, ["doc_id", "held_out"])
@@ -49,6 +53,10 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation and conversation -7, formatted and read back: digests of its turns and of what the loss covers.
+
+    Turns go by ``turn`` (null first), role and text; null roles and texts are empty; rows of a null id are one conversation.
+    """
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     says = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], turns.schema)
@@ -63,6 +71,10 @@ def label_domains(labels: DataFrame) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posteriors, rate and copies of every document for the token shares ``MIX_WEIGHTS``.
+
+    Null texts are empty; equal texts have equal rates; without a labelled text every rate is 1.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_domains(docs, label_domains(table(spark, sf_dir, "labels")))
     if model is None:
@@ -74,6 +86,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = PIECE_MODEL) -> DataFrame:
+    """Token ids of every whole text and whether they give the text back; null texts have none."""
     with open(model_path, "rb") as f:
         model = f.read()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.length(text_or_empty("text")).cast("long").alias("n_chars"), F.sha2(text_or_empty("text"), 256).alias("text_sha256"))
@@ -85,21 +98,25 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = PIECE_
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without the 200-byte strings that start twice; all copies go, null texts are empty."""
     docs, covers = repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    joined = docs.join(covers, ["th", "tn"], "left").select("doc_id", "text", "covers")
+    joined = docs.join(covers, ["doc", "th", "tn"], "left").select("doc_id", "text", "covers")
     return joined.mapInArrow(digest_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text; the next document goes by id (null first), then text."""
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; null texts are empty, texts without words have fingerprint 0."""
     found = near_duplicates(table(spark, sf_dir, "documents"), size=3, distance=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every whole text, learnt from the labels of two of three id folds; empty and null texts score alike."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_quality(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1))
     scored = docs.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), quality_score("text", model).alias("score"))
@@ -107,6 +124,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents over eight shards, counts at most one apart; null texts have size 1; equal rows get places of their own."""
     docs = table(spark, sf_dir, "documents").select(
         "doc_id",
         (F.octet_length(text_or_empty("text")) + 1).cast("long").alias("size"),
@@ -117,10 +135,26 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best rows of each vector whose id is divisible by 20; ties go to the smaller id."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", scaled(F.col("embedding")).alias("v"))
     return exact_topk(vectors.where("vec_id % 20 = 0"), vectors, "vec_id", "v", k=20)
 
 
+OP2_SQL = r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select * from (values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')) v(conv_id, turn, role, text)
+), l as (
+  select *, length(role) - length(translate(role, '\<>', '')) + length(text) - length(translate(text, '\<>', '')) as escaped from t
+)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(sum(16 + length(role) + length(text) + escaped) as bigint) as formatted_chars
+from l group by conv_id
+"""
+
 OP9_SQL = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v
@@ -154,4 +188,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_topk": OP9_SQL}
+    return {"op2_chat_formatting": OP2_SQL, "op9_exact_topk": OP9_SQL}

@@ -38,10 +38,10 @@ def test_stages(spark, folder):
         ids.append([r["doc_id"] for r in docs.select("doc_id").collect()])
     assert not {i for i in range(0, 240, 6)} & set(ids[0]) and len({i for i in range(240) if i % 6} - set(ids[0])) <= 4
     assert ids[1].count(2) == 1 and 1000 not in ids[1]
-    assert not [r for r in docs.select("text").collect() if passage in (r["text"] or "")]
+    assert len([r for r in docs.select("text").collect() if passage in (r["text"] or "")]) == 1  # the first copy stays
     toxic = {i for i in range(240) if i % 7 == 1 and i % 6}
     clean = {i for i in range(240) if i % 7 != 1 and i % 6} & set(ids[2])
-    assert len(toxic & set(ids[3])) <= 2 and len(clean - set(ids[3])) <= 3
+    assert len(toxic & set(ids[3])) <= 2 and not clean - set(ids[3]) and len(ids[3]) == len(set(ids[3]))
     assert {"ids", "text", "n_tokens"} <= set(docs.columns)
 
 
