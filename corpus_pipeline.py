@@ -20,23 +20,30 @@ from lattica.llm.suffix_dedup import without_repeats
 
 #: Target token shares of the mixing stage: clean text stays as it is, toxic text nearly goes.
 WEIGHTS = {"clean": 0.999, "toxic": 0.001}
-#: A rate this close to 1 counts as 1, so that a clean document is neither dropped nor doubled by chance.
-SETTLED = 0.5
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a quality score of 0.5 or more; learns from the labels of two of three id folds."""
+    """Keeps documents with a quality score of 0.5 or more; learns from the labels of two of three id folds.
+
+    Null texts score as empty ones, rows that are alike score alike; without labels of both classes all rows stay.
+    """
     model = fit_quality(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1))
     return docs.where(quality_score("text", model) >= 0.5)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of every group of near copies (five-word shingles)."""
+    """Keeps the document with the smallest id (null first) of every group of near copies (five-word shingles).
+
+    Null, empty and wordless texts are one group; of repeated rows one stays; an empty table stays empty.
+    """
     return one_of_each(docs, near_copies(docs, size=5))
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes strings of 200 bytes or more that start twice; documents with nothing left go."""
+    """Removes strings of 200 bytes or more that start at an earlier place too, the first copy stays; documents with nothing left go.
+
+    Earlier goes by id (null first), then place.  Null and short texts stay as they are; an empty table gives none.
+    """
     cut = without_repeats(docs)
     left = cut.where((F.size("spans") == 0) | (F.trim("text") != ""))
     size = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
@@ -45,19 +52,23 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops documents by their fitted rates; see ``WEIGHTS`` and ``SETTLED``."""
+    """Thins documents to their fitted rates so that the token shares are ``WEIGHTS``.
+
+    No rate exceeds 1, since repeated text has just been removed, and a document more likely clean than not keeps
+    its rate of 1; the rest is drawn by a hash of the id.  Null texts are empty and rows that are alike are
+    treated alike; without a labelled text, as in an empty table, all rows stay.
+    """
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("toxic") == 0, "clean")
     model = fit_domains(docs, table(spark, sf_dir, "labels").select("doc_id", domain.alias("domain")))
     if model is None:
         return docs
     members = docs.select(F.struct(*docs.columns).alias("row"), membership("text", model).alias("m"))
-    rated = mixed(materialise(members.select("row", "m.tokens", "m.p")), model, WEIGHTS, keep="clean", id_col="row.doc_id")
-    times = F.when(F.abs(F.col("rate") - 1) < SETTLED, F.lit(1)).otherwise(F.col("copies"))
-    return rated.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")
+    rated = mixed(materialise(members.select("row", "m.tokens", "m.p")), model, WEIGHTS, keep="clean", id_col="row.doc_id", thin=True)
+    return rated.where("copies > 0").select("row.*")
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and its text as decoded from them."""
+    """Token ids of every document, and its text as decoded from them; a null text becomes an empty one without ids."""
     with open(PIECE_MODEL, "rb") as f:
         model = f.read()
     found = encode(docs, model, [c for c in docs.columns if c not in ("text", "n_tokens")])
