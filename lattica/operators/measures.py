@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .regress import nb_fit, pearson_residuals
+
 
 def per_million(counts: DataFrame) -> DataFrame:
     """``spot_id, gene, cpm``."""
@@ -48,6 +50,42 @@ def variable_genes(spots: DataFrame, counts: DataFrame, least_mean: float = 0.1)
     return sums.join(F.broadcast(n)).where(F.col("s") / F.col("n") > least_mean).select("gene")
 
 
+def count_residual_score(spots: DataFrame, y: str, x: str, out: str) -> DataFrame:
+    """Adds ``out``: Pearson residual of the count regression of ``y`` on ``x`` over all spots."""
+    return pearson_residuals(spots, nb_fit(spots, y, [x]), y, [x], out)
+
+
+def adjusted_counts(spots: DataFrame, counts: DataFrame, genes: list[str]) -> DataFrame:
+    """``spot_id, resid``: summed counts of ``genes`` freed of a spot's total count by count regression."""
+    total = counts.groupBy("spot_id").agg(F.sum("cnt").alias("total"))
+    own = marker_sums(spots.select("spot_id"), counts, {"y": genes}).join(total, "spot_id", "left").fillna(0, ["total"])
+    return count_residual_score(own, "y", "total", "resid").select("spot_id", "resid")
+
+
+def prepared(spots: DataFrame, counts: DataFrame, exhaustion: list[str], surface: list[str], least: int = 1, genes: list[str] | None = None, grouping: tuple[float, float] | None = None) -> dict[str, DataFrame]:
+    """The frames that path finding starts from: ``spots`` with sums and score, ``cpm``, ``genes``, ``cells``, ``nodes``, ``members``.
+
+    ``cells`` are the spots with ``least`` surface counts or more, rescaled to their highest score.  ``genes`` varies enough among them (mean above 0.1; of the list given or of all).  With
+    ``grouping`` (reach, gap in score), neighbours of like score become one node, else every cell is a node; ``nodes`` has ``node, x, y, pt, cluster``.
+    """
+    from .subclusters import subcluster_nodes, subclusters
+
+    own = marker_sums(spots, counts, {"ex_sum": exhaustion, "cell_sum": surface})
+    own = residual_score(own, F.col("cell_sum") >= least, "ex_sum", "cell_sum", "ex_score")
+    cells = own.where(F.col("cell_sum") >= least)
+    varied = variable_genes(cells, counts if genes is None else counts.where(F.col("gene").isin(genes)))
+    ends = own.agg(F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min("y").alias("_y0"), F.max("y").alias("_y1"), F.max("ex_score").alias("_s"))  # one row: all spots' box
+    scale = lambda c: (F.col(c) - F.col(f"_{c}0")) * F.col("_s") / (F.col(f"_{c}1") - F.col(f"_{c}0"))
+    cells = cells.join(F.broadcast(ends)).withColumns({"x": scale("x"), "y": scale("y")}).drop("_x0", "_x1", "_y0", "_y1", "_s").withColumn("pt", F.col("ex_score"))
+    if grouping is None:
+        members = cells.select(F.col("spot_id").alias("node"), "spot_id")
+        nodes = cells.select(F.col("spot_id").alias("node"), "x", "y", "pt", "cluster")
+    else:
+        sets = subclusters(cells, *grouping)
+        members, nodes = sets.select("node", F.explode("members").alias("spot_id")), subcluster_nodes(sets, cells)
+    return {"spots": own, "cpm": per_million(counts), "genes": varied, "cells": cells, "nodes": nodes, "members": members}
+
+
 def rescaled(spots: DataFrame, score: str, factor: float = 1.0) -> DataFrame:
     """Coordinates moved to the origin and stretched so that each axis ends at the largest score times ``factor``."""
     ends = spots.agg(F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min("y").alias("_y0"), F.max("y").alias("_y1"), F.max(score).alias("_s"))

@@ -18,28 +18,43 @@ def point_line_distance(p: tuple[Column, ...], a: tuple[Column, ...], b: tuple[C
 
 
 def steps(paths: DataFrame, values: DataFrame, cols: list[str], by: str = "path_id") -> DataFrame:
-    """Per step of a path the change of each of ``cols`` (joined on ``node``) and the distance in x, y if present."""
+    """``by, pos, node`` of each step's end, the change of each of ``cols`` (joined on ``node``) and, with x and y, the distance ``d``."""
     w = Window.partitionBy(by).orderBy("pos")
     joined = paths.join(values, "node")
-    deltas = {f"d_{c}": F.col(c) - F.lag(c).over(w) for c in cols}
-    return joined.withColumns(deltas).where(F.col("pos") > 1)
+    change = lambda c: F.col(c) - F.lag(c).over(w)
+    found = {f"d_{c}": change(c) for c in cols}
+    if {"x", "y"} <= set(values.columns):
+        found["d"] = F.sqrt(change("x") * change("x") + change("y") * change("y"))
+    return joined.withColumns(found | {"_k": F.row_number().over(w)}).where("_k > 1").select(by, "pos", "node", *found)
 
 
 def overlaps(paths: DataFrame, least: int = 2) -> DataFrame:
-    """``a, b, shared`` of path pairs a < b that share more than ``least`` nodes, by an equi-join on the node."""
+    """``a, b, shared`` of path pairs a < b that share more than ``least`` nodes.
+
+    Two such paths share ``least`` + 1 nodes, so one of these is among the ``size - least`` rarest nodes of either (prefix filter of set joins);
+    candidates meet on those only, and their node arrays are then compared.
+    """
     one = paths.select("path_id", "node").distinct()
-    met = one.withColumnRenamed("path_id", "a").join(one.withColumnRenamed("path_id", "b"), "node").where("a < b")
-    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") > least)
+    rare = one.groupBy("node").agg(F.count(F.lit(1)).alias("_f"))
+    sets = one.join(rare, "node").groupBy("path_id").agg(F.sort_array(F.collect_list(F.struct("_f", "node"))).alias("_s")).select("path_id", F.transform("_s", lambda s: s["node"]).alias("set"))
+    head = sets.where(F.size("set") > least).select("path_id", "set", F.explode(F.slice("set", F.lit(1), F.size("set") - least)).alias("node"))
+    side = lambda n: head.select(F.col("path_id").alias(n), F.col("set").alias(f"set_{n}"), "node")
+    met = side("a").join(side("b"), "node").where("a < b").dropDuplicates(["a", "b"])
+    return met.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).cast("long").alias("shared")).where(F.col("shared") > least)
 
 
 def contained(paths: DataFrame) -> DataFrame:
-    """``path_id`` of paths whose nodes all lie in another path; of equal sets the smallest id is not listed."""
+    """``path_id`` of paths whose nodes all lie in another path; of equal sets the smallest id is not listed.
+
+    A containing path has the contained one's rarest node, so each path is compared with the paths through that node alone.
+    """
     one = paths.select("path_id", "node").distinct()
-    size = one.groupBy("path_id").agg(F.count(F.lit(1)).alias("n"))
-    met = one.withColumnRenamed("path_id", "a").join(one.withColumnRenamed("path_id", "b"), "node").where("a <> b")
-    shared = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    both = shared.join(size.select(F.col("path_id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("path_id").alias("b"), F.col("n").alias("nb")), "b")
-    return both.where((F.col("shared") == F.col("na")) & ((F.col("nb") > F.col("na")) | (F.col("b") < F.col("a")))).select(F.col("a").alias("path_id")).distinct()
+    rare = one.groupBy("node").agg(F.count(F.lit(1)).alias("_f"))
+    sets = one.join(rare, "node").groupBy("path_id").agg(F.sort_array(F.collect_list(F.struct("_f", "node"))).alias("_s")).select("path_id", F.transform("_s", lambda s: s["node"]).alias("set"))
+    small = sets.select(F.col("path_id").alias("a"), F.col("set").alias("set_a"), F.col("set")[0].alias("node"))
+    large = sets.select(F.col("path_id").alias("b"), F.col("set").alias("set_b"), F.explode("set").alias("node"))
+    held = small.join(large, "node").where((F.col("a") != F.col("b")) & (F.size("set_b") >= F.size("set_a")) & (F.size(F.array_except("set_a", "set_b")) == 0))
+    return held.where((F.size("set_b") > F.size("set_a")) | (F.col("b") < F.col("a"))).select(F.col("a").alias("path_id")).distinct()
 
 
 def gene_means(paths: DataFrame, counts: DataFrame, genes: list[str], by: list[str]) -> DataFrame:
@@ -56,7 +71,7 @@ def empirical(observed: DataFrame, controls: DataFrame, strict: bool = False) ->
     ``observed`` has ``gene, obs``; ``controls`` has one ``gene, ctl`` a control set.
     """
     hit = (F.col("ctl") > F.col("obs")) if strict else (F.col("ctl") >= F.col("obs"))
-    both = controls.join(F.broadcast(observed), "gene")
+    both = controls.join(observed.select("gene", "obs"), "gene")
     return both.groupBy("gene", "obs").agg(F.avg(hit.cast("double")).alias("p"), F.avg("ctl").alias("m")).select("gene", "obs", "p", (F.col("obs") / F.col("m")).alias("fold"))
 
 
@@ -86,3 +101,58 @@ def pair_correlations(pairs: DataFrame, vectors: DataFrame, key: str = "vec_id",
     cov = total(F.zip_with("v_a", "v_b", lambda s, t: (s - F.col("_ma")) * (t - F.col("_mb"))))
     va, vb = total(F.transform("v_a", lambda s: (s - F.col("_ma")) * (s - F.col("_ma")))), total(F.transform("v_b", lambda s: (s - F.col("_mb")) * (s - F.col("_mb"))))
     return both.select("a", "b", (cov / F.sqrt(va * vb)).alias("r"))
+
+
+def step_correlations(paths: DataFrame, values: DataFrame, genes: list[str], value: str = "value") -> DataFrame:
+    """``path_id, pos, a, b, r``: Pearson correlation over ``genes`` of each path node with the one before it, zeros included; null where one does not vary.
+
+    From sums over the genes that both nodes have, so values stay sparse and only neighbours on a path meet.
+    """
+    n = float(len(genes))
+    own = values.where(F.col("gene").isin(genes)).groupBy(F.col("spot_id").alias("node")).agg(F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"), F.map_from_entries(F.collect_list(F.struct("gene", F.col(value).cast("double")))).alias("m"))
+    w = Window.partitionBy("path_id").orderBy("pos")
+    at = paths.join(own, "node", "left").select("path_id", "pos", "node", F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("q", F.lit(0.0)).alias("q"), "m")
+    both = at.withColumns({"a": F.lag("node").over(w), "sa": F.lag("s").over(w), "qa": F.lag("q").over(w), "ma": F.lag("m").over(w)}).where("a is not null")
+    dot = F.aggregate(F.coalesce(F.map_keys("m"), F.array().cast("array<string>")), F.lit(0.0), lambda t, g: t + F.element_at("m", g) * F.coalesce(F.element_at("ma", g), F.lit(0.0)))
+    spread = lambda q, t: F.col(q) - F.col(t) * F.col(t) / n
+    r = F.when((spread("q", "s") > 1e-12) & (spread("qa", "sa") > 1e-12), (dot - F.col("s") * F.col("sa") / n) / F.sqrt(spread("q", "s") * spread("qa", "sa")))
+    return both.select("path_id", "pos", "a", F.col("node").alias("b"), r.alias("r"))
+
+
+def mean_correlations(paths: DataFrame, values: DataFrame, genes: list[str], value: str = "value") -> DataFrame:
+    """``path_id, r``: mean correlation of consecutive nodes of each path."""
+    return step_correlations(paths, values, genes, value).groupBy("path_id").agg(F.avg("r").alias("r"))
+
+
+def coherent_paths(paths: DataFrame, alternatives: DataFrame, values: DataFrame, genes: list[str], top_percent: float = 25.0, value: str = "value") -> DataFrame:
+    """``path_id, r, best, n_alt`` of the paths (``path_id, nodes``) that are kept for their mean correlation.
+
+    A path must exceed all its ``alternatives`` (``path_id, nodes``) and the upper ``top_percent`` of all alternatives; with one alternative it must also exceed the
+    80th percentile, with none the 90th.  Of what is left, paths that another one holds go.
+    """
+    flat = lambda df, key: df.select(key, F.posexplode("nodes").alias("pos", "node"))
+    own = mean_correlations(flat(paths, "path_id"), values, genes, value)
+    named = alternatives.select("path_id", "nodes", F.xxhash64("path_id", "nodes").alias("alt"))
+    alt = mean_correlations(flat(named.select(F.col("alt").alias("path_id"), "nodes"), "path_id"), values, genes, value).withColumnRenamed("path_id", "alt")
+    rated = named.select("path_id", "alt").join(alt, "alt")
+    cuts = rated.agg(F.percentile("r", F.array(F.lit(1 - top_percent / 100), F.lit(0.8), F.lit(0.9))).alias("_cut"))  # one row
+    best = rated.groupBy("path_id").agg(F.max("r").alias("best"), F.count(F.lit(1)).alias("n_alt"))
+    both = own.join(best, "path_id", "left").withColumn("n_alt", F.coalesce("n_alt", F.lit(0))).join(F.broadcast(cuts))
+    tops = (F.col("r") > F.col("best")) & (F.col("r") > F.col("_cut")[0]) & ((F.col("n_alt") > 1) | (F.col("r") > F.col("_cut")[1]))
+    kept = both.where(F.when(F.col("n_alt") == 0, F.col("r") > F.col("_cut")[2]).otherwise(tops)).select("path_id", "r", "best", "n_alt")
+    inside = contained(flat(paths.join(kept, "path_id", "left_semi"), "path_id"))
+    return kept.join(inside, "path_id", "left_anti")
+
+
+def long_values(paths: DataFrame, spots: DataFrame, values: DataFrame, genes: list[str], treated: int, score: str = "ex_score", value: str = "cnt") -> DataFrame:
+    """``path_id, x, ex_score, gene, value, trt``: one row a path node and gene, zeros included; ``x`` is the place on the path."""
+    at = paths.join(spots.select(F.col("spot_id").alias("node"), F.col(score).alias("ex_score")), "node", "left")
+    keys = at.select("path_id", F.col("pos").alias("x"), "node", "ex_score", F.explode(F.array(*[F.lit(g) for g in genes])).alias("gene"))
+    own = values.where(F.col("gene").isin(genes)).select(F.col("spot_id").alias("node"), "gene", F.col(value).alias("value"))
+    return keys.join(own, ["node", "gene"], "left").select("path_id", "x", "ex_score", "gene", F.coalesce("value", F.lit(0)).alias("value"), F.lit(treated).alias("trt"))
+
+
+def path_totals(paths: DataFrame, counts: DataFrame) -> DataFrame:
+    """``path_id, umi``: mean total count of a path's nodes."""
+    total = counts.groupBy(F.col("spot_id").alias("node")).agg(F.sum("cnt").alias("t"))
+    return paths.join(total, "node", "left").groupBy("path_id").agg(F.avg(F.coalesce("t", F.lit(0))).alias("umi"))

@@ -78,18 +78,18 @@ def split_by_gap(points: DataFrame, by: list[str], order: list[str], cutoff: flo
     return cut.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by, "run"))).where("_n >= 2").drop("_n")
 
 
-def lines(spots: DataFrame, unit: float, grid: str = "hex", aa: float = 0.2, max_gap: float = 10.0, least: int = 2) -> DataFrame:
+def lines(spots: DataFrame, step: float, grid: str = "hex", aa: float = 0.2, max_gap: float = 10.0, least: int = 2) -> DataFrame:
     """``direction, line_id, pos, spot_id, x, y``: the lattice as ordered lines of each direction.
 
-    Spots whose shared coordinate differs by less than ``aa`` units lie on one line; a line is split where
-    a step exceeds ``max_gap`` units; lines shorter than ``least`` go.  Line ids count from 1 by
+    ``step`` is the smallest distance of two spots.  Spots whose shared coordinate differs by less than ``aa`` steps lie on one line; a line is split where
+    a gap exceeds ``max_gap`` steps; lines shorter than ``least`` go.  Line ids count from 1 by
     the shared coordinate and then along the line.
     """
     out = None
     for name, shared, along in _projected(spots, grid):
         own = spots.select("spot_id", "x", "y", F.round(shared, 6).alias("_v"), along.alias("_along"))
-        own = own.join(islands(own, "_v", unit * aa), "_v")
-        runs = split_by_gap(own, ["island"], ["_along"], unit * max_gap)
+        own = own.join(islands(own, "_v", step * aa), "_v")
+        runs = split_by_gap(own, ["island"], ["_along"], step * max_gap)
         whole = runs.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("island", "run"))).where(F.col("_n") >= least)
         ids = whole.select("island", "run").distinct()
         ids = ids.withColumn("line_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("island", "run")).cast("long"))
@@ -130,18 +130,48 @@ def in_polygon(spots: DataFrame, corners: list[tuple[float, float]]) -> DataFram
 
 
 def expanded_region(region: DataFrame, area: DataFrame, taken: DataFrame, unit: float, times: float = 3.0) -> DataFrame:
-    """Spots of ``area`` outside ``taken`` in the first ring around ``region`` that is ``times`` as large.
+    """``spot_id, ring``: spots of ``area`` outside ``region`` and ``taken`` around the region's middle, ``times`` as many or more.
 
-    Rings begin at 1.4 units and grow by one unit; with too few spots the whole rest is returned.
+    Radii are 2.4, 3.4, ... units from the mean place of the region; ``ring`` counts them from 1.  The first radius with enough spots
+    is taken; where there are never enough, all of the area.
     """
-    size = region.agg(F.count(F.lit(1)).alias("_size"))
-    free = area.join(taken.select("spot_id"), "spot_id", "left_anti")
-    a = free.select("spot_id", "x", "y")
-    near = a.join(F.broadcast(region.select(F.col("x").alias("rx"), F.col("y").alias("ry"))))  # a region is small: tens of spots
-    dist = near.groupBy("spot_id").agg(F.min(F.sqrt(F.pow(F.col("x") - F.col("rx"), 2) + F.pow(F.col("y") - F.col("ry"), 2))).alias("d"))
-    ring = F.greatest(F.lit(0), F.ceil(F.round((F.col("d") - 1.4 * unit) / unit, 9))).cast("long")
-    rings = dist.select("spot_id", "d", ring.alias("ring"))
-    upto = rings.groupBy("ring").agg(F.count(F.lit(1)).alias("n"))
+    middle = region.agg(F.avg("x").alias("_mx"), F.avg("y").alias("_my"), F.count(F.lit(1)).alias("_size"))  # one row
+    gone = taken.select("spot_id").union(region.select("spot_id")).distinct()
+    free = area.select("spot_id", "x", "y").join(gone, "spot_id", "left_anti").join(F.broadcast(middle))
+    d = F.sqrt(F.pow(F.col("x") - F.col("_mx"), 2) + F.pow(F.col("y") - F.col("_my"), 2))
+    ring = F.greatest(F.lit(1), F.ceil(F.round((d - 1.4 * unit) / unit, 9))).cast("long")
+    rings = free.select("spot_id", ring.alias("ring"), "_size")
+    upto = rings.groupBy("ring", "_size").agg(F.count(F.lit(1)).alias("n"))  # one row a radius
     upto = upto.withColumn("c", F.sum("n").over(running(Window.partitionBy(F.lit(0)).orderBy("ring"))))
-    stop = upto.join(F.broadcast(size)).where(F.col("c") >= F.col("_size") * times).agg(F.min("ring").alias("stop"))
+    stop = upto.where(F.col("c") >= F.col("_size") * times).agg(F.min("ring").alias("stop"))
     return rings.join(F.broadcast(stop)).where(F.col("stop").isNull() | (F.col("ring") <= F.col("stop"))).select("spot_id", "ring")
+
+
+def separate_lines(pairs: DataFrame, spots: DataFrame, more_than: int = 0) -> DataFrame:
+    """``direction, line_id, pos, spot_id``: the components of each slope class of ``pairs`` (``a, b, direction``), ordered by y.
+
+    Components of ``more_than`` spots or fewer go; ``line_id`` is a line's smallest spot.
+    """
+    from .graph import components
+
+    out = None
+    for name in (30, 90, 150):
+        own = pairs.where(F.col("direction") == name)
+        nodes = own.select(F.explode(F.array("a", "b")).alias("spot_id")).distinct()
+        found = components(nodes, own.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.lit(name).alias("direction"), F.col("component").alias("line_id"), "spot_id")
+        out = found if out is None else out.unionByName(found)
+    line = ["direction", "line_id"]
+    sizes = out.groupBy(*line).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > more_than)
+    placed = out.join(sizes.select(*line), line, "left_semi").join(spots.select("spot_id", "y"), "spot_id")
+    return placed.select(*line, F.row_number().over(Window.partitionBy(*line).orderBy("y", "spot_id")).alias("pos"), "spot_id")
+
+
+def neighbour_lines(spots: DataFrame, reach: float, more_than: int = 1) -> DataFrame:
+    """Lines from neighbours nearer than ``reach``: pairs by slope class, components of a class, ordered by y."""
+    return separate_lines(slope_class(neighbours(spots, reach)), spots, more_than)
+
+
+def with_self(spots: DataFrame, threshold: float) -> DataFrame:
+    """``src, dst, d``: every spot's neighbours within ``threshold`` and itself."""
+    own = spots.select(F.col("spot_id").alias("src"), F.col("spot_id").alias("dst"), F.lit(0.0).alias("d"))
+    return pairs_within(spots, spots, threshold).select("src", "dst", "d").unionByName(own)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -46,114 +44,156 @@ def segment_ends(segments: DataFrame) -> DataFrame:
 def end_bonus(ends: DataFrame, edges: DataFrame, steep: DataFrame, margins: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(``spot_id, n_add``, edges that stay regular).
 
-    A steep end (``spot_id, direction`` in ``steep``) that is no margin gives a bonus to the neighbour exactly in
-    that direction, unless the neighbour ends a segment in that direction itself; those ends leave the
+    An end that is no margin gives a bonus to the neighbour exactly in its direction, if that neighbour is steep
+    in that direction (``spot_id, direction`` in ``steep``) and is not itself such an end of that direction.  Those ends leave the
     neighbour's regular edges.  ``edges`` has ``src, dst, direction``.
     """
-    inner = ends.join(margins.select("spot_id"), "spot_id", "left_anti").join(steep, ["spot_id", "direction"], "left_semi")
+    inner = ends.join(margins.select("spot_id"), "spot_id", "left_anti")
     met = edges.join(inner.withColumnRenamed("spot_id", "src"), ["src", "direction"])
-    own = ends.select(F.col("spot_id").alias("dst"), "direction")
-    met = met.join(own, ["dst", "direction"], "left_anti")
+    met = met.join(steep.select(F.col("spot_id").alias("dst"), "direction").distinct(), ["dst", "direction"], "left_semi")
+    met = met.join(inner.withColumnRenamed("spot_id", "dst"), ["dst", "direction"], "left_anti")
     bonus = met.groupBy(F.col("dst").alias("spot_id")).agg(F.count(F.lit(1)).alias("n_add"))
     regular = edges.join(met.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_anti")
     return bonus, regular
 
 
-# -------------------------------------------------------------------- chains
-
+def steep_spots(slopes: DataFrame, cut: float = -0.01) -> DataFrame:
+    """``spot_id, direction`` where counts fall: a slope of ``cut`` or less (null: none), seen along the direction or against it.
 
-def _arrays(edges: DataFrame, nodes: list) -> tuple[np.ndarray, np.ndarray]:
-    """Neighbour positions in one array and where each node's begin."""
-    at = {n: i for i, n in enumerate(nodes)}
-    pairs = sorted((at[r["src"]], at[r["dst"]]) for r in edges.select("src", "dst").collect() if r["src"] in at and r["dst"] in at)
-    src = np.array([p[0] for p in pairs], np.int64)
-    return np.array([p[1] for p in pairs], np.int64), np.searchsorted(src, np.arange(len(nodes) + 1))
+    ``slopes`` has ``spot_id, direction, slope``; against a direction the slope has the other sign.
+    """
+    ways = F.array(F.struct("direction", "slope"), F.struct((F.col("direction") - 180).alias("direction"), (-F.col("slope")).alias("slope")))
+    return slopes.select("spot_id", F.explode(ways).alias("d")).where(F.col("d.slope") <= cut).select("spot_id", "d.direction")
 
 
-def _colours(nbr: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
-    """Groups of nodes without edges among them: they can be updated together."""
-    colour = np.full(len(start) - 1, -1)
-    for i in range(len(colour)):
-        used = set(colour[nbr[start[i] : start[i + 1]]].tolist())
-        colour[i] = next(c for c in range(len(colour) + 1) if c not in used)
-    return [np.flatnonzero(colour == c) for c in range(colour.max(initial=-1) + 1)]
+# -------------------------------------------------------------------- chains
 
+#: Parts that the chains of one sample are dealt into; each gets the sample's edges.
+PARTS = 16
 
-MOST_NODES = 2_000_000
 
+def _graph(rows: pd.DataFrame) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """(nodes, per colour its nodes, their neighbours and whose neighbours they are, field, all directed pairs) of ``src, dst, n_add`` rows.
 
-def _sample(nodes: DataFrame) -> list:
-    """Nodes of one tissue sample (a few thousand), counted before they are gathered for the chains."""
-    n = nodes.count()
-    if n > MOST_NODES:
-        raise ValueError(f"{n} spots; sample chains by tissue sample")
-    return sorted(r[0] for r in nodes.select("spot_id").collect())
+    Nodes of one colour have no edges among them and are drawn together, which leaves the sampled distribution as it is.
+    """
+    names, src = np.unique(rows["src"].to_numpy(), return_inverse=True)
+    linked = rows["dst"].notna().to_numpy()
+    owner, other = src[linked], np.searchsorted(names, rows["dst"].to_numpy()[linked].astype(names.dtype))
+    known = (other < len(names)) & (names[np.minimum(other, len(names) - 1)] == rows["dst"].to_numpy()[linked])
+    owner, other = owner[known], other[known]
+    order = np.argsort(owner, kind="stable")
+    owner, other = owner[order], other[order]
+    field = np.zeros(len(names))
+    field[src] = rows["n_add"].fillna(0).to_numpy(float)
+    start, near, colour = np.searchsorted(owner, np.arange(len(names) + 1)).tolist(), other.tolist(), [-1] * len(names)
+    for i in range(len(names)):
+        used = {colour[k] for k in near[start[i] : start[i + 1]]}
+        colour[i] = next(c for c in range(len(used) + 1) if c not in used)
+    parts, of = [], np.array(colour)
+    for c in range(of.max(initial=-1) + 1):
+        group = np.flatnonzero(of == c)
+        mine = of[owner] == c
+        parts.append((group, other[mine], np.searchsorted(group, owner[mine])))
+    return names, parts, field, np.stack([owner, other])
+
+
+def _chained(nodes: DataFrame, edges: DataFrame, bonus: DataFrame | None, chains: DataFrame, kernel, schema: str, sample: str | None) -> DataFrame:
+    """``kernel(chains, graph rows)`` a sample and part of its chains: no graph passes the driver.
+
+    A chain runs in one task, which holds the edges of one tissue sample, some thousand spots; without ``sample`` all spots are one sample.
+    """
+    name = [sample] if sample else []
+    key = F.col(sample) if sample else F.lit(0)
+    rows = nodes.select(*name, F.col("spot_id").alias("src")).join(edges.select(*name, "src", "dst").distinct(), [*name, "src"], "left")
+    if bonus is not None:
+        rows = rows.join(bonus.select(*name, F.col("spot_id").alias("src"), "n_add"), [*name, "src"], "left")
+    else:
+        rows = rows.withColumn("n_add", F.lit(None).cast("double"))
+    rows = rows.select(key.alias("_sample"), "src", "dst", F.col("n_add").cast("double").alias("n_add"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_part"))
+    own = chains.withColumn("_part", F.pmod(F.xxhash64("chain"), F.lit(PARTS)).cast("int"))
+    own = own.withColumn("_sample", F.lit(0)) if not sample else own.join(nodes.select(F.col(sample).alias("_sample")).distinct())  # the few chains, once a sample
+    return own.groupBy("_sample", "_part").cogroup(rows.groupBy("_sample", "_part")).applyInPandas(kernel, schema)
 
 
-def metropolis(nodes: DataFrame, edges: DataFrame, chains: DataFrame, flips: int, tail: int, seed: int = 1) -> DataFrame:
-    """``chain, j, mean_sum``: mean spin-product sum over the last ``tail`` flips of a single-flip chain at coupling ``j``.
+def metropolis(nodes: DataFrame, edges: DataFrame, chains: DataFrame, sweeps: int = 60, tail: int = 10, seed: int = 1, sample: str | None = None) -> DataFrame:
+    """``chain, j, mean_sum``: mean spin-product sum over the last ``tail`` sweeps of a Metropolis chain at coupling ``j``.
 
-    Chains (``chain, j``) run in parallel tasks; a flip is accepted with probability exp(j * change), and a
-    flip's change needs only the node's neighbours.
+    A sweep offers every spot one flip, accepted with probability exp(j * change of the sum), so a chain moves as much on a large
+    sample as on a small one.
     """
-    names = _sample(nodes)
-    shared = nodes.sparkSession.sparkContext.broadcast((len(names), *_arrays(edges, names)))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, nbr, start = shared.value
-        for pdf in batches:
-            out = []
-            for chain, j in zip(pdf["chain"], pdf["j"], strict=True):
-                rng = np.random.default_rng([seed, int(chain)])
-                x = rng.choice([-1, 1], n).tolist()
-                lists = [nbr[start[i] : start[i + 1]].tolist() for i in range(n)]
-                total = sum(x[i] * x[k] for i in range(n) for k in lists[i]) / 2
-                picks, draws, kept = rng.integers(0, n, flips).tolist(), np.log(rng.random(flips)).tolist(), 0.0
-                for t in range(flips):
-                    i = picks[t]
-                    change = -2 * x[i] * sum([x[k] for k in lists[i]])
-                    if j * change > draws[t]:
-                        x[i], total = -x[i], total + change
-                    if t >= flips - tail:
-                        kept += total
+
+    def run(own: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(rows):
+            names, parts, _, (a, b) = _graph(rows)
+            for chain, j in zip(own["chain"].tolist(), own["j"].tolist(), strict=True):
+                rng, kept = np.random.default_rng([seed, int(chain)]), 0.0
+                x = rng.choice(np.array([-1.0, 1.0]), len(names))
+                for sweep in range(sweeps):
+                    for group, others, slot in parts:
+                        change = -2 * x[group] * np.bincount(slot, weights=x[others], minlength=len(group))
+                        x[group] = np.where(np.log(rng.random(len(group))) < j * change, -x[group], x[group])
+                    if sweep >= sweeps - tail:
+                        kept += float(x[a] @ x[b]) / 2
                 out.append((chain, j, kept / tail))
-            yield pd.DataFrame(out, columns=["chain", "j", "mean_sum"])
+        return pd.DataFrame(out, columns=["chain", "j", "mean_sum"])
 
-    return chains.select("chain", "j").repartition("chain").mapInPandas(run, "chain long, j double, mean_sum double")
+    return _chained(nodes, edges, None, chains.select("chain", "j"), run, "chain long, j double, mean_sum double", sample)
 
 
-def gibbs(nodes: DataFrame, edges: DataFrame, bonus: DataFrame, chains: DataFrame, sweeps: int, burn_in: int, scale: float = 1.0, seed: int = 1) -> DataFrame:
+def gibbs(nodes: DataFrame, edges: DataFrame, bonus: DataFrame, chains: DataFrame, sweeps: int = 5000, burn_in: int = 2000, scale: float = 1.0, seed: int = 1, sample: str | None = None) -> DataFrame:
     """``chain, spot_id, prob``: share of sweeps after ``burn_in`` in which a spot is +1.
 
-    ``chains`` has ``chain, j, factor``; the field on a spot is ``factor * n_add``.  Nodes of one colour have no
-    edges among them and are drawn together, which leaves the sampled distribution as it is.
+    ``chains`` has ``chain, j, factor``; the field on a spot is ``factor * n_add``.
     """
-    names = _sample(nodes)
-    add = {r["spot_id"]: r["n_add"] for r in bonus.collect()}  # at most one row a spot, counted above
-    field = np.array([add.get(n, 0) for n in names], float)
-    nbr, start = _arrays(edges, names)
-    shared = nodes.sparkSession.sparkContext.broadcast((np.array(names), nbr, start, _colours(nbr, start), field))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, nbr, start, colours, field = shared.value
-        owner = np.repeat(np.arange(len(ids)), np.diff(start))
-        parts = []
-        for group in colours:
-            mine = np.isin(owner, group)
-            parts.append((group, nbr[mine], np.searchsorted(group, owner[mine])))
-        for pdf in batches:
-            for chain, j, factor in zip(pdf["chain"], pdf["j"], pdf["factor"], strict=True):
+
+    def run(own: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"chain": pd.Series(dtype="int64"), "spot_id": pd.Series(dtype="int64"), "prob": pd.Series(dtype="float64")})]
+        if len(rows):
+            names, parts, field, _ = _graph(rows)
+            for chain, j, factor in zip(own["chain"].tolist(), own["j"].tolist(), own["factor"].tolist(), strict=True):
                 rng = np.random.default_rng([seed, int(chain)])
-                x, hits = rng.choice([-1, 1], len(ids)), np.zeros(len(ids))
+                x, hits = rng.choice(np.array([-1.0, 1.0]), len(names)), np.zeros(len(names))
                 for sweep in range(sweeps):
                     for group, others, slot in parts:
                         total = np.bincount(slot, weights=x[others], minlength=len(group)) + factor * field[group]
-                        x[group] = np.where(rng.random(len(group)) < 1 / (1 + np.exp(-scale * j * total)), 1, -1)
+                        x[group] = np.where(rng.random(len(group)) < 1 / (1 + np.exp(-scale * j * total)), 1.0, -1.0)
                     if sweep >= burn_in:
                         hits += x > 0
-                yield pd.DataFrame({"chain": chain, "spot_id": ids, "prob": hits / max(sweeps - burn_in, 1)})
+                found.append(pd.DataFrame({"chain": chain, "spot_id": names, "prob": hits / max(sweeps - burn_in, 1)}))
+        return pd.concat(found)
+
+    return _chained(nodes, edges, bonus, chains.select("chain", "j", "factor"), run, "chain long, spot_id long, prob double", sample)
+
+
+def coupling_draws(candidates: list[float], draws: int = 10, spread: float = 0.01, seed: int = 1) -> list[tuple[int, float, float]]:
+    """(chain, candidate, drawn coupling): ``draws`` normal draws around each candidate mean."""
+    rng = np.random.default_rng(seed)
+    return [(c * draws + k, float(m), float(m + spread * z)) for c, m in enumerate(candidates) for k, z in enumerate(rng.standard_normal(draws))]
 
-    return chains.select("chain", "j", "factor").repartition("chain").mapInPandas(run, "chain long, spot_id long, prob double")
+
+def fitted_coupling(nodes: DataFrame, edges: DataFrame, spin_sum: float, candidates: list[float], draws: int = 10, sweeps: int = 60, tail: int = 10, seed: int = 1) -> DataFrame:
+    """``mu_q, abs_g`` of every candidate: how far the chains' mean sums and the prior leave the observed sum."""
+    chains = nodes.sparkSession.createDataFrame(coupling_draws(candidates, draws, seed=seed), "chain long, mu_q double, j double")
+    means = metropolis(nodes, edges, chains, sweeps, tail, seed)
+    return coupling_grid(spin_sum, chains.select("chain", "mu_q").join(means, "chain"), 0.3, 0.0049)
+
+
+def resampled_couplings(nodes: DataFrame, edges: DataFrame, sums: DataFrame, wanted: int, candidates: list[float], draws: int = 10, sweeps: int = 60, tail: int = 10, seed: int = 1) -> DataFrame:
+    """``draw, spin_sum, mu_q``: the best coupling for each of ``wanted`` sums drawn from those of a simulation (``spin_sum``), how often they occur counting.
+
+    The chains do not depend on the observed sum, so one run of them serves all draws.
+    """
+    spark = nodes.sparkSession
+    rows = sums.groupBy("spin_sum").agg(F.count(F.lit(1)).alias("n")).orderBy("spin_sum").collect()  # one row a distinct sum
+    p = np.array([r["n"] for r in rows], float)
+    picked = np.random.default_rng(seed).choice(len(rows), wanted, p=p / p.sum())
+    drawn = spark.createDataFrame([(i, float(rows[k]["spin_sum"])) for i, k in enumerate(picked.tolist())], "draw long, spin_sum double")
+    chains = spark.createDataFrame(coupling_draws(candidates, draws, seed=seed), "chain long, mu_q double, j double")
+    means = chains.select("chain", "mu_q").join(metropolis(nodes, edges, chains, sweeps, tail, seed), "chain").groupBy("mu_q").agg(F.avg("mean_sum").alias("mean_sum"))
+    gap = F.abs(F.col("spin_sum") - F.col("mean_sum") - (F.col("mu_q") - 0.3) / 0.0049)
+    return drawn.join(F.broadcast(means)).groupBy("draw", "spin_sum").agg(F.min_by("mu_q", F.struct(gap, "mu_q")).alias("mu_q"))  # as many means as candidates
 
 
 def coupling_grid(spin_sum: float, means: DataFrame, mu: float, sigma2: float) -> DataFrame:
