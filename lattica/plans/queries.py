@@ -2,66 +2,19 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.stats import adjusted, average_rank, rand_index
-from ..operators import compare, graph, measures, paths, segments, spatial, spins
+from ..operators import compare, graph, measures, paths, regress, segments, spatial, spins
+from ..operators.subclusters import subcluster_nodes, subclusters
 from ..sources import tables as T
 from ..sources.tables import COUNTS_SQL, PATHS_SQL, SERIES_SQL, SPOTS_SQL
-
-#: Gene lists of the driver's tables that stand for exhaustion and surface markers.
-EX, CELL = ["NO", "RF"], ["AF", "NF"]
-GENES = ["AF", "AO", "NF", "NO", "RF", "RO"]
-CORNERS = [(2.0, 2.0), (12.0, 4.0), (9.0, 11.0), (4.0, 9.0)]
-REACH = 1.5
-
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None, ctes: tuple[str, ...] = ()):
-    """Register a query; the SQL's doubles and the query's are rounded alike by the query itself."""
-
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = ("with " + ",".join(ctes) + " " if ctes else "") + sql
-        return f
-
-    return add
-
-
-def r6(c, name=None):
-    col = F.col(c) if isinstance(c, str) else c
-    return F.round(col, 6).alias(name or c)
-
-
-def scored_spots(spark: SparkSession, sf: str) -> DataFrame:
-    return measures.marker_sums(T.spots(spark, sf), T.counts(spark, sf), {"ex_sum": EX, "cell_sum": CELL})
-
-
-SCORED = """
-scored as (select s.*, coalesce(ex_sum, 0) as ex_sum, coalesce(cell_sum, 0) as cell_sum from spots s left join
-  (select spot_id, cast(sum(case when gene in ('NO','RF') then cnt end) as bigint) as ex_sum, cast(sum(case when gene in ('AF','NF') then cnt end) as bigint) as cell_sum from counts group by 1) m using (spot_id))"""
-EDGES = """
-edges as (select a.spot_id as src, b.spot_id as dst, sqrt((b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y)) as d, b.x-a.x as dx, b.y-a.y as dy
-  from spots a join spots b on a.spot_id <> b.spot_id and abs(a.x-b.x) <= 1.5 and abs(a.y-b.y) <= 1.5 where sqrt((b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y)) <= 1.5)"""
-STATES = """
-states as (select spot_id, case when ex_sum > cell_sum then -1 else 1 end as s from scored)"""
-S1, S2 = (SPOTS_SQL, COUNTS_SQL, SCORED), (SPOTS_SQL, COUNTS_SQL, SCORED, EDGES, STATES)
-
-
-def edges(spark: SparkSession, sf: str) -> DataFrame:
-    return spatial.neighbours(T.spots(spark, sf), REACH)
-
-
-def states(spark: SparkSession, sf: str) -> DataFrame:
-    return scored_spots(spark, sf).select("spot_id", F.when(F.col("ex_sum") > F.col("cell_sum"), -1).otherwise(1).alias("s"))
-
+from .region import CANDIDATES
+from .shared import (
+    ALL_LINES, CELL, CORNERS, EDGES, EX, GAP_LINES, GENES, HEX_LINES, LINE_SEGS, MARGINS, QUERIES, REACH, S1, S2, SCORED, SQL, SQUARE_LINES, URGENT,
+    edges, hex_lines, line_segments, query, r6, scored_spots, states, urgent,
+)
 
 # ------------------------------------------------------------------ measures
 
@@ -138,53 +91,22 @@ def q_slope_class(spark, sf):
     return spatial.slope_class(edges(spark, sf))
 
 
-def _lines_sql(parts: list[tuple[int, str, str]], gone: str, gap: float) -> tuple[str, str]:
-    each = []
-    for name, shared, along in parts:
-        each.append(f"""select {name} as direction, spot_id, pos, dense_rank() over (order by island, run) as line_id from (
-          select *, row_number() over (partition by island, run order by a, spot_id) as pos from (
-          select *, count(*) over (partition by island, run) as n from (
-          select *, sum(cut) over (partition by island order by a, spot_id rows unbounded preceding) as run from (
-          select *, case when sqrt((x - lag(x) over w)*(x - lag(x) over w) + (y - lag(y) over w)*(y - lag(y) over w)) > {gap} then 1 else 0 end as cut from (
-          select *, sum(brk) over (order by v, a, spot_id rows unbounded preceding) as island from (
-          select spot_id, x, y, round({shared}, 6) as v, {along} as a, case when round({shared}, 6) - lag(round({shared}, 6)) over (order by round({shared}, 6), {along}, spot_id) >= 0.204 then 1 else 0 end as brk from spots where {gone}))
-          window w as (partition by island order by a, spot_id)))) where n >= 2)""")
-    return "lines as (" + " union all ".join(each) + ")", "select direction, cast(line_id as bigint) as line_id, cast(pos as integer) as pos, spot_id from lines"
-
-
-_C, _S = math.cos(math.pi / 3), math.sin(math.pi / 3)
-_C2, _S2 = math.cos(2 * math.pi / 3), math.sin(2 * math.pi / 3)
-_HEX = [(30, f"(x*{_C!r} - y*{_S!r})", "y"), (90, "x", "y"), (150, f"(x*{_C2!r} - y*{_S2!r})", "y")]
-_HEX_LINES, _ALL = _lines_sql(_HEX, "true", 10.2)
-_SQUARE_LINES, _ = _lines_sql([(90, "x", "y"), (0, "y", "x")], "true", 10.2)
-_GAP_LINES, _ = _lines_sql(_HEX, "spot_id % 7 <> 3 and spot_id % 11 > 4", 3.06)
-
-
-def hex_lines(spark, sf, max_gap: float = 10.0):
-    return spatial.lines(T.spots(spark, sf), 1.02, "hex", max_gap=max_gap)
-
-
-@query("q_lines_hex", _ALL, (SPOTS_SQL, _HEX_LINES))
+@query("q_lines_hex", ALL_LINES, (SPOTS_SQL, HEX_LINES))
 def q_lines_hex(spark, sf):
     return hex_lines(spark, sf).select("direction", "line_id", "pos", "spot_id")
 
 
-@query("q_lines_square", _ALL, (SPOTS_SQL, _SQUARE_LINES))
+@query("q_lines_square", ALL_LINES, (SPOTS_SQL, SQUARE_LINES))
 def q_lines_square(spark, sf):
-    return spatial.lines(T.spots(spark, sf), 1.02, "square").select("direction", "line_id", "pos", "spot_id")
+    return spatial.lines(T.spots(spark, sf), 1.0, "square").select("direction", "line_id", "pos", "spot_id")
 
 
-@query("q_gap_split", _ALL, (SPOTS_SQL, _GAP_LINES))
+@query("q_gap_split", ALL_LINES, (*S1, GAP_LINES))
 def q_gap_split(spark, sf):
-    left = T.spots(spark, sf).where("spot_id % 7 <> 3 and spot_id % 11 > 4")
-    return spatial.lines(left, 1.02, "hex", max_gap=3.0).select("direction", "line_id", "pos", "spot_id")
+    return spatial.lines(scored_spots(spark, sf).where("cell_sum >= 100"), 1.0, "hex", max_gap=3.5).select("direction", "line_id", "pos", "spot_id")
 
 
-MARGINS = """
-margins as (select distinct spot_id from (select *, max(pos) over (partition by direction, line_id) as m from lines) where pos = 1 or pos = m)"""
-
-
-@query("q_line_margins", "select spot_id from margins", (SPOTS_SQL, _HEX_LINES, MARGINS))
+@query("q_line_margins", "select spot_id from margins", (SPOTS_SQL, HEX_LINES, MARGINS))
 def q_line_margins(spark, sf):
     return spatial.line_margins(hex_lines(spark, sf))
 
@@ -204,8 +126,9 @@ def q_polygon_mask(spark, sf):
     """select spot_id, ring from rings where ring <= coalesce((select min(ring) from (select ring, sum(count(*)) over (order by ring) as c from rings group by ring) where c >= 3 * (select count(*) from region)), 1000000)""",
     (SPOTS_SQL, """
 region as (select * from spots where (x - 8)*(x - 8) + (y - 8)*(y - 8) < 4),
-rings as (select spot_id, cast(greatest(0, ceil(round((min(sqrt((a.x-r.x)*(a.x-r.x) + (a.y-r.y)*(a.y-r.y))) - 1.4) / 1.0, 9))) as bigint) as ring
-  from (select * from spots where spot_id not in (select spot_id from region)) a, (select x, y from region) r group by spot_id)"""),
+middle as (select avg(x) as mx, avg(y) as my from region),
+rings as (select spot_id, cast(greatest(1, ceil(round(sqrt((x-mx)*(x-mx) + (y-my)*(y-my)) - 1.4, 9))) as bigint) as ring
+  from spots, middle where spot_id not in (select spot_id from region))"""),
 )
 def q_expand_region(spark, sf):
     s = T.spots(spark, sf)
@@ -213,6 +136,22 @@ def q_expand_region(spark, sf):
     return spatial.expanded_region(region, s, region, 1.0)
 
 
+@query("q_with_self", "select src, dst, round(d, 6) as d from edges union all select spot_id, spot_id, 0.0 from spots", (SPOTS_SQL, EDGES))
+def q_with_self(spark, sf):
+    return spatial.with_self(T.spots(spark, sf), REACH).select("src", "dst", r6("d"))
+
+
+@query(
+    "q_neighbour_lines",
+    "select direction, line_id, cast(row_number() over (partition by direction, line_id order by y, spot_id) as integer) as pos, spot_id from (select direction, spot_id, min(root) as line_id from walk group by 1, 2) join spots using (spot_id) qualify count(*) over (partition by direction, line_id) > 2",
+    ("recursive " + SPOTS_SQL.lstrip(), EDGES, """
+cls as (select src, dst, case when dx <> 0 and dy / dx > 0 and dy / dx < 1 then 30 when dx <> 0 and dy / dx < 0 and dy / dx > -1 then 150 else 90 end as direction from edges),
+walk as (select distinct direction, src as spot_id, src as root from cls union select c.direction, c.dst, w.root from walk w join cls c on c.src = w.spot_id and c.direction = w.direction)"""),
+)
+def q_neighbour_lines(spark, sf):
+    return spatial.neighbour_lines(T.spots(spark, sf), REACH, more_than=2)
+
+
 # ------------------------------------------------------------ graph, regions
 
 _FIELD = "sin(x / 3) * cos(y / 4) + 1e-7 * spot_id"
@@ -246,8 +185,6 @@ sets as (select list_sort(list(distinct m)) as members from (select spot_id as n
   select src, dst from edges join scored a on a.spot_id = src join scored b on b.spot_id = dst where d < 1.2 and abs(a.ex_sum - b.ex_sum) < 40) group by n)"""),
 )
 def q_subclusters(spark, sf):
-    from ..operators.subclusters import subclusters
-
     scored = scored_spots(spark, sf).withColumn("pt", F.col("ex_sum"))
     return subclusters(scored, reach=1.2, gap=40.0).select("members")
 
@@ -314,9 +251,10 @@ def q_average_rank(spark, sf):
 
 @query("q_path_deltas", "select line_id, pos, y - lag(y) over w as d_y, round(covar - lag(covar) over w, 6) as d_covar from series window w as (partition by line_id order by pos) qualify pos > 1", (SERIES_SQL,))
 def q_path_deltas(spark, sf):
-    w = Window.partitionBy("line_id").orderBy("pos")
     s = T.series(spark, sf)
-    return s.select("line_id", "pos", (F.col("y") - F.lag("y").over(w)).alias("d_y"), r6(F.col("covar") - F.lag("covar").over(w), "d_covar")).where("pos > 1")
+    points = s.select("line_id", "pos", F.struct("line_id", "pos").alias("node"))
+    found = paths.steps(points, s.select(F.struct("line_id", "pos").alias("node"), "y", "covar"), ["y", "covar"], by="line_id")
+    return found.select("line_id", "pos", "d_y", r6("d_covar"))
 
 
 # --------------------------------------------------------------------- spins
@@ -338,33 +276,42 @@ def q_flip_prob(spark, sf):
     return t.select("t", r6(spins.flip_probability(0.3, F.col("t")), "p"))
 
 
-LINE_SEGS = """
-line_segs as (select direction, line_id, pos, spot_id, (pos - 1) // 8 as seg_no from lines),
-ends as (select distinct spot_id, direction - o as direction from (select *, min(pos) over w as a, max(pos) over w as b from line_segs window w as (partition by direction, line_id, seg_no)), (values (0), (180)) t(o) where pos = a or pos = b)"""
+@query("q_endpoints", "select spot_id, cast(direction as integer) as direction from ends", (SPOTS_SQL, HEX_LINES, LINE_SEGS))
+def q_endpoints(spark, sf):
+    return spins.segment_ends(line_segments(spark, sf))
+
+
+_STEEP = """
+seg_slopes as (select direction, line_id, seg_no, regr_slope(ex_sum, pos) as slope from line_segs join scored using (spot_id) group by 1, 2, 3),
+steep as (select distinct spot_id, direction - o as direction from line_segs join seg_slopes using (direction, line_id, seg_no), (values (0, 1), (180, -1)) t(o, f) where round(slope * f, 9) <= -0.01)"""
 
 
-def line_segments(spark, sf):
-    return hex_lines(spark, sf).withColumn("seg_no", F.expr("(pos - 1) div 8"))
+def segment_slopes(spark, sf):
+    """``spot_id, direction, slope``: the least-squares slope of a spot's stretch of eight."""
+    points = line_segments(spark, sf).join(scored_spots(spark, sf).select("spot_id", "ex_sum"), "spot_id")
+    by = ["direction", "line_id", "seg_no"]
+    fit = points.groupBy(*by).agg(F.round(F.regr_slope("ex_sum", "pos"), 9).alias("slope"))
+    return points.join(fit, by).select("spot_id", "direction", "slope")
 
 
-@query("q_endpoints", "select spot_id, cast(direction as integer) as direction from ends", (SPOTS_SQL, _HEX_LINES, LINE_SEGS))
-def q_endpoints(spark, sf):
-    return spins.segment_ends(line_segments(spark, sf))
+@query("q_steep", "select spot_id, direction from steep", (*S1, HEX_LINES, LINE_SEGS, _STEEP))
+def q_steep(spark, sf):
+    return spins.steep_spots(segment_slopes(spark, sf)).distinct()
 
 
 @query(
     "q_bonus",
     "select dst as spot_id, count(*) as n_add from met group by 1",
-    (SPOTS_SQL, EDGES, _HEX_LINES, MARGINS, LINE_SEGS, """
+    (*S1, EDGES, HEX_LINES, MARGINS, LINE_SEGS, _STEEP, """
 dir_edges as (select src, dst, cast(round_even(degrees(atan2(dy, dx)), -1) as integer) as direction from edges),
-met as (select e.* from dir_edges e join ends n on n.spot_id = e.src and n.direction = e.direction
-  where e.src not in (select spot_id from margins) and e.src % 3 <> 0 and not exists (select 1 from ends o where o.spot_id = e.dst and o.direction = e.direction))"""),
+inner_ends as (select * from ends where spot_id not in (select spot_id from margins)),
+met as (select e.* from dir_edges e join inner_ends n on n.spot_id = e.src and n.direction = e.direction join steep s on s.spot_id = e.dst and s.direction = e.direction
+  where not exists (select 1 from inner_ends o where o.spot_id = e.dst and o.direction = e.direction))"""),
 )
 def q_bonus(spark, sf):
-    ends = spins.segment_ends(line_segments(spark, sf))
+    segs = T.written(line_segments(spark, sf))
     directed = edges(spark, sf).withColumn("direction", spatial.direction(F.col("dx"), F.col("dy")))
-    steep = ends.where("spot_id % 3 <> 0")
-    return spins.end_bonus(ends, directed, steep, spatial.line_margins(hex_lines(spark, sf)))[0]
+    return spins.end_bonus(spins.segment_ends(segs), directed, spins.steep_spots(segment_slopes(spark, sf)), spatial.line_margins(segs))[0]
 
 
 # --------------------------------------------------------------------- paths
@@ -403,22 +350,26 @@ def q_path_gene_mean(spark, sf):
     return path_means(spark, sf).select("path_id", "gene", r6("mean"))
 
 
-_EMP = (COUNTS_SQL, PATHS_SQL, MEANS.replace("select path_id, gene, sum", "select path_id, g.gene as gene, sum"), """
-obs as (select gene, avg(mean) as obs from means where path_id % 50 = 0 group by 1),
-ctl as (select path_id % 50 as set_id, gene, avg(mean) as ctl from means where path_id % 50 <> 0 group by 1, 2),
+_EMP = (COUNTS_SQL, PATHS_SQL, URGENT, MEANS.replace("select path_id, gene, sum", "select path_id, g.gene as gene, sum"), """
+obs as (select gene, avg(mean) as obs from means join kinds using (path_id) where "real" group by 1),
+ctl as (select month as set_id, gene, avg(mean) as ctl from means join kinds using (path_id) where not "real" group by 1, 2),
 emp as (select gene, obs, avg(case when ctl >= obs then 1.0 else 0.0 end) as p, obs / avg(ctl) as fold from ctl join obs using (gene) group by 1, 2)""")
 
 
+def _sets(spark, sf):
+    """(observed means of the urgent orders' paths, means of the control sets: the other orders of a month)."""
+    means = path_means(spark, sf).join(urgent(spark, sf), "path_id")
+    obs = means.where("real").groupBy("gene").agg(F.avg("mean").alias("obs"))
+    return obs, means.where("not real").groupBy(F.col("month").alias("set_id"), "gene").agg(F.avg("mean").alias("ctl"))
+
+
 def _empirical(spark, sf):
-    means = path_means(spark, sf).withColumn("set_id", F.col("path_id") % 50)
-    obs = means.where("set_id = 0").groupBy("gene").agg(F.avg("mean").alias("obs"))
-    return paths.empirical(obs, means.where("set_id <> 0").groupBy("set_id", "gene").agg(F.avg("mean").alias("ctl")))
+    return paths.empirical(*_sets(spark, sf))
 
 
 @query("q_gene_mean_sets", "select set_id, gene, round(ctl, 6) as ctl from ctl", _EMP)
 def q_gene_mean_sets(spark, sf):
-    means = path_means(spark, sf).withColumn("set_id", F.col("path_id") % 50).where("set_id <> 0")
-    return means.groupBy("set_id", "gene").agg(r6(F.avg("mean"), "ctl"))
+    return _sets(spark, sf)[1].select("set_id", "gene", r6("ctl"))
 
 
 @query("q_empirical_p", "select gene, round(p, 6) as p from emp", _EMP)
@@ -431,14 +382,31 @@ def q_fold_change(spark, sf):
     return _empirical(spark, sf).select("gene", r6("obs"), r6("fold"))
 
 
-@query("q_volcano_class", "select gene, case when log2(fold) > log2(1.5) and p < 0.05 then 1 when log2(fold) < -log2(1.5) and p < 0.05 then 2 else 3 end as cls from emp", _EMP)
+@query("q_volcano_class", "select gene, case when abs(log2(fold)) > log2(1.5) and (case when p = 0 then 0.001 else p end) <= 0.05 then 2 when abs(log2(fold)) > log2(1.5) or (case when p = 0 then 0.001 else p end) <= 0.05 then 3 else 1 end as cls from emp", _EMP)
 def q_volcano_class(spark, sf):
     return compare.significance(_empirical(spark, sf), "fold", "p").select("gene", "cls")
 
 
-@query("q_complement", "select spot_id from spots where spot_id not in (select node from paths where path_id % 10 = 0)", (SPOTS_SQL, PATHS_SQL))
+@query(
+    "q_volcano",
+    """select gene, round(fold, 6) as fold, round(raw_p, 6) as raw_p, round(p_adj, 6) as p_adj, round(-log10(q), 6) as strength, round(log2(fold), 6) as log_fc,
+  case when fold > 1 and p_adj < 0.1 then 'up' when fold < 1 and p_adj < 0.1 then 'down' end as way,
+  case when abs(log2(fold)) > log2(1.5) and q <= 0.05 then 2 when abs(log2(fold)) > log2(1.5) or q <= 0.05 then 3 else 1 end as cls
+  from (select *, case when p_adj = 0 then 0.001 else p_adj end as q from adj)""",
+    (*_EMP, """
+raw as (select gene, fold, case when fold <= 1 then 1 - p else p end as raw_p from (select gene, avg(case when ctl > obs then 1.0 else 0.0 end) as p, obs / avg(ctl) as fold from ctl join obs using (gene) group by gene, obs)),
+adj as (select *, least(1.0, min(raw_p * n / rk) over (order by rk desc rows unbounded preceding)) as p_adj from (select *, count(*) over () as n, row_number() over (order by raw_p, gene) as rk from raw))"""),
+)
+def q_volcano(spark, sf):
+    found = compare.volcano(*_sets(spark, sf))
+    return found.select("gene", *[r6(c) for c in ("fold", "raw_p", "p_adj", "strength", "log_fc")], "way", "cls")
+
+
+@query("q_complement", "select spot_id from spots where spot_id not in (select node from paths where path_id in (select path_id from paths group by 1 having count(*) > 7))", (SPOTS_SQL, PATHS_SQL))
 def q_complement(spark, sf):
-    on = T.order_paths(spark, sf).where("path_id % 10 = 0").select(F.col("node").alias("spot_id"))
+    p = T.order_paths(spark, sf)
+    long = p.groupBy("path_id").agg(F.count(F.lit(1)).alias("n")).where("n > 7").select("path_id")
+    on = p.join(long, "path_id", "left_semi").select(F.col("node").alias("spot_id")).distinct()
     return T.spots(spark, sf).join(on, "spot_id", "left_anti").select("spot_id")
 
 
@@ -461,18 +429,18 @@ def q_pair_cor(spark, sf):
 # ----------------------------------------------------------- gene comparison
 
 _WELCH = (SPOTS_SQL, COUNTS_SQL, """
-vals as (select s.spot_id, g.gene, case when p_size % 2 = 0 then 0 else 1 end as grp, coalesce(cnt, 0) as v from spots s cross join (select distinct gene from counts) g left join counts c on c.spot_id = s.spot_id and c.gene = g.gene),
+vals as (select s.spot_id, g.gene, case when p_size <= 25 then 0 else 1 end as grp, coalesce(cnt, 0) as v from spots s cross join (select distinct gene from counts) g left join counts c on c.spot_id = s.spot_id and c.gene = g.gene),
 mom as (select gene, avg(case when grp = 0 then v end) as m0, avg(case when grp = 1 then v end) as m1, var_samp(case when grp = 0 then v end) as v0, var_samp(case when grp = 1 then v end) as v1, count(case when grp = 0 then v end) as n0, count(case when grp = 1 then v end) as n1 from vals group by 1)""")
 
 
-def grouped_values(spark, sf):
-    s, c = T.spots(spark, sf), T.counts(spark, sf)
-    return measures.dense(s, c, c).join(s.select("spot_id", "cluster", (F.col("p_size") % 2).alias("grp")), "spot_id")
+def size_groups(spark, sf):
+    """``spot_id, grp``: spots of small (0) and large (1) parts."""
+    return T.spots(spark, sf).select("spot_id", (F.col("p_size") > 25).cast("int").alias("grp"))
 
 
 @query("q_welch", "select gene, round((m0 - m1) / sqrt(v0/n0 + v1/n1), 6) as t, round((v0/n0 + v1/n1)*(v0/n0 + v1/n1) / ((v0/n0)*(v0/n0)/(n0-1) + (v1/n1)*(v1/n1)/(n1-1)), 4) as df, round(log2(m1 / m0), 6) as log_fc from mom", _WELCH)
 def q_welch(spark, sf):
-    return compare.welch_by_gene(grouped_values(spark, sf), "cnt").select("gene", r6("t"), F.round("df", 4).alias("df"), r6("log_fc"))
+    return compare.welch_by_gene(T.counts(spark, sf), size_groups(spark, sf), "cnt").select("gene", r6("t"), F.round("df", 4).alias("df"), r6("log_fc"))
 
 
 def _pvalues(spark, sf):
@@ -507,98 +475,275 @@ def q_colour_bins(spark, sf):
     return compare.colour_bins(scored_spots(spark, sf), "ex_sum").select("spot_id", r6("x"), r6("y"), "value", "bin")
 
 
-# ------------------------------------------------ kernels (no SQL equivalent)
+@query("q_welch_cpm", "select gene, round((m0 - m1) / sqrt(v0/n0 + v1/n1), 6) as t, round(log2(m1 / m0), 6) as log_fc from mom", (SPOTS_SQL, COUNTS_SQL, """
+cpm as (select spot_id, gene, cnt / sum(cnt) over (partition by spot_id) * 1e6 as cpm from counts)""", _WELCH[2].replace("coalesce(cnt, 0)", "coalesce(cpm, 0)").replace("left join counts c", "left join cpm c")))
+def q_welch_cpm(spark, sf):
+    return compare.welch_by_gene(measures.per_million(T.counts(spark, sf)), size_groups(spark, sf), "cpm").select("gene", r6("t"), r6("log_fc"))
 
 
-@query("q_strata_control")
-def q_strata_control(spark, sf):
-    p = T.order_paths(spark, sf)
-    cluster = measures.most_common(p.join(T.spots(spark, sf).withColumnRenamed("spot_id", "node"), "node"), ["path_id"], "cluster", "cluster")
-    pool = p.groupBy("path_id").agg(F.count(F.lit(1)).alias("length")).join(cluster, "path_id")
-    wanted = pool.where("path_id % 100 = 0").groupBy("length", "cluster").agg(F.count(F.lit(1)).alias("n"))
-    return paths.control_sets(pool.where("path_id % 100 <> 0"), wanted, sets=5)
+@query("q_compare_rest", "select gene, round(m0, 6) as mean_region, round(m1, 6) as mean_other, round((m0 - m1) / sqrt(v0/n0 + v1/n1), 6) as t, round(log2(m0 / m1), 6) as log_fc from mom", _WELCH)
+def q_compare_rest(spark, sf):
+    region = size_groups(spark, sf).where("grp = 0")
+    found = compare.compared_with_rest(T.counts(spark, sf), T.spots(spark, sf), region, "cnt", cut=100.0, p_cut=2.0)
+    return found.select("gene", r6("mean_region"), r6("mean_other"), r6("t"), r6("log_fc"))
+
+
+@query(
+    "q_paths_vs_spots",
+    """select gene, round(m0, 6) as mean_paths, round(m1, 6) as mean_spots, round((m0 - m1) / sqrt(v0/n0 + v1/n1), 6) as t from
+  (select gene, count(*) as n0, avg(mean) as m0, var_samp(mean) as v0 from means group by 1) join
+  (select g.gene as gene, count(*) as n1, avg(coalesce(cnt, 0)) as m1, var_samp(coalesce(cnt, 0)) as v1 from spots cross join (values ('AF'), ('NO'), ('RF')) g(gene) left join counts c on c.spot_id = spots.spot_id and c.gene = g.gene group by 1) using (gene)""",
+    (SPOTS_SQL, COUNTS_SQL, PATHS_SQL, MEANS.replace("select path_id, gene, sum", "select path_id, g.gene as gene, sum")),
+)
+def q_paths_vs_spots(spark, sf):
+    found = compare.compared_with_spots(path_means(spark, sf), T.counts(spark, sf), T.spots(spark, sf), "cnt")
+    return found.select("gene", r6("mean_paths"), r6("mean_spots"), r6("t"))
+
+
+_LEVEL = """
+level as (select spot_id, cell_sum as z from scored),
+full_counts as (select s.spot_id, g.gene, coalesce(cnt, 0) as v, z from level s cross join (select distinct gene from counts) g left join counts c on c.spot_id = s.spot_id and c.gene = g.gene)"""
+
+
+@query("q_marker_link", "select gene, round(corr(v, z), 6) as r from full_counts group by 1", (*S1, _LEVEL))
+def q_marker_link(spark, sf):
+    return compare.marker_linked(T.counts(spark, sf), T.spots(spark, sf), CELL, "cnt").select("gene", r6("r"))
+
+
+@query("q_marker_cor", """select gene, n, round(rho, 6) as rho, round(rho * sqrt((n - 2) / (1 - rho * rho)), 5) as t from (select gene, count(*) as n, corr(rv, rz) as rho from
+  (select gene, rank() over (partition by gene order by v) + (count(*) over (partition by gene, v) - 1) / 2.0 as rv, rank() over (partition by gene order by z) + (count(*) over (partition by gene, z) - 1) / 2.0 as rz from full_counts) group by 1)""", (*S1, _LEVEL))
+def q_marker_cor(spark, sf):
+    return compare.marker_correlations(T.counts(spark, sf), T.spots(spark, sf), CELL, "cnt").select("gene", "n", r6("rho"), F.round("t", 5).alias("t"))
+
+
+@query(
+    "q_enriched",
+    """select gene, top.cluster as cluster, round(mean_rank, 6) as mean_rank, round((sum(case when m.cluster = top.cluster then s end) / sum(case when m.cluster = top.cluster then n end)) / (sum(case when m.cluster <> top.cluster then s end) / sum(case when m.cluster <> top.cluster then n end)), 6) as fold
+  from m, top group by 1, 2, 3""",
+    (SPOTS_SQL, COUNTS_SQL, """
+m as (select cluster, g.gene as gene, sum(coalesce(cnt, 0)) * 1.0 as s, count(*) * 1.0 as n from spots s cross join (select distinct gene from counts) g left join counts c on c.spot_id = s.spot_id and c.gene = g.gene group by 1, 2),
+top as (select cluster, mean_rank from (select cluster, avg(greatest(r, 3.0)) as mean_rank from (select cluster, rank() over (partition by gene order by s / n) + (count(*) over (partition by gene, s / n) - 1) / 2.0 as r from m) group by 1) order by mean_rank desc, cluster limit 1)"""),
+)
+def q_enriched(spark, sf):
+    return compare.enriched(T.counts(spark, sf), T.spots(spark, sf), floor=3.0).select("gene", "cluster", r6("mean_rank"), r6("fold"))
+
+
+_LONG = """
+long as (select path_id, pos as x, ex_sum as ex_score, g.gene as gene, coalesce(cnt, 0) as value, case when "real" then 1 else 0 end as trt
+  from paths join kinds using (path_id) join scored on scored.spot_id = node cross join (values ('AF'), ('AO'), ('RO')) g(gene) left join counts c on c.spot_id = node and c.gene = g.gene)"""
+_LONG_CTES = (*S1, PATHS_SQL, URGENT, _LONG)
+
+
+def long_values(spark, sf):
+    """Long table of all order paths; urgent orders are the treated ones."""
+    s, kinds = scored_spots(spark, sf).withColumn("ex_score", F.col("ex_sum")), urgent(spark, sf)
+    own = lambda on, trt: paths.long_values(T.order_paths(spark, sf).join(kinds.where(on).select("path_id"), "path_id", "left_semi"), s, T.counts(spark, sf), ["AF", "AO", "RO"], trt)
+    return own("real", 1).unionByName(own("not real", 0))
+
+
+@query("q_long_values", "select path_id, x, ex_score, gene, value, trt from long", _LONG_CTES)
+def q_long_values(spark, sf):
+    return long_values(spark, sf)
+
+
+@query("q_linear_trends", "select gene, count(*) as n, round(regr_slope(value, x), 6) as beta, round(regr_r2(value, x), 6) as r2, round(sign(regr_slope(value, x)) * sqrt(regr_r2(value, x) * (count(*) - 2) / (1 - regr_r2(value, x))), 5) as t from long group by 1", _LONG_CTES)
+def q_linear_trends(spark, sf):
+    return compare.linear_trends(long_values(spark, sf)).select("gene", "n", r6("beta"), r6("r2"), F.round("t", 5).alias("t"))
+
+
+@query(
+    "q_subcluster_nodes",
+    """select node, round(avg(x), 6) as x, round(avg(y), 6) as y, round(avg(ex_sum), 6) as pt, first(mode) as cluster from (select node, unnest(members) as spot_id from kept) join scored using (spot_id)
+  join (select node, cluster as mode from (select node, cluster, row_number() over (partition by node order by count(*) desc, cluster) as k from (select node, unnest(members) as spot_id from kept) join spots using (spot_id) group by 1, 2) where k = 1) using (node) group by 1""",
+    (*S2, """
+sets as (select members, min(n) as node from (select list_sort(list(distinct m)) as members, n from (select spot_id as n, spot_id as m from scored union all
+  select src, dst from edges join scored a on a.spot_id = src join scored b on b.spot_id = dst where d < 1.2 and abs(a.ex_sum - b.ex_sum) < 40) group by n) group by 1),
+kept as (select * from sets s where len(members) in (1, (select max(len(members)) from sets)) or not exists (select 1 from sets t where len(t.members) > len(s.members) and list_has_all(t.members, s.members)))"""),
+)
+def q_subcluster_nodes(spark, sf):
+    scored = T.written(scored_spots(spark, sf).withColumn("pt", F.col("ex_sum")))
+    found = subcluster_nodes(subclusters(scored, reach=1.2, gap=40.0), scored)
+    return found.select("node", r6("x"), r6("y"), r6("pt"), "cluster")
+
+
+@query(
+    "q_prepared_nodes",
+    """select spot_id as node, round((x - x0) * s / (x1 - x0), 6) as x, round((y - y0) * s / (y1 - y0), 6) as y, round(score, 6) as pt, cluster
+  from (select *, min(x) over () as x0, max(x) over () as x1, min(y) over () as y0, max(y) over () as y1, max(score) over () as s from (select spot_id, x, y, cluster, cell_sum, r + abs(min(r) over ()) as score from res join scored using (spot_id, cluster))) where cell_sum >= 100""",
+    (*S1, RESID),
+)
+def q_prepared_nodes(spark, sf):
+    found = measures.prepared(T.spots(spark, sf), T.counts(spark, sf), EX, CELL, least=100)["nodes"]
+    return found.select("node", r6("x"), r6("y"), r6("pt"), "cluster")
+
+
+# ------------------------------------------------------------------ segments
+
+_ALPHAS = [0.1 * k for k in range(1, 11)]
+
+
+@query(
+    "q_stretch_costs",
+    """select a.line_id, cast(a.pos as integer) as "start", cast(b.pos as integer) as "end", alpha, round(b.q - a.q + a.y*a.y - (b.s - a.s + a.y)*(b.s - a.s + a.y) / (b.pos - a.pos + 1), 5) as neg2llh,
+  round(b.q - a.q + a.y*a.y - (b.s - a.s + a.y)*(b.s - a.s + a.y) / (b.pos - a.pos + 1) + 6 * alpha, 5) as cost from run a join run b on a.line_id = b.line_id and b.pos > a.pos, (values (0.5::double), (1.0::double)) t(alpha)""",
+    (SERIES_SQL, """
+run as (select line_id, pos, y * 1.0 as y, sum(y * 1.0) over w as s, sum(y * 1.0 * y) over w as q from series window w as (partition by line_id order by pos))"""),
+)
+def q_stretch_costs(spark, sf):
+    found = segments.stretch_costs(T.series(spark, sf), [0.5, 1.0], ["line_id"], method="gaussian")
+    return found.select("line_id", "start", "end", "alpha", F.round("neg2llh", 5).alias("neg2llh"), F.round("cost", 5).alias("cost"))
 
 
 @query("q_pelt")
 def q_pelt(spark, sf):
-    return segments.segmented(T.series(spark, sf), [0.1, 0.5, 1.0], ["line_id"], method="gaussian").withColumn("total_cost", F.round("total_cost", 6))
+    return segments.segmented(T.series(spark, sf), _ALPHAS, ["line_id"], method="gaussian").withColumn("total_cost", F.round("total_cost", 6))
+
+
+@query(
+    "q_pelt_cost",
+    """select alpha, line_id, round(f[len(f)], 5) as total_cost from dp where k = n""",
+    ("recursive " + SERIES_SQL.lstrip(), """
+arr as (select line_id, count(*) as n, list(s order by pos) as s, list(q order by pos) as q from (select line_id, pos, sum(y * 1.0) over w as s, sum(y * 1.0 * y) over w as q from series window w as (partition by line_id order by pos)) group by 1),
+dp as (select line_id, n, s, q, alpha, cast(1 as bigint) as k, [0.0::double, 1e300::double] as f, [1::bigint] as r from arr, (values (0.1::double), (1.0::double), (50.0::double)) t(alpha) where n >= 4
+  union all select line_id, n, s, q, alpha, k + 1, list_append(f, best), case when k + 1 >= 5 then list_filter(rr, lambda a: a = 1 or f[a] + (q[k + 1] - (case when a = 1 then 0 else q[a - 1] end) - (s[k + 1] - (case when a = 1 then 0 else s[a - 1] end)) * (s[k + 1] - (case when a = 1 then 0 else s[a - 1] end)) / (k + 2 - a)) < best) else rr end
+  from (select *, (6 * alpha + list_min(list_transform(rr, lambda a: f[a] + (q[k + 1] - (case when a = 1 then 0 else q[a - 1] end) - (s[k + 1] - (case when a = 1 then 0 else s[a - 1] end)) * (s[k + 1] - (case when a = 1 then 0 else s[a - 1] end)) / (k + 2 - a)))))::double as best from (select *, case when k + 1 > 3 then list_append(r, k) else r end as rr from dp where k < n)))"""),
+)
+def q_pelt_cost(spark, sf):
+    found = segments.segmented(T.series(spark, sf), [0.1, 1.0, 50.0], ["line_id"], method="gaussian")
+    return found.groupBy("alpha", "line_id").agg(F.round(F.max("total_cost"), 5).alias("total_cost"))
+
+
+@query("q_segment_summary", "select cast(1.0 as double) as alpha, direction, line_id, count(*) - 1 as n_changes, list(l order by seg_no) as lengths from (select direction, line_id, seg_no, cast(count(*) as integer) as l from line_segs group by 1, 2, 3) group by 1, 2, 3", (SPOTS_SQL, HEX_LINES, LINE_SEGS))
+def q_segment_summary(spark, sf):
+    segs = line_segments(spark, sf).groupBy("direction", "line_id", "seg_no").agg(F.min("pos").alias("start"), F.max("pos").alias("end")).withColumn("alpha", F.lit(1.0))
+    return segments.segment_summary(segs, ["direction", "line_id"])
+
+
+@query("q_spot_slopes", """select spot_id, round(max(case when direction = 30 then slope end), 6) as slope_30, round(max(case when direction = 90 then slope end), 6) as slope_90, round(max(case when direction = 150 then slope end), 6) as slope_150,
+  round(max(case when direction = 30 then m end), 6) as mean_30, round(max(case when direction = 90 then m end), 6) as mean_90, round(max(case when direction = 150 then m end), 6) as mean_150
+  from line_segs join (select direction, line_id, seg_no, regr_slope(ex_sum, pos) as slope, avg(cell_sum) as m from line_segs join scored using (spot_id) group by 1, 2, 3) using (direction, line_id, seg_no) group by 1""", (*S1, HEX_LINES, LINE_SEGS))
+def q_spot_slopes(spark, sf):
+    by = ["direction", "line_id", "seg_no"]
+    points = T.written(line_segments(spark, sf).join(scored_spots(spark, sf).select("spot_id", "ex_sum", "cell_sum"), "spot_id"))
+    found = points.groupBy(*by).agg(F.regr_slope("ex_sum", "pos").alias("slope"), F.avg("cell_sum").alias("mean_resid"))
+    wide = segments.spot_slopes(points, found, by)
+    return wide.select("spot_id", *[r6(c) for c in wide.columns if c != "spot_id"])
+
+
+@query(
+    "q_ari_methods",
+    """select method, line_id, round(case when (tt*tt - e) <> 0 then (tt*(a + d) - e) / (tt*tt - e) end, 6) as ari from (select *, (a+b)*(a+c) + (c+d)*(b+d) as e from (
+  select p.method, p.line_id, count(*) * 1.0 as tt, sum(case when p.g = q.g and p.h = q.h then 1.0 else 0 end) as a, sum(case when p.g = q.g and p.h <> q.h then 1.0 else 0 end) as b,
+  sum(case when p.g <> q.g and p.h = q.h then 1.0 else 0 end) as c, sum(case when p.g <> q.g and p.h <> q.h then 1.0 else 0 end) as d from lab p join lab q on p.line_id = q.line_id and p.method = q.method and p.pos < q.pos group by 1, 2))""",
+    (SERIES_SQL, """
+lab as (select case when w = 10 then 'tens' else 'fifteens' end as method, line_id, pos, (pos - 1) // 20 as g, (pos - 1) // w as h from series, (values (10), (15)) t(w))"""),
+)
+def q_ari_methods(spark, sf):
+    s = T.series(spark, sf)
+    truth = s.select("line_id", "pos", F.expr("(pos - 1) div 20").alias("segment"))
+    cut = lambda w, name: s.groupBy("line_id", F.expr(f"(pos - 1) div {w}").alias("seg_no")).agg(F.min("pos").alias("start"), F.max("pos").alias("end")).withColumn("method", F.lit(name))
+    return segments.agreement(truth, cut(10, "tens").unionByName(cut(15, "fifteens")), ["line_id"]).select("method", "line_id", r6("ari"))
+
+
+# ------------------------------------------------ kernels (no SQL equivalent)
+
+
+def line_counts(spark, sf):
+    """Points of the lattice lines with exhaustion and surface sums."""
+    sums = scored_spots(spark, sf).select("spot_id", F.col("ex_sum").alias("y"), F.col("cell_sum").alias("covar"))
+    return hex_lines(spark, sf).drop("x", "y").join(sums, "spot_id")
+
+
+@query("q_nb_segments")
+def q_nb_segments(spark, sf):
+    found = segments.segmented(line_counts(spark, sf), _ALPHAS, ["direction", "line_id"], ["covar"])
+    return found.withColumn("total_cost", F.round("total_cost", 4))
+
+
+@query("q_nb_estimates")
+def q_nb_estimates(spark, sf):
+    found = segments.estimates(line_counts(spark, sf), ["direction", "line_id"], ["covar"])
+    rounded = lambda c: F.transform(c, lambda v: F.round(v, 4)).alias(c)
+    return found.select("direction", "line_id", "method", "status", rounded("beta"), F.round("size", 4).alias("size"), F.round("llh", 4).alias("llh"), rounded("low"), rounded("high"))
+
+
+@query("q_adjusted_counts")
+def q_adjusted_counts(spark, sf):
+    return measures.adjusted_counts(T.spots(spark, sf), T.counts(spark, sf), EX).select("spot_id", r6("resid"))
+
+
+@query("q_count_score")
+def q_count_score(spark, sf):
+    return measures.count_residual_score(scored_spots(spark, sf), "ex_sum", "cell_sum", "ex_score_nb").select("spot_id", r6("ex_score_nb"))
 
 
 @query("q_slopes")
 def q_slopes(spark, sf):
-    s = T.series(spark, sf).withColumn("seg_no", F.expr("(pos - 1) div 12"))
-    return segments.slopes(s, ["line_id", "seg_no"]).select("line_id", "seg_no", "n", F.round("slope", 5).alias("slope"), F.round("mean_resid", 5).alias("mean_resid"))
+    by = ["direction", "line_id", "seg_no"]
+    sums = scored_spots(spark, sf).select("spot_id", F.col("ex_sum").alias("y"), F.col("cell_sum").alias("covar"))
+    points = T.written(line_segments(spark, sf).drop("x", "y").join(measures.count_residual_score(sums, "y", "covar", "resid"), "spot_id"))
+    found = segments.slopes(points, by, ["covar"])
+    return found.select(*by, "n", F.round("slope", 5).alias("slope"), F.round("mean_resid", 5).alias("mean_resid"))
 
 
 @query("q_nb_glm")
 def q_nb_glm(spark, sf):
-    values = grouped_values(spark, sf).join(scored_spots(spark, sf).select("spot_id", "cell_sum"), "spot_id")
-    return compare.regressed(values, ["cell_sum"]).select("gene", "status", F.round("log_fc", 5).alias("log_fc"), F.round("p", 6).alias("p"), F.round("p_adj", 6).alias("p_adj"))
+    groups = size_groups(spark, sf).join(scored_spots(spark, sf).select("spot_id", "cell_sum"), "spot_id")
+    return compare.regressed(T.counts(spark, sf), groups, ["cell_sum"]).select("gene", "status", F.round("log_fc", 5).alias("log_fc"), F.round("p", 6).alias("p"), F.round("p_adj", 6).alias("p_adj"))
 
 
 @query("q_compare")
 def q_compare(spark, sf):
-    return compare.compared(grouped_values(spark, sf), "cnt").select("gene", r6("t"), r6("p"), r6("p_adj"))
+    return compare.compared(T.counts(spark, sf), size_groups(spark, sf), "cnt").select("gene", r6("t"), r6("p"), r6("p_adj"))
+
+
+@query("q_compare_linked")
+def q_compare_linked(spark, sf):
+    c = T.counts(spark, sf)
+    return compare.compared_by_link(T.log_normalised(c), c, size_groups(spark, sf), CELL, "value").select("gene", "method", F.round("log_fc", 5).alias("log_fc"), F.round("p", 6).alias("p"))
 
 
 @query("q_mlm")
 def q_mlm(spark, sf):
-    p, s = T.order_paths(spark, sf), scored_spots(spark, sf)
-    long = p.join(measures.dense(T.spots(spark, sf), T.counts(spark, sf), T.counts(spark, sf)).withColumnRenamed("spot_id", "node"), "node")
-    long = long.join(s.select(F.col("spot_id").alias("node"), F.col("ex_sum").alias("ex_score")), "node")
-    rows = long.select("path_id", F.col("pos").alias("x"), "ex_score", "gene", F.col("cnt").alias("value"))
-    return compare.mixed_trends(rows, ["AF", "AO", "RO"]).select("gene", "term", F.round("beta", 5).alias("beta"), F.round("p", 6).alias("p"), F.round("p_adj", 6).alias("p_adj"))
+    return compare.mixed_trends(long_values(spark, sf), ["AF", "AO", "RO"]).select("gene", "term", F.round("beta", 5).alias("beta"), F.round("p", 6).alias("p"), F.round("p_adj", 6).alias("p_adj"))
+
+
+@query("q_mlm_staged")
+def q_mlm_staged(spark, sf):
+    return compare.staged_trends(long_values(spark, sf), ["AF", "AO", "RO"]).select("gene", "term", F.round("beta", 5).alias("beta"), F.round("p", 6).alias("p"), F.round("p_adj", 6).alias("p_adj"))
 
 
 @query("q_ising_mc")
 def q_ising_mc(spark, sf):
     chains = spark.range(8).select(F.col("id").alias("chain"), (0.1 + 0.05 * F.col("id")).alias("j"))
-    return spins.metropolis(T.spots(spark, sf).select("spot_id"), edges(spark, sf), chains, flips=20_000, tail=4_000)
+    return spins.metropolis(T.spots(spark, sf).select("spot_id"), edges(spark, sf), chains)
 
 
 @query("q_j1")
 def q_j1(spark, sf):
     s = spins.energy(edges(spark, sf), states(spark, sf)).first()["spin_sum"]
-    grid = spark.range(29).select((0.16 + 0.01 * F.col("id")).alias("mu_q"), "id")
-    chains = grid.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3)))).select((F.col("id") * 4 + F.col("k")).alias("chain"), "mu_q", (F.col("mu_q") + 0.01 * (F.col("k") - 1.5)).alias("j"))
-    means = spins.metropolis(T.spots(spark, sf).select("spot_id"), edges(spark, sf), chains, flips=12_000, tail=3_000)
-    return spins.coupling_grid(s, chains.select("chain", "mu_q").join(means, "chain"), 0.3, 0.0049).withColumn("best", F.col("abs_g") == F.min("abs_g").over(Window.partitionBy(F.lit(0))))
+    found = spins.fitted_coupling(T.spots(spark, sf).select("spot_id"), edges(spark, sf), s, CANDIDATES)
+    return found.withColumn("best", F.col("abs_g") == F.min("abs_g").over(Window.partitionBy(F.lit(0))))
 
 
-def _bonus(spark, sf):
-    return q_bonus(spark, sf)
+@query("q_j1_resampled")
+def q_j1_resampled(spark, sf):
+    nodes, e = T.spots(spark, sf).select("spot_id"), edges(spark, sf)
+    sums = spins.metropolis(nodes, e, spark.range(40).select(F.col("id").alias("chain"), F.lit(0.3).alias("j"))).select(F.round("mean_sum").alias("spin_sum"))
+    return spins.resampled_couplings(nodes, e, sums, 20, CANDIDATES, draws=4)
 
 
 @query("q_gibbs")
 def q_gibbs(spark, sf):
     chains = spark.createDataFrame([(0, 0.3, 2.0)], "chain long, j double, factor double")
-    return spins.gibbs(T.spots(spark, sf).select("spot_id"), edges(spark, sf), _bonus(spark, sf), chains, sweeps=300, burn_in=100).select("spot_id", "prob")
+    return spins.gibbs(T.spots(spark, sf).select("spot_id"), edges(spark, sf), T.written(q_bonus(spark, sf)), chains).select("spot_id", "prob")
 
 
 @query("q_j2")
 def q_j2(spark, sf):
     chains = spark.createDataFrame([(i, 0.2, 1 + 2.25 * i) for i in range(5)], "chain long, j double, factor double")
-    probs = spins.gibbs(T.spots(spark, sf).select("spot_id"), edges(spark, sf), _bonus(spark, sf), chains, sweeps=200, burn_in=100)
+    probs = spins.gibbs(T.spots(spark, sf).select("spot_id"), edges(spark, sf), T.written(q_bonus(spark, sf)), chains, sweeps=1000, burn_in=500)
     return probs.join(chains, "chain").groupBy("factor").agg((F.avg((F.col("prob") > 0.7).cast("double")) * 100).alias("percent"))
 
 
-@query("q_dijkstra")
-def q_dijkstra(spark, sf):
-    wants = T.spots(spark, sf).where("spot_id % 97 = 0").select(F.col("spot_id").alias("src"), ((F.col("spot_id") * 7 + 40) % 200).alias("dst"))
-    wants = wants.select(F.col("src").alias("path_id"), "src", "dst")
-    return graph.shortest_paths(wants, edges(spark, sf).withColumn("weight", F.col("d"))).withColumn("cost", F.round("cost", 6))
-
-
-@query("q_alternatives")
-def q_alternatives(spark, sf):
-    e = edges(spark, sf).withColumn("weight", F.col("d"))
-    wants = spark.createDataFrame([(1, 0, 30), (2, 5, 60), (3, 12, 80)], "path_id long, src long, dst long")
-    return graph.alternative_paths(graph.shortest_paths(wants, e), e, T.spots(spark, sf), reach=6.0)
-
-
-@query("q_simulated_ari")
-def q_simulated_ari(spark, sf):
-    data = segments.simulated(spark, 12)
-    found = segments.segmented(data, [1.0], ["series_id"])
-    both = segments.sliced(data, found, ["series_id"])
-    return rand_index(both, "true_segment", "seg_no", ["series_id"]).select("series_id", r6("ari"))
+from . import frame_queries, path_queries  # noqa: E402, F401  they add to the register

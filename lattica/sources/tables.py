@@ -18,7 +18,9 @@ def written(df: DataFrame) -> DataFrame:
     """Write once to the folder all executors share (``spark.checkpoint.dir``) and read back: cuts the lineage."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:  # local runs and tests only
+    if not folder:  # one machine and tests only
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder}/table-{uuid.uuid4().hex}"
@@ -69,6 +71,30 @@ def spot_clusters(norm: DataFrame, genes: list[str], k: int, components: int = 3
     return KMeans(k=k, seed=seed).fit(data).transform(data).select("spot_id", F.col("prediction").cast("string").alias("cluster"))
 
 
+def read_markers(spark: SparkSession, path: str) -> DataFrame:
+    """Marker lists ``list_name, gene`` from a CSV with a header or from Parquet."""
+    raw = spark.read.csv(path, header=True) if path.endswith(".csv") else spark.read.parquet(path)
+    return raw.select(F.col("list_name").cast("string"), F.col("gene").cast("string")).dropna().distinct()
+
+
+def read_sample(spark: SparkSession, counts_path: str, positions_path: str, k: int = 8, variable: int = 3000, components: int = 30, seed: int = 1) -> dict[str, DataFrame]:
+    """One capture area: ``counts``, ``norm``, ``genes`` (the ``variable`` most variable ones) and ``spots`` with total count and cluster.
+
+    Counts and positions know each other's spots; log-normalised values and k-means of principal components stand in for the
+    variance-stabilising transform and graph clusters.
+    """
+    counts, positions = aligned(read_counts(spark, counts_path), read_positions(spark, positions_path))
+    counts = written(counts)
+    norm = written(log_normalised(counts))
+    n = positions.count()
+    spread = norm.groupBy("gene").agg(((F.sum(F.col("value") * F.col("value")) - F.sum("value") * F.sum("value") / n) / max(n - 1, 1)).alias("v"))
+    genes = spread.orderBy(F.desc("v"), "gene").limit(variable).select("gene")
+    clusters = spot_clusters(norm, [r["gene"] for r in genes.collect()], k, components, seed)  # as many names as asked for
+    totals = counts.groupBy("spot_id").agg(F.sum("cnt").alias("total"))
+    spots = positions.join(totals, "spot_id").join(clusters, "spot_id", "left")
+    return {"counts": counts, "norm": norm, "genes": genes, "spots": spots}
+
+
 # --------------------------------------------------------------------- sinks
 
 
