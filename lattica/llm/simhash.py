@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 WIDE, SIMILAR_BITS, FIRST_BITS = ("w0", "w1", "w2", "w3"), 72, 26
 SIMILAR = 4, 5  # a Jaccard similarity of 4/5
 BANDS, ROWS = 16, 6
-CROWD, CELL, STARS = 200, 1_000, 2
+CROWD, CELL = 200, 1_000
 _KEYS = tuple(f"k{i}" for i in range(BANDS))
 _TURNS = np.random.default_rng(5).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -365,27 +365,51 @@ def pivots(rows: DataFrame, crowded: DataFrame) -> DataFrame:
     return rows.join(middle, ["kind", "key"]).select(F.col("m.node").alias("pivot"), "node", F.col("m.fame").alias("fame")).where("pivot <> node").distinct()
 
 
-def around_pivots(facts: DataFrame, roots: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs ``a, b`` around one pivot that can still be similar, ``kind, key, node`` of what is too common to pair).
+def consensus(facts: DataFrame, crowd: int) -> DataFrame:
+    """``pivot, node, size, n, o, novel`` of :func:`against_pivots`, where what more than ``crowd`` nodes have beyond the pivot counts as the pivot's too."""
+    tokens = facts.select("pivot", "node", F.explode("novel").alias("t"))
+    common = materialise(tokens.groupBy("pivot", "t").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > crowd).select("pivot", "t"))
+    mine = tokens.join(common, ["pivot", "t"]).groupBy("pivot", "node").agg(F.collect_list("t").alias("more"))
+    grown = common.groupBy("pivot").agg(F.count(F.lit(1)).cast("int").alias("grown"))
+    both = facts.join(mine, ["pivot", "node"], "left").join(grown, "pivot", "left").withColumn("more", F.coalesce("more", F.array().cast("array<bigint>")))
+    return both.select("pivot", "node", (F.col("size") + F.coalesce("grown", F.lit(0))).alias("size"), "n", (F.col("o") + F.size("more")).alias("o"), F.array_except("novel", "more").alias("novel"))
 
-    Two nodes share at most the lesser of their overlaps with the pivot and what both have beyond it.  So pairs of different roots are similar only
-    if their sizes and overlaps alone allow it, or if they share something that the pivot has not.
+
+def centre_pairs(facts: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of the node nearest to what the nodes around a pivot have in common with each of them, unless they have one root."""
+    near = F.col("o") / (F.col("size") + F.col("n") - F.col("o"))
+    named = facts.select("pivot", "node", near.alias("near")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    middle = named.groupBy("pivot").agg(F.max(F.struct("near", F.xxhash64("node").alias("h"), "node", "root")).alias("m"))
+    return named.join(middle, "pivot").where("root <> m.root").select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b")).distinct()
+
+
+def around_pivots(facts: DataFrame, roots: DataFrame, homes: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of different roots around one pivot that can still be similar.
+
+    Two nodes share at most the lesser of their overlaps with the pivot (``facts`` of :func:`consensus`) and what both have beyond it.  So they are similar only if
+    their sizes and overlaps alone allow it, or if they share something rare, on which they meet.  Pairs that share another ``home``, the most famous of their
+    pivots, are settled there.
     """
     part, whole = SIMILAR
-    named = facts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    tokens = named.select("pivot", "node", "root", F.explode("novel").alias("t"))
-    met = tokens.groupBy("pivot", "t").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("x"), F.max("root").alias("y")).where("c > 1 and x <> y")
-    met = materialise(met.select("pivot", "t", "c"))
-    few = tokens.join(met.where(F.col("c") <= crowd), ["pivot", "t"])
-    side = lambda n: few.select("pivot", "t", F.col("node").alias(n), F.col("root").alias(f"r{n}"))
-    sharing = side("a").join(side("b"), ["pivot", "t"]).where("a < b and ra <> rb").select("a", "b")
-    common = tokens.join(met.where(F.col("c") > crowd), ["pivot", "t"]).select(F.lit(-1).alias("kind"), F.xxhash64("pivot", "t").alias("key"), "node").distinct()
-    most = F.floor(((whole + part) * F.col("o") - part * F.col("n")) / part).cast("int")  # the largest size that overlap allows
-    small = named.where((whole * F.col("o") < part * (F.col("size") + F.col("n") - F.col("o"))) | (F.col("n") < F.col("size")))
-    small = small.where(most >= F.col("o")).select("pivot", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("o").alias("oa"), F.explode(F.sequence("o", most)).alias("n"))
-    large = named.select("pivot", "n", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("o").alias("ob"))
-    sized = small.join(large, ["pivot", "n"]).where("ob >= oa and ra <> rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return sharing.unionByName(sized).distinct(), common
+    named = facts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(homes, "node")
+    tokens = named.select("pivot", "node", "root", "home", F.explode("novel").alias("t"))
+    groups = materialise(tokens.groupBy("pivot", "t").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("x"), F.max("root").alias("y")).where("c > 1 and x <> y").select("pivot", "t"))
+    few = tokens.join(groups, ["pivot", "t"])
+    side = lambda df, n, *more: df.select("pivot", *more, F.col("node").alias(n), F.col("root").alias(f"r{n}"), F.col("home").alias(f"h{n}"))
+    apart = "ra <> rb and not (ha = hb and ha <> pivot)"
+    sharing = side(few, "a", "t").join(side(few, "b", "t"), ["pivot", "t"]).where(f"a < b and {apart}").select("a", "b")
+
+    main = roots.select(F.col("node").alias("pivot"), F.col("root").alias("main"))
+    sized = named.join(main, "pivot", "left").withColumn("out", F.col("root") != F.coalesce("main", "pivot"))
+    sized = materialise(sized.select("pivot", "node", "root", "home", "n", F.col("o").cast("int").alias("o"), "out"))
+    most = F.floor(((whole + part) * F.col("o") - part * F.col("n")) / part).cast("int")  # the largest size that the overlap allows
+    low = sized.where(most >= F.col("o")).withColumn("n", F.explode(F.sequence("o", most)))
+
+    def met(small: DataFrame, large: DataFrame) -> DataFrame:
+        both = side(small, "a", "n", F.col("o").alias("oa")).join(side(large, "b", "n", F.col("o").alias("ob")), ["pivot", "n"])
+        return both.where(f"ob >= oa and a <> b and {apart}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    return sharing.unionByName(met(low.where("out"), sized)).unionByName(met(low.where("not out"), sized.where("out"))).distinct()
 
 
 def celled(dealt: DataFrame, open_keys: DataFrame, cell: int) -> DataFrame:
@@ -412,8 +436,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``SIMILAR_BITS`` bits: at 0.8, 39 bits are expected to differ with a deviation of 6.
 
     A key of more than ``crowd`` texts is not paired: its texts meet one of them, the pivot, and what is similar to it
-    gets one root; the rest is found through what texts have beyond the pivot (:func:`around_pivots`), where what is too common makes the next
-    round's keys.  After ``STARS`` rounds, and in all other keys, pairs of different roots are searched, in parts of about ``cell`` texts.
+    gets one root; the rest is found through what texts have beyond the pivot (:func:`around_pivots`).  In all other keys pairs of different roots
+    are searched, in parts of about ``cell`` texts; those that share a pivot are settled.
     Null texts are empty, and texts without words are near copies of each other; ``th`` is the text's hash and
     ``node`` that of its shingles.  Repeated rows stay; an empty table gives no rows.
     """
@@ -433,31 +457,25 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     several = dealt.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("kind", "key")
     dealt = materialise(dealt.join(several, ["kind", "key"]))
     sets = shingle_sets(docs, dealt.select("node").distinct().join(distinct.select("node", "th"), "node"), text_col, size)
-    links, roots, homes, keys = [], None, None, dealt
-    for turn in range(STARS):
-        rows, left = rooted(keys, roots)
-        crowded = left.where(F.col("n") > crowd)
-        if crowded.isEmpty():
-            keys = keys.where("false")
-            break
+    links, roots, home = [], None, F.col("node").alias("home")
+    rows, left = rooted(dealt, None)
+    crowded = left.where(F.col("n") > crowd)
+    cells = celled(rows, left.where(F.col("n") <= crowd), cell)
+    if not crowded.isEmpty():
         attached = materialise(pivots(rows, crowded))
-        if not turn:
-            homes = attached.groupBy("node").agg(F.max(F.struct("fame", "pivot")).alias("h")).select("node", F.col("h.pivot").alias("home"))
+        homes = materialise(attached.groupBy("node").agg(F.max(F.struct("fame", "pivot")).alias("h")).select("node", F.col("h.pivot").alias("home")))
         facts = materialise(against_pivots(attached.select("pivot", "node"), sets))
         part, whole = SIMILAR
         links.append(facts.where(whole * F.col("o") >= part * (F.col("size") + F.col("n") - F.col("o"))).select(F.col("pivot").alias("a"), F.col("node").alias("b")))
         roots = components(functools.reduce(DataFrame.unionByName, links))
-        near, common = around_pivots(facts, roots, crowd)
-        links.append(materialise(similar(materialise(near), sets)))
+        facts = materialise(consensus(facts, crowd))
+        links.append(materialise(similar(materialise(centre_pairs(facts, roots)), sets)))
         roots = components(functools.reduce(DataFrame.unionByName, links))
-        keys = materialise(common.join(distinct.select("node", F.col("w0").alias("fp"), *WIDE[1:]), "node"))
-    # keys that were never crowded, and what is left of those that still are
-    rows, left = rooted(dealt, roots)
-    cells = celled(rows, left.where(F.col("n") <= crowd), cell)
-    home = F.col("node").alias("home")
-    if homes is not None:
-        rows, left = rooted(keys, roots)
-        cells, home = cells.unionByName(celled(rows, left, cell)).join(homes, "node", "left"), F.when(F.col("kind") >= 0, F.coalesce("home", "node")).otherwise(F.col("node")).alias("home")
+        links.append(materialise(similar(materialise(around_pivots(facts, roots, homes)), sets)))
+        roots = components(functools.reduce(DataFrame.unionByName, links))
+        rows, _ = rooted(dealt, roots)
+        cells = celled(rows, left.where(F.col("n") <= crowd), cell).join(homes, "node", "left")
+        home = F.coalesce("home", "node").alias("home")
     cells = cells.select("kind", "key", "node", "fp", *WIDE[1:], "root", "side", home).repartition("kind", "key").sortWithinPartitions("kind", "key")
     pairs = materialise(cells.mapInPandas(_search_keys(FIRST_BITS, WIDE[1:], SIMILAR_BITS), "a long, b long").distinct())
     roots = components(functools.reduce(DataFrame.unionByName, links + [similar(pairs, sets)]))
