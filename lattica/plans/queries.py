@@ -13,7 +13,7 @@ from ..sources.tables import COUNTS_SQL, PATHS_SQL, SERIES_SQL, SPOTS_SQL
 from .region import CANDIDATES
 from .shared import (
     ALL_LINES, CELL, CORNERS, EDGES, EX, GAP_LINES, GENES, HEX_LINES, LINE_SEGS, MARGINS, QUERIES, REACH, S1, S2, SCORED, SQL, SQUARE_LINES, URGENT,
-    edges, hex_lines, line_segments, query, r6, scored_spots, states, urgent,
+    edges, hex_lines, line_segments, polygon_sql, query, r6, scored_spots, states, urgent,
 )
 
 # ------------------------------------------------------------------ measures
@@ -111,12 +111,7 @@ def q_line_margins(spark, sf):
     return spatial.line_margins(hex_lines(spark, sf))
 
 
-def _polygon_sql() -> str:
-    hits = [f"(case when ({y1} > y) <> ({y2} > y) and x < {x1} + (y - {y1}) * {(x2 - x1) / (y2 - y1)!r} then 1 else 0 end)" for (x1, y1), (x2, y2) in zip(CORNERS, CORNERS[1:] + CORNERS[:1], strict=True)]
-    return f"select spot_id from spots where ({' + '.join(hits)}) % 2 = 1"
-
-
-@query("q_polygon_mask", _polygon_sql(), (SPOTS_SQL,))
+@query("q_polygon_mask", polygon_sql(), (SPOTS_SQL,))
 def q_polygon_mask(spark, sf):
     return spatial.in_polygon(T.spots(spark, sf), CORNERS).select("spot_id")
 

@@ -117,3 +117,9 @@ def urgent(spark: SparkSession, sf: str) -> DataFrame:
 URGENT = """
 kinds as (select o_orderkey as path_id, o_custkey as customer, cast(year(o_orderdate) * 12 + month(o_orderdate) as bigint) as month, o_orderpriority = '1-URGENT' as "real" from orders)"""
 PATHS = (COUNTS_SQL, PATHS_SQL)
+
+
+def polygon_sql() -> str:
+    """The spots inside ``CORNERS``."""
+    hits = [f"(case when ({y1} > y) <> ({y2} > y) and x < {x1} + (y - {y1}) * {(x2 - x1) / (y2 - y1)!r} then 1 else 0 end)" for (x1, y1), (x2, y2) in zip(CORNERS, CORNERS[1:] + CORNERS[:1], strict=True)]
+    return f"select spot_id from spots where ({' + '.join(hits)}) % 2 = 1"
