@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import format_conversations, read_turns, unescape
@@ -15,11 +15,14 @@ from .langid import fit_languages, identify
 from .minhash import edited_fingerprints
 from .mixing import fit_domains, membership, mixed
 from .quality import fit_quality, quality_score
+from .runs import collapse_runs
+from .secrets import RULES, find_secrets
 from .sentencepiece_scan import encode
 from .sharding import feistel_shards
 from .simhash import near_duplicates
 from .suffix_dedup import digest_rows, repeated_spans
 from .topk import exact_topk, scaled
+from .vector_codes import compressed, digest
 
 #: The public SentencePiece model that op4 and the pipeline encode with; a parameter of both.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -140,6 +143,52 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(vectors.where("vec_id % 20 = 0"), vectors, "vec_id", "v", k=20)
 
 
+def planted_runs(text: Column, doc_id: str) -> Column:
+    """The text whose words repeat from a place on, in one of ten documents: place and period follow from crc32 of the id (null: 0)."""
+    h = F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+    g = F.floor(h / 10).cast("long")
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
+        return F.array_join(F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int")))), " ")
+
+    words = F.array(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    changed = F.transform(words, lambda ws: F.when(F.size(ws) > 0, repeated(ws)))[0]  # words are split once, not once a word
+    return F.when(h % 10 == 0, F.coalesce(changed, text)).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated word sequences of every whole text and what is left of it; a null id has the hash 0, null texts are empty."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", planted_runs(text_or_empty("text"), "doc_id").alias("text"))
+    found = collapse_runs(docs, ["doc_id"])
+    first = F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("length"), F.lit(1).cast("long").alias("period"))
+    better = lambda b, r: r["length"] * b["period"] > b["length"] * r["period"]  # noqa: E731  runs go by start, then period: of equals the first stays
+    best = F.when(F.size("runs") > 0, F.aggregate("runs", first, lambda b, r: F.when(better(b, r), r).otherwise(b)))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return found.select("doc_id", "collapsed", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.array_join(lines, "").alias("lines")).select(
+        "doc_id", "n_runs", "b.start", "b.length", "b.period", F.expr("1000 * b.length div b.period").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every whole text: spans of the rules, and with them those of high entropy; null texts are empty."""
+    found = find_secrets(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "secrets")
+    kinds = [r.kind for r in RULES]
+    base = F.filter("secrets", lambda s: s["kind"].isin(kinds))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    number = lambda k: F.size(F.filter("secrets", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *[number(k) for k in kinds], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes and errors of every vector after six rounds on eight parts of sixteen entries; unusable vectors take no part."""
+    found, books = compressed(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+    return found.select("vec_id", "code", "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256"))
+
+
 OP2_SQL = r"""
 with t as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -172,6 +221,28 @@ select query_id, rank, vec_id, score from r where rank <= 20
 """
 
 
+def _op13_sql(rounds: int = 6) -> str:
+    """k-means by whole numbers, a pair of CTEs a round; parts, entries and places count from 0."""
+    steps = [f"""v as materialized (
+  select vec_id, label, list_transform(embedding, lambda x: cast(floor(4096 * cast(x as double)) as bigint)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), parts as materialized (
+  select vec_id, label, p, list_slice(v, p * len(v) // 8 + 1, (p + 1) * len(v) // 8) as v from v, range(0, 8) t(p)
+), book0 as materialized (
+  select p, e, parts.v from parts join (select vec_id, row_number() over (order by vec_id) - 1 as e from v) using (vec_id) where e < 16
+)"""]
+    near = "(select vec_id, label, parts.p, parts.v, e, cast(list_sum(list_transform(list_zip(parts.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as bigint) as d from parts join book{k} b on b.p = parts.p)"
+    for k in range(rounds):
+        steps.append(f"""own{k} as materialized (select vec_id, p, v, arg_min(e, d * 16 + e) as e from {near.format(k=k)} group by vec_id, p, v),
+means{k} as materialized (select p, e, list(m order by i) as v from (
+  select p, e, i, cast(floor(sum(v[i]) / count(*)) as bigint) as m from own{k}, range(1, 1 + len(v)) t(i) group by p, e, i) group by p, e),
+book{k + 1} as materialized (select p, e, coalesce(m.v, b.v) as v from book{k} b left join means{k} m using (p, e))""")
+    steps.append(f"""coded as materialized (select vec_id, any_value(label) as label, p, arg_min(e, d * 16 + e) as e, min(d) as d from {near.format(k=rounds)} group by vec_id, p),
+whole as (select vec_id, any_value(label) as label, string_agg(printf('%02x', e), '' order by p) as code, cast(sum(d) as bigint) as error from coded group by vec_id)""")
+    last = f"sha256((select string_agg(array_to_string(v, ','), ',' order by p, e) from book{rounds}))"
+    return f"with {', '.join(steps)} select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, {last} as codebooks_sha256 from whole"
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_language_id": op1_language_id,
@@ -184,8 +255,11 @@ def queries() -> dict[str, Query]:
         "op7_sharding": op7_sharding,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_exact_topk": op9_exact_topk,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_secret_scan": op12_secret_scan,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": OP2_SQL, "op9_exact_topk": OP9_SQL}
+    return {"op2_chat_formatting": OP2_SQL, "op9_exact_topk": OP9_SQL, "op13_vector_codes": _op13_sql()}
