@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import discard, written
+
 
 def energy(edges: DataFrame, states: DataFrame) -> DataFrame:
     """``n_pairs, spin_sum, net_agreement`` over undirected pairs, from edges in both directions."""
@@ -68,103 +73,212 @@ def steep_spots(slopes: DataFrame, cut: float = -0.01) -> DataFrame:
 
 # -------------------------------------------------------------------- chains
 
-#: Parts that the chains of one sample are dealt into; each gets the sample's edges.
-PARTS = 16
+#: Side of a tile in mean edge lengths.
+TILE = 32.0
 
+#: Chains whose states share a row; more chains make more rows a spot.
+LANE = 32
 
-def _graph(rows: pd.DataFrame) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
-    """(nodes, per colour its nodes, their neighbours and whose neighbours they are, field, all directed pairs) of ``src, dst, n_add`` rows.
+_STATE = "_lane int, spot_id long, x double, y double, near array<long>, n_add double, s binary, hits binary, n long, pairs binary"
 
-    Nodes of one colour have no edges among them and are drawn together, which leaves the sampled distribution as it is.
-    """
-    names, src = np.unique(rows["src"].to_numpy(), return_inverse=True)
-    linked = rows["dst"].notna().to_numpy()
-    owner, other = src[linked], np.searchsorted(names, rows["dst"].to_numpy()[linked].astype(names.dtype))
-    known = (other < len(names)) & (names[np.minimum(other, len(names) - 1)] == rows["dst"].to_numpy()[linked])
-    owner, other = owner[known], other[known]
-    order = np.argsort(owner, kind="stable")
-    owner, other = owner[order], other[order]
-    field = np.zeros(len(names))
-    field[src] = rows["n_add"].fillna(0).to_numpy(float)
-    start, near, colour = np.searchsorted(owner, np.arange(len(names) + 1)).tolist(), other.tolist(), [-1] * len(names)
-    for i in range(len(names)):
-        used = {colour[k] for k in near[start[i] : start[i + 1]]}
-        colour[i] = next(c for c in range(len(used) + 1) if c not in used)
-    parts, of = [], np.array(colour)
-    for c in range(of.max(initial=-1) + 1):
-        group = np.flatnonzero(of == c)
-        mine = of[owner] == c
-        parts.append((group, other[mine], np.searchsorted(group, owner[mine])))
-    return names, parts, field, np.stack([owner, other])
 
+def _graph(nodes: DataFrame, edges: DataFrame, bonus: DataFrame | None, name: list[str]) -> DataFrame:
+    """``spot_id, x, y, near, n_add`` of every node: its place, its neighbours among the nodes and its field."""
+    place = ["x", "y"] if {"x", "y"} <= set(nodes.columns) else []
+    nodes = nodes.select(*name, "spot_id", *place)
+    nodes = nodes if place else nodes.withColumns({"x": F.lit(0.0), "y": F.lit(0.0)})
+    pairs = edges.select(*name, F.col("src").alias("spot_id"), "dst").where("spot_id <> dst").distinct()
+    known = pairs.join(nodes.select(*name, F.col("spot_id").alias("dst")), [*name, "dst"], "left_semi")
+    near = known.groupBy(*name, "spot_id").agg(F.collect_list("dst").alias("near"))  # the neighbours of one spot
+    rows = nodes.join(near, [*name, "spot_id"], "left").withColumn("near", F.coalesce("near", F.array().cast("array<bigint>")))
+    if bonus is None:
+        return rows.withColumn("n_add", F.lit(0.0))
+    return rows.join(bonus.select(*name, "spot_id", F.col("n_add").cast("double").alias("n_add")), [*name, "spot_id"], "left").na.fill(0.0, ["n_add"])
 
-def _chained(nodes: DataFrame, edges: DataFrame, bonus: DataFrame | None, chains: DataFrame, kernel, schema: str, sample: str | None) -> DataFrame:
-    """``kernel(chains, graph rows)`` a sample and part of its chains: no graph passes the driver.
 
-    A chain runs in one task, which holds the edges of one tissue sample, some thousand spots; without ``sample`` all spots are one sample.
-    """
-    name = [sample] if sample else []
-    key = F.col(sample) if sample else F.lit(0)
-    rows = nodes.select(*name, F.col("spot_id").alias("src")).join(edges.select(*name, "src", "dst").distinct(), [*name, "src"], "left")
-    if bonus is not None:
-        rows = rows.join(bonus.select(*name, F.col("spot_id").alias("src"), "n_add"), [*name, "src"], "left")
-    else:
-        rows = rows.withColumn("n_add", F.lit(None).cast("double"))
-    rows = rows.select(key.alias("_sample"), "src", "dst", F.col("n_add").cast("double").alias("n_add"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_part"))
-    own = chains.withColumn("_part", F.pmod(F.xxhash64("chain"), F.lit(PARTS)).cast("int"))
-    own = own.withColumn("_sample", F.lit(0)) if not sample else own.join(nodes.select(F.col(sample).alias("_sample")).distinct())  # the few chains, once a sample
-    return own.groupBy("_sample", "_part").cogroup(rows.groupBy("_sample", "_part")).applyInPandas(kernel, schema)
+def _tile_side(graph: DataFrame, name: list[str], tile: float) -> float:
+    """Side of the tiles: ``tile`` mean edge lengths, four of the longest edge at least, so that every spot is inside some tile."""
+    far = graph.select(*name, "x", "y", F.explode("near").alias("near"))
+    far = far.join(graph.select(*name, F.col("spot_id").alias("near"), F.col("x").alias("u"), F.col("y").alias("v")), [*name, "near"])
+    d = F.sqrt(F.pow(F.col("x") - F.col("u"), 2) + F.pow(F.col("y") - F.col("v"), 2))
+    mean, longest = far.agg(F.avg(d), F.max(d)).first()
+    return max(tile * (mean or 0.0), 4 * (longest or 0.0)) or 1.0
 
 
-def metropolis(nodes: DataFrame, edges: DataFrame, chains: DataFrame, sweeps: int = 60, tail: int = 10, seed: int = 1, sample: str | None = None) -> DataFrame:
-    """``chain, j, mean_sum``: mean spin-product sum over the last ``tail`` sweeps of a Metropolis chain at coupling ``j``.
+def _classes(near: np.ndarray, free: np.ndarray) -> list[np.ndarray]:
+    """The free nodes in classes without an edge inside: a class is drawn at once, which leaves the sampled distribution as it is."""
+    colour, rows = [-1] * (len(near) + 1), near.tolist()
+    for i in np.flatnonzero(free).tolist():
+        used = {colour[k] for k in rows[i]}
+        colour[i] = next(c for c in range(len(used) + 1) if c not in used)
+    of = np.array(colour[:-1])
+    return [np.flatnonzero(of == c) for c in range(of.max(initial=-1) + 1)]
+
+
+def _neighbour_sums(x: np.ndarray, near: np.ndarray) -> np.ndarray:
+    total = np.zeros((len(near), x.shape[1]), np.int16)
+    for k in range(near.shape[1]):
+        total += x[near[:, k]]
+    return total
+
+
+def _in_tile(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(neighbours as positions, whether all of a node's neighbours are here) of a tile's rows, which go by ``spot_id``; position n is nobody."""
+    ids, n = rows["spot_id"].to_numpy(), len(rows)
+    lens = np.array([len(v) for v in rows["near"]], np.int64)
+    owner = np.repeat(np.arange(n), lens)
+    other = np.concatenate([*rows["near"], np.empty(0, np.int64)]).astype(np.int64)
+    at = np.minimum(np.searchsorted(ids, other), n - 1)
+    here = ids[at] == other
+    near = np.full((n, int(lens.max(initial=0))), n)
+    near[owner, np.arange(len(owner)) - np.repeat(np.cumsum(lens) - lens, lens)] = np.where(here, at, n)
+    free = np.ones(n, bool)
+    free[owner[~here]] = False
+    return near, free
+
+
+def _run_block(rows: pd.DataFrame, lanes: list[np.ndarray], kind: str, scale: float, seed: int, block: int, sweeps: int, first: int) -> pd.DataFrame:
+    """``sweeps`` sweeps over the free spots of a tile; from sweep ``first`` on, states (or products of neighbours) are counted."""
+    rows = rows.sort_values("spot_id", ignore_index=True)
+    n, lane = len(rows), lanes[int(rows["_lane"].iloc[0])]
+    j, factor, own = scale * lane[1], lane[2], lane.shape[1]
+    near, free = _in_tile(rows)
+    x = np.zeros((n + 1, own), np.int8)
+    x[:n] = np.frombuffer(b"".join(rows["s"]), np.int8).reshape(n, own)
+    field = rows["n_add"].to_numpy(float)[:, None] * factor[None, :]
+    rng = np.random.default_rng([seed, block, int(rows["_lane"].iloc[0]), int(rows["spot_id"].iloc[0]) & 0x7FFFFFFF])
+    classes = [(c, near[c], field[c]) for c in _classes(near, free)]
+    hits, pairs = np.zeros((n, own), np.int32), np.zeros(own)
+    for sweep in range(sweeps):
+        for group, others, add in classes:
+            total = _neighbour_sums(x, others)
+            if kind == "gibbs":
+                x[group] = np.where(rng.random(total.shape) < 1 / (1 + np.exp(-j * (total + add))), 1, -1)
+            else:
+                now = x[group]
+                x[group] = np.where(np.log(rng.random(total.shape)) < j * (-2.0 * now * total), -now, now)
+        if sweep >= first:
+            if kind == "gibbs":
+                hits += x[:n] > 0
+            else:
+                pairs += (x[:n] * _neighbour_sums(x, near)).sum(axis=0) / 2
+    counted = max(sweeps - first, 0)
+    rows["s"] = [v.tobytes() for v in x[:n]]
+    if kind == "gibbs" and counted:
+        hits[~free] = 0
+        rows["hits"] = [(np.frombuffer(h, np.int32) + v).tobytes() for h, v in zip(rows["hits"], hits, strict=True)]
+        rows["n"] += np.where(free, counted, 0)
+    if kind != "gibbs":
+        rows["pairs"] = [pairs.tobytes(), *[None] * (n - 1)]
+    return rows.drop(columns="_tile")
+
+
+def _block_kernel(*order):
+    return lambda rows: _run_block(rows, *order)
+
+
+def _chained(nodes: DataFrame, edges: DataFrame, bonus: DataFrame | None, chains: DataFrame, kind: str, sweeps: int, first: int, block: int, scale: float, seed: int, sample: str | None, tile: float, watch=None) -> tuple[DataFrame, list[np.ndarray], list[str]]:
+    """(the spots after the last block, chains a lane, name columns); ``watch(spots, tile column, lanes, counted sweeps)`` sees every block that counts.
+
+    A block is one job: spots are dealt to square tiles, and a task sweeps those spots of a tile whose neighbours are all in it, while the others keep
+    their states.  No two such spots of different tiles are neighbours, so every step is a step of one chain.  Each block moves the
+    tiles' grid, and what was at a border comes inside.  States start from a hash of chain and spot.
+    """
+    spark, name = nodes.sparkSession, [sample] if sample else []
+    asked = sorted((r["chain"], r["j"], r["factor"]) for r in chains.collect())  # one row a chain asked for
+    lanes = [np.array(asked[i : i + LANE]).T for i in range(0, len(asked), LANE)]
+    graph = written(_graph(nodes, edges, bonus, name))
+    side = _tile_side(graph, name, tile)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    salts = [[np.uint64((int(c) * 1_000_003 + seed) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) for c in lane[0]] for lane in lanes]
+
+    def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ids = pdf["spot_id"].to_numpy(np.int64).view(np.uint64)
+            for k, own in enumerate(salts):
+                bits = np.stack([pd.util.hash_array(ids + c) >> np.uint64(63) for c in own], axis=1).astype(np.int8)
+                yield pdf.assign(_lane=k, s=[v.tobytes() for v in 2 * bits - 1], hits=bytes(4 * len(own)), n=0, pairs=None)
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in graph.select(*name).schema.fields), _STATE])
+    state, done, k = graph.mapInPandas(start, schema), 0, 0
+    while done < sweeps:
+        place = lambda c, step: F.floor(F.col(c) / side + F.lit((k * step) % 1.0)).cast("long")  # noqa: E731, B023
+        spot = F.struct(place("x", 0.7548776662466927).alias("a"), place("y", 0.5698402909980532).alias("b"))  # steps of a sequence that fills the square evenly
+        now = min(block, sweeps - done)
+        order = (lanes, kind, scale, seed, k, now, max(first - done, 0))
+        dealt = state.withColumn("_tile", spot).repartition(parts, *name, "_lane", "_tile")
+        after = written(dealt.groupBy(*name, "_lane", "_tile").applyInPandas(_block_kernel(*order), schema))
+        done, k = done + now, k + 1
+        if watch and done > first:
+            watch(after, spot, lanes, min(done - first, now))
+        discard(state)
+        state = after
+    discard(graph)
+    return state, lanes, name
+
+
+def metropolis(nodes: DataFrame, edges: DataFrame, chains: DataFrame, sweeps: int = 60, tail: int = 10, seed: int = 1, sample: str | None = None, block: int = 20, tile: float = TILE) -> DataFrame:
+    """``chain, j, mean_sum`` (and ``sample``): mean spin-product sum over the last ``tail`` sweeps of a Metropolis chain at coupling ``j``.
 
     A sweep offers every spot one flip, accepted with probability exp(j * change of the sum), so a chain moves as much on a large
-    sample as on a small one.
+    sample as on a small one.  ``nodes`` has ``spot_id`` and ``x, y``, by which tasks share a graph, ``block`` sweeps at a time (see :func:`_chained`); without places all of
+    it is one tile.
     """
-
-    def run(own: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(rows):
-            names, parts, _, (a, b) = _graph(rows)
-            for chain, j in zip(own["chain"].tolist(), own["j"].tolist(), strict=True):
-                rng, kept = np.random.default_rng([seed, int(chain)]), 0.0
-                x = rng.choice(np.array([-1.0, 1.0]), len(names))
-                for sweep in range(sweeps):
-                    for group, others, slot in parts:
-                        change = -2 * x[group] * np.bincount(slot, weights=x[others], minlength=len(group))
-                        x[group] = np.where(np.log(rng.random(len(group))) < j * change, -x[group], x[group])
-                    if sweep >= sweeps - tail:
-                        kept += float(x[a] @ x[b]) / 2
-                out.append((chain, j, kept / tail))
-        return pd.DataFrame(out, columns=["chain", "j", "mean_sum"])
-
-    return _chained(nodes, edges, None, chains.select("chain", "j"), run, "chain long, j double, mean_sum double", sample)
-
-
-def gibbs(nodes: DataFrame, edges: DataFrame, bonus: DataFrame, chains: DataFrame, sweeps: int = 5000, burn_in: int = 2000, scale: float = 1.0, seed: int = 1, sample: str | None = None) -> DataFrame:
-    """``chain, spot_id, prob``: share of sweeps after ``burn_in`` in which a spot is +1.
-
-    ``chains`` has ``chain, j, factor``; the field on a spot is ``factor * n_add``.
+    name, sums = [sample] if sample else [], []
+
+    def watch(state: DataFrame, spot: Column, lanes: list[np.ndarray], counted: int) -> None:
+        """Sums of this block: pairs inside a tile were counted in every sweep, those across tiles rested."""
+        rows = state.withColumn("_tile", spot)
+        ends = rows.select(*name, "_lane", "_tile", "s", F.explode("near").alias("near"))
+        other = rows.select(*name, "_lane", F.col("_tile").alias("_other"), F.col("s").alias("_s"), F.col("spot_id").alias("near"))
+        across = ends.join(other, [*name, "_lane", "near"]).where("_tile <> _other").select(*name, "_lane", "s", "_s", F.lit(None).cast("binary").alias("pairs"))
+        both = across.unionByName(rows.where("pairs is not null").select(*name, "_lane", "s", F.lit(None).cast("binary").alias("_s"), "pairs"))
+
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total: dict[tuple, np.ndarray] = {}
+            for pdf in batches:
+                for key, own in pdf.groupby([*name, "_lane"], dropna=False):
+                    size, crossed = lanes[int(key[-1])].shape[1], own[own["pairs"].isna()]
+                    value = np.frombuffer(b"".join(own["pairs"].dropna()), np.float64).reshape(-1, size).sum(axis=0)
+                    if len(crossed):
+                        a, b = (np.frombuffer(b"".join(crossed[c]), np.int8).reshape(-1, size).astype(np.int16) for c in ("s", "_s"))
+                        value = value + counted * (a * b).sum(axis=0) / 2
+                    total[key] = total.get(key, 0) + value
+            out = [(*key[:-1], int(c), float(j), float(v)) for key, value in total.items() for c, j, v in zip(*lanes[int(key[-1])][:2], value, strict=True)]
+            yield pd.DataFrame(out, columns=[*name, "chain", "j", "v"])
+
+        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in state.select(*name).schema.fields), "chain long, j double, v double"])
+        sums.append(written(both.mapInPandas(add, schema).groupBy(*name, "chain", "j").agg(F.sum("v").alias("v"))))
+
+    chains = chains.select("chain", "j", F.lit(0.0).alias("factor"))
+    discard(_chained(nodes, edges, None, chains, "metropolis", sweeps, sweeps - tail, block, 1.0, seed, sample, tile, watch)[0])
+    return functools.reduce(lambda a, b: a.unionByName(b), sums).groupBy(*name, "chain", "j").agg((F.sum("v") / tail).alias("mean_sum"))
+
+
+def gibbs(nodes: DataFrame, edges: DataFrame, bonus: DataFrame, chains: DataFrame, sweeps: int = 5000, burn_in: int = 2000, scale: float = 1.0, seed: int = 1, sample: str | None = None, block: int | None = None, tile: float = TILE) -> DataFrame:
+    """``chain, spot_id, prob`` (and ``sample``): share of sweeps after ``burn_in`` in which a spot is +1.
+
+    ``chains`` has ``chain, j, factor``; the field on a spot is ``factor * n_add``.  ``nodes`` has ``spot_id`` and ``x, y``, by which tasks share a graph
+    (see :func:`_chained`); without places all of it is one tile.  A block has ``block`` sweeps (default: a tenth of all); blocks in which a spot rests do not count
+    for it, unless it rests in all of them.
     """
-
-    def run(own: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        found = [pd.DataFrame({"chain": pd.Series(dtype="int64"), "spot_id": pd.Series(dtype="int64"), "prob": pd.Series(dtype="float64")})]
-        if len(rows):
-            names, parts, field, _ = _graph(rows)
-            for chain, j, factor in zip(own["chain"].tolist(), own["j"].tolist(), own["factor"].tolist(), strict=True):
-                rng = np.random.default_rng([seed, int(chain)])
-                x, hits = rng.choice(np.array([-1.0, 1.0]), len(names)), np.zeros(len(names))
-                for sweep in range(sweeps):
-                    for group, others, slot in parts:
-                        total = np.bincount(slot, weights=x[others], minlength=len(group)) + factor * field[group]
-                        x[group] = np.where(rng.random(len(group)) < 1 / (1 + np.exp(-scale * j * total)), 1.0, -1.0)
-                    if sweep >= burn_in:
-                        hits += x > 0
-                found.append(pd.DataFrame({"chain": chain, "spot_id": names, "prob": hits / max(sweeps - burn_in, 1)}))
-        return pd.concat(found)
-
-    return _chained(nodes, edges, bonus, chains.select("chain", "j", "factor"), run, "chain long, spot_id long, prob double", sample)
+    block = block or max(-(-sweeps // 10), 1)
+    state, lanes, name = _chained(nodes, edges, bonus, chains.select("chain", "j", "factor"), "gibbs", sweeps, burn_in, block, scale, seed, sample, tile)
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lane, own in pdf.groupby("_lane"):
+                names = lanes[int(lane)][0].astype(np.int64)
+                hits = np.frombuffer(b"".join(own["hits"]), np.int32).reshape(len(own), -1)
+                last = np.frombuffer(b"".join(own["s"]), np.int8).reshape(len(own), -1) > 0
+                n = own["n"].to_numpy()[:, None]
+                prob = np.where(n > 0, hits / np.maximum(n, 1), last)
+                out = own[name].iloc[np.repeat(np.arange(len(own)), len(names))].reset_index(drop=True)
+                out["chain"], out["spot_id"], out["prob"] = np.tile(names, len(own)), np.repeat(own["spot_id"].to_numpy(), len(names)), prob.ravel()
+                yield out
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in state.select(*name).schema.fields), "chain long, spot_id long, prob double"])
+    return state.mapInPandas(spread, schema)
 
 
 def coupling_draws(candidates: list[float], draws: int = 10, spread: float = 0.01, seed: int = 1) -> list[tuple[int, float, float]]:

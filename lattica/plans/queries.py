@@ -260,11 +260,6 @@ def q_energy(spark, sf):
     return spins.energy(edges(spark, sf), states(spark, sf)).select("n_pairs", "spin_sum", r6("net_agreement"))
 
 
-@query("q_cond_prob", "select s.spot_id, round(1 / (1 + exp(-0.3 * coalesce(t, 0))), 6) as p from states s left join (select src, sum(s) as t from edges join states on spot_id = dst group by 1) on src = s.spot_id", S2)
-def q_cond_prob(spark, sf):
-    return spins.conditional(edges(spark, sf), states(spark, sf), None, 0.3).select("spot_id", r6("p"))
-
-
 @query("q_flip_prob", "select t, round(1 / (1 + exp(-2 * 0.3 * t)), 6) as p from (select distinct cast(t as bigint) as t from (select sum(s) as t from edges join states on spot_id = dst group by src))", S2)
 def q_flip_prob(spark, sf):
     t = edges(spark, sf).join(states(spark, sf).withColumnRenamed("spot_id", "dst"), "dst").groupBy("src").agg(F.sum("s").alias("t")).select("t").distinct()
@@ -281,9 +276,9 @@ seg_slopes as (select direction, line_id, seg_no, regr_slope(ex_sum, pos) as slo
 steep as (select distinct spot_id, direction - o as direction from line_segs join seg_slopes using (direction, line_id, seg_no), (values (0, 1), (180, -1)) t(o, f) where round(slope * f, 9) <= -0.01)"""
 
 
-def segment_slopes(spark, sf):
+def segment_slopes(spark, sf, segs=None):
     """``spot_id, direction, slope``: the least-squares slope of a spot's stretch of eight."""
-    points = line_segments(spark, sf).join(scored_spots(spark, sf).select("spot_id", "ex_sum"), "spot_id")
+    points = (segs or line_segments(spark, sf)).join(scored_spots(spark, sf).select("spot_id", "ex_sum"), "spot_id")
     by = ["direction", "line_id", "seg_no"]
     fit = points.groupBy(*by).agg(F.round(F.regr_slope("ex_sum", "pos"), 9).alias("slope"))
     return points.join(fit, by).select("spot_id", "direction", "slope")
@@ -294,19 +289,41 @@ def q_steep(spark, sf):
     return spins.steep_spots(segment_slopes(spark, sf)).distinct()
 
 
-@query(
-    "q_bonus",
-    "select dst as spot_id, count(*) as n_add from met group by 1",
-    (*S1, EDGES, HEX_LINES, MARGINS, LINE_SEGS, _STEEP, """
+_MET = """
 dir_edges as (select src, dst, cast(round_even(degrees(atan2(dy, dx)), -1) as integer) as direction from edges),
 inner_ends as (select * from ends where spot_id not in (select spot_id from margins)),
 met as (select e.* from dir_edges e join inner_ends n on n.spot_id = e.src and n.direction = e.direction join steep s on s.spot_id = e.dst and s.direction = e.direction
-  where not exists (select 1 from inner_ends o where o.spot_id = e.dst and o.direction = e.direction))"""),
-)
-def q_bonus(spark, sf):
+  where not exists (select 1 from inner_ends o where o.spot_id = e.dst and o.direction = e.direction))"""
+
+
+def bonus_and_regular(spark, sf):
+    """Bonus of segment ends, and the edges that stay regular."""
     segs = T.written(line_segments(spark, sf))
     directed = edges(spark, sf).withColumn("direction", spatial.direction(F.col("dx"), F.col("dy")))
-    return spins.end_bonus(spins.segment_ends(segs), directed, spins.steep_spots(segment_slopes(spark, sf)), spatial.line_margins(segs))[0]
+    return spins.end_bonus(spins.segment_ends(segs), directed, spins.steep_spots(segment_slopes(spark, sf, segs)), spatial.line_margins(segs))
+
+
+@query(
+    "q_bonus",
+    "select dst as spot_id, count(*) as n_add from met group by 1",
+    (*S1, EDGES, HEX_LINES, MARGINS, LINE_SEGS, _STEEP, _MET),
+)
+def q_bonus(spark, sf):
+    return bonus_and_regular(spark, sf)[0]
+
+
+@query(
+    "q_cond_prob",
+    """select s.spot_id, round(1 / (1 + exp(-0.3 * (coalesce(t, 0) + 2.0 * coalesce(n_add, 0)))), 6) as p from states s left join (select src, sum(s) as t from regular join states on spot_id = dst group by 1) r on src = s.spot_id
+  left join (select dst as spot_id, count(*) as n_add from met group by 1) b on b.spot_id = s.spot_id""",
+    (*S2, HEX_LINES, MARGINS, LINE_SEGS, _STEEP, _MET, """
+regular as (select src, dst from edges e where not exists (select 1 from met m where m.src = e.dst and m.dst = e.src))"""),
+)
+def q_cond_prob(spark, sf):
+    """Given neighbours and bonus: ends that gave a bonus are no regular neighbours of the spot."""
+    bonus, regular = bonus_and_regular(spark, sf)
+    bonus = bonus.withColumn("n_add", 2.0 * F.col("n_add"))
+    return spins.conditional(regular, states(spark, sf), bonus, 0.3).select("spot_id", r6("p"))
 
 
 # --------------------------------------------------------------------- paths
@@ -708,36 +725,43 @@ def q_mlm_staged(spark, sf):
     return compare.staged_trends(long_values(spark, sf), ["AF", "AO", "RO"]).select("gene", "term", F.round("beta", 5).alias("beta"), F.round("p", 6).alias("p"), F.round("p_adj", 6).alias("p_adj"))
 
 
+def places(spark, sf):
+    return T.spots(spark, sf).select("spot_id", "x", "y")
+
+
 @query("q_ising_mc")
 def q_ising_mc(spark, sf):
     chains = spark.range(8).select(F.col("id").alias("chain"), (0.1 + 0.05 * F.col("id")).alias("j"))
-    return spins.metropolis(T.spots(spark, sf).select("spot_id"), edges(spark, sf), chains)
+    return spins.metropolis(places(spark, sf), edges(spark, sf), chains)
 
 
 @query("q_j1")
 def q_j1(spark, sf):
     s = spins.energy(edges(spark, sf), states(spark, sf)).first()["spin_sum"]
-    found = spins.fitted_coupling(T.spots(spark, sf).select("spot_id"), edges(spark, sf), s, CANDIDATES)
+    found = spins.fitted_coupling(places(spark, sf), edges(spark, sf), s, CANDIDATES)
     return found.withColumn("best", F.col("abs_g") == F.min("abs_g").over(Window.partitionBy(F.lit(0))))
 
 
 @query("q_j1_resampled")
 def q_j1_resampled(spark, sf):
-    nodes, e = T.spots(spark, sf).select("spot_id"), edges(spark, sf)
+    nodes, e = places(spark, sf), edges(spark, sf)
     sums = spins.metropolis(nodes, e, spark.range(40).select(F.col("id").alias("chain"), F.lit(0.3).alias("j"))).select(F.round("mean_sum").alias("spin_sum"))
-    return spins.resampled_couplings(nodes, e, sums, 20, CANDIDATES, draws=4)
+    return spins.resampled_couplings(nodes, e, sums, 20, CANDIDATES)
 
 
 @query("q_gibbs")
 def q_gibbs(spark, sf):
+    """Probabilities of a long chain; ends that gave a bonus have left the spot's regular neighbours."""
     chains = spark.createDataFrame([(0, 0.3, 2.0)], "chain long, j double, factor double")
-    return spins.gibbs(T.spots(spark, sf).select("spot_id"), edges(spark, sf), T.written(q_bonus(spark, sf)), chains).select("spot_id", "prob")
+    bonus, regular = bonus_and_regular(spark, sf)
+    return spins.gibbs(places(spark, sf), T.written(regular), T.written(bonus), chains).select("spot_id", "prob")
 
 
 @query("q_j2")
 def q_j2(spark, sf):
     chains = spark.createDataFrame([(i, 0.2, 1 + 2.25 * i) for i in range(5)], "chain long, j double, factor double")
-    probs = spins.gibbs(T.spots(spark, sf).select("spot_id"), edges(spark, sf), T.written(q_bonus(spark, sf)), chains, sweeps=1000, burn_in=500)
+    bonus, regular = bonus_and_regular(spark, sf)
+    probs = spins.gibbs(places(spark, sf), T.written(regular), T.written(bonus), chains, sweeps=1000, burn_in=500)
     return probs.join(chains, "chain").groupBy("factor").agg((F.avg((F.col("prob") > 0.7).cast("double")) * 100).alias("percent"))
 
 

@@ -66,7 +66,7 @@ def detect(
     data = coupling_data(spots, counts, signal, adjust, seed)
     spots, edges, states = written(data["spots"]), data["edges"], data["states"]
     observed = data["energy"].first()["spin_sum"] or 0.0
-    spark, nodes = spots.sparkSession, spots.select("spot_id")
+    spark, nodes = spots.sparkSession, spots.select("spot_id", "x", "y")
     fit = spins.fitted_coupling(nodes, edges, observed, CANDIDATES, draws, seed=seed)
     j1 = fit.agg(F.min_by("mu_q", F.struct("abs_g", "mu_q"))).first()[0]
 

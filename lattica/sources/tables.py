@@ -25,7 +25,18 @@ def written(df: DataFrame) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that :func:`written` wrote and nothing reads any more; other tables stay."""
+    path = getattr(df, "_written_to", None)
+    if path:
+        spark = df.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 # ------------------------------------------------------------- Visium inputs

@@ -2,7 +2,9 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from lattica.functions import count_models as C
 from lattica.functions import special as S
@@ -84,7 +86,7 @@ def test_chains_meet_enumeration(spark, small):
         plus += (s[4] > 0) * math.exp(j * e)
     # a flip is accepted with exp(j * change of the sum), so the chain's law is exp(j * sum)
     chains = spark.createDataFrame([(i, j) for i in range(4)], "chain long, j double")
-    got = [r["mean_sum"] for r in spins.metropolis(spots.select("spot_id"), edges, chains, 60_000, 50_000).collect()]
+    got = [r["mean_sum"] for r in spins.metropolis(spots.select("spot_id"), edges, chains, 60_000, 50_000, block=60_000).collect()]
     assert abs(np.mean(got) - total / z) < 0.35
     one = spark.createDataFrame([(0, j, 0.0)], "chain long, j double, factor double")
     none = spark.createDataFrame([], "spot_id long, n_add long")
@@ -92,6 +94,38 @@ def test_chains_meet_enumeration(spark, small):
     assert abs({r["spot_id"]: r["prob"] for r in probs}[4] - plus / z) < 0.08
 
 
+def test_tiles_keep_the_law_of_the_chain(spark):
+    """A path of 13 spots over tiles of four: means of all states by enumeration, with a field, for both kinds of chain."""
+    n, j, factor = 13, 0.4, 1.5
+    spots = spark.createDataFrame([(i, float(i), 0.0) for i in range(n)], "spot_id long, x double, y double")
+    edges = spark.createDataFrame([(a, b) for a in range(n) for b in (a - 1, a + 1, a + 2, a - 2) if 0 <= b < n], "src long, dst long")
+    bonus = spark.createDataFrame([(0, 2), (6, 1)], "spot_id long, n_add long")
+    pairs = [(a, b) for a in range(n) for b in (a + 1, a + 2) if b < n]
+    states = np.array(list(itertools.product([-1, 1], repeat=n)))
+    agree = sum(states[:, a] * states[:, b] for a, b in pairs)
+    law = np.exp(j / 2 * (agree + factor * (2 * states[:, 0] + states[:, 6])))
+    plus = ((states > 0) * law[:, None]).sum(axis=0) / law.sum()
+    chains = spark.createDataFrame([(i, j, factor) for i in range(40)], "chain long, j double, factor double")
+    found = spins.gibbs(spots, edges, bonus, chains, 1600, 200, block=100, tile=1.0).collect()
+    assert len(found) == 40 * n
+    for i in range(n):
+        assert abs(np.mean([r["prob"] for r in found if r["spot_id"] == i]) - plus[i]) < 0.02, i
+    free = np.exp(j * agree)
+    got = [r["mean_sum"] for r in spins.metropolis(spots, edges, chains.select("chain", F.lit(j).alias("j")), 600, 400, block=40, tile=1.0).collect()]
+    assert len(got) == 40 and abs(np.mean(got) - (agree * free).sum() / free.sum()) < 0.4
+
+
+def test_a_tile_sees_its_own_spots_only(spark, monkeypatch):
+    """No task gets more than one tile of the graph, and a spot at a tile's border rests."""
+    rows = pd.DataFrame({"spot_id": [3, 1, 2], "near": [[2, 9], [2], [1, 3]], "_lane": 0, "s": [b"\x01"] * 3, "n_add": 0.0, "hits": [bytes(4)] * 3, "n": 0, "pairs": None, "_tile": 0})
+    near, free = spins._in_tile(rows.sort_values("spot_id", ignore_index=True))
+    assert near.tolist() == [[1, 3], [0, 2], [1, 3]] and free.tolist() == [True, True, False]
+    classes = spins._classes(near, free)
+    assert sorted(i for c in classes for i in c.tolist()) == [0, 1] and all(len(c) == 1 for c in classes)
+    out = spins._run_block(rows, [np.array([[0.0], [0.3], [0.0]])], "gibbs", 1.0, 1, 0, 50, 10)
+    assert out["s"].iloc[2] == b"\x01" and out["n"].tolist() == [40, 40, 0]
+
+
 def test_empty_inputs(spark):
     spots = spark.createDataFrame([], "spot_id long, x double, y double")
     assert spatial.unit_distance(spots) == 0.0
