@@ -73,6 +73,9 @@ def steep_spots(slopes: DataFrame, cut: float = -0.01) -> DataFrame:
 
 # -------------------------------------------------------------------- chains
 
+#: Share of the spots that a Metropolis sweep offers a flip; with all of them, a chain without coupling would only turn over as a whole.
+OFFERED = 0.75
+
 #: Side of a tile in mean edge lengths.
 TILE = 32.0
 
@@ -156,7 +159,7 @@ def _run_block(rows: pd.DataFrame, lanes: list[np.ndarray], kind: str, scale: fl
                 x[group] = np.where(rng.random(total.shape) < 1 / (1 + np.exp(-j * (total + add))), 1, -1)
             else:
                 now = x[group]
-                x[group] = np.where(np.log(rng.random(total.shape)) < j * (-2.0 * now * total), -now, now)
+                x[group] = np.where(np.log(rng.random(total.shape) / OFFERED) < np.minimum(j * (-2.0 * now * total), 0), -now, now)
         if sweep >= first:
             if kind == "gibbs":
                 hits += x[:n] > 0
@@ -220,7 +223,7 @@ def _chained(nodes: DataFrame, edges: DataFrame, bonus: DataFrame | None, chains
 def metropolis(nodes: DataFrame, edges: DataFrame, chains: DataFrame, sweeps: int = 60, tail: int = 10, seed: int = 1, sample: str | None = None, block: int = 20, tile: float = TILE) -> DataFrame:
     """``chain, j, mean_sum`` (and ``sample``): mean spin-product sum over the last ``tail`` sweeps of a Metropolis chain at coupling ``j``.
 
-    A sweep offers every spot one flip, accepted with probability exp(j * change of the sum), so a chain moves as much on a large
+    A sweep offers three of four spots a flip, accepted with probability exp(j * change of the sum), so a chain moves as much on a large
     sample as on a small one.  ``nodes`` has ``spot_id`` and ``x, y``, by which tasks share a graph, ``block`` sweeps at a time (see :func:`_chained`); without places all of
     it is one tile.
     """

@@ -50,9 +50,9 @@ def test_steep_spots(spark):
 
 def test_chains(spark, lattice):
     edges = spatial.neighbours(lattice, 1.2)
-    nodes = lattice.select("spot_id")
+    nodes = lattice.select("spot_id", "x", "y")
     chains = spark.createDataFrame([(0, 0.0), (1, 0.3), (2, -0.3)], "chain long, j double")
-    sums = {r["chain"]: r["mean_sum"] for r in spins.metropolis(nodes, edges, chains, sweeps=400, tail=300).collect()}
+    sums = {r["chain"]: r["mean_sum"] for r in spins.metropolis(nodes, edges, chains, sweeps=400, tail=300, block=100, tile=1.0).collect()}
     n_pairs = edges.count() / 2
     assert sums[2] < -0.1 * n_pairs and abs(sums[0]) < 0.08 * n_pairs and sums[1] > 0.3 * n_pairs
     # without coupling the field alone decides: p = 1 / (1 + exp(-j * factor * n_add))
@@ -63,15 +63,15 @@ def test_chains(spark, lattice):
     for spot, n in ((0, 1), (1, 2), (2, 0)):
         assert abs(probs[spot] - 1 / (1 + math.exp(-0.5 * 1.5 * n))) < 0.04
     # two samples keep apart
-    two = lattice.select(F.lit(1).alias("area"), "spot_id").union(lattice.select(F.lit(2), "spot_id"))
+    two = lattice.select(F.lit(1).alias("area"), "spot_id", "x", "y").union(lattice.select(F.lit(2), "spot_id", "x", "y"))
     both = spins.metropolis(two, edges.withColumn("area", F.explode(F.array(F.lit(1), F.lit(2)))), chains, 20, 5, sample="area").collect()
     assert len(both) == 6
 
 
 def test_coupling_finds_the_chain_it_came_from(spark, lattice):
-    edges, nodes = spatial.neighbours(lattice, 1.2), lattice.select("spot_id")
-    seen = spins.metropolis(nodes, edges, spark.createDataFrame([(k, 0.3) for k in range(8)], "chain long, j double"), 200, 100, seed=5).agg(F.avg("mean_sum")).first()[0]
-    fit = spins.fitted_coupling(nodes, edges, seen, [0.1, 0.2, 0.3, 0.4], draws=4, sweeps=200, tail=100).orderBy("abs_g").first()
+    edges, nodes = spatial.neighbours(lattice, 1.2), lattice.select("spot_id", "x", "y")
+    seen = spins.metropolis(nodes, edges, spark.createDataFrame([(k, 0.3) for k in range(8)], "chain long, j double"), 60, 40, seed=5).agg(F.avg("mean_sum")).first()[0]
+    fit = spins.fitted_coupling(nodes, edges, seen, [0.1, 0.2, 0.3, 0.4], draws=4, sweeps=60, tail=40).orderBy("abs_g").first()
     assert abs(fit["mu_q"] - 0.3) <= 0.11
     again = spins.resampled_couplings(nodes, edges, spark.createDataFrame([(seen,), (seen,), (0.0,)], "spin_sum double"), 6, [0.1, 0.2, 0.3, 0.4], draws=2)
     assert again.count() == 6 and {r["mu_q"] for r in again.collect()} <= {0.1, 0.2, 0.3, 0.4}
