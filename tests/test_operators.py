@@ -259,6 +259,36 @@ def test_shortest_paths(spark):
     assert {(r["src"], r["dst"]) for r in own.collect()} == {(a, a) for a in range(25)}
 
 
+@pytest.mark.parametrize("placed", [True, False])
+def test_equal_ways_have_one_answer(spark, placed):
+    """Costs with many ties and edges of weight 0, over tiles of a few nodes: every node list as by the rule."""
+    rng, n = random.Random(8), 6
+    where = {a * n + b: (float(a), float(b)) for a in range(n) for b in range(n)}
+    weight = {}
+    for a, (x, y) in where.items():
+        for b, (u, v) in where.items():
+            if abs(x - u) + abs(y - v) == 1 and rng.random() < 0.9:
+                weight[a, b] = rng.choice([0.0, 1.0, 1.0, 2.0])
+    label = {}
+    for s in where:
+        best = {s: (0.0, 0)}
+        for _ in where:
+            for (a, b), w in weight.items():
+                if a in best:
+                    best[b] = min(best.get(b, (math.inf, 0)), (best[a][0] + w, best[a][1] + 1))
+        label[s] = best
+    def way(s, t):
+        path = [t]
+        while path[-1] != s:
+            path.append(min(a for (a, b), w in weight.items() if b == path[-1] and a in label[s] and (label[s][a][0] + w, label[s][a][1] + 1) == label[s][b]))
+        return path[::-1]
+    asked = [(k, *rng.sample(sorted(where), 2)) for k in range(40)] + [(99, 3, 3)]
+    places = spark.createDataFrame([(i, x, y) for i, (x, y) in where.items()], "spot_id long, x double, y double") if placed else None
+    graph_df = spark.createDataFrame([(a, b, w) for (a, b), w in weight.items()], "src long, dst long, weight double")
+    found = graph.shortest_paths(spark.createDataFrame(asked, "path_id long, src long, dst long"), graph_df, places=places, side=2.0).collect()
+    assert {r["path_id"]: (r["cost"], list(r["nodes"])) for r in found} == {k: (label[s][t][0], way(s, t)) for k, s, t in asked if t in label[s]}
+
+
 def test_alternatives_share_no_node(spark, lattice):
     edges = spatial.neighbours(lattice, 1.2).withColumn("weight", F.col("d"))
     found = graph.shortest_paths(spark.createDataFrame([(1, 21, 27), (2, 0, 3)], "path_id long, src long, dst long"), edges)
