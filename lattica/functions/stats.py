@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from .ordered import least_from, numbered_gaps, row_numbers
+
 
 def average_rank(order: Column | str, by: list[str]) -> Column:
     """Rank from 1 within ``by``, ties sharing their mean."""
@@ -17,19 +19,17 @@ def average_rank(order: Column | str, by: list[str]) -> Column:
 def adjusted(df: DataFrame, p: str, key: str, method: str = "BH", by: list[str] | None = None) -> DataFrame:
     """Adds ``p_adj``: Benjamini-Hochberg, or Benjamini-Yekutieli (times the harmonic sum), of non-null p.
 
-    ``key`` settles equal p-values.  Tests are ordered within ``by`` (default: all together, one row
-    a test, so as many rows as genes).
+    ``key`` settles equal p-values.  Tests are ordered within ``by`` (default: all together) in ranges of p (see
+    :mod:`ordered`), so any number of tests will do.
     """
     by = by or []
-    df = df.where(F.col(p).isNotNull())
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(p, key))
-    factor = F.aggregate(F.sequence(F.lit(1), n.cast("int")), F.lit(0.0), lambda a, k: a + 1.0 / k) if method == "BY" else F.lit(1.0)
-    df = df.withColumn("_n", n).withColumn("_rk", rank)
-    back = Window.partitionBy(*by).orderBy(F.col("_rk").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    if method == "BY":
-        factor = F.aggregate(F.sequence(F.lit(1), F.col("_n").cast("int")), F.lit(0.0), lambda a, k: a + 1.0 / k)
-    return df.withColumn("p_adj", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_rk")).over(back) * factor)).drop("_n", "_rk")
+    numbered = row_numbers(df.where(F.col(p).isNotNull()), [p, key], "_rk", by)
+    sizes = numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    factor = F.aggregate(F.sequence(F.lit(1), F.col("_n").cast("int")), F.lit(0.0), lambda a, k: a + 1.0 / k) if method == "BY" else F.lit(1.0)
+    sizes = sizes.withColumn("_f", factor)
+    sized = numbered.join(sizes, by) if by else numbered.join(F.broadcast(sizes))  # without groups one row
+    least = least_from(sized, ["_rk"], F.col(p) * F.col("_n") / F.col("_rk"), "_least", by)
+    return least.withColumn("p_adj", F.least(F.lit(1.0), F.col("_least") * F.col("_f"))).select(*df.columns, "p_adj")
 
 
 def welch(m0: Column, v0: Column, n0: Column, m1: Column, v1: Column, n1: Column) -> tuple[Column, Column]:
@@ -60,12 +60,6 @@ def running(spec: WindowSpec) -> WindowSpec:
     return spec.rowsBetween(Window.unboundedPreceding, 0)
 
 
-def islands(coords: DataFrame, value: str, cutoff: float | Column, digits: int = 6) -> DataFrame:
-    """``_v, island``: distinct rounded values, numbered from 1, a new number where the gap is ``cutoff`` or more.
-
-    Rows are first reduced to distinct values, which the global order then has to hold.
-    """
-    distinct = coords.select(F.round(value, digits).alias("_v")).distinct()
-    order = Window.partitionBy(F.lit(0)).orderBy("_v")
-    gap = (F.col("_v") - F.lag("_v").over(order) >= cutoff).cast("int")
-    return distinct.withColumn("_gap", F.coalesce(gap, F.lit(0))).select("_v", (F.sum("_gap").over(running(order)) + 1).alias("island"))
+def islands(coords: DataFrame, value: str, cutoff: float | Column, digits: int = 6, by: list[str] | None = None) -> DataFrame:
+    """``by, _v, island``: distinct rounded values, numbered from 1 within ``by``, a new number where the gap is ``cutoff`` or more."""
+    return numbered_gaps(coords.select(*(by or []), F.round(value, digits).alias("_v")).distinct(), "_v", cutoff, "island", by)

@@ -10,6 +10,7 @@ from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from ..functions.special import t_p_value
+from ..functions.ordered import running_totals
 from ..functions.stats import adjusted, average_rank, welch
 from .regress import f_p, mixed_fit, mixed_residuals, nb_fit, normal_p
 
@@ -114,8 +115,8 @@ def marker_correlations(values: DataFrame, spots: DataFrame, surface: list[str],
     own = values.join(spots.select("spot_id"), "spot_id", "left_semi").where(F.col(value) > 0).select("spot_id", "gene", F.col(value).alias("v"))
     level = spots.select("spot_id").join(own.where(F.col("gene").isin(surface)).groupBy("spot_id").agg(F.sum("v").alias("z")), "spot_id", "left").fillna(0.0, ["z"])
     sizes = level.groupBy("z").agg(F.count(F.lit(1)).alias("c"))  # one row a level
-    below = F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy("z").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")
-    level = level.join(sizes.withColumn("ry", below + (F.col("c") + 1) / 2.0).select("z", "ry"), "z")
+    sizes = running_totals(sizes, ["z"], {"upto": "c"})
+    level = level.join(sizes.select("z", (F.col("upto") - F.col("c") + (F.col("c") + 1) / 2.0).alias("ry")), "z")
     ends = level.agg(F.sum("ry").alias("sy"), F.sum(F.col("ry") * F.col("ry")).alias("yy"))  # one row
     cells = own.join(level.select("spot_id", "ry"), "spot_id").groupBy("gene", "v").agg(F.count(F.lit(1)).alias("c"), F.sum("ry").alias("y"))  # a gene's distinct values
     under = F.sum("c").over(Window.partitionBy("gene").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ordered import row_numbers
+
 
 def marked_points(spots: DataFrame, chosen: DataFrame) -> DataFrame:
     """``spot_id, x, y, chosen`` of all spots, true for those in ``chosen`` (tumour clusters, T cell spots, a region)."""
@@ -73,9 +75,10 @@ def empirical_histogram(observed: DataFrame, controls: DataFrame, bins: int = 10
 def enrichment_bars(found: DataFrame, most: int | None = None) -> DataFrame:
     """``place, name, n, p``: gene sets of an enrichment table ``id, n, p_adj``, readable names, largest p first; the ``most`` most significant."""
     name = F.lower(F.regexp_replace("id", "_", " "))
-    ranked = found.select(name.alias("name"), "n", F.col("p_adj").alias("p"), F.row_number().over(Window.orderBy("p_adj", "id")).alias("_k"))  # as many rows as gene sets
+    ranked = row_numbers(found.select("id", name.alias("name"), "n", "p_adj"), ["p_adj", "id"], "_k")
     ranked = ranked if most is None else ranked.where(F.col("_k") <= most)
-    return ranked.select(F.row_number().over(Window.orderBy(F.col("_k").desc())).alias("place"), "name", "n", "p")
+    shown = ranked.agg(F.count(F.lit(1)).alias("_n"))  # one row
+    return ranked.join(F.broadcast(shown)).select((F.col("_n") + 1 - F.col("_k")).cast("int").alias("place"), "name", "n", F.col("p_adj").alias("p"))
 
 
 def marker_volcano(markers: DataFrame) -> DataFrame:

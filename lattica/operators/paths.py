@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ordered import quantiles
 from ..functions.stats import average_rank, partial
+from ..sources.tables import written
 
 
 def point_line_distance(p: tuple[Column, ...], a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
@@ -76,11 +78,26 @@ def empirical(observed: DataFrame, controls: DataFrame, strict: bool = False) ->
 
 
 def control_sets(pool: DataFrame, wanted: DataFrame, sets: int, seed: int = 1) -> DataFrame:
-    """``set_id, path_id``: for every set and stratum as many pool paths as ``wanted`` (length, cluster, n) asks, without replacement."""
-    drawn = pool.withColumn("set_id", F.explode(F.sequence(F.lit(1), F.lit(sets))))
-    order = Window.partitionBy("set_id", "length", "cluster").orderBy(F.xxhash64(F.lit(seed), "set_id", "path_id"), "path_id")
-    ranked = drawn.withColumn("_k", F.row_number().over(order))
-    return ranked.join(wanted, ["length", "cluster"]).where(F.col("_k") <= F.col("n")).select("set_id", "path_id")
+    """``set_id, path_id``: for every set and stratum as many pool paths as ``wanted`` (length, cluster, n) asks, without replacement.
+
+    A set takes a stratum's paths with the smallest hashes.  Only paths below a threshold that leaves some more than asked are put in order; a
+    stratum and set that it leaves short, which next to never happens, is drawn again from all.
+    """
+    stratum = ["length", "cluster"]
+    pool = pool.select("path_id", *stratum)
+    asked = wanted.join(pool.groupBy(*stratum).agg(F.count(F.lit(1)).alias("m")), stratum).select(*stratum, F.least("n", "m").alias("n"), "m")
+    share = (F.col("n") + 6 * F.sqrt("n") + 12) / F.col("m")
+    each = F.explode(F.sequence(F.lit(1), F.lit(sets))).alias("set_id")
+    asked = written(asked.select(*stratum, "n", (share * 2.0**64 - 2.0**63).alias("upto"), each))
+    hashed = lambda df: df.withColumn("_h", F.xxhash64(F.lit(seed), "set_id", "path_id"))
+    below = written(hashed(pool.join(asked, stratum)).where(F.col("_h").cast("double") < F.col("upto")).drop("upto"))
+    got = below.groupBy("set_id", *stratum).agg(F.count(F.lit(1)).alias("c"))
+    short = written(asked.join(got, ["set_id", *stratum], "left").where(F.coalesce("c", F.lit(0)) < F.col("n")).select("set_id", *stratum, "n"))
+    if not short.isEmpty():
+        again = hashed(pool.join(short, stratum)).select(*below.columns)
+        below = below.join(short.select("set_id", *stratum), ["set_id", *stratum], "left_anti").select(*again.columns).unionByName(again)
+    order = Window.partitionBy("set_id", *stratum).orderBy("_h", "path_id")
+    return below.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= F.col("n")).select("set_id", "path_id")
 
 
 def rank_correlations(long: DataFrame, by: list[str], x: str, y: str, z: str) -> DataFrame:
@@ -135,9 +152,9 @@ def coherent_paths(paths: DataFrame, alternatives: DataFrame, values: DataFrame,
     named = alternatives.select("path_id", "nodes", F.xxhash64("path_id", "nodes").alias("alt"))
     alt = mean_correlations(flat(named.select(F.col("alt").alias("path_id"), "nodes"), "path_id"), values, genes, value).withColumnRenamed("path_id", "alt")
     rated = named.select("path_id", "alt").join(alt, "alt")
-    cuts = rated.agg(F.percentile("r", F.array(F.lit(1 - top_percent / 100), F.lit(0.8), F.lit(0.9))).alias("_cut"))  # one row
+    cuts = F.array(*[F.lit(c).cast("double") for c in quantiles(rated, "r", [1 - top_percent / 100, 0.8, 0.9])])
     best = rated.groupBy("path_id").agg(F.max("r").alias("best"), F.count(F.lit(1)).alias("n_alt"))
-    both = own.join(best, "path_id", "left").withColumn("n_alt", F.coalesce("n_alt", F.lit(0))).join(F.broadcast(cuts))
+    both = own.join(best, "path_id", "left").withColumn("n_alt", F.coalesce("n_alt", F.lit(0))).withColumn("_cut", cuts)
     tops = (F.col("r") > F.col("best")) & (F.col("r") > F.col("_cut")[0]) & ((F.col("n_alt") > 1) | (F.col("r") > F.col("_cut")[1]))
     kept = both.where(F.when(F.col("n_alt") == 0, F.col("r") > F.col("_cut")[2]).otherwise(tops)).select("path_id", "r", "best", "n_alt")
     inside = contained(flat(paths.join(kept, "path_id", "left_semi"), "path_id"))

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ordered import row_numbers, running_totals
 from ..functions.stats import islands, running
+from ..sources.tables import written
 
 
 def pairs_within(a: DataFrame, b: DataFrame, most: float, least: float = 0.0, key: str = "spot_id") -> DataFrame:
@@ -85,18 +87,15 @@ def lines(spots: DataFrame, step: float, grid: str = "hex", aa: float = 0.2, max
     a gap exceeds ``max_gap`` steps; lines shorter than ``least`` go.  Line ids count from 1 by
     the shared coordinate and then along the line.
     """
-    out = None
-    for name, shared, along in _projected(spots, grid):
-        own = spots.select("spot_id", "x", "y", F.round(shared, 6).alias("_v"), along.alias("_along"))
-        own = own.join(islands(own, "_v", step * aa), "_v")
-        runs = split_by_gap(own, ["island"], ["_along"], step * max_gap)
-        whole = runs.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("island", "run"))).where(F.col("_n") >= least)
-        ids = whole.select("island", "run").distinct()
-        ids = ids.withColumn("line_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("island", "run")).cast("long"))
-        pos = F.row_number().over(Window.partitionBy("island", "run").orderBy("_along", "spot_id"))
-        found = whole.withColumn("pos", pos).join(ids, ["island", "run"]).select(F.lit(name).alias("direction"), "line_id", "pos", "spot_id", "x", "y")
-        out = found if out is None else out.unionByName(found)
-    return out
+    ways = F.array(*[F.struct(F.lit(name).alias("direction"), F.round(shared, 6).alias("_v"), along.alias("_along")) for name, shared, along in _projected(spots, grid)])
+    own = spots.select("spot_id", "x", "y", F.explode(ways).alias("w")).select("spot_id", "x", "y", "w.*")
+    own = own.join(islands(own, "_v", step * aa, by=["direction"]), ["direction", "_v"])
+    line = ["direction", "island", "run"]
+    runs = split_by_gap(own, ["direction", "island"], ["_along"], step * max_gap)
+    whole = runs.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*line))).where(F.col("_n") >= least)
+    whole = written(whole.withColumn("pos", F.row_number().over(Window.partitionBy(*line).orderBy("_along", "spot_id"))))
+    ids = row_numbers(whole.select(*line).distinct(), ["island", "run"], "line_id", ["direction"]).drop("_part")
+    return whole.join(ids, line).select("direction", "line_id", "pos", "spot_id", "x", "y")
 
 
 def line_margins(line_points: DataFrame) -> DataFrame:
@@ -142,7 +141,7 @@ def expanded_region(region: DataFrame, area: DataFrame, taken: DataFrame, unit:
     ring = F.greatest(F.lit(1), F.ceil(F.round((d - 1.4 * unit) / unit, 9))).cast("long")
     rings = free.select("spot_id", ring.alias("ring"), "_size")
     upto = rings.groupBy("ring", "_size").agg(F.count(F.lit(1)).alias("n"))  # one row a radius
-    upto = upto.withColumn("c", F.sum("n").over(running(Window.partitionBy(F.lit(0)).orderBy("ring"))))
+    upto = running_totals(upto, ["ring"], {"c": "n"})
     stop = upto.where(F.col("c") >= F.col("_size") * times).agg(F.min("ring").alias("stop"))
     return rings.join(F.broadcast(stop)).where(F.col("stop").isNull() | (F.col("ring") <= F.col("stop"))).select("spot_id", "ring")
 

@@ -8,7 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions.ordered import difference_quantile, quantiles, smallest
 from ..sources.tables import written
 from .compare import marker_correlations
 from .graph import gradient_paths, second_alternatives, shortest_paths, weighted
@@ -34,14 +36,13 @@ def pairwise_quantile(points: DataFrame, share: float, reach: float) -> float:
         reach *= 2
     if rank < 0:
         return (rank + 1) * near.agg(F.min("d")).first()[0]
-    return near.agg(F.percentile("d", F.lit(min(rank / max(held - 1, 1), 1.0)))).first()[0]
+    return quantiles(near, "d", [min(rank / max(held - 1, 1), 1.0)])[0]
 
 
 def start_and_end_nodes(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes in the lowest and in the highest third of the score ``pt``, the thirds' edges included."""
-    cut = nodes.agg(F.percentile("pt", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_q"))  # one row
-    both = nodes.join(F.broadcast(cut))
-    return both.where(F.col("pt") <= F.col("_q")[0]).drop("_q"), both.where(F.col("pt") >= F.col("_q")[1]).drop("_q")
+    low, high = quantiles(nodes, "pt", [1 / 3, 2 / 3])
+    return nodes.where(F.col("pt") <= low), nodes.where(F.col("pt") >= high)
 
 
 def line_distances(nodes: DataFrame, starts: DataFrame, ends: DataFrame, far: float, near: float) -> DataFrame:
@@ -100,7 +101,7 @@ def all_paths(nodes: DataFrame, unit: float, gap: float, line_cut: float, drop:
     starts, ends = start_and_end_nodes(nodes)
     line = near_line_paths(line_distances(nodes, starts, ends, 10 * unit, 3 * unit), line_cut, drop, gap, least)
     edges = neighbours(nodes, reach * unit)
-    rise = nodes.agg(F.percentile("pt", F.lit(2 / 9))).first()[0] or 0.0
+    rise = quantiles(nodes, "pt", [2 / 9])[0] or 0.0
     targets = nodes.withColumnRenamed("spot_id", "dst")
     score = nodes.select("spot_id", F.col("pt").alias("score"))
     trees = lambda ws, wp: gradient_paths(starts.select(F.col("spot_id").alias("src")), weighted(edges, score, ws, wp), targets, rise, 4 * unit, least).select("src", "dst", "nodes")
@@ -130,12 +131,48 @@ def path_selection(found: dict[str, DataFrame], nodes: DataFrame, values: DataFr
     return paths.join(coherent_paths(paths, others, values, genes, top_percent, value), "path_id")
 
 
+def random_pairs(nodes: DataFrame, near: float, far: float, wanted: int, seed: int = 1) -> DataFrame:
+    """``src, dst`` (src < dst): ``wanted`` different pairs of nodes ``near`` to ``far`` apart, all alike likely; all such pairs if there are fewer.
+
+    Nodes are numbered in cells as wide as ``far``.  A cell and one around it, itself included, stand for as many pairs as their numbers of nodes multiply to; each
+    draws its share of the pairs needed, by hashes, as two numbers of nodes.  Draws too near or too far go and rounds follow until there are enough, so pairs not
+    drawn are never made; only where there are hardly more pairs than wanted all are listed.
+    """
+    cell = lambda c: F.floor(F.col(c) / far).cast("long")
+    placed = nodes.select(F.col("spot_id").alias("id"), "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
+    number = F.row_number().over(Window.partitionBy("cx", "cy").orderBy("id")) - 1  # the nodes of one cell
+    placed = written(placed.withColumn("k", number))
+    sizes = placed.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"))
+    shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    around = sizes.withColumn("o", F.explode(shifts)).select(F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("n").alias("na"), (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
+    cells = written(around.join(sizes, ["cx", "cy"]).withColumn("w", F.col("na") * F.col("n")))
+    total = cells.agg(F.sum("w")).first()[0] or 0
+    if total <= 8 * wanted:  # the bound of what is listed
+        pairs = written(pairs_within(nodes, nodes, far, near).where("src < dst").select("src", "dst").withColumn("_h", F.xxhash64(F.lit(seed), "src", "dst")))
+        return smallest(pairs, "_h", wanted).select("src", "dst")
+    found, drawn, turn = None, 0, 0
+    while True:
+        share = 4.0 * wanted / total
+        times = F.floor(F.col("w") * share + (F.xxhash64(F.lit(seed), F.lit(turn), "ax", "ay", "cx", "cy").cast("double") / 2.0**64 + 0.5)).cast("int")
+        draws = cells.withColumn("t", times).where("t > 0").withColumn("t", F.explode(F.sequence(F.lit(1), F.col("t"))))
+        pick = lambda salt, n: F.pmod(F.xxhash64(F.lit(seed), F.lit(turn), F.lit(salt), "ax", "ay", "cx", "cy", "t"), F.col(n)).cast("int")  # noqa: E731, B023
+        draws = draws.select("ax", "ay", "cx", "cy", pick(1, "na").alias("ka"), pick(2, "n").alias("k"))
+        at = lambda c, k, x, y, p: placed.select(F.col("cx").alias(x), F.col("cy").alias(y), F.col("k").alias(k), F.col("id").alias(c), F.col("x").alias(f"x_{p}"), F.col("y").alias(f"y_{p}"))
+        met = draws.join(at("a", "ka", "ax", "ay", "a"), ["ax", "ay", "ka"]).join(at("b", "k", "cx", "cy", "b"), ["cx", "cy", "k"])
+        d = F.sqrt(F.pow(F.col("x_a") - F.col("x_b"), 2) + F.pow(F.col("y_a") - F.col("y_b"), 2))
+        fit = met.where((F.col("a") != F.col("b")) & (d >= near) & (d <= far)).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+        found = written(fit if found is None else found.union(fit).distinct())
+        drawn, turn = drawn + 4.0 * wanted, turn + 1
+        if found.count() >= wanted or drawn > 30.0 * total:  # so many draws miss no pair
+            hashed = written(found.withColumn("_h", F.xxhash64(F.lit(seed), "src", "dst")))
+            return smallest(hashed, "_h", wanted).select("src", "dst")
+
+
 def random_paths(nodes: DataFrame, unit: float, wanted: int, near: float = 3.0, far: float = 7.0, reach: float = 1.3, seed: int = 1) -> DataFrame:
-    """``path_id, src, dst, cost, nodes``: shortest paths between ``wanted`` pairs of nodes ``near`` to ``far`` units apart, drawn by a hash."""
-    pairs = pairs_within(nodes, nodes, far * unit, near * unit).where("src < dst").select("src", "dst")
-    drawn = pairs.orderBy(F.xxhash64(F.lit(seed), "src", "dst"), "src", "dst").limit(wanted)
+    """``path_id, src, dst, cost, nodes``: shortest paths between ``wanted`` pairs of nodes ``near`` to ``far`` units apart, drawn by a hash (see :func:`random_pairs`)."""
+    drawn = random_pairs(nodes, near * unit, far * unit, wanted, seed)
     edges = neighbours(nodes, reach * unit).select("src", "dst", F.col("d").alias("weight"))
-    return shortest_paths(drawn.select(F.xxhash64("src", "dst").alias("path_id"), "src", "dst"), edges)
+    return shortest_paths(drawn.select(F.xxhash64("src", "dst").alias("path_id"), "src", "dst"), edges, places=nodes)
 
 
 def control_paths(paths: DataFrame, nodes: DataFrame, unit: float, wanted: int, sets: int, near: float = 3.0, far: float = 7.0, seed: int = 1) -> DataFrame:
