@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from ..functions.special import t_p_value
 from ..functions.ordered import running_totals
 from ..functions.stats import adjusted, average_rank, welch
+from ..sources.tables import written
 from .regress import f_p, mixed_fit, mixed_residuals, nb_fit, normal_p
 
 
@@ -69,18 +70,16 @@ def compared_with_spots(means: DataFrame, values: DataFrame, spots: DataFrame, v
     return both.select("gene", F.col("m0").alias("mean_paths"), F.col("m1").alias("mean_spots"), t.alias("t"), df.alias("df")).withColumn("p", t_p("t", "df"))
 
 
-def _filled(values: DataFrame, spots: DataFrame, genes: DataFrame, value: str) -> DataFrame:
-    """``spots`` times the few ``genes``, absent values 0."""
-    keys = spots.join(F.broadcast(genes.select("gene").distinct()))  # one name a gene
-    return keys.join(values.select("spot_id", "gene", value), ["spot_id", "gene"], "left").withColumn(value, F.coalesce(F.col(value), F.lit(0)))
-
-
 def regressed(counts: DataFrame, groups: DataFrame, covariates: list[str]) -> DataFrame:
-    """``gene, log_fc, p, status, p_adj``: count regression of ``cnt`` on the covariates of ``groups`` (``spot_id, grp``, covariates) and the group."""
-    rows = _filled(counts.join(groups.select("spot_id"), "spot_id", "left_semi"), groups, counts, "cnt")
-    fit = nb_fit(rows, "cnt", [*covariates, "grp"], "gene")
+    """``gene, log_fc, p, status, p_adj``: count regression of ``cnt`` on the covariates of ``groups`` (``spot_id, grp``, covariates) and the group.
+
+    A spot without a count of a gene counts 0 there; zeros are summed over the patterns of the covariates (see :func:`nb_fit`).
+    """
+    terms = [*covariates, "grp"]
+    present = counts.select("spot_id", "gene", "cnt").join(groups.select("spot_id", *terms), "spot_id")
+    fit = nb_fit(present, "cnt", terms, "gene", cells=groups)
     last = lambda c: F.element_at(c, -1)
-    found = fit.select("gene", "status", (last("beta") / F.log(F.lit(2.0))).alias("log_fc"), normal_p(last("beta") / last("se")).alias("p"))
+    found = written(fit.select("gene", "status", (last("beta") / F.log(F.lit(2.0))).alias("log_fc"), normal_p(last("beta") / last("se")).alias("p")))
     return found.select("gene", "status").join(adjusted(found, "p", "gene").drop("status"), "gene", "left")
 
 

@@ -15,7 +15,7 @@ from ..sources.tables import written
 from .compare import marker_correlations
 from .graph import gradient_paths, second_alternatives, shortest_paths, weighted
 from .measures import most_common
-from .paths import coherent_paths, control_sets, point_line_distance
+from .paths import coherent_paths, control_sets
 from .spatial import neighbours, pairs_within
 
 
@@ -49,12 +49,16 @@ def line_distances(nodes: DataFrame, starts: DataFrame, ends: DataFrame, far: fl
     """``src, dst, node, x, y, pt, d``: distance in (x, y, pt) of each node within ``far`` of a start to the line from it to an end ``near`` to ``far`` away."""
     place = lambda c, n: nodes.select(F.col("spot_id").alias(c), F.col("x").alias(f"{n}x"), F.col("y").alias(f"{n}y"), F.col("pt").alias(f"{n}p"))
     lines = pairs_within(starts, ends, far, near).select("src", "dst").join(place("src", "a"), "src").join(place("dst", "b"), "dst")
+    lines = lines.select("src", "dst", "ax", "ay", "ap", *[(F.col(f"b{c}") - F.col(f"a{c}")).alias(f"w{c}") for c in "xyp"])
+    lines = written(lines.withColumn("ll", F.col("wx") * F.col("wx") + F.col("wy") * F.col("wy") + F.col("wp") * F.col("wp")))  # what is a line's own is worked out once
     local = pairs_within(starts, nodes, far).select("src", F.col("dst").alias("node")).union(starts.select("spot_id", "spot_id"))
-    both = lines.join(local, "src").join(nodes.select(F.col("spot_id").alias("node"), "x", "y", "pt"), "node")
-    at = lambda n: tuple(F.col(f"{n}{c}") for c in "xyp")
-    d = point_line_distance((F.col("x"), F.col("y"), F.col("pt")), at("a"), at("b"))
-    along = (F.col("x") - F.col("ax")) * (F.col("bx") - F.col("ax")) + (F.col("y") - F.col("ay")) * (F.col("by") - F.col("ay"))
-    return both.select("src", "dst", "node", "x", "y", "pt", along.alias("along"), d.alias("d"))
+    local = written(local.join(nodes.select(F.col("spot_id").alias("node"), "x", "y", "pt"), "node"))
+    both = lines.join(local, "src")
+    px, py, pp = F.col("x") - F.col("ax"), F.col("y") - F.col("ay"), F.col("pt") - F.col("ap")
+    flat = px * F.col("wx") + py * F.col("wy")
+    dot = flat + pp * F.col("wp")
+    d = F.sqrt(F.greatest(px * px + py * py + pp * pp - dot * dot / F.col("ll"), F.lit(0.0)))
+    return both.select("src", "dst", "node", "x", "y", "pt", flat.alias("along"), d.alias("d"))
 
 
 def rising(pt: np.ndarray, drop: float, least: int) -> np.ndarray:
@@ -73,14 +77,14 @@ def near_line_paths(distances: DataFrame, line_cut: float, drop: float, gap: flo
     Lines with less than ``fewest`` such nodes go.  Nodes before a fall of more than ``drop`` are taken out; paths with a step of ``gap`` or more
     or with less than ``least`` nodes go.
     """
-    close = distances.where(F.col("d") <= line_cut)
+    close = written(distances.where(F.col("d") <= line_cut).drop("d"))
     found = close.groupBy("src", "dst").agg(F.sort_array(F.collect_list(F.struct("along", "node", "x", "y", "pt"))).alias("near")).where(F.size("near") >= fewest)  # the nodes along one line
+    found = found.select("src", "dst", "near.node", "near.x", "near.y", "near.pt")  # an array of each
 
     def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for a, b, near in zip(pdf["src"].tolist(), pdf["dst"].tolist(), pdf["near"], strict=True):
-                node, x, y, pt = (np.array([r[c] for r in near]) for c in ("node", "x", "y", "pt"))
+            for a, b, node, x, y, pt in zip(pdf["src"].tolist(), pdf["dst"].tolist(), *(pdf[c] for c in ("node", "x", "y", "pt")), strict=True):
                 order = slice(None, None, -1) if pt[0] > pt[-1] else slice(None)
                 node, x, y, pt = node[order], x[order], y[order], pt[order]
                 kept = rising(pt, drop, least)
@@ -91,13 +95,19 @@ def near_line_paths(distances: DataFrame, line_cut: float, drop: float, gap: flo
     return found.mapInPandas(thin, "src long, dst long, nodes array<long>")
 
 
-def all_paths(nodes: DataFrame, unit: float, gap: float, line_cut: float, drop: float, least: int = 5, reach: float = 1.3) -> dict[str, DataFrame]:
+def all_paths(nodes: DataFrame, unit: float, gap: float, line_cut: float | None = None, drop: float | None = None, least: int = 5, reach: float = 1.3, line_share: float = 0.001, drop_share: float = 0.05) -> dict[str, DataFrame]:
     """``line``, ``space`` and ``score``: ``src, dst, nodes`` of the candidates from the lowest to the highest third of the scores of ``nodes`` (``spot_id, x, y, pt``).
 
     ``line`` from nodes near a straight line of 3 to 10 units; the others are shortest paths of more than 4 units from low to high scores, weighted by distance or by gap in score,
-    that rise by more than the score's 2/9 quantile.  ``line_cut`` and ``drop`` can come from :func:`pairwise_quantile`.
+    that rise by more than the score's 2/9 quantile.  ``line_cut`` is the quantile ``line_share`` of all distances of two
+    nodes if it is not given, ``drop`` the quantile ``drop_share`` of all differences of two scores.
     """
     nodes = written(nodes.select("spot_id", "x", "y", "pt"))
+    if nodes.isEmpty():
+        none = nodes.select(F.col("spot_id").alias("src"), F.col("spot_id").alias("dst"), F.array("spot_id").alias("nodes"))
+        return {"line": none, "space": none, "score": none}
+    line_cut = pairwise_quantile(nodes, line_share, unit) if line_cut is None else line_cut
+    drop = difference_quantile(nodes, "pt", drop_share) if drop is None else drop
     starts, ends = start_and_end_nodes(nodes)
     line = near_line_paths(line_distances(nodes, starts, ends, 10 * unit, 3 * unit), line_cut, drop, gap, least)
     edges = neighbours(nodes, reach * unit)

@@ -77,6 +77,21 @@ def test_coupling_finds_the_chain_it_came_from(spark, lattice):
     assert again.count() == 6 and {r["mu_q"] for r in again.collect()} <= {0.1, 0.2, 0.3, 0.4}
 
 
+def test_zeros_from_patterns_fit_as_zeros_in_rows(spark):
+    rng = random.Random(12)
+    spots = [(i, rng.randrange(2), float(rng.randrange(6))) for i in range(120)]
+    present = [(i, g, c) for i, grp, z in spots for g in "abc" if (c := rng.choice([0, 0, 1, 2, 7]) * (g != "c") + (g == "b") * grp + (i < 2)) > 0 or rng.random() < 0.1]
+    groups = spark.createDataFrame(spots, "spot_id long, grp int, z double")
+    rows = spark.createDataFrame(present, "spot_id long, gene string, cnt long").join(groups, "spot_id")
+    full = groups.join(rows.select("gene").distinct()).join(rows.select("spot_id", "gene", "cnt"), ["spot_id", "gene"], "left").na.fill(0, ["cnt"])
+    sparse = {r["gene"]: r for r in regress.nb_fit(rows, "cnt", ["z", "grp"], "gene", cells=groups).collect()}
+    for r in regress.nb_fit(full, "cnt", ["z", "grp"], "gene").collect():
+        own = sparse[r["gene"]]
+        assert (own["n"], own["status"]) == (r["n"], r["status"]) == (120, "ok")
+        assert np.allclose(own["beta"], r["beta"], atol=1e-6) and np.allclose(own["se"], r["se"], rtol=1e-5) and abs(own["theta"] / r["theta"] - 1) < 1e-4
+    assert regress.nb_fit(rows.where("false"), "cnt", ["z", "grp"], "gene", cells=groups.where("false")).count() == 0
+
+
 # ------------------------------------------------------------------- spatial
 
 
