@@ -89,6 +89,10 @@ def to_symbols(texts: list[str], symbols: np.ndarray) -> tuple[np.ndarray, np.nd
     code = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
     doc = np.repeat(np.arange(len(texts)), [len(t) for t in lowered])
     s = symbols[np.minimum(code, len(symbols) - 1)]
+    above = np.flatnonzero(code >= 65_536)  # planes above the first: letters share a symbol, signs such as emoji are none
+    if len(above):
+        kinds, which = np.unique(code[above], return_inverse=True)
+        s[above] = np.where([chr(c).isalpha() for c in kinds.tolist()], BLOCKS, 0)[which]
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] != 0) | (s[:-1] != 0) | (doc[1:] != doc[:-1])
     return s[keep], np.bincount(doc[keep], minlength=len(texts))
@@ -134,12 +138,12 @@ def in_parts(texts: list[str], chars: int = 2_000_000) -> Iterator[list[str]]:
 
 
 def letter_symbols(letters: Counter) -> np.ndarray:
-    """Symbol of every code point below 65536; the last one stands for the planes above."""
+    """Symbol of every code point below 65536."""
     code = np.arange(65_536)
     block = 1 + ((code >> 8) * 11) % BLOCKS
     symbols = np.where([chr(c).isalpha() for c in code], block, 0).astype(np.uint8)
-    symbols[65_535] = BLOCKS
-    for k, (c, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0]))[: ALPHABET - BLOCKS - 2]):
+    first = {c: n for c, n in letters.items() if ord(c) < 65_536}
+    for k, (c, _) in enumerate(sorted(first.items(), key=lambda x: (-x[1], x[0]))[: ALPHABET - BLOCKS - 2]):
         symbols[ord(c)] = BLOCKS + 1 + k
     return symbols
 

@@ -653,3 +653,10 @@ def test_fold_is_crc(spark):
 
     got = spark.createDataFrame([(5,), (None,), (77,)], "doc_id long").select("doc_id", fold("doc_id", 5).alias("f")).collect()
     assert all(r["f"] == zlib.crc32(str(r["doc_id"]).encode() if r["doc_id"] is not None else b"") % 5 for r in got)
+
+
+def test_signs_above_the_first_plane_are_no_letters(spark):
+    train = spark.createDataFrame([(i, "bado bedi " * 20 + "𝒳 𐐀" * (i % 2), "aa") for i in range(20)] + [(100 + i, "kirt krst " * 20, "zz") for i in range(20)], "doc_id long, text string, lang string")
+    model = langid.fit_languages(train)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(spark.createDataFrame([(1, "😀😀"), (2, "😀 12 !"), (3, "😀 bado bedi bado"), (4, "𐐀𐐁")], "doc_id long, text string"), model, ["doc_id"]).collect()}
+    assert got[1] == got[2] == "und" and got[3] == "aa" and got[4] in ("aa", "zz")
