@@ -10,7 +10,7 @@ from ..operators import compare, graph, measures, paths, regress, segments, spat
 from ..operators.subclusters import subcluster_nodes, subclusters
 from ..sources import tables as T
 from ..sources.tables import COUNTS_SQL, PATHS_SQL, SERIES_SQL, SPOTS_SQL
-from .region import CANDIDATES
+from .region import CANDIDATES, signal_states
 from .shared import (
     ALL_LINES, CELL, CORNERS, EDGES, EX, GAP_LINES, GENES, HEX_LINES, LINE_SEGS, MARGINS, QUERIES, REACH, S1, S2, SCORED, SQL, SQUARE_LINES, URGENT,
     edges, hex_lines, line_segments, polygon_sql, query, r6, scored_spots, states, urgent,
@@ -725,6 +725,12 @@ def q_mlm_staged(spark, sf):
     return compare.staged_trends(long_values(spark, sf), ["AF", "AO", "RO"]).select("gene", "term", F.round("beta", 5).alias("beta"), F.round("p", 6).alias("p"), F.round("p_adj", 6).alias("p_adj"))
 
 
+@query("q_states")
+def q_states(spark, sf):
+    """States of all spots by a two-part mixture of their exhaustion counts."""
+    return signal_states(T.spots(spark, sf), T.counts(spark, sf), EX)
+
+
 def places(spark, sf):
     return T.spots(spark, sf).select("spot_id", "x", "y")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.mixture import histogram, in_upper_part, two_parts
 from ..operators import graph, measures, segments, spatial, spins
 from ..sources.tables import written
 
@@ -12,31 +13,28 @@ from ..sources.tables import written
 CANDIDATES = [round(0.16 + 0.01 * k, 2) for k in range(29)]
 
 
-def signal_states(spots: DataFrame, counts: DataFrame, genes: list[str], seed: int = 1, adjust: bool = False) -> DataFrame:
-    """``spot_id, s``: -1 for the component of a two-part Gaussian mixture of the genes' counts with the higher mean.
+def signal_states(spots: DataFrame, counts: DataFrame, genes: list[str], adjust: bool = False) -> DataFrame:
+    """``spot_id, s``: -1 for the part of a two-part normal mixture of the genes' counts with the higher mean; 1 for all where counts do not differ.
 
-    With ``adjust``, counts are first freed of a spot's total count.
+    One variance or two are chosen by the Bayesian information criterion.  With ``adjust``, counts are first freed of a spot's total count.
     """
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.feature import VectorAssembler
-
     if adjust:
         own = measures.adjusted_counts(spots, counts, genes).select("spot_id", F.col("resid").alias("signal"))
     else:
         own = measures.marker_sums(spots, counts, {"signal": genes}).select("spot_id", F.col("signal").cast("double").alias("signal"))
-    data = VectorAssembler(inputCols=["signal"], outputCol="features").transform(own)
-    model = GaussianMixture(k=2, seed=seed).fit(data)
-    means = [g.mean[0] for g in model.gaussians]
-    high = int(means[1] > means[0])
-    return model.transform(data).select("spot_id", F.when(F.col("prediction") == high, -1).otherwise(1).alias("s"))
+    own = written(own)
+    parts = two_parts(histogram(own, "signal"))
+    if parts is None:
+        return own.select("spot_id", F.lit(1).alias("s"))
+    return own.select("spot_id", F.when(in_upper_part(F.col("signal"), parts), -1).otherwise(1).alias("s"))
 
 
-def coupling_data(spots: DataFrame, counts: DataFrame, signal: list[str], adjust: bool = True, seed: int = 1) -> dict[str, DataFrame]:
+def coupling_data(spots: DataFrame, counts: DataFrame, signal: list[str], adjust: bool = True) -> dict[str, DataFrame]:
     """``spots`` with a neighbour within 1.5 units, their ``edges``, ``states`` and ``energy`` (``n_pairs, spin_sum, net_agreement``)."""
     reach = 1.5 * spatial.unit_distance(spots)
     edges = written(spatial.neighbours(spots, reach))
     kept = spots.join(edges.select(F.col("src").alias("spot_id")).distinct(), "spot_id", "left_semi")
-    states = written(signal_states(kept, counts, signal, seed, adjust))
+    states = written(signal_states(kept, counts, signal, adjust))
     return {"spots": kept, "edges": edges, "states": states, "energy": spins.energy(edges, states)}
 
 
@@ -63,7 +61,7 @@ def detect(
     The first coupling is the candidate of 0.16 to 0.44 whose chains meet the observed agreement best, the second
     is where the share of sure spots bends most over ``factors``, each tried with the sweeps and burn-in of ``scan``.
     """
-    data = coupling_data(spots, counts, signal, adjust, seed)
+    data = coupling_data(spots, counts, signal, adjust)
     spots, edges, states = written(data["spots"]), data["edges"], data["states"]
     observed = data["energy"].first()["spin_sum"] or 0.0
     spark, nodes = spots.sparkSession, spots.select("spot_id", "x", "y")
@@ -71,7 +69,7 @@ def detect(
     j1 = fit.agg(F.min_by("mu_q", F.struct("abs_g", "mu_q"))).first()[0]
 
     line_points = written(spatial.lines(spots, spatial.unit_distance(spots, 1.0), "hex", max_gap=max_gap))
-    sums = measures.marker_sums(nodes, counts, {"y": exhaustion, "covar": surface})
+    sums = measures.marker_sums(nodes.select("spot_id"), counts, {"y": exhaustion, "covar": surface})
     rested = written(measures.count_residual_score(sums, "y", "covar", "resid"))
     points = written(line_points.select("direction", "line_id", "pos", "spot_id").join(rested, "spot_id"))
     by = ["direction", "line_id"]
