@@ -10,13 +10,13 @@ Schleimer et al. 2003): equal windows choose the same anchor at the same place,
 meets under its anchor's hash, and every window belongs to one anchor.
 
 * Anchors that occur once are dropped (a count with a map-side combine).
-* An anchor's surroundings, all windows that chose it, are hashed too: equal surroundings of one anchor become
-  one row with its first position before anything is gathered, so a passage of a third of all texts is one row.
-  All windows of its later occurrences have an earlier copy; this is decided by the two 64-bit hashes alone.
-* Surroundings that differ under one anchor come together in a task.  Their windows are put in suffix
-  order, previous and next smaller positions in that order give the longest previous factors (Crochemore and Ilie
-  2008), and these decide.
-* Under an anchor with very many different surroundings the windows are dealt on by their own hash, where
+* An anchor's surroundings, all windows that chose it, are hashed too: equal surroundings of one anchor are a class, one
+  row with its first position and its number, so a passage of a third of all texts is one row.  Classes go by these two 64-bit hashes.
+* The classes of one anchor come together in a task, each with the bytes of its first occurrence.  Their windows are put in suffix
+  order, those of a class that occurs again twice; previous and next smaller positions in that order give the longest previous
+  factors (Crochemore and Ilie 2008), and these alone decide, for a class's first occurrence and for its later ones.
+* Each occurrence takes the verdict of its class; the join sends the few hot classes to all tasks.
+* Under an anchor with very many classes the windows are dealt on by their own hash, where
   only equal ones meet: the first position is an aggregate and nothing is gathered.
 
 Texts are known by a 64-bit hash and their size; positions go by ``doc``, then text, then place.
@@ -159,26 +159,34 @@ def _occurrences(length: int):
     return find
 
 
+def _smaller_before(place: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Least common prefix on the way to the previous smaller position of each suffix; 0 where there is none.
+
+    All suffixes look back in step: one that meets a greater position goes on to where that one has looked, as all between are greater still.
+    """
+    at, least = np.arange(-1, len(place) - 1), common.copy()
+    open_ = np.flatnonzero(place[at] > place)
+    open_ = open_[open_ > 0]
+    while len(open_):
+        to = at[open_]
+        least[open_] = np.minimum(least[open_], least[to])
+        at[open_] = at[to]
+        open_ = open_[at[open_] >= 0]
+        open_ = open_[place[at[open_]] > place[open_]]
+    least[at < 0] = 0
+    return least
+
+
 def previous_factors(place: np.ndarray, common: np.ndarray) -> np.ndarray:
     """Longest previous factor of each suffix, the suffixes given in suffix order.
 
     ``place`` is a suffix's position, every one different; ``common[i]`` is the length of its common prefix with the suffix before it
     (0 for the first).  The previous and next smaller positions in suffix order have the longest common prefixes
-    of all smaller ones: a stack of growing positions meets both, with the least common prefix on the way.
+    of all smaller ones.
     """
-    n = len(place)
-    found, at, shared = [0] * n, place.tolist(), common.tolist()
-    stack: list[tuple[int, int]] = []  # (suffix, common prefix with its previous smaller position)
-    for i in range(n):
-        least = shared[i]
-        while stack and at[stack[-1][0]] > at[i]:  # i is the next smaller position of what is taken off
-            k, before = stack.pop()
-            found[k] = max(before, least)
-            least = min(least, before)
-        stack.append((i, least if stack else 0))
-    for k, before in stack:
-        found[k] = before
-    return np.array(found, np.int64)
+    common = np.asarray(common, np.int64)
+    after = _smaller_before(place[::-1], np.append(0, common[:0:-1])[: len(place)])[::-1]
+    return np.maximum(_smaller_before(place, common), after)
 
 
 def _suffix_order(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,11 +199,12 @@ def _suffix_order(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, common
 
 
-def repeated_windows(around: list[bytes], lo: np.ndarray, hi: np.ndarray, twice: np.ndarray, length: int, later_only: bool) -> tuple[np.ndarray, np.ndarray]:
+def repeated_windows(around: list[bytes], lo: np.ndarray, hi: np.ndarray, twice: np.ndarray, length: int, later_only: bool) -> list[np.ndarray]:
     """Per row the largest and smallest distance from window start to anchor among its repeated windows; -1, -1 if none.
 
+    The first two arrays are for a row's first occurrence, the next two for its later ones.
     ``around`` holds the bytes of all windows of a row, the anchor ``lo`` bytes in; ``hi`` is the distance of the last window.
-    Rows ascend by position, and those marked ``twice`` stand for surroundings that occur again later.
+    Rows ascend by first position; those marked ``twice`` occur again later, so their windows stand twice in suffix order.
     Windows of one anchor overlap, so what lies between the two distances is covered too.
     """
     windows = lo - hi + 1
@@ -205,42 +214,51 @@ def repeated_windows(around: list[bytes], lo: np.ndarray, hi: np.ndarray, twice:
     data = np.frombuffer(b"".join(around), np.uint8)
     start = (np.cumsum(lens) - lens)[row] + step
     order, common = _suffix_order(np.lib.stride_tricks.sliding_window_view(data, length)[start])
-    near = common >= length  # a factor can reach the length only where a neighbour does
+    times = 1 + twice[row[order]]
+    suffix, new = np.repeat(order, times), np.append(True, np.zeros(max(int(times.sum()) - 1, 0), bool))
+    new[np.cumsum(times)[:-1]] = True
+    shared = np.full(len(suffix), length)
+    shared[new] = common
+    place = np.where(new, suffix, len(row) + suffix)  # a later occurrence comes after all first ones of its anchor
+    near = shared >= length  # a factor can reach the length only where a neighbour does
     keep = np.flatnonzero(near | np.append(near[1:], False))
-    repeated = np.zeros(len(order), bool)
+    found = np.zeros((2, len(row)), bool)
     if len(keep):
-        between = np.minimum.reduceat(common[: keep[-1] + 1], np.append(0, keep[:-1] + 1))  # over what is left out in front of each
-        own = order[keep]
-        repeated[own] = previous_factors(own, between) >= length
+        between = np.minimum.reduceat(shared[: keep[-1] + 1], np.append(0, keep[:-1] + 1))  # over what is left out in front of each
+        hit = previous_factors(place[keep], between) >= length
         if not later_only:
-            repeated[own] |= previous_factors(-own, between) >= length
-    if not later_only:
-        repeated |= twice[row]
-    distance = lo[row] - step
-    most, least = np.full(len(lo), -1), np.full(len(lo), np.iinfo(np.int64).max)
-    np.maximum.at(most, row[repeated], distance[repeated])
-    np.minimum.at(least, row[repeated], distance[repeated])
-    return most, np.where(most < 0, -1, least)
+            hit |= previous_factors(-place[keep], between) >= length
+        found[(~new[keep]).astype(int), suffix[keep]] = hit
+    distance, out = lo[row] - step, []
+    for repeated in found:
+        most, least = np.full(len(lo), -1), np.full(len(lo), np.iinfo(np.int64).max)
+        np.maximum.at(most, row[repeated], distance[repeated])
+        np.minimum.at(least, row[repeated], distance[repeated])
+        out += [most, np.where(most < 0, -1, least)]
+    return out
 
 
 _WINDOWS = 50_000
-_COVER = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("tn", pa.int32()), ("a", pa.int32()), ("b", pa.int32())])
-_COVERS = "doc long, th long, tn int, a int, b int"
+_VERDICT = pa.schema(
+    [("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int64()), ("doc", pa.int64()), ("th", pa.int64()), ("tn", pa.int32()), ("at", pa.int32())]
+    + [(c, pa.int32()) for c in ("first_lo", "first_hi", "later_lo", "later_hi")]
+)
+_VERDICTS = "h1 long, h2 long, n long, doc long, th long, tn int, at int, first_lo int, first_hi int, later_lo int, later_hi int"
 
 
 def _group_kernel(length: int, later_only: bool):
-    """Covers of the first occurrences of surroundings, from rows that come sorted by anchor, then position."""
+    """Verdicts of classes with a repeated window, from rows that come sorted by anchor, then first position."""
 
     def solve(rows: pa.Table) -> pa.RecordBatch:
         places = [rows[c].to_numpy() for c in ("h1", "doc", "th", "tn", "at")]
         new = np.logical_or.reduce([p[1:] != p[:-1] for p in places])  # rows of one document and text come as often as the document
         rows = rows.filter(pa.array(np.append(True, new)))
-        doc, th, tn, at, lo, hi = (rows[c].to_numpy().astype(np.int64) for c in ("doc", "th", "tn", "at", "lo", "hi"))
+        lo, hi = (rows[c].to_numpy().astype(np.int64) for c in ("lo", "hi"))
         twice = rows["twice"].to_numpy(zero_copy_only=False).astype(bool)
-        most, least = repeated_windows(rows["around"].to_pylist(), lo, hi, twice, length, later_only)
-        hit = most >= 0
-        values = doc[hit], th[hit], tn[hit], at[hit] - most[hit], at[hit] - least[hit] + length
-        return pa.RecordBatch.from_arrays([pa.array(v).cast(t) for v, t in zip(values, _COVER.types, strict=True)], schema=_COVER)
+        found = repeated_windows(rows["around"].to_pylist(), lo, hi, twice, length, later_only)
+        hit = (found[0] >= 0) | (found[2] >= 0)
+        values = [*(rows[c].to_numpy() for c in _VERDICT.names[:7]), *found]
+        return pa.RecordBatch.from_arrays([pa.array(v[hit]).cast(t) for v, t in zip(values, _VERDICT.types, strict=True)], schema=_VERDICT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -262,23 +280,23 @@ def _group_kernel(length: int, later_only: bool):
 
 def _around_kernel(length: int):
     """Bytes of the surroundings asked for."""
-    schema = pa.schema([("h1", pa.int64()), ("doc", pa.int64()), ("th", pa.int64()), ("tn", pa.int32()), ("at", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("twice", pa.bool_()), ("crowded", pa.bool_()), ("around", pa.binary())])
+    schema = pa.schema([(c, pa.int64()) for c in ("h1", "h2", "n", "doc", "th")] + [(c, pa.int32()) for c in ("tn", "at", "lo", "hi")] + [("twice", pa.bool_()), ("crowded", pa.bool_()), ("around", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for doc, th, tn, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc", "th", "tn", "text", "wanted")), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
-                out += [(w["h1"], doc, th, tn, w["at"], w["lo"], w["hi"], w["twice"], w["crowded"], data[w["at"] - w["lo"] : w["at"] - w["hi"] + length]) for w in wanted]
+                out += [(w["h1"], w["h2"], w["n"], doc, th, tn, w["at"], w["lo"], w["hi"], w["twice"], w["crowded"], data[w["at"] - w["lo"] : w["at"] - w["hi"] + length]) for w in wanted]
             columns = [*zip(*out, strict=True)] or [[] for _ in schema]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
-    return run, "h1 long, doc long, th long, tn int, at int, lo int, hi int, twice boolean, crowded boolean, around binary"
+    return run, "h1 long, h2 long, n long, doc long, th long, tn int, at int, lo int, hi int, twice boolean, crowded boolean, around binary"
 
 
 def _windows_kernel(length: int):
     """One row a window: its anchor's hash, its distance to the anchor and its own hash."""
-    schema = pa.schema([("h1", pa.int64()), ("d", pa.int32()), ("wh", pa.int64()), ("doc", pa.int64()), ("th", pa.int64()), ("tn", pa.int32()), ("at", pa.int32()), ("n", pa.int64())])
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("d", pa.int32()), ("wh", pa.int64()), ("doc", pa.int64()), ("th", pa.int64()), ("tn", pa.int32()), ("at", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,11 +311,11 @@ def _windows_kernel(length: int):
                 row = np.repeat(np.arange(len(lens)), windows)
                 j = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
                 start = np.repeat(np.cumsum(lens) - lens, windows) + j
-                col = {c: rows.column(c).to_numpy(zero_copy_only=False)[row] for c in ("h1", "doc", "th", "tn", "at", "lo", "twice")}
-                values = col["h1"], col["lo"] - j, hashes.of(start, start + length).view(np.int64), col["doc"], col["th"], col["tn"], col["at"], 1 + col["twice"].astype(np.int64)
+                col = {c: rows.column(c).to_numpy(zero_copy_only=False)[row] for c in ("h1", "h2", "doc", "th", "tn", "at", "lo", "twice")}
+                values = col["h1"], col["h2"], col["lo"] - j, hashes.of(start, start + length).view(np.int64), col["doc"], col["th"], col["tn"], col["at"], 1 + col["twice"].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(v).cast(t) for v, t in zip(values, schema.types, strict=True)], schema=schema)
 
-    return run, "h1 long, d int, wh long, doc long, th long, tn int, at int, n long"
+    return run, "h1 long, h2 long, d int, wh long, doc long, th long, tn int, at int, n long"
 
 
 def merged_spans(covers: np.ndarray) -> list[tuple[int, int]]:
@@ -351,33 +369,37 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, do
     docs = keyed(docs, doc=doc)
     long = docs.where(F.col("tn") >= length).select("doc", "th", "tn", "text")
     seen = long.mapInArrow(_occurrences(length), _OCCURRENCE)
-    counts = seen.groupBy("h1").agg(F.sum("copies").alias("n"), F.min("h2").alias("x"), F.max("h2").alias("y"))
-    counts = materialise(counts.where("n > 1").select("h1", (F.col("x") == F.col("y")).alias("alike")))
+    counts = materialise(seen.groupBy("h1").agg(F.sum("copies").alias("n")).where("n > 1").select("h1"))
     several = materialise(seen.join(counts, "h1"))
     place = F.struct("doc", "th", "tn", "at", "lo", "hi")
-    asks = several if later_only else several.where("not alike")  # all copies of the only surroundings go anyway
-    kinds = asks.groupBy("h1", "h2").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n"), F.min(place).alias("one"), F.first("alike").alias("alike"))
-    kinds = materialise(kinds.select("h1", "h2", "n", "alike", (F.col("copies") > 1).alias("twice"), "one"))
-    span = lambda df: df.select("doc", "th", "tn", (F.col("at") - F.col("lo")).alias("a"), (F.col("at") - F.col("hi") + length).alias("b"))
-    again = beside(asks, kinds.where("twice"), ["h1", "h2"], ["one"])
-    covers = span(again.where(place != F.col("one"))) if later_only else span(several.where("alike")).unionByName(span(again))
-
-    differing = kinds.where("not alike")
-    crowds = differing.groupBy("h1").agg((F.count(F.lit(1)) > crowd).alias("crowded"))
-    asked = differing.join(crowds, "h1").select("one.doc", "one.th", "one.tn", F.struct("h1", "one.at", "one.lo", "one.hi", "twice", "crowded").alias("w"))
+    kinds = several.groupBy("h1", "h2").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n"), F.min(place).alias("one"))
+    kinds = materialise(kinds.select("h1", "h2", "n", (F.col("copies") > 1).alias("twice"), "one"))
+    crowds = kinds.groupBy("h1").agg((F.count(F.lit(1)) > crowd).alias("crowded"))
+    asked = kinds.join(crowds, "h1").select("one.doc", "one.th", "one.tn", F.struct("h1", "h2", "n", "one.at", "one.lo", "one.hi", "twice", "crowded").alias("w"))
     asked = asked.groupBy("doc", "th", "tn").agg(F.collect_list("w").alias("wanted"))  # as many as one text has anchors
     around, schema = _around_kernel(length)
     around = materialise(docs.select("doc", "th", "tn", "text").join(asked, ["doc", "th", "tn"]).mapInArrow(around, schema))
     few = around.where("not crowded").drop("crowded").repartition("h1").sortWithinPartitions("h1", "doc", "th", "tn", "at")
-    covers = covers.unionByName(few.mapInArrow(_group_kernel(length, later_only), _COVERS))
+    verdicts = few.mapInArrow(_group_kernel(length, later_only), _VERDICTS)
     if not around.where("crowded").isEmpty():
         windows, schema = _windows_kernel(length)
-        windows = around.where("crowded").mapInArrow(windows, schema)
+        many = around.where("crowded")
+        windows = many.mapInArrow(windows, schema)
         start = F.struct("doc", "th", "tn", "at")
         met = materialise(windows.groupBy("h1", "d", "wh").agg(F.sum("n").alias("copies"), F.count(F.lit(1)).alias("n"), F.min(start).alias("one")).where("copies > 1").select("h1", "d", "wh", "n", "one"))
-        hits = beside(windows, met, ["h1", "d", "wh"], ["one"])
+        hits = beside(windows.drop("n"), met, ["h1", "d", "wh"], ["one"])
         hits = hits.where(start != F.col("one")) if later_only else hits
-        covers = covers.unionByName(hits.groupBy("doc", "th", "tn", "at").agg(F.max("d").alias("lo"), F.min("d").alias("hi")).transform(span))
+        hits = hits.groupBy("h1", "h2").agg(F.max("d").alias("first_lo"), F.min("d").alias("first_hi"))
+        again = [F.when(F.col("twice"), F.col(c)).otherwise(-1).alias(f"later_{c}") for c in ("lo", "hi")]
+        first = [F.coalesce(c, F.lit(-1)).alias(c) for c in ("first_lo", "first_hi")]
+        decided = many.drop("around", "crowded").distinct().join(hits, ["h1", "h2"], "left").where(F.col("first_lo").isNotNull() | F.col("twice"))
+        verdicts = verdicts.unionByName(decided.select("h1", "h2", "n", "doc", "th", "tn", "at", *first, *again))
+    kept = ("doc", "th", "tn", "at")
+    verdicts = materialise(verdicts.select("h1", "h2", "n", F.struct(*kept).alias("one"), "first_lo", "first_hi", "later_lo", "later_hi"))
+    judged = beside(several, verdicts, ["h1", "h2"], ["one", "first_lo", "first_hi", "later_lo", "later_hi"])
+    is_first = F.struct(*kept) == F.col("one")
+    judged = judged.select("doc", "th", "tn", "at", *[F.when(is_first, F.col(f"first_{c}")).otherwise(F.col(f"later_{c}")).alias(c) for c in ("lo", "hi")])
+    covers = judged.where("lo >= 0").select("doc", "th", "tn", (F.col("at") - F.col("lo")).alias("a"), (F.col("at") - F.col("hi") + length).alias("b"))
     return docs, covers.distinct().groupBy("doc", "th", "tn").agg(F.collect_list(F.struct("a", "b")).alias("covers"))
 
 

@@ -346,6 +346,18 @@ def test_longest_previous_factors():
         assert {i: int(v) for i, v in zip(order, got, strict=True)} == {i: max((same(i, j) for j in range(i)), default=0) for i in range(n)}
 
 
+def test_factors_alone_decide(monkeypatch):
+    """Without longest previous factors nothing is removed, equal surroundings or not."""
+    around = [b"a" * 150 + b"b" * 150, b"c" * 300]
+    lo, hi, twice = np.array([60, 60]), np.array([0, 0]), np.array([True, False])
+    for later_only in (True, False):
+        first, _, later, _ = suffix_dedup.repeated_windows(around, lo, hi, twice, 200, later_only)
+        assert list(later) == [60, -1] and list(first) == ([-1, 59] if later_only else [60, 60])  # windows of c...c are equal; the first is no later copy
+    monkeypatch.setattr(suffix_dedup, "previous_factors", lambda place, common: np.zeros(len(place), np.int64))
+    for later_only in (True, False):
+        assert all((x == -1).all() for x in suffix_dedup.repeated_windows(around, lo, hi, twice, 200, later_only))
+
+
 def test_texts_beyond_one_part():
     rng = random.Random(5)
     big = bytes(rng.randrange(97, 123) for _ in range(5000))
