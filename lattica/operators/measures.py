@@ -86,6 +86,15 @@ def prepared(spots: DataFrame, counts: DataFrame, exhaustion: list[str], surface
     return {"spots": own, "cpm": per_million(counts), "genes": varied, "cells": cells, "nodes": nodes, "members": members}
 
 
+def region_prepared(spots: DataFrame, counts: DataFrame, exhaustion: list[str], surface: list[str], least: int = 1) -> dict[str, DataFrame | float]:
+    """The frames of :func:`prepared` with the score of the count regression, ``ex_score_nb``, at every spot, and ``unit``, the distance within which spots are neighbours."""
+    from .spatial import unit_distance
+
+    found = prepared(spots, counts, exhaustion, surface, least)
+    scored = count_residual_score(found["spots"], "ex_sum", "cell_sum", "ex_score_nb")
+    return found | {"spots": scored, "unit": unit_distance(spots)}
+
+
 def rescaled(spots: DataFrame, score: str, factor: float = 1.0) -> DataFrame:
     """Coordinates moved to the origin and stretched so that each axis ends at the largest score times ``factor``."""
     ends = spots.agg(F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min("y").alias("_y0"), F.max("y").alias("_y1"), F.max(score).alias("_s"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.stats import adjusted, average_rank, rand_index
-from ..operators import compare, graph, measures, paths, regress, segments, spatial, spins
+from ..operators import communities, compare, graph, measures, paths, regress, segments, spatial, spins, stabilise
 from ..operators.subclusters import subcluster_nodes, subclusters
+from ..sources import matrix
 from ..sources import tables as T
 from ..sources.tables import COUNTS_SQL, PATHS_SQL, SERIES_SQL, SPOTS_SQL
 from .region import CANDIDATES, signal_states
@@ -689,6 +692,37 @@ def q_count_score(spark, sf):
     return measures.count_residual_score(scored_spots(spark, sf), "ex_sum", "cell_sum", "ex_score_nb").select("spot_id", r6("ex_score_nb"))
 
 
+@query("q_region_spots")
+def q_region_spots(spark, sf):
+    """All spots with both scores, as region detection starts from them."""
+    found = measures.region_prepared(T.spots(spark, sf), T.counts(spark, sf), EX, CELL)
+    return found["spots"].select("spot_id", "ex_sum", "cell_sum", r6("ex_score"), r6("ex_score_nb"), F.round(F.lit(found["unit"]), 6).alias("unit"))
+
+
+@query("q_matrix_counts", "select cast(spot_id as varchar) as spot_id, gene, cnt from counts where cnt <> 0", (COUNTS_SQL,))
+def q_matrix_counts(spark, sf):
+    """The counts after a way through MatrixMarket triplets with their two lists."""
+    folder = f"{T.shared_folder(spark)}/matrix-{uuid.uuid4().hex}"
+    matrix.save_matrix(T.counts(spark, sf), folder)
+    return matrix.read_matrix(spark, *[f"{folder}/{n}" for n in ("matrix.mtx", "barcodes.tsv", "features.tsv")])
+
+
+@query("q_stabilised")
+def q_stabilised(spark, sf):
+    """Residuals, corrected counts and their logarithms of all counts present."""
+    c = T.counts(spark, sf)
+    return stabilise.corrected(c, stabilise.stabiliser(c)).select("spot_id", "gene", F.round("residual", 5).alias("residual"), "cnt", r6("value"))
+
+
+@query("q_graph_clusters")
+def q_graph_clusters(spark, sf):
+    """Clusters of all spots on the neighbour graph of their residuals."""
+    c = T.counts(spark, sf)
+    vectors = stabilise.residual_vectors(c, stabilise.stabiliser(c), GENES).withColumnRenamed("spot_id", "id")
+    graph_ = communities.shared_neighbours(communities.nearest(vectors, 20))
+    return communities.graph_clusters(graph_, vectors.select("id"), resolution=0.3).withColumnRenamed("id", "spot_id")
+
+
 @query("q_slopes")
 def q_slopes(spark, sf):
     by = ["direction", "line_id", "seg_no"]

@@ -14,16 +14,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write once to the folder all executors share (``spark.checkpoint.dir``) and read back: cuts the lineage."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, ``spark.checkpoint.dir``; a temporary one only on one machine (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:  # one machine and tests only
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/table-{uuid.uuid4().hex}"
+    return folder
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write once to the folder all executors share (``spark.checkpoint.dir``) and read back: cuts the lineage."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
@@ -66,13 +71,13 @@ def aligned(counts: DataFrame, positions: DataFrame, norm: DataFrame | None = No
 
 
 def log_normalised(counts: DataFrame, scale: float = 1e4) -> DataFrame:
-    """``spot_id, gene, value`` = log(1 + cnt / spot total * scale), in place of a variance-stabilising transform."""
+    """``spot_id, gene, value`` = log(1 + cnt / spot total * scale)."""
     total = counts.groupBy("spot_id").agg(F.sum("cnt").alias("total"))
     return counts.join(total, "spot_id").select("spot_id", "gene", F.log1p(F.col("cnt") / F.col("total") * scale).alias("value"))
 
 
 def spot_clusters(norm: DataFrame, genes: list[str], k: int, components: int = 30, seed: int = 1) -> DataFrame:
-    """``spot_id, cluster``: principal components and k-means, in place of graph clustering."""
+    """``spot_id, cluster``: principal components and k-means."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import PCA, VectorAssembler
 
@@ -88,24 +93,60 @@ def read_markers(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("list_name").cast("string"), F.col("gene").cast("string")).dropna().distinct()
 
 
-def read_sample(spark: SparkSession, counts_path: str, positions_path: str, k: int = 8, variable: int = 3000, components: int = 30, seed: int = 1) -> dict[str, DataFrame]:
+def read_sample(
+    spark: SparkSession, counts_path: str, positions_path: str, k: int = 8, variable: int = 3000, components: int = 30, seed: int = 1,
+    transform: str = "log", resolution: float = 0.3,
+) -> dict[str, DataFrame]:
     """One capture area: ``counts``, ``norm``, ``genes`` (the ``variable`` most variable ones) and ``spots`` with total count and cluster.
 
-    Counts and positions know each other's spots; log-normalised values and k-means of principal components stand in for the
-    variance-stabilising transform and graph clusters.
+    Counts and positions know each other's spots.  ``counts_path`` is Parquet, or a folder with ``matrix.mtx``, ``barcodes.tsv`` and ``features.tsv`` (or these
+    gzipped) where it ends in a slash.  With ``transform`` "log", values are log-normalised and clusters are ``k``-means of principal components; with
+    "stabilised", values are logarithms of counts corrected by the count regression, and clusters are groups of modularity ``resolution`` on the graph of
+    the 20 nearest neighbours in the components of its residuals.
     """
-    counts, positions = aligned(read_counts(spark, counts_path), read_positions(spark, positions_path))
+    raw = read_counts(spark, counts_path) if not counts_path.endswith("/") else _matrix_counts(spark, counts_path)
+    counts, positions = aligned(raw, read_positions(spark, positions_path))
     counts = written(counts)
-    norm = written(log_normalised(counts))
-    n = positions.count()
-    spread = norm.groupBy("gene").agg(((F.sum(F.col("value") * F.col("value")) - F.sum("value") * F.sum("value") / n) / max(n - 1, 1)).alias("v"))
-    genes = spread.orderBy(F.desc("v"), "gene").limit(variable).select("gene")
-    clusters = spot_clusters(norm, [r["gene"] for r in genes.collect()], k, components, seed)  # as many names as asked for
+    if transform == "stabilised":
+        norm, genes, clusters = _stabilised(counts, variable, components, resolution, seed)
+    elif transform == "log":
+        norm = written(log_normalised(counts))
+        n = positions.count()
+        spread = norm.groupBy("gene").agg(((F.sum(F.col("value") * F.col("value")) - F.sum("value") * F.sum("value") / n) / max(n - 1, 1)).alias("v"))
+        genes = spread.orderBy(F.desc("v"), "gene").limit(variable).select("gene")
+        clusters = spot_clusters(norm, [r["gene"] for r in genes.collect()], k, components, seed)  # as many names as asked for
+    else:
+        raise ValueError(f"transform is log or stabilised, not {transform!r}")
     totals = counts.groupBy("spot_id").agg(F.sum("cnt").alias("total"))
     spots = positions.join(totals, "spot_id").join(clusters, "spot_id", "left")
     return {"counts": counts, "norm": norm, "genes": genes, "spots": spots}
 
 
+def _matrix_counts(spark: SparkSession, folder: str) -> DataFrame:
+    from .matrix import read_matrix
+
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    there = {f.getPath().getName() for f in place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)}
+    return read_matrix(spark, *[folder + (n if n in there else f"{n}.gz") for n in ("matrix.mtx", "barcodes.tsv", "features.tsv")])
+
+
+def _stabilised(counts: DataFrame, variable: int, components: int, resolution: float, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(``norm``, ``genes``, ``spot_id, cluster``) by the variance-stabilising transform and graph clusters."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    from ..operators import communities, stabilise
+
+    model = written(stabilise.stabiliser(counts))
+    genes = stabilise.residual_variances(counts, model).orderBy(F.desc("variance"), "gene").limit(variable).select("gene")
+    names = [r["gene"] for r in genes.collect()]  # as many as asked for
+    vectors = written(stabilise.residual_vectors(counts, model, names)).select("spot_id", array_to_vector("v").alias("v"))
+    reduced = PCA(k=min(components, len(names)), inputCol="v", outputCol="p").fit(vectors).transform(vectors)
+    near = communities.nearest(reduced.select(F.col("spot_id").alias("id"), vector_to_array("p").alias("v")), 20)
+    clusters = communities.graph_clusters(communities.shared_neighbours(near), vectors.select(F.col("spot_id").alias("id")), resolution, seed=seed)
+    return stabilise.corrected(counts, model).select("spot_id", "gene", "value"), genes, clusters.select(F.col("id").alias("spot_id"), F.col("cluster").cast("string").alias("cluster"))
+
+
 # --------------------------------------------------------------------- sinks
 
 

@@ -9,7 +9,7 @@ import pytest
 from lattica.plans import queries as Q
 
 #: Their chains and fits have tests of their own; here they run once.
-SLOW = {"q_gibbs", "q_j1", "q_j1_resampled", "q_j2", "q_nb_segments", "q_nb_estimates", "q_path_selection"}
+SLOW = {"q_gibbs", "q_j1", "q_j1_resampled", "q_j2", "q_nb_segments", "q_nb_estimates", "q_path_selection", "q_graph_clusters"}
 
 
 def plain(v):
