@@ -17,7 +17,8 @@ def pairs_within(a: DataFrame, b: DataFrame, most: float, least: float = 0.0, ke
     """``src, dst, d, dx, dy`` of points of ``a`` and ``b`` with ``least <= d <= most``, never a point with itself.
 
     Points fall into cells as wide as ``most``; ``b`` is repeated for the nine cells around its own, so
-    an equi-join on the cell finds every pair once.
+    an equi-join on the cell finds every pair once.  Spark takes the ninefold rows for as small as the points themselves, so
+    a merge join is asked for: else it would broadcast them from tables of some megabytes on.
     """
     cell = lambda c: F.floor(F.col(c) / most).cast("long")
     left = a.select(F.col(key).alias("src"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x").alias("cx"), cell("y").alias("cy"))
@@ -26,7 +27,7 @@ def pairs_within(a: DataFrame, b: DataFrame, most: float, least: float = 0.0, ke
     right = right.select("dst", "bx", "by", (F.col("c1") + F.col("o.i")).alias("cx"), (F.col("c2") + F.col("o.j")).alias("cy"))
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     d = F.sqrt(dx * dx + dy * dy)
-    met = left.join(right, ["cx", "cy"]).where(F.col("src") != F.col("dst"))
+    met = left.join(right.hint("merge"), ["cx", "cy"]).where(F.col("src") != F.col("dst"))
     return met.select("src", "dst", d.alias("d"), dx.alias("dx"), dy.alias("dy")).where((F.col("d") >= least) & (F.col("d") <= most))
 
 

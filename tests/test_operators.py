@@ -432,3 +432,10 @@ def test_coupling_data(spark, sf):
     got = region.coupling_data(T.spots(spark, sf), T.counts(spark, sf), ["AO", "RO"])
     e = got["energy"].first()
     assert got["states"].count() == got["spots"].count() and e["n_pairs"] == got["edges"].count() / 2 and -1 <= e["net_agreement"] <= 1
+
+
+def test_distance_join_is_not_broadcast(spark, lattice):
+    spots = T.written(lattice)
+    near = spatial.pairs_within(spots, spots, 1.5)
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+    assert near.count() > 0
