@@ -228,6 +228,24 @@ def test_pruning_keeps_the_best(spark):
     assert sum(summary[1]["lengths"]) == 30 and summary[1]["n_changes"] == len(summary[1]["lengths"]) - 1
 
 
+def test_lines_in_step_are_segmented_as_alone(spark):
+    rng = np.random.default_rng(1)
+    lines = sorted((rng.poisson(rng.choice([3, 30], size=n)).astype(float) for n in [2, 3, 4, 5, *rng.integers(6, 60, 12)]), key=len, reverse=True)
+    penalties = np.array([0.6, 6.0, 300.0])
+    for prune in (True, False):
+        found = {}
+        for p, k, _, a, b, total in sorted(zip(*(v.tolist() for v in segments.partitioned_lines(lines, penalties, prune)), strict=True)):
+            found.setdefault((p, k), (total, []))[1].append((a, b))
+        assert found == {(p, k): segments.partitioned(len(y), segments.gaussian_cost(y), penalties[p], prune) for p in range(3) for k, y in enumerate(lines)}
+    long = rng.poisson(np.repeat([3, 30], 300)).astype(int).tolist()  # longer than what goes in step
+    points = spark.createDataFrame([(k, i + 1, v) for k, y in enumerate([*lines, long]) for i, v in enumerate(map(int, y))], "line_id long, pos int, y long")
+    got = sorted((r["line_id"], r["seg_no"], r["start"], r["end"]) for r in segments.segmented(points, [1.0], ["line_id"], method="gaussian").collect())
+    whole = [*lines, np.array(long, float)]
+    assert got == [(k, i + 1, a, b) for k, y in enumerate(whole) if len(y) >= 4 for i, (a, b) in enumerate(segments.partitioned(len(y), segments.gaussian_cost(y), 6.0)[1])]
+    costs = {tuple(r)[:3]: r["neg2llh"] for r in segments.stretch_costs(points.where("line_id < 5"), [1.0], ["line_id"], method="gaussian").collect()}
+    assert costs == {(k, a, b): segments.gaussian_cost(y)(np.array([a]), b)[0] for k, y in enumerate(lines[:5]) for b in range(2, len(y) + 1) for a in range(1, b)}
+
+
 def test_estimates(spark):
     rng = np.random.default_rng(8)
     data = [(1, k + 1, int(v)) for k, v in enumerate(rng.negative_binomial(5, 0.2, 60))] + [(2, k + 1, 7) for k in range(10)]
