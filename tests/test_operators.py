@@ -457,3 +457,22 @@ def test_distance_join_is_not_broadcast(spark, lattice):
     near = spatial.pairs_within(spots, spots, 1.5)
     assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
     assert near.count() > 0
+
+
+def test_surroundings_of_a_path():
+    rng = np.random.default_rng(2)
+    xy, reach = rng.uniform(-9, 9, (300, 2)), 2.5
+    owners = {}
+    for k, cell in enumerate(map(tuple, np.floor(xy / reach).astype(int).tolist())):
+        owners.setdefault(cell, []).append(k)
+    owners = {c: (np.array(k), xy[k, 0], xy[k, 1]) for c, k in owners.items()}
+    steps = rng.uniform(-9, 9, (12, 2))
+    near = (((xy[:, None] - steps) ** 2).sum(axis=2) <= reach * reach).any(axis=1)
+    assert graph._near_steps(owners, steps[:, 0], steps[:, 1], reach) == set(np.flatnonzero(near).tolist())
+
+
+def test_alternatives_deal_edges_by_cell(spark, lattice):
+    edges = spatial.neighbours(lattice, 1.2).withColumn("weight", F.col("d"))
+    paths = spark.createDataFrame([(k, [7 * r + 1 for r in range(7)]) for k in range(3)], "path_id long, nodes array<long>")
+    plan = graph.alternative_paths(paths, edges, lattice, 2.0)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsIn" in plan and "collect_list" not in plan  # no path carries its own copy of the edges
