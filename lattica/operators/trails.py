@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.ordered import difference_quantile, quantiles, smallest
+from ..functions.ordered import difference_quantile, quantiles, running_totals, smallest
 from ..sources.tables import written
 from .compare import marker_correlations
 from .graph import gradient_paths, second_alternatives, shortest_paths, weighted
@@ -19,24 +20,79 @@ from .paths import coherent_paths, control_sets
 from .spatial import neighbours, pairs_within
 
 
+def _runs(points: DataFrame) -> DataFrame:
+    """``x, y, step, n``: ``points`` (``x, y``) as runs of evenly spaced points of one x, to nine decimals; other points are runs of one."""
+    order = Window.partitionBy("v").orderBy("y")  # the points of one line of the lattice
+    gaps = points.select(F.round("x", 9).alias("v"), "x", "y").withColumn("gap", F.round(F.col("y") - F.lag("y").over(order), 9))
+    new = (~F.col("gap").eqNullSafe(F.lag("gap").over(order))).cast("int")
+    placed = gaps.withColumn("new", new).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy("v", "run")
+    step = (F.max("y").over(run) - F.min("y").over(run)) / F.greatest(F.count(F.lit(1)).over(run) - 1, F.lit(1))
+    placed = placed.withColumn("step", step).withColumn("k", F.row_number().over(run.orderBy("y")) - 1)
+    placed = placed.withColumn("off", F.abs(F.col("y") - F.min("y").over(run) - F.col("k") * F.col("step"))).withColumn("off", F.max("off").over(run))
+    found = placed.groupBy("v", "run", F.when(F.col("off") > 1e-9, F.col("k")).alias("alone"))
+    return found.agg(F.min("x").alias("x"), F.min("y").alias("y"), F.first("step").alias("step"), F.count(F.lit(1)).alias("n")).select("x", "y", F.when(F.col("n") > 1, F.col("step")).otherwise(0.0).alias("step"), "n")
+
+
+def _run_distances(runs: DataFrame, reach: float) -> DataFrame:
+    """``d, n``: distances up to ``reach`` of all ordered pairs of points of ``runs``, a point with itself included, to nine decimals, and how often they occur.
+
+    Pairs of runs with the same shift, step and lengths are counted together; only then their differences are made.
+    """
+    cell = F.floor(F.col("x") / reach).cast("long")
+    side = lambda df, c: df.select(F.col("x").alias(f"x{c}"), F.col("y").alias(f"y{c}"), F.col("step").alias(f"s{c}"), F.col("n").alias(f"n{c}"), "cell")
+    one = side(runs.withColumn("cell", cell), 0)
+    two = side(runs.withColumn("cell", F.explode(F.array(*[cell + k for k in (-1, 0, 1)]))), 1)
+    top = lambda c: F.col(f"y{c}") + F.col(f"s{c}") * (F.col(f"n{c}") - 1)
+    met = one.join(two.hint("merge"), "cell").where((F.abs(F.col("x1") - F.col("x0")) <= reach) & (F.col("y1") - top(0) <= reach) & (F.col("y0") - top(1) <= reach))
+    even = (F.col("n0") == 1) | (F.col("n1") == 1) | (F.round(F.col("s0") - F.col("s1"), 12) == 0)
+    begin = F.explode(F.when(even, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("n0") - 1)))  # with unlike steps one run goes point by point
+    met = met.select("*", begin.alias("i")).select(
+        (F.col("x1") - F.col("x0")).alias("dx"), (F.col("y1") - F.col("y0") - F.col("i") * F.col("s0")).alias("dy"), F.when(F.col("n1") > 1, F.col("s1")).otherwise(F.col("s0")).alias("s"), F.when(even, F.col("n0")).otherwise(1).alias("n0"), "n1"
+    )
+    shift = met.groupBy(F.round(F.abs("dx"), 9).alias("_x"), F.round("dy", 9).alias("_y"), F.round("s", 12).alias("_s"), "n0", "n1").agg(F.min(F.abs("dx")).alias("dx"), F.min("dy").alias("dy"), F.min("s").alias("s"), F.count(F.lit(1)).alias("m"))
+    low = F.when(F.col("s") > 0, F.ceil((-reach - F.col("dy")) / F.col("s")) - 1)
+    high = F.when(F.col("s") > 0, F.floor((reach - F.col("dy")) / F.col("s")) + 1)
+    k0, k1 = F.greatest(low, 1 - F.col("n0")), F.least(high, F.col("n1") - 1)
+    each = shift.where(k0 <= k1).withColumn("k", F.explode(F.sequence(k0, k1)))
+    times = F.least(F.col("n0") - 1, F.col("n1") - 1 - F.col("k")) - F.greatest(F.lit(0), -F.col("k")) + 1
+    dy = F.col("dy") + F.col("k") * F.col("s")
+    d = F.sqrt(F.col("dx") * F.col("dx") + dy * dy)
+    return each.select(F.round(d, 9).alias("d"), (F.col("m") * times).alias("n")).where(F.col("d") <= reach).groupBy("d").agg(F.sum("n").alias("n"))
+
+
 def pairwise_quantile(points: DataFrame, share: float, reach: float) -> float:
     """Quantile ``share`` of the distances of all ordered pairs of ``points`` (``spot_id, x, y``), a point with itself included.
 
-    Only pairs within a reach are made: it doubles until they hold the quantile, so a small share costs few pairs.
+    Only pairs within a reach count: it doubles until they hold the quantile.  On a lattice, points are taken as runs of evenly spaced
+    ones, and pairs are counted by the shifts of two runs; where there are not many times more points than runs, pairs are made.
     """
-    n = points.count()
+    n, w, h = points.agg(F.count(F.lit(1)), F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
     rank = share * (n * n - 1) - n  # among the pairs of different points; n zeros come before
     if rank <= -1 or n < 2:
         return 0.0
+    runs = written(_runs(points))
+    few = runs.count() * 8 <= n
+    if few:
+        reach = max(reach, 1.3 * math.sqrt(share * w * h / math.pi))
     while True:
-        near = pairs_within(points, points, reach).select(F.round("d", 9).alias("d"))
-        held = near.count()
+        if few:
+            near = written(_run_distances(runs, reach).select("d", F.when(F.col("d") == 0, F.col("n") - n).otherwise(F.col("n")).alias("n")).where("n > 0"))
+            held = near.agg(F.sum("n")).first()[0] or 0
+        else:
+            near = pairs_within(points, points, reach).select(F.round("d", 9).alias("d"))
+            held = near.count()
         if held > rank + 1 or held == n * (n - 1):
             break
         reach *= 2
     if rank < 0:
         return (rank + 1) * near.agg(F.min("d")).first()[0]
-    return quantiles(near, "d", [min(rank / max(held - 1, 1), 1.0)])[0]
+    at = min(rank, held - 1)
+    if not few:
+        return quantiles(near, "d", [at / max(held - 1, 1)])[0]
+    upto = written(running_totals(near, ["d"], {"c": "n"}))
+    one, two = (upto.where(F.col("c") > k).agg(F.min("d")).first()[0] for k in (math.floor(at), math.ceil(at)))
+    return one if one == two else (math.ceil(at) - at) * one + (at - math.floor(at)) * two
 
 
 def start_and_end_nodes(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:

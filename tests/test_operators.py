@@ -476,3 +476,16 @@ def test_alternatives_deal_edges_by_cell(spark, lattice):
     paths = spark.createDataFrame([(k, [7 * r + 1 for r in range(7)]) for k in range(3)], "path_id long, nodes array<long>")
     plan = graph.alternative_paths(paths, edges, lattice, 2.0)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsIn" in plan and "collect_list" not in plan  # no path carries its own copy of the edges
+
+
+def test_pairwise_quantile_by_runs(spark):
+    rng = np.random.default_rng(4)
+    spots = [(x, y) for _, x, y in grid(6, 60)] + [(2.0, 0.7 * k) for k in range(30)] + [(float(a), float(b)) for a, b in rng.uniform(0, 9, (5, 2))] + [(0.0, 3.0)]
+    points = spark.createDataFrame([(k, *p) for k, p in enumerate(spots)], "spot_id long, x double, y double")
+    assert trails._runs(points).agg(F.sum("n")).first()[0] == len(spots)
+    assert trails._runs(points).count() * 8 <= len(spots)
+    xy = np.array(spots)
+    d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(axis=2)).ravel()
+    assert trails._run_distances(trails._runs(points), 5.0).agg(F.sum("n")).first()[0] == (np.round(d, 9) <= 5.0).sum()
+    for share in (0.001, 0.02, 0.3, 1.0):
+        assert abs(trails.pairwise_quantile(points, share, 1.0) - np.quantile(d, share)) < 1e-8, share
