@@ -60,11 +60,11 @@ def contained(paths: DataFrame) -> DataFrame:
 
 
 def gene_means(paths: DataFrame, counts: DataFrame, genes: list[str], by: list[str]) -> DataFrame:
-    """``by, gene, mean`` over the nodes of a path, zeros included and repeats counted."""
-    n = paths.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    found = paths.join(counts.where(F.col("gene").isin(genes)), paths["node"] == counts["spot_id"]).groupBy(*by, "gene").agg(F.sum("cnt").alias("s"))
-    keys = n.withColumn("gene", F.explode(F.array(*[F.lit(g) for g in genes])))
-    return keys.join(found, [*by, "gene"], "left").select(*by, "gene", (F.coalesce("s", F.lit(0)) / F.col("n")).alias("mean"))
+    """``by, gene, mean`` over the nodes of a path, zeros included and repeats counted; a node's counts are one row, so a path is grouped once."""
+    own = counts.where(F.col("gene").isin(genes)).groupBy(F.col("spot_id").alias("node")).agg(*[F.sum(F.when(F.col("gene") == g, F.col("cnt"))).alias(f"_{k}") for k, g in enumerate(genes)])
+    sums = paths.join(own, "node", "left").groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *[F.coalesce(F.sum(f"_{k}"), F.lit(0)).alias(f"_{k}") for k in range(len(genes))])
+    each = F.explode(F.array(*[F.struct(F.lit(g).alias("gene"), (F.col(f"_{k}") / F.col("_n")).alias("mean")) for k, g in enumerate(genes)]))
+    return sums.select(*by, each.alias("_e")).select(*by, "_e.gene", "_e.mean")
 
 
 def empirical(observed: DataFrame, controls: DataFrame, strict: bool = False) -> DataFrame:

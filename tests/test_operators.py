@@ -489,3 +489,11 @@ def test_pairwise_quantile_by_runs(spark):
     assert trails._run_distances(trails._runs(points), 5.0).agg(F.sum("n")).first()[0] == (np.round(d, 9) <= 5.0).sum()
     for share in (0.001, 0.02, 0.3, 1.0):
         assert abs(trails.pairwise_quantile(points, share, 1.0) - np.quantile(d, share)) < 1e-8, share
+
+
+def test_gene_means_group_a_path_once(spark):
+    steps = spark.createDataFrame([(1, 1, 10), (1, 2, 11), (1, 3, 10), (2, 1, 12)], "path_id long, pos int, node long")
+    counts = spark.createDataFrame([(10, "a", 4), (11, "a", 1), (11, "b", 6), (10, "z", 9)], "spot_id long, gene string, cnt long")
+    found = paths.gene_means(steps, counts, ["a", "b"], ["path_id"])
+    assert sorted(map(tuple, found.collect())) == [(1, "a", 3.0), (1, "b", 2.0), (2, "a", 0.0), (2, "b", 0.0)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
