@@ -497,3 +497,13 @@ def test_gene_means_group_a_path_once(spark):
     found = paths.gene_means(steps, counts, ["a", "b"], ["path_id"])
     assert sorted(map(tuple, found.collect())) == [(1, "a", 3.0), (1, "b", 2.0), (2, "a", 0.0), (2, "b", 0.0)]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_a_far_goal_leaves_most_nodes_alone(spark):
+    """A search along a lattice line keeps to its first bucket, however many tiles and rounds it takes."""
+    places = spark.createDataFrame([(60 * i + j, float(j), float(i)) for i in range(30) for j in range(60)], "spot_id long, x double, y double")
+    edges = spatial.neighbours(places, 1.0).select("src", "dst", F.col("d").alias("weight"))
+    asked = spark.createDataFrame([(15 * 60, 15 * 60 + 59)], "start long, goal long")
+    assert graph._labels(graph._Tiles(edges, places, None, 6.0), asked, False).count() <= 400
+    (found,) = graph.shortest_paths(asked.selectExpr("1 as path_id", "start as src", "goal as dst"), edges, places=places, side=6.0).collect()
+    assert found["cost"] == 59.0 and found["nodes"] == list(range(15 * 60, 15 * 60 + 60))
