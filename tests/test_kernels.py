@@ -41,6 +41,20 @@ def test_regression_recovers_and_mode_meets_draws():
     assert C.nb_glm(np.zeros(9), x[:9])["status"] == "undetermined"
 
 
+def test_draws_of_the_size_use_sums_of_the_counts(monkeypatch):
+    """The likelihood of a size takes the counts' numbers, not every row again, and is the plain one but for a constant."""
+    rng = np.random.default_rng(3)
+    for y in (rng.negative_binomial(3, 0.05, 50).astype(float), np.array([0.0, 0, 1]), np.array([4e6, 3, 4e6]), np.zeros(4)):
+        psi = rng.normal(size=len(y))
+        rest = C._rising_logs(y)
+        own = [rest(v) - v * np.logaddexp(0, psi).sum() - C.nb_loglik_logit(y, psi, v) for v in (0.01, 1.0, 7.5, 300.0)]
+        assert np.ptp(own) < 1e-6 * max(1.0, y.max())
+    x = np.column_stack([np.ones(50), np.linspace(0, 1, 50)])
+    y = rng.negative_binomial(3, 0.05, 50)
+    monkeypatch.setattr(C, "nb_loglik_logit", None)
+    assert len(C.nb_gibbs(y, x, 10)[1]) == 10
+
+
 def test_pruned_segmentation_is_exact():
     rng = np.random.default_rng(1)
     for n in (4, 5, 9, 30):
