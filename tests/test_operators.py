@@ -246,6 +246,25 @@ def test_lines_in_step_are_segmented_as_alone(spark):
     assert costs == {(k, a, b): segments.gaussian_cost(y)(np.array([a]), b)[0] for k, y in enumerate(lines[:5]) for b in range(2, len(y) + 1) for a in range(1, b)}
 
 
+def test_count_lines_in_step_are_segmented_as_alone(monkeypatch):
+    """Lines of counts share one fit an end, whatever the number of lines and penalties, and get the segments they get alone."""
+    rng = np.random.default_rng(2)
+    lines = [rng.negative_binomial(5, 5 / (5 + np.repeat([20, 200, 60], -(-n // 3))[:n])).astype(float) for n in (40, 31, 31, 12, 4, 2)]
+    designs = [np.column_stack([np.ones(len(y)), np.arange(1, len(y) + 1), rng.integers(100, 400, len(y))]).astype(float) for y in lines]
+    penalties, calls, fit = np.array([0.8, 4.0, 8.0]), [], segments.nb_map_many
+    monkeypatch.setattr(segments, "nb_map_many", lambda *a, **k: calls.append(1) or fit(*a, **k))
+    found = {}
+    for p, k, _, a, b, total in sorted(zip(*(v.tolist() for v in segments.partitioned_lines(lines, penalties, True, designs)), strict=True)):
+        found.setdefault((p, k), (total, []))[1].append((a, b))
+    assert len(calls) == 39  # one an end
+    for (p, k), (total, parts) in found.items():
+        alone, own = segments.partitioned(len(lines[k]), segments.NbCosts(lines[k], designs[k]), penalties[p])
+        assert parts == own and abs(total - alone) < 1e-6, (p, k)
+    for a, b in ((1, 2), (3, 40), (17, 29)):
+        one = nb_map(lines[0][a - 1 : b], designs[0][a - 1 : b])[2]
+        assert abs(-2 * one - segments.NbCosts(lines[0], designs[0])(np.array([a]), b)[0]) < 1e-6
+
+
 def test_estimates(spark):
     rng = np.random.default_rng(8)
     data = [(1, k + 1, int(v)) for k, v in enumerate(rng.negative_binomial(5, 0.2, 60))] + [(2, k + 1, 7) for k in range(10)]
