@@ -276,6 +276,19 @@ def test_estimates(spark):
     assert abs(got["nb"]["llh"] - nb_loglik_logit(y, x @ np.array(got["nb"]["beta"]), got["nb"]["size"])) < 1e-6
 
 
+def test_slopes_of_many_segments_are_fitted_in_step(spark, monkeypatch):
+    """All segments of a task share one fit and get the slopes they get alone."""
+    rng = np.random.default_rng(4)
+    data = [(seg, k + 1, int(v), 0.0, float(rng.integers(100, 400))) for seg, n in enumerate([8, 8, 7, 3, 2, 8, 5]) for k, v in enumerate(rng.poisson(30, n) if seg != 5 else np.full(n, 9))]
+    points = spark.createDataFrame(data, "seg int, pos int, y long, resid double, covar double").coalesce(1)
+    monkeypatch.setattr(segments, "nb_estimates", None)
+    got = {r["seg"]: (r["n"], r["slope"]) for r in segments.slopes(points, ["seg"], ["covar"]).collect()}
+    for seg, (n, slope) in got.items():
+        y, covar = (np.array([r[c] for r in data if r[0] == seg], float) for c in (2, 4))
+        want = None if n < 3 else 0.0 if np.ptp(y) == 0 else nb_map(y, np.column_stack([np.ones(n), np.arange(1, n + 1), covar]))[0][1]
+        assert len(y) == n and (slope is None if want is None else abs(slope - want) < 1e-8), seg
+
+
 def test_slopes_take_residuals_of_all_spots(spark):
     data = [(1, k + 1, v, r) for k, (v, r) in enumerate([(2, 0.5), (4, -0.5), (9, 1.0), (20, 3.0)])] + [(2, 1, 5, 1.0), (2, 2, 5, 2.0), (2, 3, 5, 3.0)] + [(3, 1, 1, 9.0), (3, 2, 2, 9.0)]
     got = {r["seg"]: r for r in segments.slopes(spark.createDataFrame(data, "seg int, pos int, y long, resid double"), ["seg"]).collect()}
