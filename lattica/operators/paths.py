@@ -34,15 +34,17 @@ def overlaps(paths: DataFrame, least: int = 2) -> DataFrame:
     """``a, b, shared`` of path pairs a < b that share more than ``least`` nodes.
 
     Two such paths share ``least`` + 1 nodes, so one of these is among the ``size - least`` rarest nodes of either (prefix filter of set joins);
-    candidates meet on those only, and their node arrays are then compared.
+    candidates meet on those only, and their node arrays are compared there.  A pair counts at the first node of its intersection, in the order
+    of rarity that all paths share, so that pairs are neither listed twice nor shuffled.
     """
     one = paths.select("path_id", "node").distinct()
     rare = one.groupBy("node").agg(F.count(F.lit(1)).alias("_f"))
     sets = one.join(rare, "node").groupBy("path_id").agg(F.sort_array(F.collect_list(F.struct("_f", "node"))).alias("_s")).select("path_id", F.transform("_s", lambda s: s["node"]).alias("set"))
     head = sets.where(F.size("set") > least).select("path_id", "set", F.explode(F.slice("set", F.lit(1), F.size("set") - least)).alias("node"))
     side = lambda n: head.select(F.col("path_id").alias(n), F.col("set").alias(f"set_{n}"), "node")
-    met = side("a").join(side("b"), "node").where("a < b").dropDuplicates(["a", "b"])
-    return met.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).cast("long").alias("shared")).where(F.col("shared") > least)
+    both = F.array_intersect("set_a", "set_b")
+    met = side("a").join(side("b"), "node").where("a < b").where((F.size(both) > least) & (both[0] == F.col("node")))
+    return met.select("a", "b", F.size(both).cast("long").alias("shared"))
 
 
 def contained(paths: DataFrame) -> DataFrame:

@@ -197,6 +197,20 @@ def test_marker_correlations_p(spark):
 # ------------------------------------------------------------------ segments
 
 
+def test_overlapping_pairs_are_not_shuffled(spark):
+    """A pair of paths is counted where it meets first, so no exchange lies between the meeting and the result."""
+    rng = np.random.default_rng(7)
+    sets = {k: set(rng.choice(12, rng.integers(1, 7), replace=False).tolist()) for k in range(40)}
+    table = spark.createDataFrame([(k, i, int(v)) for k, own in sets.items() for i, v in enumerate(sorted(own))], "path_id long, pos int, node long")
+    for least in (0, 1, 3):
+        found = paths.overlaps(table, least)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" in plan and "Aggregate" not in plan[: plan.index("Join")]
+        want = {(a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) > least}
+        got = [tuple(r) for r in found.collect()]
+        assert len(got) == len(want) and set(got) == want, least
+
+
 def test_stretches_fit_as_alone():
     rng = np.random.default_rng(6)
     n = 24
