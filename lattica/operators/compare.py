@@ -147,8 +147,8 @@ def linear_trends(long: DataFrame) -> DataFrame:
 
 
 def _often(long: DataFrame, genes: list[str], most_zero: float) -> DataFrame:
-    """Rows of ``genes`` with a share of zeros of ``most_zero`` or less."""
-    own = long.where(F.col("gene").isin(genes))
+    """Rows of ``genes`` with a share of zeros of ``most_zero`` or less; they are made once, whatever is read of them."""
+    own = written(long.select("path_id", "x", "ex_score", "gene", "value").where(F.col("gene").isin(genes)))
     kept = own.groupBy("gene").agg(F.avg((F.col("value") == 0).cast("double")).alias("z")).where(F.col("z") <= most_zero).select("gene")
     return own.join(kept, "gene", "left_semi")
 
@@ -166,15 +166,15 @@ def mixed_trends(long: DataFrame, genes: list[str], most_zero: float = 0.7) -> D
     ``long`` has ``path_id, x, ex_score, gene, value``; genes with more than ``most_zero`` zeros are left out.
     """
     fit = mixed_fit(_often(long, genes, most_zero), ["gene"], "path_id", "value", ["ex_score", "x"])
-    return adjusted(_terms(fit, ["ex_score", "x"]), "p", "gene", "BY", by=["term"])
+    return adjusted(written(_terms(fit, ["ex_score", "x"])), "p", "gene", "BY", by=["term"])
 
 
 def staged_trends(long: DataFrame, genes: list[str], most_zero: float = 0.7) -> DataFrame:
     """``gene, term, beta, f, p, p_adj`` of x in two stages: what gene ~ ex_score + (1 | path_id) leaves, on x with random intercepts."""
     own = _often(long, genes, most_zero)
-    first = mixed_fit(own, ["gene"], "path_id", "value", ["ex_score"])
+    first = written(mixed_fit(own, ["gene"], "path_id", "value", ["ex_score"]))  # one row a gene
     left = mixed_residuals(own, first, ["gene"], "path_id", "value", ["ex_score"], "rest")
-    return adjusted(_terms(mixed_fit(left, ["gene"], "path_id", "rest", ["x"]), ["x"]), "p", "gene", "BY")
+    return adjusted(written(_terms(mixed_fit(left, ["gene"], "path_id", "rest", ["x"]), ["x"])), "p", "gene", "BY")
 
 
 def trend_genes(tested: DataFrame, term: str = "x", cut: float = 0.05) -> DataFrame:

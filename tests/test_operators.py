@@ -177,6 +177,23 @@ def test_mixed_models_are_the_kernels(spark):
     assert {r["gene"]: r["way"] for r in compare.trend_genes(compare.mixed_trends(long, ["a", "b"])).collect()} == {"a": "up", "b": "up"}
 
 
+def test_trends_make_the_long_table_once(spark):
+    """Both mixed models read the long table once, however many passes they make over its rows."""
+    rng = np.random.default_rng(9)
+    rows = [(path, x, float(rng.integers(1, 9)), "a", float(rng.poisson(5) + x)) for path in range(12) for x in range(1, 5)]
+    plain = spark.createDataFrame(rows, "path_id long, x int, ex_score double, gene string, value double")
+    for model in (compare.mixed_trends, compare.staged_trends):
+        seen = spark.sparkContext.accumulator(0)
+
+        def count(batches, seen=seen):
+            for pdf in batches:
+                seen.add(len(pdf))
+                yield pdf
+
+        assert model(plain.mapInPandas(count, plain.schema), ["a"]).count() > 0
+        assert seen.value == len(rows), model.__name__
+
+
 def test_linear_trend_p(spark):
     long = spark.createDataFrame([("A.1", float(x), float(v)) for x, v in ((1, 2), (2, 3), (3, 7), (4, 6), (5, 9))], "gene string, x double, value double")
     r = compare.linear_trends(long).first()
