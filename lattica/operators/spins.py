@@ -80,9 +80,15 @@ OFFERED = 0.75
 TILE = 32.0
 
 #: Chains whose states share a row; more chains make more rows a spot.
-LANE = 32
+LANE = 512
 
-_STATE = "_lane int, spot_id long, x double, y double, near array<long>, n_add double, s binary, hits binary, n long, pairs binary"
+#: Chains that are swept together.
+WIDE = 32
+
+#: Spots times chains swept together that a task takes at a time, where there are enough tiles.
+AT_ONCE = 65_536
+
+_STATE = "_lane int, spot_id long, x double, y double, near array<long>, n_add double, s binary, hits binary, n long, pairs binary, rests boolean"
 
 
 def _graph(nodes: DataFrame, edges: DataFrame, bonus: DataFrame | None, name: list[str]) -> DataFrame:
@@ -119,20 +125,22 @@ def _classes(near: np.ndarray, free: np.ndarray) -> list[np.ndarray]:
 
 
 def _neighbour_sums(x: np.ndarray, near: np.ndarray) -> np.ndarray:
-    total = np.zeros((len(near), x.shape[1]), np.int16)
-    for k in range(near.shape[1]):
-        total += x[near[:, k]]
+    """Sums of the rows of ``x`` that each column of ``near`` names."""
+    kind = np.int8 if len(near) < 128 else np.int16 if len(near) < 32_768 else np.int32
+    total = np.zeros((near.shape[1], x.shape[1]), kind)
+    for k in near:
+        total += np.take(x, k, axis=0)
     return total
 
 
 def _in_tile(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(neighbours as positions, whether all of a node's neighbours are here) of a tile's rows, which go by ``spot_id``; position n is nobody."""
-    ids, n = rows["spot_id"].to_numpy(), len(rows)
+    """(neighbours as positions, whether all of a node's neighbours are in its tile) of the rows of tiles, which go by ``spot_id``; position n is nobody."""
+    ids, tile, n = rows["spot_id"].to_numpy(), rows["_tile"].to_numpy(), len(rows)
     lens = np.array([len(v) for v in rows["near"]], np.int64)
     owner = np.repeat(np.arange(n), lens)
     other = np.concatenate([*rows["near"], np.empty(0, np.int64)]).astype(np.int64)
     at = np.minimum(np.searchsorted(ids, other), n - 1)
-    here = ids[at] == other
+    here = (ids[at] == other) & (tile[at] == tile[owner])
     near = np.full((n, int(lens.max(initial=0))), n)
     near[owner, np.arange(len(owner)) - np.repeat(np.cumsum(lens) - lens, lens)] = np.where(here, at, n)
     free = np.ones(n, bool)
@@ -140,40 +148,67 @@ def _in_tile(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return near, free
 
 
+def _draws(n: int, own: int, sweeps: int, tiles: list[tuple[np.ndarray, np.random.Generator]]) -> Iterator[np.ndarray]:
+    """Uniform draws of ``n`` spots for each sweep; each tile has its own stream, so it does not matter which tiles share a task."""
+    some = max(1, min(sweeps, 2**20 // max(n * own, 1)))
+    for begin in range(0, sweeps, some):
+        now = min(some, sweeps - begin)
+        u = np.empty((now, n, own), np.float32)
+        for places, rng in tiles:
+            u[:, places] = rng.random((now, len(places), own), np.float32)
+        yield from u
+
+
 def _run_block(rows: pd.DataFrame, lanes: list[np.ndarray], kind: str, scale: float, seed: int, block: int, sweeps: int, first: int) -> pd.DataFrame:
-    """``sweeps`` sweeps over the free spots of a tile; from sweep ``first`` on, states (or products of neighbours) are counted."""
+    """``sweeps`` sweeps over the free spots of tiles; from sweep ``first`` on, states (or products of neighbours) are counted.
+
+    Spots go by class, then tile, so that a step is a stretch of each array.
+    """
     rows = rows.sort_values("spot_id", ignore_index=True)
-    n, lane = len(rows), lanes[int(rows["_lane"].iloc[0])]
-    j, factor, own = scale * lane[1], lane[2], lane.shape[1]
+    n, lane = len(rows), int(rows["_lane"].iloc[0])
+    size = lanes[lane].shape[1]
     near, free = _in_tile(rows)
-    x = np.zeros((n + 1, own), np.int8)
-    x[:n] = np.frombuffer(b"".join(rows["s"]), np.int8).reshape(n, own)
-    field = rows["n_add"].to_numpy(float)[:, None] * factor[None, :]
-    rng = np.random.default_rng([seed, block, int(rows["_lane"].iloc[0]), int(rows["spot_id"].iloc[0]) & 0x7FFFFFFF])
-    classes = [(c, near[c], field[c]) for c in _classes(near, free)]
-    hits, pairs = np.zeros((n, own), np.int32), np.zeros(own)
-    for sweep in range(sweeps):
-        for group, others, add in classes:
-            total = _neighbour_sums(x, others)
-            if kind == "gibbs":
-                x[group] = np.where(rng.random(total.shape) < 1 / (1 + np.exp(-j * (total + add))), 1, -1)
-            else:
-                now = x[group]
-                x[group] = np.where(np.log(rng.random(total.shape) / OFFERED) < np.minimum(j * (-2.0 * now * total), 0), -now, now)
-        if sweep >= first:
-            if kind == "gibbs":
-                hits += x[:n] > 0
-            else:
-                pairs += (x[:n] * _neighbour_sums(x, near)).sum(axis=0) / 2
+    classes, tile = _classes(near, free), pd.factorize(rows["_tile"])[0]
+    order = np.concatenate([*(c[np.argsort(tile[c], kind="stable")] for c in classes), np.flatnonzero(~free)])
+    ends = np.cumsum([0, *(len(c) for c in classes)]).tolist()
+    moved = np.full(n + 1, n)
+    moved[order] = np.arange(n)
+    near = np.ascontiguousarray(moved[near[order]].T)
+    swept = tile[order][: ends[-1]]
+    names = [int(rows["spot_id"].iloc[k]) & 0x7FFFFFFF for k in np.unique(tile, return_index=True)[1]]
+    start = np.frombuffer(b"".join(rows["s"]), np.int8).reshape(n, size)
+    state, hits, pairs = np.empty((n, size), np.int8), np.zeros((n, size), np.int32), np.zeros(size)
+    for at in range(0, size, WIDE):
+        own = slice(at, min(at + WIDE, size))
+        j, factor = (lanes[lane][k, own].astype(np.float32) for k in (1, 2))
+        x = np.zeros((n + 1, own.stop - at), np.int8)
+        x[:n] = start[order, own]
+        field = rows["n_add"].to_numpy(np.float32)[order, None] * factor
+        tiles = [(np.flatnonzero(swept == k), np.random.default_rng([seed, block, (lane * LANE + at) // WIDE, name])) for k, name in enumerate(names)]
+        seen, both = np.zeros((ends[-1], own.stop - at), np.int32), np.zeros(own.stop - at)
+        with np.errstate(over="ignore"):  # an overflow stands for a step that is certain
+            for sweep, u in enumerate(_draws(ends[-1], own.stop - at, sweeps, tiles)):
+                for a, b in zip(ends[:-1], ends[1:], strict=True):
+                    total = _neighbour_sums(x, near[:, a:b])
+                    if kind == "gibbs":
+                        plus = u[a:b] < 1 / (1 + np.exp((total + field[a:b]) * np.float32(-scale) * j))
+                        x[a:b] = 2 * plus.view(np.int8) - 1
+                    else:
+                        flip = u[a:b] < np.minimum(np.float32(OFFERED) * np.exp((total * x[a:b]) * (np.float32(-2 * scale) * j)), np.float32(OFFERED))
+                        x[a:b] *= 1 - 2 * flip.view(np.int8)
+                if sweep >= first and kind == "gibbs":
+                    seen += x[: ends[-1]] > 0
+                elif sweep >= first:
+                    both += (x[:n] * _neighbour_sums(x, near)).sum(axis=0, dtype=np.int64) / 2
+        state[order, own], hits[order[: ends[-1]], own], pairs[own] = x[:n], seen, both
     counted = max(sweeps - first, 0)
-    rows["s"] = [v.tobytes() for v in x[:n]]
+    rows["s"], rows["rests"] = [v.tobytes() for v in state], ~free
     if kind == "gibbs" and counted:
-        hits[~free] = 0
         rows["hits"] = [(np.frombuffer(h, np.int32) + v).tobytes() for h, v in zip(rows["hits"], hits, strict=True)]
         rows["n"] += np.where(free, counted, 0)
     if kind != "gibbs":
         rows["pairs"] = [pairs.tobytes(), *[None] * (n - 1)]
-    return rows.drop(columns="_tile")
+    return rows.drop(columns=["_tile", "_deal"], errors="ignore")
 
 
 def _block_kernel(*order):
@@ -183,7 +218,7 @@ def _block_kernel(*order):
 def _chained(nodes: DataFrame, edges: DataFrame, bonus: DataFrame | None, chains: DataFrame, kind: str, sweeps: int, first: int, block: int, scale: float, seed: int, sample: str | None, tile: float, watch=None) -> tuple[DataFrame, list[np.ndarray], list[str]]:
     """(the spots after the last block, chains a lane, name columns); ``watch(spots, tile column, lanes, counted sweeps)`` sees every block that counts.
 
-    A block is one job: spots are dealt to square tiles, and a task sweeps those spots of a tile whose neighbours are all in it, while the others keep
+    A block is one job: spots are dealt to square tiles, and a task sweeps, some tiles at a time, those spots whose neighbours are all in their tile, while the others keep
     their states.  No two such spots of different tiles are neighbours, so every step is a step of one chain.  Each block moves the
     tiles' grid, and what was at a border comes inside.  States start from a hash of chain and spot.
     """
@@ -193,6 +228,8 @@ def _chained(nodes: DataFrame, edges: DataFrame, bonus: DataFrame | None, chains
     graph = written(_graph(nodes, edges, bonus, name))
     side = _tile_side(graph, name, tile)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    wide = min(WIDE, max(lane.shape[1] for lane in lanes))
+    deals = parts * max(1, round(graph.count() * len(lanes) * wide / AT_ONCE / parts))
     salts = [[np.uint64((int(c) * 1_000_003 + seed) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) for c in lane[0]] for lane in lanes]
 
     def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -200,17 +237,18 @@ def _chained(nodes: DataFrame, edges: DataFrame, bonus: DataFrame | None, chains
             ids = pdf["spot_id"].to_numpy(np.int64).view(np.uint64)
             for k, own in enumerate(salts):
                 bits = np.stack([pd.util.hash_array(ids + c) >> np.uint64(63) for c in own], axis=1).astype(np.int8)
-                yield pdf.assign(_lane=k, s=[v.tobytes() for v in 2 * bits - 1], hits=bytes(4 * len(own)), n=0, pairs=None)
+                yield pdf.assign(_lane=k, s=[v.tobytes() for v in 2 * bits - 1], hits=bytes(4 * len(own) if kind == "gibbs" else 0), n=0, pairs=None, rests=True)
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in graph.select(*name).schema.fields), _STATE])
     state, done, k = graph.mapInPandas(start, schema), 0, 0
     while done < sweeps:
         place = lambda c, step: F.floor(F.col(c) / side + F.lit((k * step) % 1.0)).cast("long")  # noqa: E731, B023
-        spot = F.struct(place("x", 0.7548776662466927).alias("a"), place("y", 0.5698402909980532).alias("b"))  # steps of a sequence that fills the square evenly
+        spot = F.xxhash64(place("x", 0.7548776662466927), place("y", 0.5698402909980532))  # steps of a sequence that fills the square evenly
         now = min(block, sweeps - done)
         order = (lanes, kind, scale, seed, k, now, max(first - done, 0))
-        dealt = state.withColumn("_tile", spot).repartition(parts, *name, "_lane", "_tile")
-        after = written(dealt.groupBy(*name, "_lane", "_tile").applyInPandas(_block_kernel(*order), schema))
+        dealt = state.withColumn("_tile", spot).withColumn("_deal", F.pmod(F.xxhash64("_lane", "_tile"), F.lit(deals)).cast("int"))
+        dealt = dealt.repartitionById(parts, F.pmod("_deal", F.lit(parts)))
+        after = written(dealt.groupBy(*name, "_lane", "_deal").applyInPandas(_block_kernel(*order), schema))
         done, k = done + now, k + 1
         if watch and done > first:
             watch(after, spot, lanes, min(done - first, now))
@@ -231,9 +269,9 @@ def metropolis(nodes: DataFrame, edges: DataFrame, chains: DataFrame, sweeps: in
 
     def watch(state: DataFrame, spot: Column, lanes: list[np.ndarray], counted: int) -> None:
         """Sums of this block: pairs inside a tile were counted in every sweep, those across tiles rested."""
-        rows = state.withColumn("_tile", spot)
-        ends = rows.select(*name, "_lane", "_tile", "s", F.explode("near").alias("near"))
-        other = rows.select(*name, "_lane", F.col("_tile").alias("_other"), F.col("s").alias("_s"), F.col("spot_id").alias("near"))
+        rows, edge = state.withColumn("_tile", spot), state.where("rests").withColumn("_tile", spot)  # a pair across tiles is one of resting spots
+        ends = edge.select(*name, "_lane", "_tile", "s", F.explode("near").alias("near"))
+        other = edge.select(*name, "_lane", F.col("_tile").alias("_other"), F.col("s").alias("_s"), F.col("spot_id").alias("near"))
         across = ends.join(other, [*name, "_lane", "near"]).where("_tile <> _other").select(*name, "_lane", "s", "_s", F.lit(None).cast("binary").alias("pairs"))
         both = across.unionByName(rows.where("pairs is not null").select(*name, "_lane", "s", F.lit(None).cast("binary").alias("_s"), "pairs"))
 

@@ -146,3 +146,18 @@ def test_empty_inputs(spark):
     assert spatial.neighbours(spots, 1.0).count() == 0
     assert components(spots, spatial.neighbours(spots, 1.0)).count() == 0
     assert spatial.lines(spots, 1.0).count() == 0
+
+
+def test_tiles_that_share_a_task_keep_their_streams():
+    """Tiles are swept together, yet each as if it were alone: neighbours in another tile rest, and draws do not depend on who shares the task."""
+    near = [[1], [0, 2], [1, 3], [2, 4], [3, 5], [4]]
+    rows = pd.DataFrame({"spot_id": range(6), "near": near, "_lane": 0, "s": [b"\x01\xff" * 20] * 6, "n_add": 0.0, "hits": [bytes(4 * 40)] * 6, "n": 0, "pairs": None, "_tile": [7, 7, 7, 8, 8, 8]})
+    lanes = [np.array([[c, 0.3, 0.0] for c in range(40)]).T]
+    for kind in ("gibbs", "metropolis"):
+        run = lambda r, kind=kind: spins._run_block(r, lanes, kind, 1.0, 1, 0, 30, 10).set_index("spot_id")
+        both, alone = run(rows), pd.concat([run(rows[:3]), run(rows[3:])])
+        assert both["s"].to_dict() == alone["s"].to_dict() and both["hits"].to_dict() == alone["hits"].to_dict()
+        assert both["rests"].tolist() == [False, False, True, True, False, False]
+        if kind == "metropolis":
+            value = lambda f: sum(np.frombuffer(v) for v in f["pairs"].dropna())
+            assert np.array_equal(value(both), value(alone))
