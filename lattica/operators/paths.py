@@ -122,17 +122,26 @@ def pair_correlations(pairs: DataFrame, vectors: DataFrame, key: str = "vec_id",
     return both.select("a", "b", (cov / F.sqrt(va * vb)).alias("r"))
 
 
+#: Genes up to which a node's values are an array with zeros instead of a map.
+FEW = 64
+
+
 def step_correlations(paths: DataFrame, values: DataFrame, genes: list[str], value: str = "value") -> DataFrame:
     """``path_id, pos, a, b, r``: Pearson correlation over ``genes`` of each path node with the one before it, zeros included; null where one does not vary.
 
-    From sums over the genes that both nodes have, so values stay sparse and only neighbours on a path meet.
+    From sums over the genes that both nodes have; only neighbours on a path meet.  Values of many genes stay sparse, those of few are an array.
     """
-    n = float(len(genes))
-    own = values.where(F.col("gene").isin(genes)).groupBy(F.col("spot_id").alias("node")).agg(F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"), F.map_from_entries(F.collect_list(F.struct("gene", F.col(value).cast("double")))).alias("m"))
+    n, v = float(len(genes)), F.col(value).cast("double")
+    if len(genes) <= FEW:
+        entries = F.array(*[F.coalesce(F.sum(F.when(F.col("gene") == g, v)), F.lit(0.0)) for g in genes])
+        dot = sum((F.col("m")[k] * F.col("ma")[k] for k in range(len(genes))), F.lit(0.0))
+    else:
+        entries = F.map_from_entries(F.collect_list(F.struct("gene", v)))
+        dot = F.aggregate(F.coalesce(F.map_keys("m"), F.array().cast("array<string>")), F.lit(0.0), lambda t, g: t + F.element_at("m", g) * F.coalesce(F.element_at("ma", g), F.lit(0.0)))
+    own = values.where(F.col("gene").isin(genes)).groupBy(F.col("spot_id").alias("node")).agg(F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"), entries.alias("m"))
     w = Window.partitionBy("path_id").orderBy("pos")
     at = paths.join(own, "node", "left").select("path_id", "pos", "node", F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("q", F.lit(0.0)).alias("q"), "m")
     both = at.withColumns({"a": F.lag("node").over(w), "sa": F.lag("s").over(w), "qa": F.lag("q").over(w), "ma": F.lag("m").over(w)}).where("a is not null")
-    dot = F.aggregate(F.coalesce(F.map_keys("m"), F.array().cast("array<string>")), F.lit(0.0), lambda t, g: t + F.element_at("m", g) * F.coalesce(F.element_at("ma", g), F.lit(0.0)))
     spread = lambda q, t: F.col(q) - F.col(t) * F.col(t) / n
     r = F.when((spread("q", "s") > 1e-12) & (spread("qa", "sa") > 1e-12), (dot - F.col("s") * F.col("sa") / n) / F.sqrt(spread("q", "s") * spread("qa", "sa")))
     return both.select("path_id", "pos", "a", F.col("node").alias("b"), r.alias("r"))
@@ -149,17 +158,19 @@ def coherent_paths(paths: DataFrame, alternatives: DataFrame, values: DataFrame,
     A path must exceed all its ``alternatives`` (``path_id, nodes``) and the upper ``top_percent`` of all alternatives; with one alternative it must also exceed the
     80th percentile, with none the 90th.  Of what is left, paths that another one holds go.
     """
-    flat = lambda df, key: df.select(key, F.posexplode("nodes").alias("pos", "node"))
-    own = mean_correlations(flat(paths, "path_id"), values, genes, value)
-    named = alternatives.select("path_id", "nodes", F.xxhash64("path_id", "nodes").alias("alt"))
-    alt = mean_correlations(flat(named.select(F.col("alt").alias("path_id"), "nodes"), "path_id"), values, genes, value).withColumnRenamed("path_id", "alt")
-    rated = named.select("path_id", "alt").join(alt, "alt")
+    flat = lambda df: df.select("path_id", F.posexplode("nodes").alias("pos", "node"))
+    named = lambda df: df.select("path_id", "nodes", F.xxhash64("nodes").alias("seq"))
+    own, alt = named(paths), named(alternatives)
+    every = own.unionByName(alt).select(F.col("seq").alias("path_id"), "nodes").dropDuplicates(["path_id"])  # equal paths have equal correlations
+    r = written(mean_correlations(flat(every), values, genes, value).withColumnRenamed("path_id", "seq"))
+    rated = written(alt.select("path_id", "seq").join(r, "seq"))
+    own = own.select("path_id", "seq").join(r, "seq").drop("seq")
     cuts = F.array(*[F.lit(c).cast("double") for c in quantiles(rated, "r", [1 - top_percent / 100, 0.8, 0.9])])
     best = rated.groupBy("path_id").agg(F.max("r").alias("best"), F.count(F.lit(1)).alias("n_alt"))
     both = own.join(best, "path_id", "left").withColumn("n_alt", F.coalesce("n_alt", F.lit(0))).withColumn("_cut", cuts)
     tops = (F.col("r") > F.col("best")) & (F.col("r") > F.col("_cut")[0]) & ((F.col("n_alt") > 1) | (F.col("r") > F.col("_cut")[1]))
-    kept = both.where(F.when(F.col("n_alt") == 0, F.col("r") > F.col("_cut")[2]).otherwise(tops)).select("path_id", "r", "best", "n_alt")
-    inside = contained(flat(paths.join(kept, "path_id", "left_semi"), "path_id"))
+    kept = written(both.where(F.when(F.col("n_alt") == 0, F.col("r") > F.col("_cut")[2]).otherwise(tops)).select("path_id", "r", "best", "n_alt"))
+    inside = contained(flat(paths.join(kept, "path_id", "left_semi")))
     return kept.join(inside, "path_id", "left_anti")
 
 

@@ -570,3 +570,26 @@ def test_a_far_goal_leaves_most_nodes_alone(spark):
     assert graph._labels(graph._Tiles(edges, places, None, 6.0), asked, False).count() <= 400
     (found,) = graph.shortest_paths(asked.selectExpr("1 as path_id", "start as src", "goal as dst"), edges, places=places, side=6.0).collect()
     assert found["cost"] == 59.0 and found["nodes"] == list(range(15 * 60, 15 * 60 + 60))
+
+
+def test_equal_paths_are_correlated_once(spark, monkeypatch):
+    """An alternative of two paths, and one that is a path too, is one row for the correlations; arrays and maps of values give the same."""
+    from lattica.operators import paths as P
+
+    rows = [(n, g, c) for n, cs in {1: (5, 1, 0), 2: (9, 2, 1), 3: (0, 7, 2), 4: (4, 4, 9), 5: (1, 0, 6)}.items() for g, c in zip("abc", cs, strict=True) if c]
+    values = spark.createDataFrame(rows, "spot_id long, gene string, value long")
+    real = spark.createDataFrame([(1, [1, 2]), (2, [3, 4]), (3, [5])], "path_id long, nodes array<long>")
+    other = spark.createDataFrame([(1, [3, 4]), (2, [4, 5]), (1, [4, 5])], "path_id long, nodes array<long>")
+    asked, plain = [], P.mean_correlations
+
+    def seen(flat, *rest):
+        asked.append(flat.select("path_id").distinct().count())
+        return plain(flat, *rest)
+
+    monkeypatch.setattr(P, "mean_correlations", seen)
+    found = []
+    for few in (64, 0):
+        monkeypatch.setattr(P, "FEW", few)
+        kept = P.coherent_paths(real, other, values, ["a", "b", "c"]).collect()
+        found.append(sorted((r["path_id"], round(r["r"], 9), round(r["best"], 9), r["n_alt"]) for r in kept))
+    assert asked == [4, 4] and found[0] == found[1] and [(f[0], f[3]) for f in found[0]] == [(1, 2)]
