@@ -97,7 +97,7 @@ def marker_linked(values: DataFrame, spots: DataFrame, surface: list[str], value
 
 def compared_by_link(values: DataFrame, counts: DataFrame, groups: DataFrame, surface: list[str], value: str, least: float = 0.2) -> DataFrame:
     """``gene, method, log_fc, p``: genes that go with the surface markers by count regression on their sum and the group, others by Welch's test."""
-    linked = marker_linked(values, groups, surface, value).withColumn("linked", F.coalesce(F.abs("r") > least, F.lit(False)))
+    linked = written(marker_linked(values, groups, surface, value).withColumn("linked", F.coalesce(F.abs("r") > least, F.lit(False))))  # one row a gene
     plain = compared(values.join(linked.where("not linked").select("gene"), "gene", "left_semi"), groups, value)
     level = counts.where(F.col("gene").isin(surface)).groupBy("spot_id").agg(F.sum("cnt").alias("level"))
     with_level = groups.select("spot_id", "grp").join(level, "spot_id", "left").fillna(0, ["level"])

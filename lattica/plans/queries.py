@@ -745,8 +745,9 @@ def q_compare(spark, sf):
 
 @query("q_compare_linked")
 def q_compare_linked(spark, sf):
-    c = T.counts(spark, sf)
-    return compare.compared_by_link(T.log_normalised(c), c, size_groups(spark, sf), CELL, "value").select("gene", "method", F.round("log_fc", 5).alias("log_fc"), F.round("p", 6).alias("p"))
+    c = T.written(T.counts(spark, sf))
+    values, groups = T.written(T.log_normalised(c)), T.written(size_groups(spark, sf))
+    return compare.compared_by_link(values, c, groups, CELL, "value").select("gene", "method", F.round("log_fc", 5).alias("log_fc"), F.round("p", 6).alias("p"))
 
 
 @query("q_mlm")
