@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.ordered import quantiles
 from ..functions.stats import average_rank, partial
-from ..sources.tables import written
+from ..sources.tables import in_parts, written
 
 
 def point_line_distance(p: tuple[Column, ...], a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
@@ -61,10 +61,14 @@ def contained(paths: DataFrame) -> DataFrame:
     return held.where((F.size("set_b") > F.size("set_a")) | (F.col("b") < F.col("a"))).select(F.col("a").alias("path_id")).distinct()
 
 
-def gene_means(paths: DataFrame, counts: DataFrame, genes: list[str], by: list[str]) -> DataFrame:
-    """``by, gene, mean`` over the nodes of a path, zeros included and repeats counted; a node's counts are one row, so a path is grouped once."""
+def gene_means(paths: DataFrame, counts: DataFrame, genes: list[str], by: list[str], rows: int = 0) -> DataFrame:
+    """``by, gene, mean`` over the nodes of a path, zeros included and repeats counted; a node's counts are one row, so a path is grouped once.
+
+    ``rows``, where known, is about the number of rows of ``paths``: tasks then stay as large as they are.
+    """
     own = counts.where(F.col("gene").isin(genes)).groupBy(F.col("spot_id").alias("node")).agg(*[F.sum(F.when(F.col("gene") == g, F.col("cnt"))).alias(f"_{k}") for k, g in enumerate(genes)])
-    sums = paths.join(own, "node", "left").groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *[F.coalesce(F.sum(f"_{k}"), F.lit(0)).alias(f"_{k}") for k in range(len(genes))])
+    met = in_parts(paths.select(*by, "node"), rows, "node").join(own, "node", "left").drop("node")
+    sums = in_parts(met, rows, *by).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *[F.coalesce(F.sum(f"_{k}"), F.lit(0)).alias(f"_{k}") for k in range(len(genes))])
     each = F.explode(F.array(*[F.struct(F.lit(g).alias("gene"), (F.col(f"_{k}") / F.col("_n")).alias("mean")) for k, g in enumerate(genes)]))
     return sums.select(*by, each.alias("_e")).select(*by, "_e.gene", "_e.mean")
 

@@ -357,7 +357,7 @@ means as (select path_id, gene, sum(coalesce(cnt, 0)) * 1.0 / count(*) as mean f
 
 
 def path_means(spark, sf):
-    return paths.gene_means(T.order_paths(spark, sf), T.counts(spark, sf), ["AF", "NO", "RF"], ["path_id"])
+    return paths.gene_means(T.order_paths(spark, sf), T.counts(spark, sf), ["AF", "NO", "RF"], ["path_id"], T.table(spark, sf, "lineitem").count())
 
 
 @query("q_path_gene_mean", "select path_id, g as gene, round(m, 6) as mean from (select path_id, gene as g, mean as m from means)", (COUNTS_SQL, PATHS_SQL, MEANS.replace("select path_id, gene, sum", "select path_id, g.gene as gene, sum")))

@@ -44,6 +44,19 @@ def discard(df: DataFrame) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: Rows of a part where a table is dealt by its size.
+PART_ROWS = 500_000
+
+
+def in_parts(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df``, which has about ``rows`` rows, dealt by ``keys`` to parts of ``PART_ROWS``, so that a task does not grow with the table; as it is where the session's parts do.
+
+    Groups by keys that are nearly unique are then made once, without partial ones of a whole split in front.
+    """
+    parts = -(-rows // PART_ROWS)
+    return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 # ------------------------------------------------------------- Visium inputs
 
 
@@ -191,7 +204,8 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``path_id, pos, node``: an order's parts by line number, each once."""
-    first = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("n"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    first = in_parts(lines, lines.count(), "l_orderkey").groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("n"))
     pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("n", "l_partkey"))
     return first.select(F.col("l_orderkey").alias("path_id"), pos.alias("pos"), F.col("l_partkey").alias("node"))
 

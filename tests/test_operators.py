@@ -593,3 +593,23 @@ def test_equal_paths_are_correlated_once(spark, monkeypatch):
         kept = P.coherent_paths(real, other, values, ["a", "b", "c"]).collect()
         found.append(sorted((r["path_id"], round(r["r"], 9), round(r["best"], 9), r["n_alt"]) for r in kept))
     assert asked == [4, 4] and found[0] == found[1] and [(f[0], f[3]) for f in found[0]] == [(1, 2)]
+
+
+@pytest.mark.parametrize("name", ["q_strata_control", "q_compare_linked"])
+def test_line_items_are_grouped_once(spark, sf, name):
+    """What is read several times of the line items is written, so the query's own plan does not group them again."""
+    from lattica.plans import queries as Q
+
+    assert "l_partkey" not in Q.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_large_paths_are_dealt_by_their_rows(spark, sf, monkeypatch):
+    """Parts of paths and their gene means follow from the rows, not from the session's shuffle partitions alone; results stay."""
+    from lattica.plans import queries as Q
+    from lattica.sources import tables as T
+
+    rows = lambda: sorted(map(str, Q.QUERIES["q_path_gene_mean"](spark, sf).collect()))
+    before = rows()
+    monkeypatch.setattr(T, "PART_ROWS", 700)
+    parts = -(-T.table(spark, sf, "lineitem").count() // 700)
+    assert parts > 4 and T.order_paths(spark, sf).rdd.getNumPartitions() == parts and rows() == before
