@@ -56,7 +56,7 @@ def end_bonus(ends: DataFrame, edges: DataFrame, steep: DataFrame, margins: Data
     inner = ends.join(margins.select("spot_id"), "spot_id", "left_anti")
     met = edges.join(inner.withColumnRenamed("spot_id", "src"), ["src", "direction"])
     met = met.join(steep.select(F.col("spot_id").alias("dst"), "direction").distinct(), ["dst", "direction"], "left_semi")
-    met = met.join(inner.withColumnRenamed("spot_id", "dst"), ["dst", "direction"], "left_anti")
+    met = written(met.join(inner.withColumnRenamed("spot_id", "dst"), ["dst", "direction"], "left_anti").select("src", "dst"))
     bonus = met.groupBy(F.col("dst").alias("spot_id")).agg(F.count(F.lit(1)).alias("n_add"))
     regular = edges.join(met.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_anti")
     return bonus, regular

@@ -595,7 +595,7 @@ def test_equal_paths_are_correlated_once(spark, monkeypatch):
     assert asked == [4, 4] and found[0] == found[1] and [(f[0], f[3]) for f in found[0]] == [(1, 2)]
 
 
-@pytest.mark.parametrize("name", ["q_strata_control", "q_compare_linked"])
+@pytest.mark.parametrize("name", ["q_strata_control", "q_compare_linked", "q_bonus"])
 def test_line_items_are_grouped_once(spark, sf, name):
     """What is read several times of the line items is written, so the query's own plan does not group them again."""
     from lattica.plans import queries as Q
