@@ -151,6 +151,97 @@ def near_line_paths(distances: DataFrame, line_cut: float, drop: float, gap: flo
     return found.mapInPandas(thin, "src long, dst long, nodes array<long>")
 
 
+#: Cells of one array of lines and the nodes around their start.
+_BLOCK = 200_000
+
+
+def _risen(row: np.ndarray, node: np.ndarray, pt: np.ndarray, drop: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`rising` for many paths in step: (row, node) of what is left of ``row`` (ascending) and ``node``; rows with less than ``least`` nodes go."""
+    done: list[tuple[np.ndarray, np.ndarray]] = []
+    while len(row):
+        v = pt[node]
+        falls = (row[1:] == row[:-1]) & (np.diff(v) < -drop)
+        open_ = np.zeros(row[-1] + 1, bool)
+        open_[row[:-1][falls]] = True
+        more = open_[row]
+        done.append((row[~more], node[~more]))
+        kept = more & np.append(~falls, True)
+        row, node = row[kept], node[kept]
+        enough = np.bincount(row)[row] >= least if len(row) else np.zeros(0, bool)
+        row, node = row[enough], node[enough]
+    row, node = (np.concatenate([d[k] for d in done] or [np.zeros(0, int)]) for k in (0, 1))
+    order = np.argsort(row, kind="stable")  # a path is done at once, so its nodes stay in order
+    return row[order], node[order]
+
+
+def line_paths(nodes: DataFrame, starts: DataFrame, ends: DataFrame, far: float, near: float, line_cut: float, drop: float, gap: float, least: int, fewest: int = 5) -> DataFrame:
+    """``src, dst, nodes``: the paths that :func:`near_line_paths` makes of :func:`line_distances`, without a table of lines and nodes.
+
+    A cell as wide as ``far`` brings its starts and the nodes and ends of the cells around to one task, which takes start by start: where ``line_cut`` is wide, a
+    start's lines times its nodes are many more than the paths they leave.  What is dealt is nine times the nodes.
+    """
+    cell = [F.floor(F.col(c) / far).cast("long").alias(n) for c, n in (("x", "cx"), ("y", "cy"))]
+    side = lambda df, role: df.where("x is not null and y is not null").select(F.col("spot_id").cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in ("x", "y", "pt")], *cell, F.lit(role).alias("role"))
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    others = side(nodes, 1).unionByName(side(ends, 2)).withColumn("o", around).withColumns({"cx": F.col("cx") + F.col("o.i"), "cy": F.col("cy") + F.col("o.j")}).drop("o")
+    least = max(least, 2)
+
+    def of_start(a: tuple, other: tuple, end: tuple) -> list[tuple]:
+        i, ax, ay, ap = a
+        (ids, x, y, pt), (goal, ex, ey, ep) = other, end
+        apart = lambda u, v: np.sqrt((u - ax) * (u - ax) + (v - ay) * (v - ay))
+        d = apart(ex, ey)
+        asked = (goal != i) & (d >= near) & (d <= far)
+        local = (apart(x, y) <= far) | (ids == i)
+        goal, wx, wy, wp = goal[asked], *(w[asked, None] for w in (ex - ax, ey - ay, ep - ap))
+        ids, x, y, pt = ids[local], x[local], y[local], pt[local]
+        px, py, pp = x - ax, y - ay, pt - ap
+        own, ll, out = px * px + py * py + pp * pp, wx * wx + wy * wy + wp * wp, []
+        each = max(_BLOCK // max(len(ids), 1), 1)
+        for k in range(0, len(goal), each):
+            to = slice(k, k + each)
+            flat = px * wx[to] + py * wy[to]
+            dot = flat + pp * wp[to]
+            close = np.sqrt(np.maximum(own - dot * dot / ll[to], 0.0)) <= line_cut
+            n = close.sum(axis=1)
+            some = np.flatnonzero(n >= max(fewest, 1))
+            if not len(some):
+                continue
+            n, order = n[some], np.argsort(np.where(close[some], flat[some], np.inf), axis=1, kind="stable")  # of equal places the smaller node comes first
+            first, last = pt[order[:, 0]], pt[order[np.arange(len(some)), n - 1]]
+            row = np.repeat(np.arange(len(some)), n)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            node = order[row, np.where((first > last)[row], n[row] - 1 - at, at)]  # from low to high
+            row, node = _risen(row, node, pt, drop, least)
+            same = row[1:] == row[:-1]
+            wide = ~(np.hypot(np.diff(x[node]), np.diff(y[node])) < gap)
+            count = np.bincount(row, minlength=len(some))
+            fits = count >= least
+            fits[row[1:][same & wide]] = False
+            kept = fits[row]
+            if kept.any():
+                lines = np.flatnonzero(fits)
+                parts = np.split(ids[node[kept]], np.cumsum(count[lines])[:-1])
+                out += [(i, b, p.tolist()) for b, p in zip(goal[to][some[lines]].tolist(), parts, strict=True)]
+        return out
+
+    def search(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id")
+        columns = [rows[c].to_numpy() for c in ("id", "x", "y", "pt")]
+        role = rows["role"].to_numpy()
+        here, other, end = ([c[role == k] for c in columns] for k in (0, 1, 2))
+        out: list[tuple] = []
+        if len(here[0]) and len(end[0]):
+            for a in zip(*(c.tolist() for c in here), strict=True):
+                out += of_start(a, other, end)
+        return pd.DataFrame(out, columns=["src", "dst", "nodes"])
+
+    spark = nodes.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    dealt = side(starts, 0).unionByName(others).repartition(parts, "cx", "cy").groupBy("cx", "cy")
+    return dealt.applyInPandas(search, "src long, dst long, nodes array<long>")
+
+
 def all_paths(nodes: DataFrame, unit: float, gap: float, line_cut: float | None = None, drop: float | None = None, least: int = 5, reach: float = 1.3, line_share: float = 0.001, drop_share: float = 0.05) -> dict[str, DataFrame]:
     """``line``, ``space`` and ``score``: ``src, dst, nodes`` of the candidates from the lowest to the highest third of the scores of ``nodes`` (``spot_id, x, y, pt``).
 
@@ -165,7 +256,7 @@ def all_paths(nodes: DataFrame, unit: float, gap: float, line_cut: float | None
     line_cut = pairwise_quantile(nodes, line_share, unit) if line_cut is None else line_cut
     drop = difference_quantile(nodes, "pt", drop_share) if drop is None else drop
     starts, ends = start_and_end_nodes(nodes)
-    line = near_line_paths(line_distances(nodes, starts, ends, 10 * unit, 3 * unit), line_cut, drop, gap, least)
+    line = line_paths(nodes, starts, ends, 10 * unit, 3 * unit, line_cut, drop, gap, least)
     edges = neighbours(nodes, reach * unit)
     rise = quantiles(nodes, "pt", [2 / 9])[0] or 0.0
     targets = nodes.withColumnRenamed("spot_id", "dst")

@@ -425,6 +425,23 @@ def test_paths_up_a_gradient(spark, lattice):
     assert merged.count() == len({tuple(r["nodes"]) for df in found.values() for r in df.collect()})
 
 
+@pytest.mark.parametrize("cut", [0.8, 3.0, 50.0])
+def test_line_paths_need_no_table_of_lines_and_nodes(spark, lattice, monkeypatch, cut):
+    """Paths near lines are those of the listed distances, and no table beyond the nodes is written for them, however wide the cut is."""
+    rng = random.Random(4)
+    pt = spark.createDataFrame([(i, 4 * x + rng.randrange(-3, 4)) for i, x, _ in grid(7, 7)], "spot_id long, pt double")
+    nodes = lattice.select("spot_id", "x", "y").join(pt, "spot_id").localCheckpoint()
+    starts, ends = trails.start_and_end_nodes(nodes)
+    listed = trails.near_line_paths(trails.line_distances(nodes, starts, ends, 4.0, 2.0), cut, 1.0, 2.5, 4)
+    plain = lambda df: sorted((r["src"], r["dst"], list(r["nodes"])) for r in df.collect())
+    want = plain(listed)
+    assert want and plain(trails.line_paths(nodes, starts, ends, 4.0, 2.0, cut, 1.0, 2.5, 4)) == want
+    sizes, write = [], trails.written
+    monkeypatch.setattr(trails, "written", lambda df: sizes.append(df.count()) or write(df))
+    trails.all_paths(nodes, 1.0, gap=2.5, line_cut=cut, drop=1.0, least=4)["line"].collect()
+    assert sizes and max(sizes) <= 49
+
+
 def test_falls_are_taken_out():
     keep = lambda pt, drop, least=1: trails.rising(np.array(pt, float), drop, least).tolist()
     assert keep([1, 2, 3], 0.5) == [0, 1, 2]
