@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -551,6 +552,37 @@ def test_surroundings_of_a_path():
     assert graph._near_steps(owners, steps[:, 0], steps[:, 1], reach) == set(np.flatnonzero(near).tolist())
 
 
+def test_aimed_alternatives_are_the_plain_ones():
+    """The aimed search opens fewer nodes and gives node for node what the plain one does, with ties, one-way edges and unplaced ends."""
+    rng, opened, all_ = random.Random(1), 0, 0
+    for trial in range(24):
+        jitter = 0.3 if trial % 3 == 2 else 0.0
+        at = {r * 12 + c: (r * math.sqrt(3) / 2 + rng.random() * jitter, c + 0.5 * (r % 2) + rng.random() * jitter) for r in range(12) for c in range(12)}
+        weight = {(a, b): d * (1 if trial % 5 else 1 + rng.random()) for a in at for b in at if 0 < (d := math.dist(at[a], at[b])) <= 1.5}
+        if trial % 2:
+            weight = {k: w for k, w in weight.items() if rng.random() < 0.8}
+        if trial % 4 == 0:  # a block holds the edges of a part of the nodes
+            weight = {(a, b): w for (a, b), w in weight.items() if at[a][0] >= 2}
+        a, b, w = (np.array(v) for v in zip(*((a, b, w) for (a, b), w in weight.items()), strict=True))
+        place, pace = {n: at[n] for n in a.tolist()}, min(w / math.dist(at[a], at[b]) for (a, b), w in weight.items())
+        plain, ways = graph._adjacency(pd.DataFrame({"src": a, "dst": b, "weight": w})), graph._ways(a, b, w)
+        for _ in range(8):
+            path, reach = rng.sample(sorted(at), rng.randrange(2, 5)), rng.choice([1.5, 3.0, 6.0])
+            s, t = path[0], path[-1]
+            held = {n for n, p in place.items() if any(math.dist(p, at[i]) <= reach for i in path)}
+            aimed = graph._Aimed(ways, place, pace, [at[i] for i in path], True, reach, s, t)
+            used = set(path) - {s, t}
+            while True:
+                dist, before = graph._tree(plain, s, t, used, held)
+                want = graph._walk(before, s, t) if t in dist else None
+                assert (None if aimed.shut_in(used) else aimed.path(used)) == want
+                opened, all_ = opened + len(aimed.left), all_ + len(dist)
+                if want is None or len(want) <= 2:
+                    break
+                used |= set(want[1:-1])
+    assert opened < all_
+
+
 def test_alternatives_deal_edges_by_cell(spark, lattice):
     edges = spatial.neighbours(lattice, 1.2).withColumn("weight", F.col("d"))
     paths = spark.createDataFrame([(k, [7 * r + 1 for r in range(7)]) for k in range(3)], "path_id long, nodes array<long>")
