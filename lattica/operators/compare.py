@@ -13,7 +13,7 @@ from ..functions.special import t_p_value
 from ..functions.ordered import running_totals
 from ..functions.stats import adjusted, average_rank, welch
 from ..sources.tables import written
-from .regress import f_p, mixed_fit, mixed_residuals, nb_fit, normal_p
+from .regress import f_p, mixed_fit, nb_fit, normal_p, staged_fit
 
 
 @F.pandas_udf(DoubleType())
@@ -172,9 +172,7 @@ def mixed_trends(long: DataFrame, genes: list[str], most_zero: float = 0.7) -> D
 def staged_trends(long: DataFrame, genes: list[str], most_zero: float = 0.7) -> DataFrame:
     """``gene, term, beta, f, p, p_adj`` of x in two stages: what gene ~ ex_score + (1 | path_id) leaves, on x with random intercepts."""
     own = _often(long, genes, most_zero)
-    first = written(mixed_fit(own, ["gene"], "path_id", "value", ["ex_score"]))  # one row a gene
-    left = mixed_residuals(own, first, ["gene"], "path_id", "value", ["ex_score"], "rest")
-    return adjusted(written(_terms(mixed_fit(left, ["gene"], "path_id", "rest", ["x"]), ["x"])), "p", "gene", "BY")
+    return adjusted(written(_terms(staged_fit(own, ["gene"], "path_id", "value", "ex_score", "x"), ["x"])), "p", "gene", "BY")
 
 
 def trend_genes(tested: DataFrame, term: str = "x", cut: float = 0.05) -> DataFrame:

@@ -178,12 +178,16 @@ def coherent_paths(paths: DataFrame, alternatives: DataFrame, values: DataFrame,
     return kept.join(inside, "path_id", "left_anti")
 
 
-def long_values(paths: DataFrame, spots: DataFrame, values: DataFrame, genes: list[str], treated: int, score: str = "ex_score", value: str = "cnt") -> DataFrame:
-    """``path_id, x, ex_score, gene, value, trt``: one row a path node and gene, zeros included; ``x`` is the place on the path."""
-    at = paths.join(spots.select(F.col("spot_id").alias("node"), F.col(score).alias("ex_score")), "node", "left")
-    keys = at.select("path_id", F.col("pos").alias("x"), "node", "ex_score", F.explode(F.array(*[F.lit(g) for g in genes])).alias("gene"))
-    own = values.where(F.col("gene").isin(genes)).select(F.col("spot_id").alias("node"), "gene", F.col(value).alias("value"))
-    return keys.join(own, ["node", "gene"], "left").select("path_id", "x", "ex_score", "gene", F.coalesce("value", F.lit(0)).alias("value"), F.lit(treated).alias("trt"))
+def long_values(paths: DataFrame, spots: DataFrame, values: DataFrame, genes: list[str], treated: int | str, score: str = "ex_score", value: str = "cnt") -> DataFrame:
+    """``path_id, x, ex_score, gene, value, trt``: one row a path node and gene, zeros included; ``x`` is the place on the path.
+
+    ``treated`` is a number, or a column of ``paths``.  A node's values are one row until its path has them.
+    """
+    node = F.col("spot_id").alias("node")
+    own = values.where(F.col("gene").isin(genes)).groupBy(node).agg(*[F.sum(F.when(F.col("gene") == g, F.col(value))).alias(f"_{k}") for k, g in enumerate(genes)])
+    at = paths.withColumn("_t", F.col(treated) if isinstance(treated, str) else F.lit(treated)).join(spots.select(node, F.col(score).alias("ex_score")).join(own, "node", "full"), "node", "left")
+    each = F.explode(F.array(*[F.struct(F.lit(g).alias("gene"), F.coalesce(f"_{k}", F.lit(0)).alias("value")) for k, g in enumerate(genes)]))
+    return at.select("path_id", F.col("pos").alias("x"), "ex_score", each.alias("_e"), "_t").select("path_id", "x", "ex_score", "_e.gene", "_e.value", F.col("_t").alias("trt"))
 
 
 def path_totals(paths: DataFrame, counts: DataFrame) -> DataFrame:

@@ -178,6 +178,28 @@ def test_mixed_models_are_the_kernels(spark):
     assert {r["gene"]: r["way"] for r in compare.trend_genes(compare.mixed_trends(long, ["a", "b"])).collect()} == {"a": "up", "b": "up"}
 
 
+def test_stages_are_fitted_in_one_pass(spark):
+    """The second model comes from the sums of the first one's groups, with nulls and groups of many sizes, and no window over the rows is left."""
+    rng, rows = np.random.default_rng(3), []
+    for g in "ab":
+        for path in [None, *range(60)]:
+            b = rng.normal()
+            for x in range(1, 2 + rng.integers(1, 7)):
+                e, hole = float(rng.normal()), rng.random()
+                rows.append((g, path, None if hole < 0.05 else float(x), None if 0.05 < hole < 0.1 else e, None if 0.1 < hole < 0.15 else float(5 + 0.2 * x - 0.7 * e + b + rng.normal())))
+    long = spark.createDataFrame(rows, "gene string, path_id long, x double, ex_score double, value double").repartition(3)
+    first = regress.mixed_fit(long, ["gene"], "path_id", "value", ["ex_score"])
+    left = regress.mixed_residuals(long, first, ["gene"], "path_id", "value", ["ex_score"], "rest")
+    want = {r["gene"]: r for r in regress.mixed_fit(left, ["gene"], "path_id", "rest", ["x"]).collect()}
+    found = regress.staged_fit(long, ["gene"], "path_id", "value", "ex_score", "x")
+    got = {r["gene"]: r for r in found.collect()}
+    assert set(got) == set(want) == {"a", "b"}
+    for g, r in got.items():
+        assert r["n"] == want[g]["n"] and np.allclose(r["beta"], want[g]["beta"], atol=1e-7) and np.allclose(r["se"], want[g]["se"], atol=1e-7)
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    assert regress.staged_fit(long.where("false"), ["gene"], "path_id", "value", "ex_score", "x").count() == 0
+
+
 def test_trends_make_the_long_table_once(spark):
     """Both mixed models read the long table once, however many passes they make over its rows."""
     rng = np.random.default_rng(9)
